@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join: universe-partition pigeonhole over 5-word shingles, verified exactly.
 
-Sizes fall into bands of ratio 4/3. Two sets with Jaccard >= 3/4 and sizes r, s differ in at most (r + s) / 7 shingles,
+Sizes fall into bands of ratio 16/9. Two sets with Jaccard >= 3/4 and sizes r, s differ in at most (r + s) / 7 shingles,
 and the smaller one's band (the "scheme") bounds that by H. Each scheme hashes the shingle universe into m > H segments;
 then some segment must agree:
 
@@ -15,7 +15,7 @@ then some segment must agree:
 * sets of up to TOKENS shingles use each shingle as a segment of its own, with the prefix bound B = size - overlap + 1.
 
 Keys travel as packed blocks of 5 key bytes and a 2-byte index of the document, and only keys of two documents or more leave
-the sort. Exact copies are one representative each; large groups are first linked to their smallest document (a star), so
+the sort. Exact copies are one representative each; large groups are first linked to one document each, the smallest of the group that shares most keys (a star), so
 that a group of near copies is one component before pairs are made, and pairs are made only across components.
 Candidates are pruned by a parity sketch (a lower bound of the difference, hence exact) and verified on the whole sets.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import CHUNK_BYTES, chunks, mix, partitions, saved, shingle_sets, signed, utf8
+from envspark.llm.common import chunks, mix, partitions, saved, shingle_sets, signed, utf8
 from envspark.llm.components import components
 
 TOKENS = 24
@@ -40,10 +40,14 @@ COMMON = 64
 SKETCH = 16
 #: Entries that are packed together; the index of a document in a block has two bytes.
 BLOCK_ENTRIES, BLOCK_DOCUMENTS = 4_000_000, 60_000
+#: Partners that an a may have at one place of the verification.
+PLACE = 256
+#: So many 8-byte ids are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 _starts = [1]
 while _starts[-1] < 1 << 40:
-    _starts.append(max(_starts[-1] + 1, -(-_starts[-1] * 4 // 3)))
+    _starts.append(max(_starts[-1] + 1, -(-_starts[-1] * 16 // 9)))
 
 
 def band(size: int) -> int:
@@ -56,7 +60,7 @@ def segments(scheme: int) -> int:
     if top <= TOKENS:
         return 0
     budget = (top + top * 4 // 3) // 7 + 1
-    return budget + -(-budget // 4) + 3
+    return budget + budget // 12 + 2
 
 
 def roles(size: int) -> list[tuple[int, int]]:
@@ -154,7 +158,7 @@ def describe(documents: DataFrame, salt: int = 0) -> DataFrame:
 def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0) -> DataFrame:
     """(gid, scheme, doc_id, n_keys): the sets of two documents or more that share a key, with the number of keys that exactly these share.
 
-    q has one entry a scheme, and there are as many schemes as powers of 4/3 up to the largest set.
+    q has one entry a scheme, and there are as many schemes as powers of 16/9 up to the largest set.
     """
     blocks = 4 * partitions(documents.sparkSession)
 
@@ -252,7 +256,10 @@ def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0) -> DataF
 
 
 def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the candidate pairs (a, b) those with Jaccard >= 3/4, first by sizes and sketches, then by their whole sets."""
+    """Of the candidate pairs (a, b) those with Jaccard >= 3/4, first by sizes and sketches, then by their whole sets.
+
+    The sets travel once a pair, to the place of a; an a with many partners has a place for every PLACE of them.
+    """
     small = described.select("doc_id", "n_shingles", "sketch")
     a = small.toDF("a", "size_a", "sketch_a")
     b = small.toDF("b", "size_b", "sketch_b")
@@ -268,25 +275,44 @@ def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> Da
             yield batch.select(["a", "b"]).filter(pa.array(7 * differ <= size))
 
     near = saved(near.mapInArrow(prune, "a long, b long"))
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    places = near.groupBy("a").agg(F.ceil(F.count("*") / PLACE).alias("places"))
+    spread = near.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), "places").alias("place"))
+    demand = spread.select(F.col("b").alias("doc_id"), "a", "place", F.lit(1).alias("side")).union(spread.select(F.col("a").alias("doc_id"), "a", "place", F.lit(0).alias("side")).distinct())
+    demand = saved(demand.groupBy("doc_id").agg(F.collect_list(F.struct("a", "place", "side")).alias("to")))
+    texts = documents.select("doc_id", "text")
+    if demand.count() <= BROADCAST_IDS:  # else the join below shuffles all texts
+        texts = texts.join(F.broadcast(demand.select("doc_id")), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows in _batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "tokens"])
-
-    full = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, tokens binary")
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            ids, to, at = batch.column("doc_id").to_pylist(), batch.column("to"), 0
+            for x, y in chunks(offsets):
+                for tokens in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]):
+                    rows, doc, whole = to[at].as_py(), ids[at], tokens.tobytes()
+                    at += 1
+                    for i in range(0, len(rows), 64):
+                        few = rows[i : i + 64]
+                        yield pa.RecordBatch.from_pydict({"a": [r["a"] for r in few], "place": [r["place"] for r in few], "side": [r["side"] for r in few], "b": [doc] * len(few), "tokens": [whole] * len(few)}, schema=schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = None
         for batch in batches:
-            keep = []
-            for p, r in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-                x, y = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(r.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            kept: tuple[list, list] = ([], [])
+            for one, side, other, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "side", "b", "tokens"))):
+                tokens = np.frombuffer(tokens, np.uint64)
+                if side == 0:
+                    mine = tokens
+                    continue
+                common = len(np.intersect1d(mine, tokens, assume_unique=True))
+                if 100 * common >= 75 * (len(mine) + len(tokens) - common):
+                    kept[0].append(one)
+                    kept[1].append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in kept], names=["a", "b"])
 
-    full = saved(full)
-    return near.join(full.toDF("a", "tokens_a"), "a").join(full.toDF("b", "tokens_b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long")
+    schema = pa.schema([("a", pa.int64()), ("place", pa.int64()), ("side", pa.int32()), ("b", pa.int64()), ("tokens", pa.binary())])
+    full = texts.join(demand, "doc_id").mapInArrow(sets, "a long, place long, side int, b long, tokens binary")
+    return full.repartition(partitions(documents.sparkSession), "a", "place").sortWithinPartitions("a", "place", "side").mapInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
@@ -314,7 +340,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     groups = saved(groups.groupBy("gid", "scheme", "doc_id").agg(F.max("n_keys").alias("n_keys")))
 
     hub = groups.groupBy("gid").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("gid", "a")
-    star = groups.join(hub, "gid").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    star = groups.join(hub, "gid").filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.sum("n_keys").alias("n"))
+    star = star.groupBy("b").agg(F.max_by("a", F.struct("n", F.negative("a"))).alias("a")).select("a", "b")
     links = saved(verified(documents, described, star))
     label = components(links)
 
