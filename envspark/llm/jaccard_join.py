@@ -36,8 +36,8 @@ from envspark.llm.components import components
 TOKENS = 24
 #: Distinct components that a key may hold before documents that can spare it leave it out.
 COMMON = 64
-#: 64-bit words of a parity sketch.
-SKETCH = 16
+#: Least bits of a parity sketch.
+SKETCH = 256
 #: Entries that are packed together; the index of a document in a block has two bytes.
 BLOCK_ENTRIES, BLOCK_DOCUMENTS = 4_000_000, 60_000
 #: Partners that an a may have at one place of the verification.
@@ -118,10 +118,24 @@ def _keys(tokens: np.ndarray, scheme: int, q: int, salt: int) -> np.ndarray:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    bits = np.bincount((mix(tokens) >> np.uint64(54)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """The parity of the count of shingles in each of a power of two of places, about one to two places a shingle."""
+    width = max(SKETCH, 1 << (len(tokens) - 1).bit_length())
+    bits = np.bincount((mix(tokens) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Of pairs of sketches the places in which they differ; the wider one is folded first. No pair of sets differs in less."""
+    out = np.zeros(len(a), dtype=np.int64)
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b)], dtype=np.int64).reshape(-1, 2)
+    for kind in np.unique(size, axis=0):
+        rows = np.flatnonzero((size == kind).all(axis=1))
+        width = int(kind.min())
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(side[i] for i in rows), np.uint64).reshape(len(rows), -1, width // 8), axis=1) for side in (a, b))
+        out[rows] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
@@ -269,8 +283,7 @@ def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            differ = _differences(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())
             size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(7 * differ <= size))
 
