@@ -10,8 +10,9 @@ then some segment must agree:
 * a document's allocation is 1 for each segment that isn't empty, and 1 more below q where it has two shingles or more. It
   must reach B = 1 + (largest difference that this document can have). q is the least bound, by statistics over all
   documents, for which every document reaches B at the smallest cost in keys;
-* keys shared by many unlinked documents (common passages) get allocation 0 where the rest still reaches B. A document
-  that needs them uses them in full, so no link is lost;
+* keys shared by many unlinked documents (common passages) get allocation 0. Where the rest then misses B, the documents
+  that share such keys go through another round with twice the segments, of which fewer hold nothing but common shingles;
+  what is short after the last round uses its common keys in full, so no link is lost;
 * sets of up to TOKENS shingles use each shingle as a segment of its own, with the prefix bound B = size - overlap + 1.
 
 Keys travel as packed blocks of 5 key bytes and a 2-byte index of the document, and only keys of two documents or more leave
@@ -35,7 +36,9 @@ from envspark.llm.components import components
 
 TOKENS = 24
 #: Distinct components that a key may hold before documents that can spare it leave it out.
-COMMON = 64
+COMMON = 8
+#: Rounds, each with twice the segments of the one before.
+ROUNDS = 4
 #: Least bits of a parity sketch.
 SKETCH = 256
 #: Entries that are packed together; the index of a document in a block has two bytes.
@@ -54,13 +57,13 @@ def band(size: int) -> int:
     return bisect_right(_starts, size) - 1
 
 
-def segments(scheme: int) -> int:
-    """m of a scheme; 0: each shingle is a segment."""
+def segments(scheme: int, fine: int = 0) -> int:
+    """m of a scheme, doubled fine times; 0: each shingle is a segment."""
     top = _starts[scheme + 1] - 1
     if top <= TOKENS:
         return 0
     budget = (top + top * 4 // 3) // 7 + 1
-    return budget + budget // 12 + 2
+    return (budget + budget // 8 + 2) << fine
 
 
 def roles(size: int) -> list[tuple[int, int]]:
@@ -77,10 +80,10 @@ def roles(size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _split(tokens: np.ndarray, scheme: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(tokens: np.ndarray, scheme: int, salt: int, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment of each token, in order of segments, their mixed values, and where segments begin."""
     value = mix(tokens ^ np.uint64(0x5851F42D4C957F2D + salt))
-    m = segments(scheme)
+    m = segments(scheme, fine)
     if not m:
         return np.arange(len(tokens)), value, np.arange(len(tokens))
     where = ((value >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -89,19 +92,19 @@ def _split(tokens: np.ndarray, scheme: int, salt: int) -> tuple[np.ndarray, np.n
     return where, value[order], np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
 
 
-def _needed(tokens: np.ndarray, scheme: int, budget: int, salt: int) -> tuple[int, int]:
+def _needed(tokens: np.ndarray, scheme: int, budget: int, salt: int, fine: int) -> tuple[int, int]:
     """Allocation by exact keys, and the least q that this set needs; q of m + 1: it can't reach the budget."""
-    where, _, begin = _split(tokens, scheme, salt)
+    where, _, begin = _split(tokens, scheme, salt, fine)
     exact = len(begin)
     if exact >= budget or not segments(scheme):
         return exact, 0
     several = where[begin][np.diff(np.r_[begin, len(where)]) >= 2]
     lack = budget - exact
-    return exact, int(several[lack - 1]) + 1 if len(several) >= lack else segments(scheme) + 1
+    return exact, int(several[lack - 1]) + 1 if len(several) >= lack else segments(scheme, fine) + 1
 
 
-def _keys(tokens: np.ndarray, scheme: int, q: int, salt: int) -> np.ndarray:
-    where, value, begin = _split(tokens, scheme, salt)
+def _keys(tokens: np.ndarray, scheme: int, q: int, salt: int, fine: int) -> np.ndarray:
+    where, value, begin = _split(tokens, scheme, salt, fine)
     place = np.uint64(scheme * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     if not segments(scheme):
         return mix(value + place)
@@ -144,7 +147,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
             yield ids[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def describe(documents: DataFrame, salt: int = 0) -> DataFrame:
+def describe(documents: DataFrame, salt: int = 0, fine: int = 0) -> DataFrame:
     """Of each document its size, the fingerprint of its set, per role the scheme, B, exact allocation and needed q, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +160,7 @@ def describe(documents: DataFrame, salt: int = 0) -> DataFrame:
                 rows["print_b"].append(int(signed(mix(value + np.uint64(1)).sum(keepdims=True))[0]) if len(tokens) else 0)
                 own = []
                 for scheme, budget in roles(len(tokens)) if len(tokens) else ():
-                    exact, q = _needed(tokens, scheme, budget, salt)
+                    exact, q = _needed(tokens, scheme, budget, salt, fine)
                     own.append({"scheme": scheme, "budget": budget, "exact": exact, "q": q})
                 rows["roles"].append(own)
                 rows["sketch"].append(_sketch(tokens) if len(tokens) else b"")
@@ -169,7 +172,7 @@ def describe(documents: DataFrame, salt: int = 0) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, kind)
 
 
-def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0) -> DataFrame:
+def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0, fine: int = 0) -> DataFrame:
     """(gid, scheme, doc_id, n_keys): the sets of two documents or more that share a key, with the number of keys that exactly these share.
 
     q has one entry a scheme, and there are as many schemes as powers of 16/9 up to the largest set.
@@ -214,7 +217,7 @@ def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0) -> DataF
                     continue
                 seen.add(same)
                 for scheme, _ in roles(len(tokens)):
-                    held.append((doc, scheme, _keys(tokens, scheme, q.get(scheme, 0), salt)))
+                    held.append((doc, scheme, _keys(tokens, scheme, q.get(scheme, 0), salt, fine)))
                     entries += len(held[-1][2])
                 if entries >= BLOCK_ENTRIES or len(held) >= BLOCK_DOCUMENTS:
                     yield from flush()
@@ -292,9 +295,7 @@ def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> Da
     spread = near.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), "places").alias("place"))
     demand = spread.select(F.col("b").alias("doc_id"), "a", "place", F.lit(1).alias("side")).union(spread.select(F.col("a").alias("doc_id"), "a", "place", F.lit(0).alias("side")).distinct())
     demand = saved(demand.groupBy("doc_id").agg(F.collect_list(F.struct("a", "place", "side")).alias("to")))
-    texts = documents.select("doc_id", "text")
-    if demand.count() <= BROADCAST_IDS:  # else the join below shuffles all texts
-        texts = texts.join(F.broadcast(demand.select("doc_id")), "doc_id", "left_semi")
+    texts = _texts(documents, demand.select("doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,6 +329,34 @@ def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> Da
     return full.repartition(partitions(documents.sparkSession), "a", "place").sortWithinPartitions("a", "place", "side").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id is among ids, a saved table of distinct ones."""
+    if ids.count() <= BROADCAST_IDS:  # else the join shuffles all texts
+        ids = F.broadcast(ids)
+    return documents.join(ids, "doc_id", "left_semi")
+
+
+def _placed(documents: DataFrame, fine: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """What describe() says, its roles as rows, and what shared_keys() finds under the cheapest q."""
+    salt = 0
+    while True:
+        described = saved(describe(documents, salt, fine))
+        role = described.select("doc_id", F.explode("roles").alias("r")).select("doc_id", "r.*")
+        need = {r["scheme"]: r for r in role.groupBy("scheme").agg(F.max("q").alias("q"), F.max("budget").alias("b")).collect()}
+        if all(r["q"] <= segments(s, fine) for s, r in need.items()):
+            break
+        salt += 1  # some set falls into so few segments that it can't reach its B
+    q = {s: min(segments(s, fine), r["q"] + 1 + r["b"] // 16) for s, r in need.items() if segments(s)}
+    return described, role, shared_keys(documents, q, salt, fine)
+
+
+def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of documents of different components that share a gid."""
+    right = right.select("gid", F.col("doc_id").alias("other"), F.col("component").alias("component_b"))
+    met = left.select("gid", "doc_id", "component").join(right, "gid").filter("component <> component_b")
+    return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles (size of its set), component_id (smallest doc_id that links reach, itself included).
 
@@ -336,44 +365,45 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     doc_id each is returned. Extra columns are ignored. An empty table gives an empty result.
     """
     documents = documents.select("doc_id", "text").filter("doc_id is not null")
-    salt = 0
-    while True:
-        described = saved(describe(documents, salt))
-        need = {r["scheme"]: r for r in described.select(F.explode("roles").alias("r")).groupBy("r.scheme").agg(F.max("r.q").alias("q"), F.max("r.budget").alias("b")).collect()}
-        if all(r["q"] <= segments(s) for s, r in need.items()):
-            break
-        salt += 1  # some set falls into so few segments that it can't reach its B
-    q = {s: min(segments(s), r["q"] + 1 + r["b"] // 16) for s, r in need.items() if segments(s)}
+    described, role, groups = _placed(documents, 0)
 
     full = described.filter("n_shingles > 0").dropDuplicates(["doc_id", "print_a", "print_b"])
     first = full.groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     copies = saved(full.select("doc_id", "n_shingles", "print_a", "print_b").join(first, ["n_shingles", "print_a", "print_b"]).select("doc_id", "rep").filter("doc_id <> rep"))
 
-    groups = shared_keys(documents, q, salt).join(copies, "doc_id", "left").select("gid", "scheme", F.coalesce("rep", "doc_id").alias("doc_id"), "n_keys")
-    groups = saved(groups.groupBy("gid", "scheme", "doc_id").agg(F.max("n_keys").alias("n_keys")))
+    def of_copies(found: DataFrame) -> DataFrame:
+        found = found.join(copies, "doc_id", "left").select("gid", "scheme", F.coalesce("rep", "doc_id").alias("doc_id"), "n_keys")
+        return saved(found.groupBy("gid", "scheme", "doc_id").agg(F.max("n_keys").alias("n_keys")))
 
+    groups = of_copies(groups)
     hub = groups.groupBy("gid").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("gid", "a")
     star = groups.join(hub, "gid").filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.sum("n_keys").alias("n"))
     star = star.groupBy("b").agg(F.max_by("a", F.struct("n", F.negative("a"))).alias("a")).select("a", "b")
     links = saved(verified(documents, described, star))
-    label = components(links)
-
-    placed = saved(groups.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("gid", "scheme", "doc_id", "n_keys", F.coalesce("component", "doc_id").alias("component")))
-    spread = saved(placed.select("gid", "component").distinct().groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1"))
-    few = placed.join(spread.filter(F.col("n") <= COMMON), "gid").select("gid", "doc_id", "component")
-    common = placed.join(spread.filter(F.col("n") > COMMON), "gid")
-    # who can't spare its common keys
-    spent = common.groupBy("doc_id", "scheme").agg(F.sum("n_keys").alias("spent"))
-    role = described.select("doc_id", F.explode("roles").alias("r")).select("doc_id", "r.*")
-    short = spent.join(role, ["doc_id", "scheme"]).filter("exact - spent < budget").select("doc_id", "scheme", F.lit(True).alias("short")).distinct()
-    common = common.join(short, ["doc_id", "scheme"], "left").select("gid", "doc_id", "component", F.coalesce("short", F.lit(False)).alias("short"))
-
-    def across(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.select("gid", F.col("doc_id").alias("other"), F.col("component").alias("component_b"))
-        met = left.select("gid", "doc_id", "component").join(right, "gid").filter("component <> component_b")
-        return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-
-    rest = across(few, few).union(across(common.filter("short"), common)).distinct()
-    more = saved(verified(documents, described, rest))
-    label = components(links.union(more).union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+
+    short = None
+    for fine in range(ROUNDS):
+        label = components(links).withColumnRenamed("node", "doc_id")
+        placed = saved(groups.join(label, "doc_id", "left").select("gid", "scheme", "doc_id", "n_keys", F.coalesce("component", "doc_id").alias("component")))
+        spread = saved(placed.select("gid", "component").distinct().groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1"))
+        few = placed.join(spread.filter(F.col("n") <= COMMON), "gid").select("gid", "doc_id", "component")
+        wanting = few if short is None else few.join(short, "doc_id", "left_semi")
+        pairs = _across(wanting, few)
+        common = placed.join(spread.filter(F.col("n") > COMMON), "gid")
+        spent = common.groupBy("doc_id", "scheme").agg(F.sum("n_keys").alias("spent"))
+        if short is not None:
+            spent = spent.join(short, "doc_id", "left_semi")
+        short = saved(spent.join(role, ["doc_id", "scheme"]).filter("exact - spent < budget").select("doc_id").distinct())
+        common = common.select("gid", "doc_id", "component")
+        left = saved(common.join(short, "doc_id", "left_semi"))
+        last = not short.limit(1).count()
+        if not last and fine == ROUNDS - 1:
+            pairs = pairs.union(_across(left, common)).distinct()
+        links = saved(links.union(verified(documents, described, pairs)))
+        if last or fine == ROUNDS - 1:
+            break
+        again = saved(common.join(left.select("gid").distinct(), "gid", "left_semi").select("doc_id").distinct())
+        _, role, groups = _placed(_texts(documents, again), fine + 1)
+        groups = of_copies(groups)
+    label = components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return described.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
