@@ -105,11 +105,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by one pass of prefix sums."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers("down", _INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(codes)), out=total[1:])
+    return total
+
+
+def run_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of what prefix_sums() was made from; equal spans have equal hashes wherever they are."""
+    return mix((total[ends] - total[starts]) * _powers("down", _INVERSE, len(total))[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return run_hashes(prefix_sums(codes), starts, ends)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

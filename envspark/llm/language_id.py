@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envspark.llm.common import prefix_sums, run_hashes, span_hashes
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest piece that is used, in characters.
 LONGEST = 16
@@ -26,8 +28,19 @@ KEPT_WORDS = 150_000
 SIDE_BY_SIDE, SIDE_LENGTH = 20_000, 40
 
 
+#: Each character's probability is scaled by this, against underflow in words of up to SIDE_LENGTH characters.
+SCALE = 30.0
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words, each after a word mark, and where each word begins (one more at the end)."""
+    text = "".join("\u2581" + w for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.r_[0, np.cumsum([len(w) + 1 for w in words])]
+
+
 class Pieces:
-    """The vocabulary: an id for each piece and each byte."""
+    """The vocabulary as a table of hashed prefixes: whether a run of characters begins a piece, and which piece it is."""
 
     _loaded: dict[str, "Pieces"] = {}
 
@@ -37,16 +50,31 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.get_piece_size()
         self.prior = np.full(self.size, math.exp(-18.0))
-        self.ids: dict[str, int] = {}
-        self.bytes: dict[int, int] = {}
+        self.bytes = np.zeros(256, dtype=np.int64)
+        ids: dict[str, int] = {}
         for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (model.is_unknown(i) or model.is_control(i)) and len(piece) <= LONGEST:
-                self.ids[piece] = i
+                ids[piece] = i
                 self.prior[i] = 1.0 / (i + 10)
         self.prior /= self.prior.sum()
+        known = {piece[:k]: -1 for piece in ids for k in range(1, len(piece) + 1)} | ids
+        runs = list(known)
+        codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        end = np.cumsum([len(r) for r in runs])
+        start = end - [len(r) for r in runs]
+        hashes = span_hashes(codes, start, end)
+        self.bits = 19
+        while 1 << self.bits < 4 * len(runs):
+            self.bits += 1
+        self.keys = np.zeros((1 << self.bits) + 64, dtype=np.uint64)
+        self.values = np.full(len(self.keys), -2, dtype=np.int64)
+        for h, slot, value in zip(hashes.tolist(), (hashes >> np.uint64(64 - self.bits)).tolist(), known.values()):
+            while self.values[slot] != -2:
+                slot += 1
+            self.keys[slot], self.values[slot] = h, value
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -54,99 +82,137 @@ class Pieces:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def arcs(self, word: str) -> list[tuple[int, int, list[int]]]:
-        """(start, end, piece ids) of every piece in the word; a character that no piece has is its bytes."""
-        n, get, out = len(word), self.ids.get, []
-        for i in range(n):
-            one = get(word[i])
-            out.append((i, i + 1, [one] if one is not None else [self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass")]))
-            for j in range(i + 2, min(n, i + LONGEST) + 1):
-                k = get(word[i:j])
-                if k is not None:
-                    out.append((i, j, [k]))
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hashed run; -1: it only begins pieces; -2: it doesn't."""
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.where(self.keys[slot] == hashes, self.values[slot], -3)
+        open_ = np.flatnonzero((out == -3) & (self.values[slot] != -2))
+        out[out == -3] = -2
+        while len(open_):
+            slot[open_] += 1
+            at = slot[open_]
+            hit = self.keys[at] == hashes[open_]
+            out[open_[hit]] = self.values[at[hit]]
+            open_ = open_[~hit & (self.values[at] != -2)]
         return out
 
-
-def _words(text: str) -> Counter:
-    return Counter(text.lower().split())
-
-
-def _lattices(pieces: Pieces, words: list[str], weight: np.ndarray) -> tuple[dict[int, list], np.ndarray]:
-    """Arcs of all words by (start, end), as index arrays; weight: log10-free arc log-probabilities, pieces x languages."""
-    by: dict[tuple[int, int], tuple[list, list]] = {}
-    several: list[list[int]] = []
-    for w, word in enumerate(words):
-        for i, j, ids in pieces.arcs("▁" + word):
-            at = by.setdefault((i, j), ([], []))
-            at[0].append(w)
-            if len(ids) == 1:
-                at[1].append(ids[0])
+    def arcs(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and piece of every run that is a piece; one of a character without a piece has piece -1 - its code."""
+        limit = np.repeat(begin[1:], np.diff(begin))
+        powers = prefix_sums(codes)
+        alive = np.arange(len(codes))
+        starts, lengths, found = [], [], []
+        for k in range(1, LONGEST + 1):
+            alive = alive[alive + k <= limit[alive]]
+            if not len(alive):
+                break
+            piece = self.find(run_hashes(powers, alive, alive + k))
+            if k == 1:
+                piece = np.where(piece < 0, -10 - codes.astype(np.int64), piece)
+                take = np.ones(len(alive), dtype=bool)
             else:
-                at[1].append(len(weight) + len(several))
-                several.append(ids)
-    extra = np.array([weight[ids].sum(axis=0) for ids in several]).reshape(len(several), weight.shape[1])
-    return {k: (np.array(a), np.array(b)) for k, (a, b) in by.items()}, np.concatenate([weight, extra]), several
-
-
-def _forward(by: dict, value: np.ndarray, count: int, length: int) -> np.ndarray:
-    """alpha[position, word, language] as logs."""
-    alpha = np.full((length + 1, count, value.shape[1]), -np.inf)
+                take = piece >= 0
+            starts.append(alive[take])
+            lengths.append(np.full(int(take.sum()), k))
+            found.append(piece[take])
+            alive = alive[(piece >= -1) | (piece <= -10)]
+        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(found)
+
+
+def _lattice(pieces: Pieces, words: list[str], weight: np.ndarray) -> tuple:
+    """The arcs of words in the order in which a forward pass takes them, with their scaled probabilities a language."""
+    codes, begin = _codes(words)
+    start, length, piece = pieces.arcs(codes, begin)
+    word = np.repeat(np.arange(len(words)), np.diff(begin))[start]
+    offset = start - begin[word]
+    order = np.lexsort((length, offset + length))
+    start, length, piece, word, offset = (x[order] for x in (start, length, piece, word, offset))
+    value = np.exp(weight[np.maximum(piece, 0)])
+    for at in np.flatnonzero(piece < 0):
+        value[at] = np.exp(weight[pieces.bytes[list(chr(-10 - int(piece[at])).encode("utf-8", "surrogatepass"))]].sum(axis=0))
+    value *= (SCALE ** length.astype(float))[:, None]
+    end = offset + length
+    cut = np.flatnonzero(np.r_[True, (end[1:] != end[:-1]) | (length[1:] != length[:-1]), True])
+    node = start + word  # every word has one node more than characters
+    return begin, node, length, piece, value, cut
+
+
+def _forward(lattice: tuple, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """alpha of each node, and the first and last node of each word."""
+    begin, node, length, _, value, cut = lattice
+    first, last = begin[:-1] + np.arange(count), begin[1:] + np.arange(count)
+    alpha = np.zeros((begin[-1] + count, value.shape[1]))
+    alpha[first] = 1.0
+    for a, b in zip(cut[:-1], cut[1:]):  # same end and length: no node twice
+        alpha[node[a:b] + length[a]] += alpha[node[a:b]] * value[a:b]
+    return alpha, first, last
+
+
+def _grouped(words: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Words side by side in groups, then the long ones."""
+    short = [k for k, w in enumerate(words) if len(w) <= SIDE_LENGTH]
+    for at in range(0, len(short), SIDE_BY_SIDE):
+        group = short[at : at + SIDE_BY_SIDE]
+        yield [words[k] for k in group], group
+
+
+def _long(pieces: Pieces, word: str, weight: np.ndarray) -> np.ndarray:
+    """Log-probability of one long word, by logs."""
+    begin, node, length, _, value, _ = _lattice(pieces, [word], weight)
+    value = np.log(value) - length[:, None] * math.log(SCALE)
+    alpha = np.full((len(word) + 2, value.shape[1]), -np.inf)
     alpha[0] = 0.0
-    for i, j in sorted(by, key=lambda k: (k[1], k[0])):
-        w, p = by[i, j]
-        alpha[j, w] = np.logaddexp(alpha[j, w], alpha[i, w] + value[p])
-    return alpha
-
-
-def _grouped(words: list[str]) -> Iterator[list[int]]:
-    """Indices of words in groups of like length."""
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    group: list[int] = []
-    for k in order:
-        if group and (len(words[k]) > max(SIDE_LENGTH, 0) and len(words[k]) > len(words[group[0]]) + 8 or len(group) >= SIDE_BY_SIDE or len(words[k]) > len(words[group[0]]) + 3):
-            yield group
-            group = []
-        group.append(k)
-    if group:
-        yield group
+    for i, n, v in zip(node.tolist(), length.tolist(), value):
+        alpha[i + n] = np.logaddexp(alpha[i + n], alpha[i] + v)
+    return alpha[-1]
 
 
 def word_scores(pieces: Pieces, words: list[str], weight: np.ndarray) -> np.ndarray:
-    """Log-probability of each word in each language."""
+    """Log-probability of each word in each language, over all segmentations."""
     out = np.empty((len(words), weight.shape[1]))
-    for group in _grouped(words):
-        own = [words[k] for k in group]
-        by, value, _ = _lattices(pieces, own, weight)
-        length = max(map(len, own)) + 1
-        alpha = _forward(by, value, len(own), length)
-        out[group] = alpha[[len(w) + 1 for w in own], range(len(own))]
+    for own, at in _grouped(words):
+        lattice = _lattice(pieces, own, weight)
+        alpha, _, last = _forward(lattice, len(own))
+        out[at] = np.log(alpha[last]) - (np.diff(lattice[0]) * math.log(SCALE))[:, None]
+    for k, w in enumerate(words):
+        if len(w) > SIDE_LENGTH:
+            out[k] = _long(pieces, w, weight)
     return out
 
 
 def expected_pieces(pieces: Pieces, counts: Counter, weight: np.ndarray) -> np.ndarray:
-    """Expected number of each piece over all segmentations of the counted words, under one language's weights."""
+    """Expected number of each piece over all segmentations of the counted words, under one language's weights.
+
+    Words of more than SIDE_LENGTH characters add the pieces of their runs of that length.
+    """
     out = np.zeros(pieces.size)
-    words = list(counts)
-    for group in _grouped(words):
-        own = [words[k] for k in group]
-        times = np.array([counts[w] for w in own], dtype=float)
-        by, value, several = _lattices(pieces, own, weight[:, None])
-        length = max(map(len, own)) + 1
-        alpha = _forward(by, value, len(own), length)[:, :, 0]
-        beta = np.full_like(alpha, -np.inf)
-        ends = np.array([len(w) + 1 for w in own])
-        beta[ends, np.arange(len(own))] = 0.0
-        for i, j in sorted(by, key=lambda k: (-k[0], -k[1])):
-            w, p = by[i, j]
-            beta[i, w] = np.logaddexp(beta[i, w], beta[j, w] + value[p, 0])
-        total = beta[0]
-        for (i, j), (w, p) in by.items():
-            share = np.exp(alpha[i, w] + value[p, 0] + beta[j, w] - total[w]) * times[w]
-            plain = p < pieces.size
-            out += np.bincount(p[plain], share[plain], minlength=pieces.size)
-            for q, x in zip(p[~plain], share[~plain]):
-                for one in several[q - pieces.size]:
-                    out[one] += x
+    words: Counter = Counter()
+    for w, n in counts.items():
+        for i in range(0, len(w), SIDE_LENGTH):
+            words[w[i : i + SIDE_LENGTH]] += n
+    names = list(words)
+    for own, _ in _grouped(names):
+        lattice = _lattice(pieces, own, weight[:, None])
+        begin, node, length, piece, value, cut = lattice
+        alpha, first, last = _forward(lattice, len(own))
+        beta = np.zeros_like(alpha)
+        beta[last] = 1.0
+        # arcs by start: a node's beta is whole when the arcs that leave it are done, longest start offset first
+        offset = node - np.repeat(first, np.diff(begin) + 1)[node]
+        order = np.lexsort((length, -offset))
+        o, n = offset[order], length[order]
+        edge = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (n[1:] != n[:-1]), True])
+        for a, b in zip(edge[:-1], edge[1:]):
+            at = order[a:b]
+            beta[node[at]] += beta[node[at] + n[a]] * value[at]
+        times = np.array([words[w] for w in own], dtype=float) / alpha[last, 0]
+        word = np.repeat(np.arange(len(own)), np.diff(begin) + 1)[node]
+        share = alpha[node, 0] * value[:, 0] * beta[node + length, 0] * times[word]
+        plain = piece >= 0
+        out += np.bincount(piece[plain], share[plain], minlength=pieces.size)
+        for q, x in zip(piece[~plain].tolist(), share[~plain].tolist()):
+            for one in chr(-10 - q).encode("utf-8", "surrogatepass"):
+                out[pieces.bytes[one]] += x
     return out
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from envspark.llm import language_id, quality
+from envspark.llm.common import remainder
 from envspark.llm.jaccard_join import jaccard_components
 
 
@@ -11,9 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    languages, model = language_id.learn(documents.filter(remainder("doc_id", 4) != 2))
+    found = language_id.predict(documents, languages, model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(documents, table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0))
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_jaccard_join": op9_jaccard_join}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_quality": op10_quality,
+}
 ORACLE_SQL: dict[str, str] = {}
