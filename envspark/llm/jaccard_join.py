@@ -11,7 +11,7 @@ then some segment must agree:
   must reach B = 1 + (largest difference that this document can have). q is the least bound, by statistics over all
   documents, for which every document reaches B at the smallest cost in keys;
 * keys shared by many unlinked documents (common passages) get allocation 0. Where the rest then misses B, the documents
-  that share such keys go through another round with twice the segments, of which fewer hold nothing but common shingles;
+  that share such keys go through another round with four times the segments, of which fewer hold nothing but common shingles;
   what is short after the last round uses its common keys in full, so no link is lost;
 * sets of up to TOKENS shingles use each shingle as a segment of its own, with the prefix bound B = size - overlap + 1.
 
@@ -37,8 +37,8 @@ from envspark.llm.components import components
 TOKENS = 24
 #: Distinct components that a key may hold before documents that can spare it leave it out.
 COMMON = 8
-#: Rounds, each with twice the segments of the one before.
-ROUNDS = 4
+#: Rounds, each with so many doublings of the segments.
+ROUNDS = (0, 2)
 #: Least bits of a parity sketch.
 SKETCH = 256
 #: Entries that are packed together; the index of a document in a block has two bytes.
@@ -381,29 +381,31 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     star = star.groupBy("b").agg(F.max_by("a", F.struct("n", F.negative("a"))).alias("a")).select("a", "b")
     links = saved(verified(documents, described, star))
 
+    label = components(links).withColumnRenamed("node", "doc_id")
     short = None
-    for fine in range(ROUNDS):
-        label = components(links).withColumnRenamed("node", "doc_id")
-        placed = saved(groups.join(label, "doc_id", "left").select("gid", "scheme", "doc_id", "n_keys", F.coalesce("component", "doc_id").alias("component")))
-        spread = saved(placed.select("gid", "component").distinct().groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1"))
-        few = placed.join(spread.filter(F.col("n") <= COMMON), "gid").select("gid", "doc_id", "component")
+    for fine in ROUNDS:
+        if fine:
+            _, role, groups = _placed(_texts(documents, again), fine)
+            groups = of_copies(groups)
+        placed = groups.join(label, "doc_id", "left").select("gid", "scheme", "doc_id", "n_keys", F.coalesce("component", "doc_id").alias("component"))
+        spread = placed.select("gid", "component").distinct().groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1")
+        placed = saved(placed.join(spread, "gid"))
+        few = placed.filter(F.col("n") <= COMMON).select("gid", "doc_id", "component")
         wanting = few if short is None else few.join(short, "doc_id", "left_semi")
         pairs = _across(wanting, few)
-        common = placed.join(spread.filter(F.col("n") > COMMON), "gid")
+        common = placed.filter(F.col("n") > COMMON)
         spent = common.groupBy("doc_id", "scheme").agg(F.sum("n_keys").alias("spent"))
         if short is not None:
             spent = spent.join(short, "doc_id", "left_semi")
         short = saved(spent.join(role, ["doc_id", "scheme"]).filter("exact - spent < budget").select("doc_id").distinct())
         common = common.select("gid", "doc_id", "component")
-        left = saved(common.join(short, "doc_id", "left_semi"))
-        last = not short.limit(1).count()
-        if not last and fine == ROUNDS - 1:
+        left = common.join(short, "doc_id", "left_semi")
+        again = saved(common.join(left.select("gid").distinct(), "gid", "left_semi").select("doc_id").distinct())
+        last = fine == ROUNDS[-1] or not again.limit(1).count()
+        if fine == ROUNDS[-1]:
             pairs = pairs.union(_across(left, common)).distinct()
-        links = saved(links.union(verified(documents, described, pairs)))
-        if last or fine == ROUNDS - 1:
+        links = links.union(verified(documents, described, pairs))
+        if last:
             break
-        again = saved(common.join(left.select("gid").distinct(), "gid", "left_semi").select("doc_id").distinct())
-        _, role, groups = _placed(_texts(documents, again), fine + 1)
-        groups = of_copies(groups)
     label = components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return described.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm import language_id, quality
+from envspark.llm import language_id, lm_scoring, quality
 from envspark.llm.common import remainder
 from envspark.llm.jaccard_join import jaccard_components
 
@@ -21,6 +21,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = remainder("doc_id", 7)
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), fold != 2, fold == 3)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn(documents, table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0))
@@ -34,6 +40,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_lm_scoring": op2_lm_scoring,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
