@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,6 +87,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Ends a row of word_stream().
+END = 10
+
+
+def word_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with one space between and an end mark, a row after the other."""
+    data = LOWER[data]
+    rows = len(offsets) - 1
+    inside = IN_WORD[data]
+    after = np.r_[inside[1:], False]
+    after[offsets[1:-1][(offsets[1:-1] > 0)] - 1] = False
+    # a word's last byte is followed by a space, the row's last one by the end mark
+    width = inside.astype(np.int64)
+    last = inside & ~after
+    width[last] += 1
+    total = np.r_[0, np.cumsum(width)]
+    size = total[offsets[1:]] - total[offsets[:-1]]
+    empty = size == 0
+    begin = np.r_[0, np.cumsum(size + empty)]
+    shift = begin[:-1] - total[offsets[:-1]]
+    out = np.full(begin[-1], 32, dtype=np.uint8)
+    at = np.flatnonzero(inside)
+    out[total[at] + np.repeat(shift, np.diff(offsets))[at]] = data[at]
+    out[begin[1:] - 1] = END
+    return out, begin
+
+
 # ---------------------------------------------------------------- hashes
 
 _BASE = 0x9E3779B97F4A7C15 | 1

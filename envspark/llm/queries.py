@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm import language_id, lm_scoring, quality
-from envspark.llm.common import remainder
+from envspark.llm import decontamination, inner_product, language_id, license_scan, lm_scoring, mixing, quality, tool_calls, warc
+from envspark.llm.common import remainder, scratch
 from envspark.llm.jaccard_join import jaccard_components
 
 
@@ -27,6 +27,32 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations")))
+
+
+def op5_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.summary(warc.read(spark, path))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn(documents, table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0))
@@ -41,6 +67,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_license_scan": op3_license_scan,
+    "op4_tool_calls": op4_tool_calls,
+    "op5_inner_product": op5_inner_product,
+    "op6_decontamination": op6_decontamination,
+    "op7_warc": op7_warc,
+    "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
