@@ -23,13 +23,14 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest piece that is used, in characters.
 LONGEST = 16
 #: Words whose scores a worker keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 600_000
 #: Words that are scored at once, and the length up to which that is done side by side.
 SIDE_BY_SIDE, SIDE_LENGTH = 20_000, 40
 
 
 #: Each character's probability is scaled by this, against underflow in words of up to SIDE_LENGTH characters.
 SCALE = 30.0
+_SCALES = SCALE ** np.arange(LONGEST + 1.0)
 
 
 def _words(text: str) -> Counter:
@@ -123,18 +124,18 @@ class Pieces:
         return np.concatenate(starts), np.concatenate(lengths), np.concatenate(found)
 
 
-def _lattice(pieces: Pieces, words: list[str], weight: np.ndarray) -> tuple:
+def _lattice(pieces: Pieces, words: list[str], chance: np.ndarray) -> tuple:
     """The arcs of words in the order in which a forward pass takes them, with their scaled probabilities a language."""
     codes, begin = _codes(words)
     start, length, piece = pieces.arcs(codes, begin)
     word = np.repeat(np.arange(len(words)), np.diff(begin))[start]
     offset = start - begin[word]
-    order = np.lexsort((length, offset + length))
+    order = np.argsort(((offset + length) * (LONGEST + 1) + length).astype(np.int32), kind="stable")
     start, length, piece, word, offset = (x[order] for x in (start, length, piece, word, offset))
-    value = np.exp(weight[np.maximum(piece, 0)])
+    value = chance.take(np.maximum(piece, 0), axis=0)
     for at in np.flatnonzero(piece < 0):
-        value[at] = np.exp(weight[pieces.bytes[list(chr(-10 - int(piece[at])).encode("utf-8", "surrogatepass"))]].sum(axis=0))
-    value *= (SCALE ** length.astype(float))[:, None]
+        value[at] = chance[pieces.bytes[list(chr(-10 - int(piece[at])).encode("utf-8", "surrogatepass"))]].prod(axis=0)
+    value *= _SCALES.take(length)[:, None]
     end = offset + length
     cut = np.flatnonzero(np.r_[True, (end[1:] != end[:-1]) | (length[1:] != length[:-1]), True])
     node = start + word  # every word has one node more than characters
@@ -160,9 +161,9 @@ def _grouped(words: list[str]) -> Iterator[tuple[list[str], list[int]]]:
         yield [words[k] for k in group], group
 
 
-def _long(pieces: Pieces, word: str, weight: np.ndarray) -> np.ndarray:
+def _long(pieces: Pieces, word: str, chance: np.ndarray) -> np.ndarray:
     """Log-probability of one long word, by logs."""
-    begin, node, length, _, value, _ = _lattice(pieces, [word], weight)
+    begin, node, length, _, value, _ = _lattice(pieces, [word], chance)
     value = np.log(value) - length[:, None] * math.log(SCALE)
     alpha = np.full((len(word) + 2, value.shape[1]), -np.inf)
     alpha[0] = 0.0
@@ -173,14 +174,14 @@ def _long(pieces: Pieces, word: str, weight: np.ndarray) -> np.ndarray:
 
 def word_scores(pieces: Pieces, words: list[str], weight: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language, over all segmentations."""
-    out = np.empty((len(words), weight.shape[1]))
+    out, chance = np.empty((len(words), weight.shape[1])), np.exp(weight)
     for own, at in _grouped(words):
-        lattice = _lattice(pieces, own, weight)
+        lattice = _lattice(pieces, own, chance)
         alpha, _, last = _forward(lattice, len(own))
         out[at] = np.log(alpha[last]) - (np.diff(lattice[0]) * math.log(SCALE))[:, None]
     for k, w in enumerate(words):
         if len(w) > SIDE_LENGTH:
-            out[k] = _long(pieces, w, weight)
+            out[k] = _long(pieces, w, chance)
     return out
 
 
@@ -189,14 +190,14 @@ def expected_pieces(pieces: Pieces, counts: Counter, weight: np.ndarray) -> np.n
 
     Words of more than SIDE_LENGTH characters add the pieces of their runs of that length.
     """
-    out = np.zeros(pieces.size)
+    out, chance = np.zeros(pieces.size), np.exp(weight)[:, None]
     words: Counter = Counter()
     for w, n in counts.items():
         for i in range(0, len(w), SIDE_LENGTH):
             words[w[i : i + SIDE_LENGTH]] += n
     names = list(words)
     for own, _ in _grouped(names):
-        lattice = _lattice(pieces, own, weight[:, None])
+        lattice = _lattice(pieces, own, chance)
         begin, node, length, piece, value, cut = lattice
         alpha, first, last = _forward(lattice, len(own))
         beta = np.zeros_like(alpha)
@@ -241,7 +242,7 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY) -> tuple[list[str], np.
             for lang, text in zip(batch["lang"], batch["text"]):
                 counts.setdefault(lang, Counter()).update(text.lower().split())
                 texts[lang] += 1
-            if sum(map(len, counts.values())) > 2 * KEPT_WORDS:
+            if sum(map(len, counts.values())) > KEPT_WORDS:
                 yield from flush()
         yield from flush()
 
@@ -288,8 +289,8 @@ def predict(documents: DataFrame, languages: list[str], model: np.ndarray, vocab
         for batch in batches:
             texts = batch["text"].tolist()
             best, sure = ["und"] * len(texts), [0.0] * len(texts)
-            for first in range(0, len(texts), 256):
-                counts = [_words(t) if isinstance(t, str) and languages else Counter() for t in texts[first : first + 256]]
+            for first in range(0, len(texts), 1024):
+                counts = [_words(t) if isinstance(t, str) and languages else Counter() for t in texts[first : first + 1024]]
                 fresh = list(set().union(*counts).difference(known))
                 if fresh:
                     if len(known) + len(fresh) > KEPT_WORDS:
