@@ -1,9 +1,431 @@
-"""Every registered query of the environmental operators, by name."""
+"""Every registered query of the environmental operators over the driver's tables, with the SQL that it must agree with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from envspark.functions import geo, weather
+from envspark.operators import aggregates, filters, gridding, grids, joins, nowcast, sorts, windows
+from envspark.sources.adapters import view, with_views
+
 FLAGSHIP = "join_nearest_station"
-QUERIES: dict[str, Callable] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(views: str, sql: str | None = None):
+    """Registers a function of the named views under its own name; sql goes after their definitions."""
+    names = views.split()
+
+    def register(f: Callable[..., DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, n) for n in names])
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(*names) + sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+_HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, power(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * power(sin(radians({b}.lon - {a}.lon) / 2), 2)))))"
+
+# ---------------------------------------------------------------- selections
+
+
+@query("strikes", "SELECT id, lon, lat FROM strikes WHERE lon BETWEEN 21.5 AND 24 AND lat BETWEEN 60 AND 64.25")
+def flt_bbox(strikes):
+    return filters.bbox(strikes, 21.5, 60, 24, 64.25).select("id", "lon", "lat")
+
+
+@query("strikes", "SELECT id, lon FROM strikes WHERE lon >= 30 OR lon <= 20")
+def flt_bbox_antimeridian(strikes):
+    return filters.bbox(strikes, 30, -90, 20, 90).select("id", "lon")
+
+
+@query("obs", "SELECT seq, station_id, time, parameter, value FROM obs WHERE time >= TIMESTAMP '2024-01-05' AND time <= TIMESTAMP '2024-01-12'")
+def flt_time(obs):
+    return filters.time(obs, "2024-01-05", "2024-01-12").select("seq", "station_id", "time", "parameter", "value")
+
+
+@query("obs", "SELECT seq, time FROM obs WHERE time IN (SELECT time FROM obs WHERE seq % 50 = 0)")
+def flt_time_list(obs):
+    return filters.time_list(obs, obs.filter("seq % 50 = 0").select("time")).select("seq", "time")
+
+
+@query("strikes", f"SELECT id FROM strikes s, (SELECT 25.0 AS lon, 62.0 AS lat) p WHERE {_HAVERSINE.format(a='p', b='s')} <= 150000")
+def flt_radius(strikes):
+    return filters.radius(strikes, 25.0, 62.0, 150_000).select("id")
+
+
+@query("obs", "SELECT seq, parameter FROM obs WHERE parameter IN ('click', 'purchase') AND station_id = 3")
+def flt_properties(obs):
+    return filters.properties(obs, {"parameter": ["click", "purchase"], "station_id": 3}).select("seq", "parameter")
+
+
+@query("obs", "SELECT seq FROM obs WHERE NOT coalesce((parameter = 'click' AND station_id IN (1, 2, 3)) OR parameter = 'error', false)")
+def flt_exclude_where(obs):
+    return filters.exclude_where(obs, [{"parameter": "click", "station_id": [1, 2, 3]}, {"parameter": "error"}]).select("seq")
+
+
+@query("stations obs", "SELECT station_id, lon, lat FROM stations WHERE station_id IN (SELECT station_id FROM obs WHERE value IS NOT NULL AND time BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-03 06:00:00')")
+def flt_stations_with_data(stations, obs):
+    return filters.stations_with_data(stations, obs, "2024-01-03", "2024-01-03 06:00:00").select("station_id", "lon", "lat")
+
+
+@query("alerts", "SELECT sender, identifier, sent, msg_type FROM alerts WHERE lower(trim(msg_type)) NOT IN ('cancel', 'ack', 'error')")
+def flt_not_renderable(alerts):
+    return filters.renderable(alerts).select("sender", "identifier", "sent", "msg_type")
+
+
+@query("alerts", "SELECT identifier, sent FROM alerts WHERE sent <= TIMESTAMP '2024-01-10' AND (CASE WHEN severity < 4 THEN sent + to_hours(6 * severity) END IS NULL OR TIMESTAMP '2024-01-10' <= sent + to_hours(6 * severity))")
+def flt_active_at(alerts):
+    ends = F.when(F.col("severity") < 4, F.col("sent") + F.expr("make_dt_interval(0, 6 * severity, 0, 0)"))
+    return filters.active_at(alerts.withColumn("until", ends), F.lit("2024-01-10").cast("timestamp_ntz"), "sent", "until").select("identifier", "sent")
+
+
+@query("obs", "SELECT seq, parameter, CASE WHEN (parameter = 'click' AND (value < 5 OR value > 60)) OR (parameter = 'view' AND value > 100) THEN NULL ELSE value END AS value FROM obs")
+def src_value_filter(obs):
+    rules = obs.sparkSession.createDataFrame([("click", 5.0, 60.0, [-9999.0]), ("view", None, 100.0, None)], "parameter string, low double, high double, sentinels array<double>")
+    return filters.value_rules(obs, rules).select("seq", "parameter", "value")
+
+
+@query("obs", "SELECT station_id, time, parameter, max(value) AS value FROM obs WHERE parameter IN ('click', 'view', 'purchase') AND value IS NOT NULL GROUP BY 1, 2, 3")
+def src_obs_wide(obs):
+    wide = obs.groupBy("station_id", "time").pivot("parameter", ["click", "view", "purchase"]).agg(F.max("value"))
+    return wide.unpivot(["station_id", "time"], ["click", "view", "purchase"], "parameter", "value").filter("value is not null")
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query("strikes stations", f"SELECT id, station_id, round(distance, 3) AS distance FROM (SELECT s.id, t.station_id, {_HAVERSINE.format(a='s', b='t')} AS distance, row_number() OVER (PARTITION BY s.id ORDER BY {_HAVERSINE.format(a='s', b='t')}, t.station_id) AS n FROM strikes s JOIN stations t ON abs(s.lat - t.lat) < 1) WHERE n = 1 AND distance <= 60000")
+def join_nearest_station(strikes, stations):
+    return rounded(joins.nearest_station(strikes, stations, 60_000), "distance", digits=3)
+
+
+@query("obs", "SELECT a.at, station_id, parameter, max_by(value, (time, seq)) AS value, max(time) AS time FROM obs JOIN (SELECT DISTINCT date_trunc('day', time) AS at FROM obs) a ON time <= a.at AND time >= a.at - INTERVAL 1 DAY WHERE value IS NOT NULL GROUP BY 1, 2, 3")
+def join_asof_latest(obs):
+    return joins.asof_latest(obs, obs.select(F.date_trunc("day", "time").cast("timestamp_ntz").alias("at")), 86_400)
+
+
+@query("obs areas", """SELECT key, want, arg_min(time, (gap, time)) AS time FROM (SELECT w.key, w.want, o.time, abs(epoch_us(o.time) // 1000000 - epoch_us(w.want) // 1000000) AS gap
+ FROM (SELECT DISTINCT station_id AS key, date_trunc('day', time) AS want FROM obs) w JOIN obs o ON o.station_id = w.key WHERE o.parameter = 'click') GROUP BY 1, 2""")
+def join_nearest_time(obs, areas):
+    asked = obs.select(F.col("station_id").alias("key"), F.date_trunc("day", "time").cast("timestamp_ntz").alias("want")).distinct()
+    return joins.nearest_time(asked, obs.filter("parameter = 'click'").select(F.col("station_id").alias("key"), "time"))
+
+
+@query("obs", "SELECT want, arg_min(level, (abs(level - want), idx)) AS level, arg_min(idx, (abs(level - want), idx)) AS idx FROM (SELECT DISTINCT round(value, 1) AS want FROM obs WHERE value IS NOT NULL) w, (SELECT CAST(range AS INT) AS idx, 12.5 * range AS level FROM range(40)) l GROUP BY 1")
+def join_nearest_level(obs):
+    levels = obs.sparkSession.range(40).select(F.col("id").cast("int").alias("idx"), (F.col("id") * 12.5).alias("level"))
+    return joins.nearest_level(obs.filter("value is not null").select(F.round("value", 1).alias("want")), levels)
+
+
+@query("strikes areas", "SELECT s.id, a.area_id FROM strikes s JOIN areas a ON lon >= west AND lon <= east AND lat >= south AND lat <= north AND (a.area_id % 2 = 0 OR (lon - west) / (east - west) + (lat - south) / (north - south) <= 1)")
+def join_point_in_area(strikes, areas):
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    square = F.array(p("west", "south"), p("east", "south"), p("east", "north"), p("west", "north"), p("west", "south"))
+    triangle = F.array(p("west", "south"), p("east", "south"), p("west", "north"), p("west", "south"))
+    shapes = areas.select("area_id", F.array(F.when(F.col("area_id") % 2 == 0, square).otherwise(triangle)).alias("rings"))
+    return joins.points_in_areas(strikes, shapes)
+
+
+@query("alerts", "SELECT sender, identifier, sent, msg_type FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM alerts r WHERE r.ref_sender = a.sender AND r.ref_identifier = a.identifier AND r.ref_sent = a.sent AND NOT (r.sender = a.sender AND r.identifier = a.identifier AND r.sent = a.sent))")
+def join_anti_withdrawn(alerts):
+    return joins.anti_withdrawn(alerts).select("sender", "identifier", "sent", "msg_type")
+
+
+@query("notifications", "SELECT id, data_id, pubtime FROM notifications n WHERE NOT is_deletion AND NOT EXISTS (SELECT 1 FROM notifications d WHERE d.is_deletion AND d.data_id = n.data_id AND d.pubtime >= n.pubtime)")
+def join_anti_deleted(notifications):
+    return joins.anti_deleted(notifications).select("id", "data_id", "pubtime")
+
+
+@query("frames", "SELECT a.frame, a.row_idx, a.col_idx, f.value AS forecast, a.value AS analysis FROM frames a JOIN frames f ON f.frame + 2 = a.frame AND f.row_idx = a.row_idx AND f.col_idx = a.col_idx")
+def join_verify(frames):
+    return joins.verify(frames, 2)
+
+
+# ---------------------------------------------------------------- aggregations
+
+
+@query("obs", "SELECT min(time) AS first_time, max(time) AS last_time FROM obs")
+def agg_temporal_extent(obs):
+    return aggregates.temporal_extent(obs)
+
+
+@query("stations", "SELECT min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM stations")
+def agg_spatial_extent(stations):
+    return rounded(aggregates.spatial_extent(stations), "west", "east")
+
+
+@query("obs", "SELECT station_id, min(time) AS first_report, max(time) AS last_report, count(*) AS report_count, max_by(parameter, (time, seq)) AS last_parameter FROM obs GROUP BY 1")
+def agg_station_summary(obs):
+    return aggregates.station_summary(obs)
+
+
+@query("obs", "SELECT DISTINCT time FROM obs")
+def agg_instants(obs):
+    return obs.select("time").distinct()
+
+
+@query("run_acc", "SELECT run_time, count(DISTINCT step) AS n_steps, max(step) AS last_step FROM run_acc GROUP BY 1")
+def agg_instances(run_acc):
+    return run_acc.groupBy("run_time").agg(F.countDistinct("step").alias("n_steps"), F.max("step").alias("last_step"))
+
+
+@query("obs", """, g AS (SELECT station_id, time, epoch_us(time) // 1000000 - epoch_us(lag(time) OVER (PARTITION BY station_id ORDER BY time)) // 1000000 AS gap FROM (SELECT DISTINCT station_id, time FROM obs)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY time DESC) AS n FROM g WHERE gap > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY gap) AS r, count(*) OVER (PARTITION BY station_id) AS c FROM k WHERE n <= 12)
+ SELECT station_id, CAST(gap AS BIGINT) AS cadence_s FROM r WHERE r = c // 2 + 1""".lstrip())
+def agg_cadence(obs):
+    return aggregates.cadence(obs)
+
+
+@query("frames", """, led AS (SELECT DISTINCT frame FROM frames), w AS (SELECT frame, least(coalesce(lead(frame) OVER (ORDER BY frame) - frame, 2), 2) AS weight FROM led),
+ m AS (SELECT e.frame AS fin, w.frame, w.weight FROM led e JOIN w ON w.frame <= e.frame AND w.frame > e.frame - 6), t AS (SELECT fin, count(*) AS n_frames, sum(weight) AS counted FROM m GROUP BY 1)
+ SELECT m.fin AS "end", row_idx, col_idx, round(sum(value * weight), 4) AS amount, round(avg(value), 4) AS mean, count(*) FILTER (value >= 30) AS n_above, round(count(value) / any_value(n_frames), 5) AS cell_coverage, round(least(1.0, any_value(counted) / 6), 5) AS window_coverage
+ FROM frames f JOIN m ON m.frame = f.frame JOIN t ON t.fin = m.fin GROUP BY 1, 2, 3""")
+def agg_period(frames):
+    out = aggregates.period(frames, 6, 2, 30.0)
+    return rounded(rounded(out, "amount", "mean", digits=4), "cell_coverage", "window_coverage")
+
+
+@query("frames", """, p AS (SELECT f.value AS forecast, a.value AS analysis, t.threshold FROM frames a JOIN frames f ON f.frame + 1 = a.frame AND f.row_idx = a.row_idx AND f.col_idx = a.col_idx, (VALUES (20.0::DOUBLE), (35.0::DOUBLE)) t(threshold)),
+ n AS (SELECT threshold, count(*) FILTER (forecast >= threshold AND analysis >= threshold) AS hits, count(*) FILTER (forecast < threshold AND analysis >= threshold) AS misses, count(*) FILTER (forecast >= threshold AND analysis < threshold) AS false_alarms, count(*) FILTER (forecast < threshold AND analysis < threshold) AS correct_negatives FROM p GROUP BY 1)
+ SELECT *, round(hits / nullif(hits + misses, 0), 5) AS pod, round(false_alarms / nullif(hits + false_alarms, 0), 5) AS far, round(hits / nullif(hits + misses + false_alarms, 0), 5) AS csi FROM n""")
+def agg_contingency(frames):
+    return rounded(aggregates.contingency(joins.verify(frames, 1), [20.0, 35.0]), "pod", "far", "csi")
+
+
+@query("strikes", """SELECT time_bucket(INTERVAL 1 HOUR, time) AS start, count(*) AS n, round(count(*) / 60.0, 5) AS rate, count(*) FILTER (cloud_indicator = 0) AS ground, count(*) FILTER (cloud_indicator = 1) AS cloud,
+ round(count(*) FILTER (cloud_indicator = 0 AND peak_current_ka > 0) / nullif(count(*) FILTER (cloud_indicator = 0), 0), 5) AS positive_share FROM strikes GROUP BY 1""")
+def agg_lightning(strikes):
+    return rounded(aggregates.lightning(strikes), "rate", "positive_share")
+
+
+@query("gates", """, g AS (SELECT site, azimuth, range_idx, elangle, max(dbz) AS dbz FROM gates GROUP BY 1, 2, 3, 4),
+ h AS (SELECT *, sqrt((range_idx + 1) * 1000.0 * ((range_idx + 1) * 1000.0) + power(6371000.0 * 4 / 3, 2) + 2 * (6371000.0 * 4 / 3) * ((range_idx + 1) * 1000.0) * sin(radians(elangle))) - 6371000.0 * 4 / 3 AS h FROM g),
+ v AS (SELECT *, coalesce(lead(h) OVER (PARTITION BY site, azimuth, range_idx ORDER BY elangle) - h, 0) * 3.44e-6 * power(power(10, least(dbz, 56) / 10), 4.0 / 7) AS vil FROM h)
+ SELECT site, azimuth, range_idx, max(dbz) AS colmax, round(max(h) FILTER (dbz >= 35), 2) AS echo_top_m, round(sum(vil), 5) AS vil FROM v GROUP BY 1, 2, 3""")
+def agg_columns(gates):
+    height = geo.beam_height((F.col("range_idx") + 1) * 1000.0, F.col("elangle"))
+    return rounded(rounded(aggregates.columns(gates, height), "vil"), "echo_top_m", digits=2)
+
+
+@query("obs", "SELECT parameter, count(value) AS n, round(sum(value), 2) AS total FROM obs GROUP BY 1")
+def agg_obs_fingerprint(obs):
+    return rounded(aggregates.obs_fingerprint(obs), "total", digits=2)
+
+
+@query("strikes alerts", "SELECT CAST(floor(s.lat) AS BIGINT) AS row_idx, CAST(floor(s.lon) AS BIGINT) AS col_idx, max(a.severity) AS severity FROM strikes s JOIN alerts a ON a.sent = s.time GROUP BY 1, 2")
+def agg_max_severity(strikes, alerts):
+    met = strikes.join(alerts, strikes["time"] == alerts["sent"])
+    return met.groupBy(F.floor("lat").alias("row_idx"), F.floor("lon").alias("col_idx")).agg(F.max("severity").alias("severity"))
+
+
+@query("alerts", """SELECT time, gap_s FROM (SELECT time, abs(epoch_us(time) // 1000000 - epoch_us(TIMESTAMP '2024-01-15') // 1000000) AS gap_s FROM (SELECT sent AS time FROM alerts UNION SELECT sent + INTERVAL 6 HOUR FROM alerts)) WHERE gap_s <= 604800 ORDER BY gap_s, time LIMIT 256""")
+def agg_alert_times(alerts):
+    df = alerts.select(F.col("sent").alias("start"), (F.col("sent") + F.expr("interval 6 hours")).alias("end"))
+    return aggregates.alert_times(df, F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+# ---------------------------------------------------------------- windows
+
+
+@query("run_acc", """SELECT run_time, cell, step, CASE WHEN row_number() OVER w = 1 THEN acc ELSE greatest(0, acc - lag(acc) OVER w) END AS amount, step - coalesce(lag(step) OVER w, 0) AS step_length FROM run_acc WINDOW w AS (PARTITION BY run_time, cell ORDER BY step)""")
+def win_deaccumulate(run_acc):
+    return windows.deaccumulate(run_acc)
+
+
+@query("obs", "SELECT series, time, CAST(least(coalesce(epoch_us(lead(time) OVER (PARTITION BY series ORDER BY time)) // 1000000 - epoch_us(time) // 1000000, 3600), 3600) AS BIGINT) AS weight_s FROM (SELECT DISTINCT parameter AS series, time FROM obs)")
+def win_frame_weight(obs):
+    return windows.frame_weight(obs.withColumnRenamed("parameter", "series"), 3600)
+
+
+@query("alerts", "SELECT sender, identifier, sent, severity FROM (SELECT *, row_number() OVER (PARTITION BY sender, identifier ORDER BY sent DESC, severity, msg_type) AS n FROM alerts) WHERE n = 1")
+def win_latest_per_key(alerts):
+    return windows.latest_per_key(alerts, ["sender", "identifier"], ["sent", "severity", "msg_type"]).select("sender", "identifier", "sent", "severity")
+
+
+@query("run_acc", "SELECT run_time, step, cell, acc FROM run_acc WHERE run_time = (SELECT max(run_time) FROM run_acc)")
+def win_latest_run(run_acc):
+    return windows.latest_run(run_acc).select("run_time", "step", "cell", "acc")
+
+
+@query("strikes", """, r AS (SELECT CAST(id % 7 AS INT) AS track, CAST(epoch_us(time) // 3600000000 AS BIGINT) AS frame, CAST(count(*) AS DOUBLE) AS rate FROM strikes GROUP BY 1, 2),
+ g AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY track ORDER BY frame) <> 1 THEN 1 ELSE 0 END AS gap FROM r), k AS (SELECT *, sum(gap) OVER (PARTITION BY track ORDER BY frame) AS run FROM g),
+ s AS (SELECT *, avg(rate) OVER w AS m, stddev_pop(rate) OVER w AS d, count(rate) OVER w AS k FROM k WINDOW w AS (PARTITION BY track, run ORDER BY frame ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+ z AS (SELECT *, CASE WHEN k >= 2 THEN CASE WHEN d > 0 THEN (rate - m) / d WHEN rate > m THEN 10.0 ELSE 0.0 END END AS sigma FROM s)
+ SELECT track, frame, rate, round(sigma, 5) AS sigma, coalesce(rate >= 10 AND sigma > 2, false) AS jump FROM z""")
+def win_flash_jump(strikes):
+    hour = F.floor(F.unix_seconds(F.col("time").cast("timestamp")) / 3600)
+    rates = strikes.groupBy((F.col("id") % 7).cast("int").alias("track"), hour.alias("frame")).agg(F.count("*").cast("double").alias("rate"))
+    return rounded(windows.flash_jump(rates), "sigma")
+
+
+@query("obs", "SELECT seq, row_number() OVER (PARTITION BY parameter ORDER BY round(value, 1) DESC NULLS LAST, seq) AS rank FROM obs")
+def win_rank(obs):
+    return windows.rank_rounded(obs, "value", 1, "seq", ["parameter"]).select("seq", F.col("rank").cast("long").alias("rank"))
+
+
+@query("alerts")
+def win_severity_hysteresis(alerts):
+    return windows.severity_hysteresis(alerts.select(F.col("identifier").alias("track"), F.col("sent").alias("frame"), "severity"))
+
+
+@query("strikes", """, p AS (SELECT id % 20 AS track, id AS frame, (lon - 19) * 50 AS x, (lat - 59) * 111.0 AS y FROM strikes), l AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS leg, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM p WINDOW w AS (PARTITION BY track ORDER BY frame))
+ SELECT track, frame, round(sum(leg) OVER (PARTITION BY track ORDER BY frame), 4) AS path, round(sqrt(power(x - fx, 2) + power(y - fy, 2)), 4) AS net FROM l""")
+def win_track_kinematics(strikes):
+    p = strikes.select((F.col("id") % 20).alias("track"), F.col("id").alias("frame"), ((F.col("lon") - 19) * 50).alias("x"), ((F.col("lat") - 59) * 111.0).alias("y"))
+    return rounded(windows.kinematics(p).drop("straightness"), "path", "net", digits=4)
+
+
+# ---------------------------------------------------------------- orders and sets
+
+
+@query("obs", "SELECT seq, parameter, value FROM obs ORDER BY parameter ASC NULLS LAST, value DESC NULLS LAST, seq LIMIT 50 OFFSET 100")
+def page_offset(obs):
+    return sorts.page_offset(obs, [("parameter", False), ("value", True)], "seq", 100, 50).select("seq", "parameter", "value")
+
+
+@query("strikes", "SELECT id, time FROM strikes WHERE time < TIMESTAMP '2024-01-20' OR (time = TIMESTAMP '2024-01-20' AND id < 500) ORDER BY time DESC, id DESC LIMIT 100")
+def page_keyset(strikes):
+    return sorts.page_keyset(strikes, "2024-01-20", 500, 100).select("id", "time")
+
+
+@query("alerts", "SELECT sender, identifier, sent, severity FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY severity, sent, identifier) AS n, count(*) OVER (PARTITION BY sender) AS c FROM (SELECT DISTINCT sender, identifier, sent, severity FROM alerts)) WHERE n <= c - 20")
+def evict_rank(alerts):
+    return sorts.evict(alerts.select("sender", "identifier", "sent", "severity").distinct(), 20, ["sender"], ["severity", "sent", "identifier"])
+
+
+@query("obs", "SELECT hour AS time FROM (SELECT DISTINCT date_trunc('hour', time) AS hour, parameter FROM obs WHERE parameter IN ('click', 'view')) GROUP BY 1 HAVING count(*) = 2")
+def set_common_times(obs):
+    return sorts.common_times(obs.select(F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time"), "parameter"), ["click", "view"])
+
+
+@query("frames", """, o AS (SELECT frame, count(*) AS stamp FROM frames WHERE row_idx < 10 GROUP BY 1), n AS (SELECT frame + 1 AS frame, count(*) AS stamp FROM frames WHERE row_idx < 10 GROUP BY 1)
+ SELECT coalesce(o.frame, n.frame) AS frame, CASE WHEN o.stamp IS NULL THEN 'add' WHEN n.stamp IS NULL THEN 'remove' ELSE 'retime' END AS change FROM o FULL JOIN n ON o.frame = n.frame WHERE o.stamp IS NULL OR n.stamp IS NULL OR o.stamp <> n.stamp""")
+def set_diff_ledger(frames):
+    old = frames.filter("row_idx < 10").groupBy("frame").agg(F.count("*").alias("stamp"))
+    return sorts.ledger_diff(old, old.select((F.col("frame") + 1).alias("frame"), "stamp"))
+
+
+# ---------------------------------------------------------------- functions
+
+
+@query("obs", "SELECT seq, round(sqrt(u * u + v * v), 5) AS speed, CASE WHEN u <> 0 OR v <> 0 THEN round(CASE WHEN degrees(atan2(-u, -v)) < 0 THEN degrees(atan2(-u, -v)) + 360 ELSE degrees(atan2(-u, -v)) END, 5) END AS direction FROM (SELECT seq, value - 50 AS u, CAST(seq % 41 AS DOUBLE) - 20 AS v FROM obs)")
+def fn_wind(obs):
+    u, v = F.col("value") - 50, (F.col("seq") % 41).cast("double") - 20
+    return rounded(obs.select("seq", weather.wind_speed(u, v).alias("speed"), weather.wind_direction(u, v).alias("direction")), "speed", "direction")
+
+
+@query("obs", """, t AS (SELECT seq, 253.15 + value % 60 AS t, 250.15 + value % 55 AS td FROM obs), e AS (SELECT *, 611.21 * exp(17.502 * (t - 273.16) / (t - 32.19)) AS es, 611.21 * exp(17.502 * (td - 273.16) / (td - 32.19)) AS ed FROM t)
+ SELECT seq, round(es, 4) AS svp, round(greatest(0, least(100, 100 * ed / es)), 5) AS rh, round(td, 5) AS td FROM e""")
+def fn_moisture(obs):
+    t, td = 253.15 + F.col("value") % 60, 250.15 + F.col("value") % 55
+    es = weather.saturation_pressure
+    return rounded(rounded(obs.select("seq", es(t).alias("svp"), weather.relative_humidity(t, td).alias("rh"), weather.dew_point(es(td)).alias("td")), "rh", "td"), "svp", digits=4)
+
+
+@query("frames", "SELECT frame, row_idx, col_idx, round(CASE WHEN value < 7 THEN 0 ELSE power(power(10, value / 10) / 200, 1 / 1.6) END, 5) AS rate FROM frames")
+def fn_z_to_r(frames):
+    return rounded(frames.select("frame", "row_idx", "col_idx", weather.rain_rate(F.col("value")).alias("rate")), "rate")
+
+
+@query("strikes", "SELECT id, round(radians(lon) * 6378137.0, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 3) AS y FROM strikes")
+def fn_project(strikes):
+    x, y = geo.mercator(F.col("lon"), F.col("lat"))
+    return rounded(strikes.select("id", x.alias("x"), y.alias("y")), "x", "y", digits=3)
+
+
+@query("strikes", "SELECT CAST(floor((radians(lon) + pi()) / (2 * pi()) * 256) AS INT) AS tile_col, CAST(floor((pi() - ln(tan(pi() / 4 + radians(lat) / 2))) / (2 * pi()) * 256) AS INT) AS tile_row, count(*) AS n FROM strikes GROUP BY 1, 2")
+def fn_tile(strikes):
+    col, row = geo.tile_of(F.col("lon"), F.col("lat"), 8)
+    return strikes.groupBy(col.alias("tile_col"), row.alias("tile_row")).agg(F.count("*").alias("n"))
+
+
+@query("bands", """, p AS (SELECT pixel, max(bt_k) FILTER (band = 8) AS b8, max(bt_k) FILTER (band = 10) AS b10, max(bt_k) FILTER (band = 12) AS b12, max(bt_k) FILTER (band = 13) AS b13 FROM bands GROUP BY 1)
+ SELECT pixel, CAST(round(255 * least(1, greatest(0, (b8 - b10 + 26.2) / 26.8))) AS INT) AS red, CAST(round(255 * least(1, greatest(0, (b12 - b13 + 43.2) / 49.9))) AS INT) AS green, CAST(round(255 * least(1, greatest(0, (b8 - 300.0) / -60.0))) AS INT) AS blue FROM p""")
+def grid_rgb(bands):
+    p = bands.groupBy("pixel").pivot("band", [8, 10, 12, 13]).agg(F.max("bt_k"))
+    c = lambda k: F.col(f"`{k}`")
+    return p.select("pixel", weather.stretch(c(8) - c(10), -26.2, 0.6).alias("red"), weather.stretch(c(12) - c(13), -43.2, 6.7).alias("green"), weather.stretch(c(8), 300.0, 240.0).alias("blue"))
+
+
+@query("obs", "SELECT seq, to_timestamp(epoch_us(time) // 1000000 // 900 * 900)::TIMESTAMP AS frame FROM obs")
+def fn_quantize_time(obs):
+    return obs.select("seq", F.window(F.col("time").cast("timestamp"), "15 minutes")["start"].cast("timestamp_ntz").alias("frame"))
+
+
+# ---------------------------------------------------------------- grids
+
+
+@query("frames strikes", """, p AS (SELECT id, (lon - 19) * 1.4 AS x, (lat - 59) * 1.5 AS y FROM strikes WHERE id % 10 = 0), c AS (SELECT id, x - floor(x) AS fx, y - floor(y) AS fy, CAST(floor(x) AS INT) AS x0, CAST(floor(y) AS INT) AS y0 FROM p),
+ q AS (SELECT id, 0 AS k, y0 AS r, x0 AS c, (1 - fx) * (1 - fy) AS w FROM c UNION ALL SELECT id, 1, y0, x0 + 1, fx * (1 - fy) FROM c UNION ALL SELECT id, 2, y0 + 1, x0, (1 - fx) * fy FROM c UNION ALL SELECT id, 3, y0 + 1, x0 + 1, fx * fy FROM c)
+ SELECT q.id, f.frame, round(CASE WHEN count(*) = 4 THEN sum(w * value) ELSE max_by(value, (w, -k)) END, 4) AS value FROM q JOIN frames f ON f.row_idx = q.r AND f.col_idx = q.c WHERE f.frame % 12 = 0 GROUP BY 1, 2""")
+def grid_position(frames, strikes):
+    points = strikes.filter("id % 10 = 0").select("id", ((F.col("lon") - 19) * 1.4).alias("x"), ((F.col("lat") - 59) * 1.5).alias("y"))
+    return rounded(grids.position(points, frames.filter("frame % 12 = 0"), ["frame"]), "value", digits=4)
+
+
+@query("frames", """, a AS (SELECT f.frame, f.row_idx, f.col_idx, sum(n.value * CASE WHEN n.col_idx = f.col_idx THEN 2 ELSE 1 END) / sum(CASE WHEN n.col_idx = f.col_idx THEN 2 ELSE 1 END) AS value FROM frames f JOIN frames n ON n.frame = f.frame AND n.row_idx = f.row_idx AND abs(n.col_idx - f.col_idx) <= 1 GROUP BY 1, 2, 3)
+ SELECT f.frame, f.row_idx, f.col_idx, round(sum(n.value * CASE WHEN n.row_idx = f.row_idx THEN 2 ELSE 1 END) / sum(CASE WHEN n.row_idx = f.row_idx THEN 2 ELSE 1 END), 4) AS value FROM a f JOIN a n ON n.frame = f.frame AND n.col_idx = f.col_idx AND abs(n.row_idx - f.row_idx) <= 1 GROUP BY 1, 2, 3""")
+def grid_smooth(frames):
+    return rounded(grids.smooth(frames, ["frame"]), "value", digits=4)
+
+
+@query("frames", "SELECT frame, CAST(z AS INT) AS z, CAST(row_idx // CAST(power(2, z) AS INT) AS INT) AS tile_row, CAST(col_idx // CAST(power(2, z) AS INT) AS INT) AS tile_col, count(value) AS n, round(avg(value), 4) AS mean, max(value) AS most FROM frames, (SELECT range AS z FROM range(4)) GROUP BY 1, 2, 3, 4")
+def grid_tiles(frames):
+    return rounded(grids.tiles(frames, ["frame"], 4), "mean", digits=4)
+
+
+@query("strikes", "SELECT CAST(floor(lat / 0.25) AS INT) AS row_idx, CAST(floor(lon / 0.25) AS INT) AS col_idx, round(min(age), 5) AS age_min FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-20') // 1000000 - epoch_us(time) // 1000000) / 60.0 AS age FROM strikes) WHERE age >= 0 AND age < 1440 GROUP BY 1, 2")
+def raster_event_age(strikes):
+    return rounded(grids.event_age(strikes, "2024-01-20", 0.25, 1440), "age_min")
+
+
+_NEAR = f"SELECT t.id, s.station_id, v.value, {_HAVERSINE.format(a='t', b='s')} AS d FROM t JOIN stations s ON abs(s.lat - t.lat) < 4 JOIN v ON v.station_id = s.station_id"
+_IDW = """k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, station_id) AS n FROM near WHERE d <= {metres}{extra}), m AS (SELECT *, min(d) OVER (PARTITION BY id) AS f FROM k WHERE n <= 8),
+ w AS (SELECT *, CASE WHEN f < 1e-3 THEN CASE WHEN d < 1e-3 THEN 1.0 ELSE 0.0 END ELSE power(f / d, 2) END AS w FROM m)"""
+_VALUES = "v AS (SELECT station_id, avg(value) AS value FROM obs WHERE value IS NOT NULL GROUP BY 1)"
+
+
+@query("stations obs", f""", {_VALUES}, t AS (SELECT x * 100 + y AS id, 19 + x * 0.65 AS lon, 59 + y * 0.6 AS lat FROM (SELECT range AS x FROM range(20)), (SELECT range AS y FROM range(20))), near AS ({_NEAR}), {_IDW.format(extra='', metres=120000)}
+ SELECT id, round(sum(w * value) / sum(w), 4) AS estimate, count(*) AS neighbours, round(min_by(value, (d, station_id)), 4) AS nearest FROM w GROUP BY 1""")
+def interp_idw(stations, obs):
+    axis = obs.sparkSession.range(400).select((F.floor(F.col("id") / 20)).alias("x"), (F.col("id") % 20).alias("y"))
+    cells = axis.select((F.col("x") * 100 + F.col("y")).alias("id"), (19 + F.col("x") * 0.65).alias("lon"), (59 + F.col("y") * 0.6).alias("lat"))
+    values = obs.filter("value is not null").groupBy("station_id").agg(F.avg("value").alias("value"))
+    return rounded(gridding.idw(cells, stations, values, 120_000), "estimate", "nearest", digits=4)
+
+
+@query("stations obs", f""", {_VALUES}, t AS (SELECT s.station_id AS id, lon, lat FROM stations s JOIN v ON v.station_id = s.station_id), near AS ({_NEAR}), {_IDW.format(extra=' AND id <> station_id', metres=400000)}
+ SELECT w.id AS station_id, round(any_value(v.value), 4) AS value, round(sum(w.w * w.value) / sum(w.w), 4) AS estimate, count(*) AS neighbours FROM w JOIN v ON v.station_id = w.id GROUP BY 1""")
+def interp_loo(stations, obs):
+    values = obs.filter("value is not null").groupBy("station_id").agg(F.avg("value").alias("value"))
+    return rounded(gridding.leave_one_out(stations, values, 400_000).drop("residual"), "value", "estimate", digits=4)
+
+
+# ---------------------------------------------------------------- nowcast and volumes
+
+
+@query("frames")
+def nc_segment(frames):
+    return nowcast.segment(frames, 30.0, 20)
+
+
+@query("frames")
+def agg_cell_stats(frames):
+    return rounded(nowcast.cell_stats(nowcast.segment(frames, 30.0, 20), 30.0, 2), "volume", "centre_row", "centre_col")
+
+
+@query("gates", """SELECT site, azimuth, range_idx, elangle, round(sqrt(s * s + r * r + 2 * r * s * sin(radians(elangle))) - r, 2) AS height_m, max(dbz) AS dbz FROM (SELECT *, (range_idx + 1) * 1000.0 AS s, 6371000.0 * 4 / 3 AS r FROM gates) WHERE dbz >= 40 GROUP BY 1, 2, 3, 4, 5""")
+def vol_points(gates):
+    height = geo.beam_height((F.col("range_idx") + 1) * 1000.0, F.col("elangle"))
+    return gates.filter("dbz >= 40").withColumn("height_m", F.round(height, 2)).groupBy("site", "azimuth", "range_idx", "elangle", "height_m").agg(F.max("dbz").alias("dbz"))
