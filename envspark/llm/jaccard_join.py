@@ -12,11 +12,11 @@ then some segment must agree:
   documents, for which every document reaches B at the smallest cost in keys;
 * keys shared by many unlinked documents (common passages) get allocation 0. Where the rest then misses B, the documents
   that share such keys go through another round with four times the segments, of which fewer hold nothing but common shingles;
-  what is short after the last round uses its common keys in full, so no link is lost;
+  what is short after the last round also uses the rarest of its common keys, as many as it lacks, so no link is lost;
 * sets of up to TOKENS shingles use each shingle as a segment of its own, with the prefix bound B = size - overlap + 1.
 
 Keys travel as packed blocks of 5 key bytes and a 2-byte index of the document, and only keys of two documents or more leave
-the sort. Exact copies are one representative each; large groups are first linked to one document each, the smallest of the group that shares most keys (a star), so
+the sort. Exact copies are one representative each; large groups are first linked to one central document each, of the group that shares most keys (a star), so
 that a group of near copies is one component before pairs are made, and pairs are made only across components.
 Candidates are pruned by a parity sketch (a lower bound of the difference, hence exact) and verified on the whole sets.
 """
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from envspark.llm.common import chunks, mix, partitions, saved, shingle_sets, signed, utf8
@@ -376,7 +377,10 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         return saved(found.groupBy("gid", "scheme", "doc_id").agg(F.max("n_keys").alias("n_keys")))
 
     groups = of_copies(groups)
-    hub = groups.groupBy("gid").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("gid", "a")
+    # the hub of a gid is its most central document, the one that shares most keys with most others
+    size = groups.groupBy("gid").agg(F.count("*").alias("size")).filter("size > 1")
+    centre = groups.join(size, "gid").groupBy("doc_id").agg(F.sum(F.col("n_keys") * F.col("size")).alias("centre"))
+    hub = groups.join(centre, "doc_id").groupBy("gid").agg(F.max_by("doc_id", F.struct("centre", F.negative("doc_id"))).alias("a"))
     star = groups.join(hub, "gid").filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.sum("n_keys").alias("n"))
     star = star.groupBy("b").agg(F.max_by("a", F.struct("n", F.negative("a"))).alias("a")).select("a", "b")
     links = saved(verified(documents, described, star))
@@ -388,18 +392,21 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
             _, role, groups = _placed(_texts(documents, again), fine)
             groups = of_copies(groups)
         placed = groups.join(label, "doc_id", "left").select("gid", "scheme", "doc_id", "n_keys", F.coalesce("component", "doc_id").alias("component"))
-        spread = placed.select("gid", "component").distinct().groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1")
+        spread = placed.groupBy("gid", "component").agg(F.count("*").alias("members")).groupBy("gid").agg(F.count("*").alias("n"), F.sum("members").alias("members")).filter("n > 1")
         placed = saved(placed.join(spread, "gid"))
         few = placed.filter(F.col("n") <= COMMON).select("gid", "doc_id", "component")
         wanting = few if short is None else few.join(short, "doc_id", "left_semi")
         pairs = _across(wanting, few)
         common = placed.filter(F.col("n") > COMMON)
-        spent = common.groupBy("doc_id", "scheme").agg(F.sum("n_keys").alias("spent"))
-        if short is not None:
-            spent = spent.join(short, "doc_id", "left_semi")
-        short = saved(spent.join(role, ["doc_id", "scheme"]).filter("exact - spent < budget").select("doc_id").distinct())
+        mine = common if short is None else common.join(short, "doc_id", "left_semi")
+        # of its common keys a document needs as many as it lacks, the rarest first
+        spent = mine.groupBy("doc_id", "scheme").agg(F.sum("n_keys").alias("spent"))
+        lack = spent.join(role, ["doc_id", "scheme"]).select("doc_id", "scheme", (F.col("budget") - F.col("exact") + F.col("spent")).alias("lack")).filter("lack > 0")
+        rarest = W.partitionBy("doc_id", "scheme").orderBy("members", "gid").rowsBetween(W.unboundedPreceding, -1)
+        left = mine.join(lack, ["doc_id", "scheme"]).withColumn("before", F.coalesce(F.sum("n_keys").over(rarest), F.lit(0))).filter("before < lack")
+        left = saved(left.select("gid", "doc_id", "component"))
+        short = left.select("doc_id").distinct()
         common = common.select("gid", "doc_id", "component")
-        left = common.join(short, "doc_id", "left_semi")
         again = saved(common.join(left.select("gid").distinct(), "gid", "left_semi").select("doc_id").distinct())
         last = fine == ROUNDS[-1] or not again.limit(1).count()
         if fine == ROUNDS[-1]:
