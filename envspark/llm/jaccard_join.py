@@ -46,6 +46,8 @@ SKETCH = 256
 BLOCK_ENTRIES, BLOCK_DOCUMENTS = 4_000_000, 60_000
 #: Partners that an a may have at one place of the verification.
 PLACE = 256
+#: Documents of a common key that are compared at once.
+BLOCK = 512
 #: So many 8-byte ids are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
@@ -358,6 +360,52 @@ def _across(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
+def _near_in_blocks(left: DataFrame, right: DataFrame, described: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of documents of different components that share a gid and that sizes and sketches let pass, left with right.
+
+    A gid's documents are dealt to blocks of BLOCK, every block of left meets every block of right, and only pairs that pass
+    become rows. left and right: gid, doc_id, component; sizes: gid, members.
+    """
+    blocks = sizes.select("gid", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    facts = described.select("doc_id", "n_shingles", "sketch")
+
+    def side(rows: DataFrame, number: int) -> DataFrame:
+        own, other = ("x", "y") if number == 0 else ("y", "x")
+        rows = rows.join(blocks, "gid").join(facts, "doc_id").withColumn(own, F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.select("gid", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.lit(number).alias("side"), "doc_id", "component", "n_shingles", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, ([], [])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            mine, others = held
+            if not mine or not others:
+                return
+            width = min(len(r[3]) for r in [*mine, *others])
+            fold = lambda rows: np.stack([np.bitwise_xor.reduce(np.frombuffer(r[3], np.uint64).reshape(-1, width // 8), axis=0) for r in rows])
+            column = lambda rows, k: np.array([r[k] for r in rows], dtype=np.int64)
+            sketch, size, component, ids = fold(others), column(others, 2), column(others, 1), column(others, 0)
+            for (doc, part, n, _), own in zip(mine, fold(mine)):
+                differ = np.bitwise_count(sketch ^ own).sum(axis=1).astype(np.int64)
+                good = (7 * differ <= size + n) & (component != part) & (4 * size >= 3 * n) & (4 * n >= 3 * size)
+                if good.any():
+                    near = ids[good]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, doc)), pa.array(np.maximum(near, doc))], schema=schema)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("gid", "x", "y", "side", "doc_id", "component", "n_shingles", "sketch")]
+            for gid, x, y, which, *row in zip(*columns):
+                if (gid, x, y) != current:
+                    yield from close()
+                    current, held = (gid, x, y), ([], [])
+                held[which].append(row)
+        yield from close()
+
+    met = side(left, 0).union(side(right, 1)).repartition(partitions(described.sparkSession), "gid", "x", "y").sortWithinPartitions("gid", "x", "y")
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles (size of its set), component_id (smallest doc_id that links reach, itself included).
 
@@ -410,7 +458,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         again = saved(common.join(left.select("gid").distinct(), "gid", "left_semi").select("doc_id").distinct())
         last = fine == ROUNDS[-1] or not again.limit(1).count()
         if fine == ROUNDS[-1]:
-            pairs = pairs.union(_across(left, common)).distinct()
+            asked = common.join(left.select("gid").distinct(), "gid", "left_semi")
+            pairs = pairs.union(_near_in_blocks(left, asked, described, spread)).distinct()
         links = links.union(verified(documents, described, pairs))
         if last:
             break
