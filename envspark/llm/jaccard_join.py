@@ -460,7 +460,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         if fine == ROUNDS[-1]:
             asked = common.join(left.select("gid").distinct(), "gid", "left_semi")
             pairs = pairs.union(_near_in_blocks(left, asked, described, spread)).distinct()
-        links = links.union(verified(documents, described, pairs))
+        links = links.union(saved(verified(documents, described, pairs)))
         if last:
             break
     label = components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
