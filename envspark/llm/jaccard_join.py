@@ -360,13 +360,21 @@ def _across(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
-def _near_in_blocks(left: DataFrame, right: DataFrame, described: DataFrame, sizes: DataFrame) -> DataFrame:
+def _alike(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the gids of one group put together; each document once a group."""
+    return rows.join(groups, "gid").select(F.col("group").alias("gid"), "doc_id", "component").distinct()
+
+
+def _near_in_blocks(left: DataFrame, right: DataFrame, described: DataFrame) -> DataFrame:
     """Pairs of documents of different components that share a gid and that sizes and sketches let pass, left with right.
 
-    A gid's documents are dealt to blocks of BLOCK, every block of left meets every block of right, and only pairs that pass
-    become rows. left and right: gid, doc_id, component; sizes: gid, members.
+    Gids of much the same documents mostly have the same minimum of hashed members, and are put together by it: what meets in
+    several of them is compared once. The documents of such a group are dealt to blocks of BLOCK, every block of left meets
+    every block of right, and only pairs that pass become rows. left and right: gid, doc_id, component.
     """
-    blocks = sizes.select("gid", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    groups = saved(right.groupBy("gid").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("group")))
+    left, right = saved(_alike(left, groups)), saved(_alike(right, groups))
+    blocks = right.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     facts = described.select("doc_id", "n_shingles", "sketch")
 
     def side(rows: DataFrame, number: int) -> DataFrame:
@@ -459,7 +467,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         last = fine == ROUNDS[-1] or not again.limit(1).count()
         if fine == ROUNDS[-1]:
             asked = common.join(left.select("gid").distinct(), "gid", "left_semi")
-            pairs = pairs.union(_near_in_blocks(left, asked, described, spread)).distinct()
+            pairs = pairs.union(_near_in_blocks(left, asked, described)).distinct()
         links = links.union(saved(verified(documents, described, pairs)))
         if last:
             break
