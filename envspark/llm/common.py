@@ -16,12 +16,18 @@ CHUNK_BYTES = 1 << 21
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder and read back, so that lost executors cost no recomputation."""
+    """df written to the cluster's shared checkpoint folder and read back, so that lost executors cost no recomputation.
+
+    Spark deletes the shuffle files of a plan that nothing needs any more once the driver collects garbage, by itself only
+    every half hour; many small shuffles would pile up on the executors' disks till then, so that it is asked for here.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    spark._jvm.System.gc()
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:
