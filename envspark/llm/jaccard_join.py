@@ -40,8 +40,8 @@ TOKENS = 24
 COMMON = 8
 #: Rounds, each with so many doublings of the segments.
 ROUNDS = (0, 2)
-#: Least bits of a parity sketch.
-SKETCH = 256
+#: Least bits of a parity sketch, and bits a shingle. Of sets that differ in d shingles about d * d / bits places hide, so that with few bits unlike sets pass.
+SKETCH, SKETCH_BITS = 256, 4
 #: Entries that are packed together; the index of a document in a block has two bytes.
 BLOCK_ENTRIES, BLOCK_DOCUMENTS = 4_000_000, 60_000
 #: Partners that an a may have at one place of the verification.
@@ -124,8 +124,8 @@ def _keys(tokens: np.ndarray, scheme: int, q: int, salt: int, fine: int) -> np.n
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """The parity of the count of shingles in each of a power of two of places, about one to two places a shingle."""
-    width = max(SKETCH, 1 << (len(tokens) - 1).bit_length())
+    """The parity of the count of shingles in each of a power of two of places, SKETCH_BITS to twice as many a shingle."""
+    width = max(SKETCH, 1 << (SKETCH_BITS * len(tokens) - 1).bit_length())
     bits = np.bincount((mix(tokens) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -370,17 +370,19 @@ def _near_in_blocks(left: DataFrame, right: DataFrame, described: DataFrame) ->
 
     Gids of much the same documents mostly have the same minimum of hashed members, and are put together by it: what meets in
     several of them is compared once. The documents of such a group are dealt to blocks of BLOCK, every block of left meets
-    every block of right, and only pairs that pass become rows. left and right: gid, doc_id, component.
+    every block of right, and only pairs that pass become rows; of two documents of left the one with the smaller doc_id makes
+    the row. left and right: gid, doc_id, component.
     """
     groups = saved(right.groupBy("gid").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("group")))
-    left, right = saved(_alike(left, groups)), saved(_alike(right, groups))
+    left = saved(_alike(left, groups))
+    right = saved(_alike(right, groups).join(left.select("gid", "doc_id", F.lit(True).alias("asks")), ["gid", "doc_id"], "left"))
     blocks = right.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     facts = described.select("doc_id", "n_shingles", "sketch")
 
     def side(rows: DataFrame, number: int) -> DataFrame:
         own, other = ("x", "y") if number == 0 else ("y", "x")
         rows = rows.join(blocks, "gid").join(facts, "doc_id").withColumn(own, F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return rows.select("gid", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.lit(number).alias("side"), "doc_id", "component", "n_shingles", "sketch")
+        return rows.select("gid", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.lit(number).alias("side"), "doc_id", "component", "n_shingles", "sketch", "asks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, ([], [])
@@ -394,15 +396,16 @@ def _near_in_blocks(left: DataFrame, right: DataFrame, described: DataFrame) ->
             fold = lambda rows: np.stack([np.bitwise_xor.reduce(np.frombuffer(r[3], np.uint64).reshape(-1, width // 8), axis=0) for r in rows])
             column = lambda rows, k: np.array([r[k] for r in rows], dtype=np.int64)
             sketch, size, component, ids = fold(others), column(others, 2), column(others, 1), column(others, 0)
-            for (doc, part, n, _), own in zip(mine, fold(mine)):
+            asks = np.array([bool(r[4]) for r in others])
+            for (doc, part, n, *_), own in zip(mine, fold(mine)):
                 differ = np.bitwise_count(sketch ^ own).sum(axis=1).astype(np.int64)
-                good = (7 * differ <= size + n) & (component != part) & (4 * size >= 3 * n) & (4 * n >= 3 * size)
+                good = (7 * differ <= size + n) & (component != part) & ~(asks & (ids < doc)) & (4 * size >= 3 * n) & (4 * n >= 3 * size)
                 if good.any():
                     near = ids[good]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, doc)), pa.array(np.maximum(near, doc))], schema=schema)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("gid", "x", "y", "side", "doc_id", "component", "n_shingles", "sketch")]
+            columns = [batch.column(c).to_pylist() for c in ("gid", "x", "y", "side", "doc_id", "component", "n_shingles", "sketch", "asks")]
             for gid, x, y, which, *row in zip(*columns):
                 if (gid, x, y) != current:
                     yield from close()
@@ -410,7 +413,7 @@ def _near_in_blocks(left: DataFrame, right: DataFrame, described: DataFrame) ->
                 held[which].append(row)
         yield from close()
 
-    met = side(left, 0).union(side(right, 1)).repartition(partitions(described.sparkSession), "gid", "x", "y").sortWithinPartitions("gid", "x", "y")
+    met = side(left.withColumn("asks", F.lit(True)), 0).union(side(right, 1)).repartition(partitions(described.sparkSession), "gid", "x", "y").sortWithinPartitions("gid", "x", "y")
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
