@@ -49,3 +49,12 @@ def event_age(events: DataFrame, now, size: float, window_min: int) -> DataFrame
     age = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("time").cast("timestamp"))) / 60.0
     near = events.withColumn("age", age).filter((F.col("age") >= 0) & (F.col("age") < window_min))
     return near.groupBy(F.floor(F.col("lat") / size).cast("int").alias("row_idx"), F.floor(F.col("lon") / size).cast("int").alias("col_idx")).agg(F.min("age").alias("age_min"))
+
+
+def regrid(cells: DataFrame, keys: list[str], source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """Cells of a target grid over the same extent, each with the value of the source cell under its centre."""
+    rows, columns = target
+    n = F.col("id")
+    to = cells.sparkSession.range(rows * columns).select(F.floor(n / columns).alias("to_row"), (n % columns).alias("to_col"))
+    to = to.withColumns({"row_idx": F.floor((2 * F.col("to_row") + 1) * source[0] / (2 * rows)), "col_idx": F.floor((2 * F.col("to_col") + 1) * source[1] / (2 * columns))})
+    return cells.join(to, ["row_idx", "col_idx"]).select(*keys, F.col("to_row").alias("row_idx"), F.col("to_col").alias("col_idx"), "value")

@@ -43,3 +43,57 @@ def cell_stats(cells: DataFrame, threshold: float, least_pixels: int = 1) -> Dat
         F.count("*").alias("pixels"), F.max("value").alias("most"), F.sum(over).alias("volume"), F.sum(over * F.col("row_idx")).alias("r"), F.sum(over * F.col("col_idx")).alias("c"), F.avg("row_idx").alias("mr"), F.avg("col_idx").alias("mc")
     ).filter(F.col("pixels") >= least_pixels)
     return s.select("frame", "label", "pixels", "most", "volume", F.coalesce(F.try_divide("r", "volume"), "mr").alias("centre_row"), F.coalesce(F.try_divide("c", "volume"), "mc").alias("centre_col"))
+
+
+def motion(frames: DataFrame, block: int, reach: int, echo: float) -> DataFrame:
+    """(frame, block_row, block_col, d_row, d_col): how far the echo of each block moves until the next frame, in cells.
+
+    Of all displacements up to reach the one with the least mean absolute difference, plus 1e-4 a cell of distance, refined
+    by a parabola through its neighbours by at most half a cell. A block needs an echo in 2 % of its cells, and a displacement
+    must compare half of them. Cells without a value take no part.
+    """
+    key = ["frame", "block_row", "block_col"]
+    at = frames.filter("value is not null").withColumns({"block_row": F.floor(F.col("row_idx") / block), "block_col": F.floor(F.col("col_idx") / block)})
+    wet = at.groupBy(key).agg(F.count("*").alias("cells"), F.avg((F.col("value") >= echo).cast("double")).alias("share")).filter("share >= 0.02")
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1)])
+    moved = at.join(wet, key).withColumn("d", F.explode(steps))
+    moved = moved.select(*key, "cells", "value", F.col("d.r").alias("r"), F.col("d.c").alias("c"), (F.col("frame") + 1).alias("next"), (F.col("row_idx") + F.col("d.r")).alias("to_row"), (F.col("col_idx") + F.col("d.c")).alias("to_col"))
+    after = frames.filter("value is not null").select(F.col("frame").alias("next"), F.col("row_idx").alias("to_row"), F.col("col_idx").alias("to_col"), F.col("value").alias("later"))
+    cost = moved.join(after, ["next", "to_row", "to_col"]).groupBy(*key, "r", "c").agg(F.avg(F.abs(F.col("value") - F.col("later"))).alias("mean"), F.count("*").alias("n"), F.first("cells").alias("cells"))
+    cost = cost.filter("2 * n >= cells").select(*key, "r", "c", F.round(F.col("mean") + 1e-4 * F.sqrt(F.col("r") * F.col("r") + F.col("c") * F.col("c")), 9).alias("cost"))
+    # every block has (2 reach + 1)^2 costs at most
+    costs = cost.groupBy(key).agg(F.min(F.struct("cost", "r", "c")).alias("best"), F.map_from_entries(F.collect_list(F.struct(F.struct("r", "c"), "cost"))).alias("all"))
+
+    def fitted(axis: str):
+        near = [F.col("all")[F.struct((F.col("best.r") + (s if axis == "r" else 0)).alias("r"), (F.col("best.c") + (s if axis == "c" else 0)).alias("c"))] for s in (-1, 1)]
+        bend = near[0] - 2 * F.col("best.cost") + near[1]
+        shift = F.when(bend > 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (near[0] - near[1]) / (2 * bend))))
+        return F.col(f"best.{axis}") + F.coalesce(shift, F.lit(0.0))
+
+    return costs.select(*key, fitted("r").alias("d_row"), fitted("c").alias("d_col"))
+
+
+def advect(frames: DataFrame, vectors: DataFrame, block: int, substeps: int = 2) -> DataFrame:
+    """The next frame by going back along the motion of the blocks passed: (frame, row_idx, col_idx, value), frame as of the forecast.
+
+    Each cell is followed back in substeps and takes the value of the nearest source cell; a path through a block without
+    motion stays where it is, and a cell whose source has no value gets no row.
+    """
+    at = frames.select("frame", "row_idx", "col_idx", F.col("row_idx").cast("double").alias("y"), F.col("col_idx").cast("double").alias("x"))
+    for _ in range(substeps):
+        at = at.withColumns({"block_row": F.floor((F.col("y") + 0.5) / block), "block_col": F.floor((F.col("x") + 0.5) / block)})
+        at = at.join(vectors, ["frame", "block_row", "block_col"], "left")
+        at = at.select("frame", "row_idx", "col_idx", *[(F.col(p) - F.coalesce(F.col(d), F.lit(0.0)) / substeps).alias(p) for p, d in (("y", "d_row"), ("x", "d_col"))])
+    source = frames.select("frame", F.col("row_idx").alias("from_row"), F.col("col_idx").alias("from_col"), "value")
+    at = at.withColumns({"from_row": F.floor(F.col("y") + 0.5), "from_col": F.floor(F.col("x") + 0.5)})
+    return at.join(source, ["frame", "from_row", "from_col"]).select((F.col("frame") + 1).alias("frame"), "row_idx", "col_idx", "value")
+
+
+def skill(forecast: DataFrame, observed: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Hits, misses and false alarms of each threshold over the cells that both have, and the critical success index."""
+    cell = ["frame", "row_idx", "col_idx"]
+    both = forecast.select(*cell, F.col("value").alias("said")).join(observed.select(*cell, F.col("value").alias("seen")), cell)
+    both = both.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    said, seen = F.col("said") >= F.col("threshold"), F.col("seen") >= F.col("threshold")
+    out = both.groupBy("threshold").agg(F.count_if(said & seen).alias("hits"), F.count_if(~said & seen).alias("misses"), F.count_if(said & ~seen).alias("false_alarms"))
+    return out.withColumn("csi", F.try_divide(F.col("hits"), F.col("hits") + F.col("misses") + F.col("false_alarms")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.functions import geo, weather
-from envspark.operators import aggregates, filters, gridding, grids, joins, nowcast, sorts, windows
+from envspark.operators import aggregates, filters, gridding, grids, joins, nowcast, sorts, volumes, windows
 from envspark.sources.adapters import view, with_views
 
 FLAGSHIP = "join_nearest_station"
@@ -429,3 +429,61 @@ def agg_cell_stats(frames):
 def vol_points(gates):
     height = geo.beam_height((F.col("range_idx") + 1) * 1000.0, F.col("elangle"))
     return gates.filter("dbz >= 40").withColumn("height_m", F.round(height, 2)).groupBy("site", "azimuth", "range_idx", "elangle", "height_m").agg(F.max("dbz").alias("dbz"))
+
+
+_MOTION = """ px AS (SELECT *, CAST(floor(row_idx / 5) AS BIGINT) AS br, CAST(floor(col_idx / 5) AS BIGINT) AS bc FROM frames WHERE value IS NOT NULL),
+ wet AS (SELECT frame, br, bc, count(*) AS cells FROM px GROUP BY 1, 2, 3 HAVING avg(CASE WHEN value >= 20 THEN 1.0 ELSE 0.0 END) >= 0.02),
+ cost AS (SELECT a.frame, a.br, a.bc, r, c, round(avg(abs(a.value - b.value)) + 1e-4 * sqrt(r * r + c * c), 9) AS cost FROM px a JOIN wet w USING (frame, br, bc), (SELECT range AS r FROM range(-2, 3)), (SELECT range AS c FROM range(-2, 3)), px b
+ WHERE b.frame = a.frame + 1 AND b.row_idx = a.row_idx + r AND b.col_idx = a.col_idx + c GROUP BY 1, 2, 3, 4, 5 HAVING 2 * count(*) >= max(w.cells)),
+ best AS (SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY frame, br, bc ORDER BY cost, r, c) = 1),
+ fit AS (SELECT x.frame, x.br, x.bc, x.r, x.c, x.cost, max(CASE WHEN y.r = x.r - 1 AND y.c = x.c THEN y.cost END) AS rm, max(CASE WHEN y.r = x.r + 1 AND y.c = x.c THEN y.cost END) AS rp,
+ max(CASE WHEN y.c = x.c - 1 AND y.r = x.r THEN y.cost END) AS cm, max(CASE WHEN y.c = x.c + 1 AND y.r = x.r THEN y.cost END) AS cp FROM best x JOIN cost y USING (frame, br, bc) GROUP BY ALL),
+ vec AS (SELECT frame, br AS block_row, bc AS block_col, round(r + coalesce(CASE WHEN rm - 2 * cost + rp > 0 THEN greatest(-0.5, least(0.5, (rm - rp) / (2 * (rm - 2 * cost + rp)))) END, 0), 4) AS d_row,
+ round(c + coalesce(CASE WHEN cm - 2 * cost + cp > 0 THEN greatest(-0.5, least(0.5, (cm - cp) / (2 * (cm - 2 * cost + cp)))) END, 0), 4) AS d_col FROM fit)"""
+_STEP = "SELECT p.frame, p.row_idx, p.col_idx, p.y - coalesce(v.d_row, 0) / 2 AS y, p.x - coalesce(v.d_col, 0) / 2 AS x FROM {0} p LEFT JOIN vec v ON v.frame = p.frame AND v.block_row = floor((p.y + 0.5) / 5) AND v.block_col = floor((p.x + 0.5) / 5)"
+_ADVECT = f"""{_MOTION}, s0 AS (SELECT frame, row_idx, col_idx, CAST(row_idx AS DOUBLE) AS y, CAST(col_idx AS DOUBLE) AS x FROM frames), s1 AS ({_STEP.format('s0')}), s2 AS ({_STEP.format('s1')}),
+ moved AS (SELECT s.frame + 1 AS frame, s.row_idx, s.col_idx, f.value FROM s2 s JOIN frames f ON f.frame = s.frame AND f.row_idx = floor(s.y + 0.5) AND f.col_idx = floor(s.x + 0.5))"""
+
+
+def _vectors(frames):
+    return rounded(nowcast.motion(frames, 5, 2, 20.0), "d_row", "d_col", digits=4)
+
+
+@query("frames", f",{_MOTION} SELECT * FROM vec")
+def nc_motion(frames):
+    return _vectors(frames)
+
+
+@query("frames", f",{_ADVECT} SELECT * FROM moved")
+def nc_advect(frames):
+    return nowcast.advect(frames, _vectors(frames), 5)
+
+
+@query("frames", f""",{_ADVECT}, j AS (SELECT t AS threshold, m.value >= t AS said, o.value >= t AS seen FROM moved m JOIN frames o USING (frame, row_idx, col_idx), (SELECT unnest([20e0, 35e0]) AS t))
+ SELECT threshold, count(*) FILTER (said AND seen) AS hits, count(*) FILTER (NOT said AND seen) AS misses, count(*) FILTER (said AND NOT seen) AS false_alarms,
+ round(count(*) FILTER (said AND seen) / nullif(count(*) FILTER (said OR seen), 0), 5) AS csi FROM j GROUP BY 1""")
+def nc_skill(frames):
+    return rounded(nowcast.skill(nowcast.advect(frames, _vectors(frames), 5), frames, [20, 35]), "csi")
+
+
+@query("frames", "SELECT frame, r AS row_idx, c AS col_idx, value FROM frames JOIN (SELECT range AS r FROM range(30)) ON row_idx = (2 * r + 1) * 20 // 60 JOIN (SELECT range AS c FROM range(12)) ON col_idx = (2 * c + 1) * 20 // 24")
+def grid_regrid(frames):
+    return grids.regrid(frames, ["frame"], (20, 20), (30, 12))
+
+
+@query("gates strikes", """, p AS (SELECT id, id % 3 AS site, CAST(floor(lon * 27) AS INT) % 360 AS azimuth, CAST(floor(lat * 31) AS INT) % 100 AS range_idx FROM strikes)
+ SELECT id, site, elangle, max(dbz) AS dbz FROM p JOIN gates USING (site, azimuth, range_idx) GROUP BY 1, 2, 3""")
+def vol_profile(gates, strikes):
+    points = strikes.selectExpr("id", "id % 3 AS site", "CAST(floor(lon * 27) AS INT) % 360 AS azimuth", "CAST(floor(lat * 31) AS INT) % 100 AS range_idx")
+    return volumes.profile(gates, points)
+
+
+@query("gates", "SELECT * FROM gates WHERE (site, elangle) IN (SELECT (site, arg_min(elangle, (abs(elangle - 4.25), elangle))) FROM gates GROUP BY site)")
+def vol_sweep(gates):
+    return volumes.sweep(gates, 4.25)
+
+
+@query("gates", """SELECT site, CAST(range_idx // 5 AS BIGINT) AS i_r, CAST(azimuth // 10 AS BIGINT) AS i_a, CAST(floor((sqrt(s * s + r * r + 2 * r * s * sin(radians(elangle))) - r) / 500) AS BIGINT) AS i_h, max(dbz) AS dbz
+ FROM (SELECT *, (range_idx + 1) * 1000.0 AS s, 6371000.0 * 4 / 3 AS r FROM gates) GROUP BY 1, 2, 3, 4""")
+def vol_voxels(gates):
+    return volumes.voxels(gates, 5, 10, 500.0, geo.beam_height((F.col("range_idx") + 1) * 1000.0, F.col("elangle")))
