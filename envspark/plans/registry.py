@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.functions import geo, weather
-from envspark.operators import aggregates, filters, gridding, grids, joins, nowcast, sorts, volumes, windows
+from envspark.operators import aggregates, filters, gridding, grids, ingest, joins, nowcast, sorts, volumes, windows
 from envspark.sources.adapters import view, with_views
 
 FLAGSHIP = "join_nearest_station"
@@ -487,3 +487,23 @@ def vol_sweep(gates):
  FROM (SELECT *, (range_idx + 1) * 1000.0 AS s, 6371000.0 * 4 / 3 AS r FROM gates) GROUP BY 1, 2, 3, 4""")
 def vol_voxels(gates):
     return volumes.voxels(gates, 5, 10, 500.0, geo.beam_height((F.col("range_idx") + 1) * 1000.0, F.col("elangle")))
+
+
+# ---------------------------------------------------------------- upkeep of report tables
+
+
+@query("obs", "SELECT station_id, parameter, hour, value, seq FROM (SELECT *, date_trunc('hour', time) AS hour, row_number() OVER (PARTITION BY station_id, parameter, date_trunc('hour', time) ORDER BY seq DESC) AS n FROM obs) WHERE n = 1")
+def st_upsert_reports(obs):
+    obs = obs.select("station_id", "parameter", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("hour"), "value", "seq")
+    return ingest.upsert_reports(obs, ["station_id", "parameter", "hour"], "seq")
+
+
+@query("obs", """, kept AS (SELECT * FROM obs WHERE time >= TIMESTAMP '2024-01-20'), heard AS (SELECT station_id FROM kept GROUP BY 1 ORDER BY max(time) DESC, station_id LIMIT 10)
+ SELECT seq, station_id, time FROM kept WHERE station_id IN (SELECT station_id FROM heard)""")
+def st_retention(obs):
+    return ingest.retention(obs, F.lit("2024-01-30").cast("timestamp_ntz"), "10 days", 10).select("seq", "station_id", "time")
+
+
+@query("obs", "SELECT station_id, parameter, round(age, 5) AS age_min, age > 2880 AS stale FROM (SELECT station_id, parameter, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(time))) / 60000000 AS age FROM obs GROUP BY 1, 2)")
+def st_staleness(obs):
+    return rounded(ingest.staleness(obs, ["station_id", "parameter"], F.lit("2024-02-01").cast("timestamp"), 1440), "age_min")
