@@ -459,11 +459,14 @@ def nc_advect(frames):
     return nowcast.advect(frames, _vectors(frames), 5)
 
 
-@query("frames", f""",{_ADVECT}, j AS (SELECT t AS threshold, m.value >= t AS said, o.value >= t AS seen FROM moved m JOIN frames o USING (frame, row_idx, col_idx), (SELECT unnest([20e0, 35e0]) AS t))
- SELECT threshold, count(*) FILTER (said AND seen) AS hits, count(*) FILTER (NOT said AND seen) AS misses, count(*) FILTER (said AND NOT seen) AS false_alarms,
- round(count(*) FILTER (said AND seen) / nullif(count(*) FILTER (said OR seen), 0), 5) AS csi FROM j GROUP BY 1""")
+@query("frames", f""",{_ADVECT}, said AS (SELECT 'advected' AS method, frame, row_idx, col_idx, value FROM moved UNION ALL SELECT 'persistence', frame + 1, row_idx, col_idx, value FROM frames),
+ j AS (SELECT method, t AS threshold, m.value >= t AS said, o.value >= t AS seen FROM said m JOIN frames o USING (frame, row_idx, col_idx), (SELECT unnest([20e0, 35e0]) AS t))
+ SELECT method, threshold, count(*) FILTER (said AND seen) AS hits, count(*) FILTER (NOT said AND seen) AS misses, count(*) FILTER (said AND NOT seen) AS false_alarms,
+ round(count(*) FILTER (said AND seen) / nullif(count(*) FILTER (said OR seen), 0), 5) AS csi FROM j GROUP BY 1, 2""")
 def nc_skill(frames):
-    return rounded(nowcast.skill(nowcast.advect(frames, _vectors(frames), 5), frames, [20, 35]), "csi")
+    said = {"advected": nowcast.advect(frames, _vectors(frames), 5), "persistence": frames.withColumn("frame", F.col("frame") + 1)}
+    scores = [nowcast.skill(f, frames, [20, 35]).withColumn("method", F.lit(m)) for m, f in said.items()]
+    return rounded(scores[0].unionByName(scores[1]), "csi")
 
 
 @query("frames", "SELECT frame, r AS row_idx, c AS col_idx, value FROM frames JOIN (SELECT range AS r FROM range(30)) ON row_idx = (2 * r + 1) * 20 // 60 JOIN (SELECT range AS c FROM range(12)) ON col_idx = (2 * c + 1) * 20 // 24")
