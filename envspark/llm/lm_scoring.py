@@ -3,9 +3,10 @@
 A text is its words (A-Z lowered) with one space between and one end mark. Bytes are coded by a Huffman tree, so that a byte
 is a few binary decisions. Three predictors hash a context (two bytes; four bytes; the word so far with the last byte
 before it) to a row of counts over symbols, gathered from all learning texts; a row gives each decision a probability and a
-confidence. A mixer adds the stretched probabilities with weights from a set that the confidences select (the gate),
-starts each document from weights learned on a bounded tuning sample, and refines them on the document itself, stretch by
-stretch, each from what came before only. An adaptive map from the mixed to the observed probability comes last. The score
+confidence. Each distinct context has a row of its own: contexts are counted in blocks, and a group of documents asks the
+blocks for the rows of its contexts only. A mixer adds the stretched probabilities with weights from a set that the confidences
+select (the gate), starts each document from weights learned on all tuning rows (with tables that leave their counts out), and
+refines them on the document itself, stretch by stretch, each from what came before only. An adaptive map from the mixed to the observed probability comes last. The score
 is the sum of log10 probabilities of all decisions, hence a distribution over texts.
 
 Beside it runs the unigram base of words with add-one smoothing, whose counts are joined to the documents exactly.
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from envspark.llm.common import END, LOWER, chunks, mix, partitions, saved, span_hashes, utf8, word_spans, word_stream
 
-#: Symbols of the tree (the last is an escape to a plain byte), contexts a predictor, and rows that travel together.
-SYMBOLS, CONTEXTS, ROWS = 64, 1 << 18, 1 << 13
+#: Symbols of the tree (the last is an escape to a plain byte), and rows of a dense table that log10_probability() is given.
+SYMBOLS, CONTEXTS = 64, 1 << 18
 PREDICTORS = 3
-#: Documents of the tuning sample at most; decisions between two refinements of a document's weights.
-TUNING, STRETCH = 1500, 8192
+#: Bytes of text of the documents that ask for rows together, of those worked on at once, and of those a block of contexts.
+GROUP, PART, BLOCK = 1 << 24, 1 << 20, 1 << 25
+#: Decisions between two refinements of a document's weights.
+STRETCH = 8192
 
 
 # ---------------------------------------------------------------- symbols and tree
@@ -77,7 +80,7 @@ class Tree:
 
 
 def _contexts(stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-    """The row of counts of each predictor at each byte; contexts begin anew in each document."""
+    """The 48-bit context of each predictor at each byte; contexts begin anew in each document."""
     n = len(stream)
     prev = np.zeros((5, n), dtype=np.uint32)
     for k in range(1, 5):
@@ -97,7 +100,7 @@ def _contexts(stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     o2 = prev[1] | prev[2] << 8
     o4 = o2 | prev[3] << 16 | prev[4] << 24
     out = [o2.astype(np.uint64), o4.astype(np.uint64), word + np.minimum(offset, 255).astype(np.uint64)]
-    return [(mix(c + np.uint64(k << 60)) >> np.uint64(64 - 18)).astype(np.uint32) for k, c in enumerate(out)]
+    return [mix(c + np.uint64(k << 60)) >> np.uint64(16) for k, c in enumerate(out)]
 
 
 # ---------------------------------------------------------------- learning
@@ -119,58 +122,185 @@ def _histogram(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _tables(texts: DataFrame, tree: Tree) -> np.ndarray:
-    """Of each predictor, context and inner node one byte: a stretched probability in 5 bits and a confidence in 3."""
-    pieces = CONTEXTS // ROWS
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order of appearance, and of each element its number among them."""
+    coded = pa.array(x).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _six(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _eight(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+_PACKED = "ids binary, folds binary, offsets binary, text binary"
+
+
+def _pack(ids: np.ndarray, folds: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    row = [ids.tobytes(), folds.tobytes(), offsets.astype(np.int64).tobytes(), zstandard.compress(data.tobytes(), 1)]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["ids", "folds", "offsets", "text"])
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(grp, ids, folds, offsets, text): documents of about GROUP bytes packed in a row; fold 0 is held out, 1 learned, 2 tuning."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            ids, folds, sizes, data = (np.concatenate([h[i] for h in held]) for i in range(4))
+            held.clear()
+            return _pack(ids, folds, np.r_[0, np.cumsum(sizes)], data)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(CONTEXTS * SYMBOLS, dtype=np.int32) for _ in range(PREDICTORS)]
-        some = False
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in chunks(offsets):
-                stream, begin = word_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                symbol = tree.symbol[stream]
-                for k, context in enumerate(_contexts(stream, begin)):
-                    slot, n = np.unique(context << np.uint32(6) | symbol, return_counts=True)
-                    total[k][slot] += n.astype(np.int32)
-                some = True
-        for k in range(PREDICTORS) if some else ():
-            for piece in range(pieces):
-                raw = total[k][piece * ROWS * SYMBOLS : (piece + 1) * ROWS * SYMBOLS]
-                if raw.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k * pieces + piece], pa.int32()), pa.array([zstandard.compress(raw.tobytes(), 1)], pa.binary())], names=["piece", "counts"])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, total = None, None
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            folds = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.uint8)
+            for a, b in chunks(offsets, PART):
+                held.append((ids[a:b], folds[a:b], np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]].copy()))
+                if sum(len(h[3]) for h in held) >= GROUP:
+                    yield done()
+        if held:
+            yield done()
+
+    packed = rows.mapInArrow(pack, _PACKED)
+    return saved(packed.select(F.monotonically_increasing_id().alias("grp"), "*"))
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["folds"], np.uint8), np.frombuffer(row["offsets"], np.int64), np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
+
+
+def _packed(n: np.ndarray, tree: Tree) -> np.ndarray:
+    """Of counts over symbols, for each inner node one byte: a stretched probability in 5 bits and a confidence in 3."""
+    n0, n1 = (n.astype(np.float32) @ tree.leaves[:, side].T for side in (0, 1))
+    st = np.log((n1 + 0.35) / (n0 + 0.35))
+    level = np.clip(np.rint(st * 2), -15, 15).astype(np.int64) + 15
+    sure = np.minimum(np.log2(n0 + n1 + 1), 15).astype(np.int64)
+    sure = np.searchsorted([1, 2, 3, 4, 6, 8, 11], sure, side="right")
+    out = np.zeros((len(n), SYMBOLS), dtype=np.uint8)
+    out[:, : SYMBOLS - 1] = level | sure << 5
+    return out
 
-        def done() -> pa.RecordBatch:
-            n = total.reshape(ROWS, SYMBOLS).astype(np.float32)
-            n0, n1 = (n @ tree.leaves[:, side].T for side in (0, 1))
-            st = np.log((n1 + 0.35) / (n0 + 0.35))
-            level = np.clip(np.rint(st * 2), -15, 15).astype(np.int64) + 15
-            sure = np.minimum(np.log2(n0 + n1 + 1), 15).astype(np.int64)
-            sure = np.searchsorted([1, 2, 3, 4, 6, 8, 11], sure, side="right")
-            packed = np.zeros((ROWS, SYMBOLS), dtype=np.uint8)
-            packed[:, : SYMBOLS - 1] = level | sure << 5
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([zstandard.compress(packed.tobytes(), 3)], pa.binary())], names=["piece", "table"])
 
+def _kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and of each row its number among them."""
+    coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SYMBOLS), len(rows), [None, pa.py_buffer(rows)]).dictionary_encode()
+    return np.frombuffer(coded.dictionary.buffers()[1], np.uint8)[: len(coded.dictionary) * SYMBOLS].reshape(-1, SYMBOLS), coded.indices.to_numpy()
+
+
+def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
+    """(grp, predictor, tuning, keys, kind, rows): the rows of all contexts of a group, from the counts of all learned rows; for the
+    contexts of its tuning rows also those from the counts of the other learned rows."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                if row["piece"] != current:
-                    if total is not None:
-                        yield done()
-                    current, total = row["piece"], np.zeros(ROWS * SYMBOLS, dtype=np.int64)
-                total += np.frombuffer(zstandard.decompress(row["counts"]), np.int32)
-        if total is not None:
-            yield done()
+                _, folds, offsets, data = _unpack(row)
+                found: list[list] = [[] for _ in range(PREDICTORS)]
+                for a, b in chunks(offsets, PART):
+                    stream, begin = word_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    code = tree.symbol[stream].astype(np.int64) << 2 | np.repeat(folds[a:b], np.diff(begin))
+                    for k, context in enumerate(_contexts(stream, begin)):
+                        keys, index = _numbered(context)
+                        cells, index = _numbered(index.astype(np.int64) << 8 | code)
+                        found[k].append((keys[cells >> 8], cells & 255, np.bincount(index)))
+                for k, parts in enumerate(found):
+                    keys, codes, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+                    keys, index = np.unique(keys, return_inverse=True)
+                    cells, index = np.unique(index << 8 | codes, return_inverse=True)
+                    n = np.bincount(index, n).astype(np.uint32)
+                    at, fold = cells >> 8, cells & 3
+                    tuned = np.zeros(len(keys), dtype=np.uint8)
+                    tuned[at[fold == 2]] = 1
+                    learned = fold > 0
+                    at, code, n = at[learned], (cells & 255).astype(np.uint8)[learned], n[learned]
+                    block = (keys >> np.uint64(16)) * np.uint64(blocks) >> np.uint64(32)
+                    cut = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+                    held = np.searchsorted(at, cut)
+                    for x in np.flatnonzero(np.diff(cut)):
+                        own, e = slice(cut[x], cut[x + 1]), slice(held[x], held[x + 1])
+                        values = [_six(keys[own]), tuned[own].tobytes(), *(zstandard.compress(v.tobytes(), 1) for v in ((at[e] - cut[x]).astype(np.uint32), code[e], n[e]))]
+                        yield pa.RecordBatch.from_arrays([pa.array([k * blocks + int(x)], pa.int32()), pa.array([row["grp"]], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names=["block", "grp", "keys", "tuned", "at", "code", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
 
-    counted = texts.select("text").mapInArrow(count, "piece int, counts binary").repartition(partitions(texts.sparkSession), "piece").sortWithinPartitions("piece")
-    table = np.full((PREDICTORS, CONTEXTS, SYMBOLS), 15, dtype=np.uint8)
-    flat = table.reshape(PREDICTORS * pieces, ROWS * SYMBOLS)
-    for r in counted.mapInArrow(close, "piece int, table binary").toLocalIterator():
-        flat[r["piece"]] = np.frombuffer(zstandard.decompress(r["table"]), np.uint8)
-    return table.reshape(PREDICTORS, -1)
+        def done() -> Iterator[pa.RecordBatch]:
+            sizes = np.cumsum([0] + [len(p[1]) for p in parts])
+            keys, index = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+            at = np.concatenate([index[sizes[i] + p[3]] for i, p in enumerate(parts)])
+            code, n = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
+            order = np.argsort(at, kind="stable")
+            at, code, n = at[order], code[order].astype(np.int64), n[order]
+            whole, less = (np.empty((len(keys), SYMBOLS), dtype=np.uint8) for _ in range(2))
+            for x in range(0, len(keys), 1 << 15):
+                y = min(x + (1 << 15), len(keys))
+                own = slice(*np.searchsorted(at, [x, y]))
+                cell = (at[own] - x) * SYMBOLS + (code[own] >> 2)
+                main = np.bincount(cell, n[own] * (code[own] & 3 == 1), minlength=(y - x) * SYMBOLS).reshape(-1, SYMBOLS)
+                less[x:y] = _packed(main, tree)
+                whole[x:y] = _packed(np.bincount(cell, n[own], minlength=(y - x) * SYMBOLS).reshape(-1, SYMBOLS), tree)
+            (whole, kind), (less, kind_less) = _kinds(whole), _kinds(less)
+            for i, (grp, own, tuned, *_) in enumerate(parts):
+                mine = index[sizes[i] : sizes[i + 1]]
+                for tuning in (False, True) if tuned.any() else (False,):
+                    used, row = _numbered(kind_less[mine[tuned]] if tuning else kind[mine])
+                    values = [_six(own[tuned] if tuning else own), *(zstandard.compress(x.tobytes(), 3) for x in (row.astype(np.uint32), (less if tuning else whole)[used]))]
+                    yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([current // blocks], pa.int32()), pa.array([tuning]), *(pa.array([v], pa.binary()) for v in values)], names=["grp", "predictor", "tuning", "keys", "kind", "rows"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != current and parts:
+                    yield from done()
+                    parts = []
+                current = row["block"]
+                entries = [np.frombuffer(zstandard.decompress(row[c]), t) for c, t in (("at", np.uint32), ("code", np.uint8), ("n", np.uint32))]
+                parts.append((row["grp"], _eight(row["keys"]), np.frombuffer(row["tuned"], bool), *entries))
+        if parts:
+            yield from done()
+
+    asked = groups.mapInArrow(ask, "block int, grp long, keys binary, tuned binary, at binary, code binary, n binary")
+    asked = asked.repartition(partitions(groups.sparkSession), "block").sortWithinPartitions("block")
+    return asked.mapInArrow(count, "grp long, predictor int, tuning boolean, keys binary, kind binary, rows binary")
+
+
+def _rows_of(answer: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of an answer, and which of them each of its keys has."""
+    return np.frombuffer(zstandard.decompress(answer["rows"]), np.uint8).reshape(-1, SYMBOLS), np.frombuffer(zstandard.decompress(answer["kind"]), np.uint32)
+
+
+class Rows:
+    """The rows that a group was given."""
+
+    def __init__(self, answers: list[dict]):
+        self.keys, self.kind, self.table = [], [], []
+        for k in range(PREDICTORS):
+            keys, kinds, tables, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros((0, SYMBOLS), np.uint8)], 0
+            for r in answers:
+                if r["predictor"] == k:
+                    table, kind = _rows_of(r)
+                    keys.append(_eight(r["keys"]))
+                    kinds.append(kind + np.uint32(n))
+                    tables.append(table)
+                    n += len(table)
+            keys = np.concatenate(keys)
+            order = np.argsort(keys)
+            self.keys.append(keys[order])
+            self.kind.append(np.concatenate(kinds)[order])
+            self.table.append(np.concatenate(tables).ravel())
+
+    def slots(self, stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for k, context in enumerate(_contexts(stream, begin)):
+            keys, index = _numbered(context)
+            out.append(self.kind[k][np.searchsorted(self.keys[k], keys)][index])
+        return out
 
 
 # ---------------------------------------------------------------- mixing
@@ -183,14 +313,20 @@ def start_weights() -> dict[str, np.ndarray]:
     return {"w": np.full((GATES, PREDICTORS), 0.4, dtype=np.float32), "map": np.zeros((GATES, 24), dtype=np.float32)}
 
 
-def _decisions(stream: np.ndarray, begin: np.ndarray, tree: Tree, table: np.ndarray) -> tuple:
+def _dense(stream: np.ndarray, begin: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+    """The rows of contexts in a dense table of a power of two of them."""
+    shift = np.uint64(48 - (table.shape[1] // SYMBOLS).bit_length() + 1)
+    return [(c >> shift).astype(np.uint32) for c in _contexts(stream, begin)]
+
+
+def _decisions(stream: np.ndarray, begin: np.ndarray, slots: list[np.ndarray], tree: Tree, table) -> tuple:
     """Of each decision: stretched predictions, gate and bit; of each row its first decision (one more at the end)."""
     symbol = tree.symbol[stream]
     n = tree.length[symbol]
     last = np.cumsum(n)
     code = np.arange(last[-1], dtype=np.int32) + np.repeat((tree.start[symbol] - last + n).astype(np.int32), n)
     node, bit = tree.node[code], tree.bit[code]
-    cells = [table[k].take(np.repeat(context << np.uint32(6), n) | node) for k, context in enumerate(_contexts(stream, begin))]
+    cells = [table[k].take(np.repeat(slot.astype(np.int64) << 6, n) | node) for k, slot in enumerate(slots)]
     gate = (cells[2] >> 5) << 3 | cells[1] >> 5
     return [_STRETCH.take(c, mode="clip") for c in cells], gate, bit, np.r_[0, last][begin]
 
@@ -204,38 +340,48 @@ def _refine(w: np.ndarray, st: list[np.ndarray], gate: np.ndarray, bit: np.ndarr
         w[:, k] += rate * (np.bincount(gate, err * s, minlength=GATES) / n).astype(np.float32)
 
 
-def tune(texts: list[str], tree: Tree, table: np.ndarray) -> dict[str, np.ndarray]:
-    """Start weights of the mixer, and the map, from a sample that the tables haven't seen."""
-    p = start_weights()
+def _tuned(data: np.ndarray, offsets: np.ndarray, tree: Tree, rows: Rows) -> dict[str, np.ndarray]:
+    """Of a group's tuning rows: weights of the mixer and decisions a gate; ones and all decisions a cell of the map."""
+    parts = []
+    for a, b in chunks(offsets, PART):
+        stream, begin = word_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        parts.append(_decisions(stream, begin, rows.slots(stream, begin), tree, rows.table)[:3])
+    w = start_weights()["w"]
     for _ in range(4):
-        for at in range(0, len(texts), 50):
-            data, offsets = utf8(pa.array(texts[at : at + 50], pa.large_string()))
-            stream, begin = word_stream(data, offsets)
-            st, gate, bit, _ = _decisions(stream, begin, tree, table)
+        for st, gate, bit in parts:
             for a in range(0, len(bit), 1 << 15):
                 part = slice(a, a + (1 << 15))
-                _refine(p["w"], [s[part] for s in st], gate[part], bit[part], 0.3)
-        if sum(map(len, texts)) > 4_000_000:
-            break
-    ones, all_ = np.zeros((GATES, 24)), np.zeros((GATES, 24))
-    for at in range(0, len(texts), 50):
-        data, offsets = utf8(pa.array(texts[at : at + 50], pa.large_string()))
-        stream, begin = word_stream(data, offsets)
-        st, gate, bit, _ = _decisions(stream, begin, tree, table)
-        dot = sum(p["w"][gate, k] * s for k, s in enumerate(st))
+                _refine(w, [s[part] for s in st], gate[part], bit[part], 0.3)
+    ones, all_ = np.zeros(GATES * 24), np.zeros(GATES * 24)
+    for st, gate, bit in parts:
+        dot = sum(np.ascontiguousarray(w[:, k]).take(gate) * s for k, s in enumerate(st))
         cell = gate.astype(np.int64) * 24 + np.clip(np.rint(dot * 1.5), -12, 11).astype(np.int64) + 12
-        ones += np.bincount(cell, bit, minlength=GATES * 24).reshape(GATES, 24)
-        all_ += np.bincount(cell, minlength=GATES * 24).reshape(GATES, 24)
+        ones += np.bincount(cell, bit, minlength=GATES * 24)
+        all_ += np.bincount(cell, minlength=GATES * 24)
+    return {"w": w.astype(float), "ones": ones.reshape(GATES, 24), "all": all_.reshape(GATES, 24)}
+
+
+def _combined(tuned: Iterator[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Start weights and map of all groups: the weights of a gate are means over its decisions."""
+    p = start_weights()
+    total, n = p["w"] * 1.0, np.ones((GATES, 1))
+    ones, all_ = np.zeros((GATES, 24)), np.zeros((GATES, 24))
+    for t in tuned:
+        mine = t["all"].sum(axis=1, keepdims=True)
+        total, n = total + t["w"] * mine, n + mine
+        ones, all_ = ones + t["ones"], all_ + t["all"]
     centre = (np.arange(24) - 12) / 1.5
     prior = 1 / (1 + np.exp(-centre))
+    p["w"] = (total / n).astype(np.float32)
     p["map"] = (np.log((ones + 20 * prior) / (all_ - ones + 20 * (1 - prior))) - centre).astype(np.float32)
     return p
 
 
 def log10_probability(data: np.ndarray, offsets: np.ndarray, tree: Tree, table: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the log10 probability of its stream and the stream's bytes."""
+    """Of each row the log10 probability of its stream and the stream's bytes; the table is dense or Rows."""
     stream, begin = word_stream(data, offsets)
-    st, gate, bit, first = _decisions(stream, begin, tree, table)
+    slots, table = (table.slots(stream, begin), table.table) if isinstance(table, Rows) else (_dense(stream, begin, table), table)
+    st, gate, bit, first = _decisions(stream, begin, slots, tree, table)
     out = np.add.reduceat(tree.escape[stream], begin[:-1])
     start = [np.ascontiguousarray(p["w"][:, k]) for k in range(PREDICTORS)]
     dots = sum(w.take(gate, mode="clip") * s for w, s in zip(start, st))
@@ -338,8 +484,8 @@ def _base(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def score(documents: DataFrame, learned, tuning) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability), bits_per_byte.
 
-    learned and tuning are boolean columns over doc_id: the rows to learn from, and those of them that only tune the mixer
-    (TUNING of them at most). Null texts are empty: one end token. doc_id must be unique and not null. Extra columns are ignored. An
+    learned and tuning are boolean columns over doc_id: the rows to learn from, and those of them that tune the mixer before
+    their counts join the others'. Null texts are empty: one end token. doc_id must be unique and not null. Extra columns are ignored. An
     empty table gives an empty result; where nothing is learned, base and model are uniform.
     """
     spark = documents.sparkSession
@@ -348,28 +494,54 @@ def score(documents: DataFrame, learned, tuning) -> DataFrame:
     vocabulary = parts.filter("words").agg(F.coalesce(F.sum("n_known"), F.lit(0)).alias("v"))
     parts = parts.filter("not words").drop("words")
 
-    tuned = documents.select("doc_id", "text").filter(learned & tuning & F.col("text").isNotNull())
     tree = Tree(_histogram(rows.filter("learned")))
-    table = _tables(documents.filter(learned & ~tuning).select("text"), tree)
-    sample = [r["text"] for r in tuned.filter(F.length("text") < 20_000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TUNING).select("text").collect()]
-    shared = spark.sparkContext.broadcast((tree, table, tune(sample, tree, table) if sample else start_weights()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, table, p = shared.value
+    fold = F.when(learned & tuning, 2).when(learned, 1).otherwise(0).alias("fold")
+    groups = _groups(documents.filter("doc_id is not null").select("doc_id", "text", fold))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    answers = saved(_answers(groups, tree, 1 + int(size) // BLOCK))
+    spark._jvm.System.gc()  # the plan before is let go only now
+    shared = spark.sparkContext.broadcast(tree)
+
+    def tuning_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            size, found, tokens = [], [], []
+            for row in batch.to_pylist():
+                ids, folds, offsets, data = _unpack(row)
+                mine = np.flatnonzero(folds == 2)
+                if len(mine):
+                    own = _pack(ids[mine], folds[mine], np.r_[0, np.cumsum(np.diff(offsets)[mine])], np.concatenate([data[offsets[r] : offsets[r + 1]] for r in mine]))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["grp"]], pa.int64()), *own.columns], names=["grp", *own.schema.names])
+
+    def tune(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {k: [] for k in ("w", "ones", "all")}
+        for row in left.to_pylist():
+            _, _, offsets, data = _unpack(row)
+            for k, v in _tuned(data, offsets, shared.value, Rows(right.to_pylist())).items():
+                out[k].append(v.tobytes())
+        return pa.table({k: pa.array(v, pa.binary()) for k, v in out.items()})
+
+    tuned = groups.mapInArrow(tuning_only, f"grp long, {_PACKED}").groupBy("grp").cogroup(answers.filter("tuning").groupBy("grp"))
+    tuned = tuned.applyInArrow(tune, "w binary, ones binary, all binary")
+    start = spark.sparkContext.broadcast(_combined({k: np.frombuffer(r[k]).reshape(GATES, -1) for k in ("w", "ones", "all")} for r in tuned.toLocalIterator()))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"doc_id": [], "learned": [], "n_tokens": [], "score": [], "size": []}
+        table = Rows(right.to_pylist())
+        for row in left.to_pylist():
+            ids, folds, offsets, data = _unpack(row)
+            out["doc_id"].append(ids)
+            out["learned"].append(folds > 0)
             for a, b in chunks(offsets, 1 << 16):
                 part = offsets[a : b + 1] - offsets[a]
                 own = data[offsets[a] : offsets[b]]
-                x, n = log10_probability(own, part, tree, table, p)
-                found.append(x)
-                size.append(n)
-                tokens.append(np.diff(word_spans(own, part)[2]) + 1)
-            join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("learned"), join(tokens, np.int64), join(found, float), join(size, np.int64)], names=["doc_id", "learned", "n_tokens", "score", "size"])
-
-    scored = saved(rows.mapInArrow(run, "doc_id long, learned boolean, n_tokens long, score double, size long"))
+                x, n = log10_probability(own, part, shared.value, table, start.value)
+                out["score"].append(x)
+                out["size"].append(n)
+                out["n_tokens"].append(np.diff(word_spans(own, part)[2]) + 1)
+        kinds = {"doc_id": np.int64, "learned": bool, "n_tokens": np.int64, "score": float, "size": np.int64}
+        return pa.table({k: pa.array(np.concatenate(v).astype(kinds[k]) if v else np.zeros(0, kinds[k])) for k, v in out.items()})
+
+    scored = groups.groupBy("grp").cogroup(answers.filter("not tuning").groupBy("grp"))
+    scored = saved(scored.applyInArrow(run, "doc_id long, learned boolean, n_tokens long, score double, size long"))
     facts = scored.agg(F.coalesce(F.sum(F.when(F.col("learned"), F.col("n_tokens"))), F.lit(0)).alias("n"), F.count(F.when(F.col("learned"), 1)).alias("ends"))
     facts = facts.crossJoin(vocabulary).first()  # one row each
     n, ends, v = facts["n"], facts["ends"], facts["v"] + (facts["ends"] > 0)
