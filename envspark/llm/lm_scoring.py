@@ -30,8 +30,10 @@ SYMBOLS, CONTEXTS = 64, 1 << 18
 PREDICTORS = 3
 #: Bytes of text of the documents that ask for rows together, of those worked on at once, and of those a block of contexts.
 GROUP, PART, BLOCK = 1 << 24, 1 << 20, 1 << 25
-#: Decisions between two refinements of a document's weights.
-STRETCH = 8192
+#: Decisions between two refinements of a document's weights and map: the least, and the most (a quarter of those before, between).
+STRETCH, LONGEST = 128, 1024
+#: Step widths of a document's weights and of its map a decision; more than 64 decisions of a cell in a stretch count as 64.
+RATE, MAP_RATE = 0.002, 0.02
 
 
 # ---------------------------------------------------------------- symbols and tree
@@ -383,21 +385,46 @@ def log10_probability(data: np.ndarray, offsets: np.ndarray, tree: Tree, table:
     slots, table = (table.slots(stream, begin), table.table) if isinstance(table, Rows) else (_dense(stream, begin, table), table)
     st, gate, bit, first = _decisions(stream, begin, slots, tree, table)
     out = np.add.reduceat(tree.escape[stream], begin[:-1])
-    start = [np.ascontiguousarray(p["w"][:, k]) for k in range(PREDICTORS)]
-    dots = sum(w.take(gate, mode="clip") * s for w, s in zip(start, st))
-    for r in np.flatnonzero(np.diff(first) > STRETCH):
-        w = p["w"].copy()
-        for x in range(first[r], first[r + 1], STRETCH):
-            part = slice(x, min(x + STRETCH, first[r + 1]))
-            own, g = [s[part] for s in st], gate[part]
-            if x > first[r]:
-                dots[part] = sum(np.ascontiguousarray(w[:, k]).take(g) * s for k, s in enumerate(own))
-            if part.stop < first[r + 1]:
-                _refine(w, own, g, bit[part], 0.02)
-    step = np.clip(np.rint(dots * np.float32(1.5)), -12, 11).astype(np.int16) + np.int16(12)
-    dots += p["map"].ravel().take(gate.astype(np.int16) * np.int16(24) + step)
-    cost = np.log1p(np.exp(dots * (1 - 2 * bit)))
-    return out - np.add.reduceat(cost.astype(np.float64), first[:-1]) / np.log(10), np.diff(begin)
+    return out - _cost(st, gate, bit, first, p) / np.log(10), np.diff(begin)
+
+
+def _cost(st: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, first: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """Of each row the cost of its decisions in nats; all rows take their n-th stretch together, the longest rows first.
+
+    Weights and map of a row are its own: a stretch is coded with what the row's earlier stretches made of them.
+    """
+    n = np.diff(first)
+    rows, most = len(n), int(n.max())
+    edges = [0]
+    while edges[-1] < most:
+        edges.append(edges[-1] + min(max(STRETCH, edges[-1] // 4), LONGEST))
+    rank = np.empty(rows, dtype=np.int32)
+    rank[np.argsort(-n, kind="stable")] = np.arange(rows, dtype=np.int32)
+    within = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    turn = np.repeat(np.arange(len(edges) - 1, dtype=np.uint16 if len(edges) < 65536 else np.uint32), np.diff(edges))[within]
+    order = np.argsort(turn, kind="stable")
+    cut = np.r_[0, np.cumsum(np.bincount(turn, minlength=len(edges) - 1))]
+    cell = (np.repeat(rank * np.int32(GATES), n) + gate)[order]
+    st, bit = [x[order] for x in st], bit[order]
+    w = [np.tile(p["w"][:, k], rows) for k in range(PREDICTORS)]
+    final = np.tile(p["map"].ravel(), rows)
+    cost = np.zeros(rows)
+    for t in range(len(edges) - 1):
+        part = slice(cut[t], cut[t + 1])
+        c, b, own = cell[part], bit[part], [x[part] for x in st]
+        active = int(c.max()) // GATES + 1
+        dot = sum(x.take(c) * y for x, y in zip(w, own))
+        place = c * np.int32(24) + (np.clip(np.rint(dot * np.float32(1.5)), -12, 11).astype(np.int32) + np.int32(12))
+        mapped = dot + final.take(place)
+        cost[:active] += np.bincount(c // GATES, np.log1p(np.exp(mapped * (1 - 2 * b))), minlength=active)
+        if t + 2 < len(edges):
+            miss = b - 1 / (1 + np.exp(-dot))
+            rate = RATE / np.maximum(np.bincount(c, minlength=active * GATES) / 64, 1)
+            for x, y in zip(w, own):
+                x[: active * GATES] += (rate * np.bincount(c, miss * y, minlength=active * GATES)).astype(np.float32)
+            found, hits = (np.bincount(place, v, minlength=active * GATES * 24) for v in (b - 1 / (1 + np.exp(-mapped)), None))
+            final[: len(found)] += (MAP_RATE * found / np.maximum(hits / 64, 1)).astype(np.float32)
+    return cost[rank]
 
 
 # ---------------------------------------------------------------- base counts
@@ -530,7 +557,7 @@ def score(documents: DataFrame, learned, tuning) -> DataFrame:
             ids, folds, offsets, data = _unpack(row)
             out["doc_id"].append(ids)
             out["learned"].append(folds > 0)
-            for a, b in chunks(offsets, 1 << 16):
+            for a, b in chunks(offsets, 1 << 18):
                 part = offsets[a : b + 1] - offsets[a]
                 own = data[offsets[a] : offsets[b]]
                 x, n = log10_probability(own, part, shared.value, table, start.value)

@@ -58,3 +58,17 @@ def test_every_context_has_its_row_of_counts(spark, monkeypatch):
             counts.setdefault(key, np.zeros(lm_scoring.SYMBOLS))[symbol] += zlib.crc32(str(i).encode()) % 7 != 2
     for key, n in counts.items():
         assert (tables[0][key] == lm_scoring._packed(n[None], tree)[0]).all()
+
+
+def test_a_short_document_refines_its_own_weights():
+    rng = np.random.default_rng(3)
+    table = np.full((3, lm_scoring.CONTEXTS * lm_scoring.SYMBOLS), 15 | 4 << 5, dtype=np.uint8)
+    table[0] = 25 | 4 << 5  # surely a one, and often wrong
+    tree = lm_scoring.Tree(np.bincount(rng.integers(97, 105, 1000), minlength=256))
+    text = np.frombuffer(_words(150, 5, "abcdefgh").encode(), np.uint8)
+    p = lm_scoring.start_weights()
+    whole, size = lm_scoring.log10_probability(text, np.array([0, len(text)]), tree, table, p)
+    short, few = lm_scoring.log10_probability(text[:30], np.array([0, 30]), tree, table, p)
+    assert whole[0] / size[0] > 0.9 * short[0] / few[0]
+    both, _ = lm_scoring.log10_probability(np.r_[text[:30], text, text[:30]], np.array([0, 30, 30 + len(text), 60 + len(text)]), tree, table, p)
+    assert np.allclose(both, [short[0], whole[0], short[0]])
