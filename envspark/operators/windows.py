@@ -46,17 +46,27 @@ def flash_jump(rates: DataFrame, history: int = 6) -> DataFrame:
 
 
 def severity_hysteresis(cells: DataFrame) -> DataFrame:
-    """(track, severities) over (track, frame, severity): a class rises at once and falls only after two lower frames running."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame", "severity"))), lambda e: e["severity"])
-    start = F.struct(F.lit(None).cast("int").alias("held"), F.lit(0).alias("low"), F.array().cast("array<int>").alias("out"))
+    """(track, frame, severities) over (track, frame, most, area_km2), an array a run of consecutive frames from its first frame.
+
+    A point for each of 45, 50 and 55 dBZ reached and one for 50 km2; 0 to 3 and more points are classes 0 to 3. A class rises
+    at once; it falls in one frame, but only as far as the points with 2 dB and 15 % of area of slack allow.
+    """
+
+    def points(slack: float, share: float):
+        steps = [F.col("most") >= x - slack for x in (45.0, 50.0, 55.0)] + [F.col("area_km2") >= 50.0 * (1 - share)]
+        return F.least(sum(F.coalesce(x, F.lit(False)).cast("int") for x in steps), F.lit(3))
+
+    order = W.partitionBy("track").orderBy("frame")
+    run = cells.select("track", "frame", points(0.0, 0.0).alias("strict"), points(2.0, 0.15).alias("relaxed"), (F.col("frame") - F.lag("frame").over(order) != 1).cast("int").alias("gap"))
+    run = run.withColumn("run", F.coalesce(F.sum("gap").over(order), F.lit(0)))
+    ordered = F.array_sort(F.collect_list(F.struct("frame", "strict", "relaxed")))
+    start = F.struct(F.lit(0).alias("held"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, s):
-        falls = s < acc["held"]
-        keep = falls & (acc["low"] < 1)
-        now = F.when(keep, acc["held"]).otherwise(s)
-        return F.struct(now.alias("held"), F.when(keep, acc["low"] + 1).otherwise(0).alias("low"), F.concat(acc["out"], F.array(now)).alias("out"))
+        now = F.greatest(s["strict"], F.least(acc["held"], s["relaxed"]))
+        return F.struct(now.alias("held"), F.concat(acc["out"], F.array(now)).alias("out"))
 
-    return cells.groupBy("track").agg(ordered.alias("s")).select("track", F.aggregate("s", start, step, lambda acc: acc["out"]).alias("severities"))
+    return run.groupBy("track", "run").agg(F.min("frame").alias("frame"), ordered.alias("s")).select("track", "frame", F.aggregate("s", start, step, lambda acc: acc["out"]).alias("severities"))
 
 
 def rank_rounded(df: DataFrame, score: str, digits: int, tie: str, partition: list[str]) -> DataFrame:

@@ -274,9 +274,10 @@ def win_rank(obs):
     return windows.rank_rounded(obs, "value", 1, "seq", ["parameter"]).select("seq", F.col("rank").cast("long").alias("rank"))
 
 
-@query("alerts")
-def win_severity_hysteresis(alerts):
-    return windows.severity_hysteresis(alerts.select(F.col("identifier").alias("track"), F.col("sent").alias("frame"), "severity"))
+@query("frames")
+def win_severity_hysteresis(frames):
+    cells = nowcast.cell_stats(nowcast.segment(frames, 30.0, 20), 30.0)  # of 1 km2 a pixel; a track is a label in frames running
+    return windows.severity_hysteresis(cells.select(F.col("label").alias("track"), "frame", "most", F.col("pixels").cast("double").alias("area_km2")))
 
 
 @query("strikes", """, p AS (SELECT id % 20 AS track, id AS frame, (lon - 19) * 50 AS x, (lat - 59) * 111.0 AS y FROM strikes), l AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS leg, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM p WINDOW w AS (PARTITION BY track ORDER BY frame))
