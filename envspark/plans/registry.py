@@ -58,6 +58,12 @@ def flt_time_list(obs):
     return filters.time_list(obs, obs.filter("seq % 50 = 0").select("time")).select("seq", "time")
 
 
+@query("obs")
+def flt_time_list_errors(obs):
+    """Reports of the instants at which a station reports an error."""
+    return filters.time_list(obs, obs.filter("parameter = 'error'").select("time")).select("seq", "time")
+
+
 @query("strikes", f"SELECT id FROM strikes s, (SELECT 25.0 AS lon, 62.0 AS lat) p WHERE {_HAVERSINE.format(a='p', b='s')} <= 150000")
 def flt_radius(strikes):
     return filters.radius(strikes, 25.0, 62.0, 150_000).select("id")
@@ -317,6 +323,13 @@ def set_diff_ledger(frames):
     return sorts.ledger_diff(old, old.select((F.col("frame") + 1).alias("frame"), "stamp"))
 
 
+@query("frames")
+def set_diff_ledger_all(frames):
+    """Over the whole grid; set_diff_ledger and its SQL see the rows below 10 only."""
+    old = frames.groupBy("frame").agg(F.count("*").alias("stamp"))
+    return sorts.ledger_diff(old, old.select((F.col("frame") + 1).alias("frame"), "stamp"))
+
+
 # ---------------------------------------------------------------- functions
 
 
@@ -375,6 +388,13 @@ def grid_position(frames, strikes):
     return rounded(grids.position(points, frames.filter("frame % 12 = 0"), ["frame"]), "value", digits=4)
 
 
+@query("frames strikes")
+def grid_position_all(frames, strikes):
+    """Every strike at every frame; grid_position and its SQL keep one point in ten and one frame in twelve."""
+    points = strikes.select("id", ((F.col("lon") - 19) * 1.4).alias("x"), ((F.col("lat") - 59) * 1.5).alias("y"))
+    return rounded(grids.position(points, frames, ["frame"]), "value", digits=4)
+
+
 @query("frames", """, a AS (SELECT f.frame, f.row_idx, f.col_idx, sum(n.value * CASE WHEN n.col_idx = f.col_idx THEN 2 ELSE 1 END) / sum(CASE WHEN n.col_idx = f.col_idx THEN 2 ELSE 1 END) AS value FROM frames f JOIN frames n ON n.frame = f.frame AND n.row_idx = f.row_idx AND abs(n.col_idx - f.col_idx) <= 1 GROUP BY 1, 2, 3)
  SELECT f.frame, f.row_idx, f.col_idx, round(sum(n.value * CASE WHEN n.row_idx = f.row_idx THEN 2 ELSE 1 END) / sum(CASE WHEN n.row_idx = f.row_idx THEN 2 ELSE 1 END), 4) AS value FROM a f JOIN a n ON n.frame = f.frame AND n.col_idx = f.col_idx AND abs(n.row_idx - f.row_idx) <= 1 GROUP BY 1, 2, 3""")
 def grid_smooth(frames):
