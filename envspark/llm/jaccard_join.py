@@ -8,17 +8,19 @@ then some segment must agree:
 * one-deletion keys (the subset without one shingle, for segments below the scheme's bound q) find subsets that differ in
   one shingle, and so count twice in the pigeonhole;
 * a document's allocation is 1 for each segment that isn't empty, and 1 more below q where it has two shingles or more. It
-  must reach B = 1 + (largest difference that this document can have). q is the least bound, by statistics over all
-  documents, for which every document reaches B at the smallest cost in keys;
+  must reach B = 1 + (largest difference that this document can have). Each document has its own q, the least with which it
+  reaches B, hence the fewest keys: of two documents the one with the smaller q finds all that its allocation counts on,
+  as the other has at least the same one-deletion keys;
 * keys shared by many unlinked documents (common passages) get allocation 0. Where the rest then misses B, the documents
   that share such keys go through another round with four times the segments, of which fewer hold nothing but common shingles;
   what is short after the last round also uses the rarest of its common keys, as many as it lacks, so no link is lost;
 * sets of up to TOKENS shingles use each shingle as a segment of its own, with the prefix bound B = size - overlap + 1.
 
-Keys travel as packed blocks of 5 key bytes and a 2-byte index of the document, and only keys of two documents or more leave
-the sort. Exact copies are one representative each; large groups are first linked to one central document each, of the group that shares most keys (a star), so
+Keys travel as packed blocks, sorted and coded by their differences, each with a 2-byte index of the document, and only keys of
+two documents or more leave the sort. Exact copies are one representative each, and only that one makes keys; large groups are first linked to one central document each, of the group that shares most keys (a star), so
 that a group of near copies is one component before pairs are made, and pairs are made only across components.
-Candidates are pruned by a parity sketch (a lower bound of the difference, hence exact) and verified on the whole sets.
+Candidates are pruned by sizes, then by a narrow and by a wide parity sketch (lower bounds of the difference, hence exact), and
+verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,14 +39,18 @@ from envspark.llm.common import chunks, mix, partitions, saved, shingle_sets, si
 from envspark.llm.components import components
 
 TOKENS = 24
-#: Distinct components that a key may hold before documents that can spare it leave it out.
-COMMON = 8
+#: Distinct components that a key may hold, and pairs across them a member, before documents that can spare it leave it out.
+COMMON, CROSS = 8, 64
 #: Rounds, each with so many doublings of the segments.
 ROUNDS = (0, 2)
 #: Least bits of a parity sketch, and bits a shingle. Of sets that differ in d shingles about d * d / bits places hide, so that with few bits unlike sets pass.
 SKETCH, SKETCH_BITS = 256, 4
+#: The narrow sketch is the wide one folded so many times, to no less than SKETCH bits.
+FOLDS = 2
 #: Entries that are packed together; the index of a document in a block has two bytes.
-BLOCK_ENTRIES, BLOCK_DOCUMENTS = 4_000_000, 60_000
+BLOCK_ENTRIES, BLOCK_DOCUMENTS = 2_000_000, 60_000
+#: Entries that a block of keys has about, as it is held whole by one task.
+MATCH_ENTRIES = 4_000_000
 #: Partners that an a may have at one place of the verification.
 PLACE = 256
 #: Documents of a common key that are compared at once.
@@ -106,7 +113,8 @@ def _needed(tokens: np.ndarray, scheme: int, budget: int, salt: int, fine: int)
     return exact, int(several[lack - 1]) + 1 if len(several) >= lack else segments(scheme, fine) + 1
 
 
-def _keys(tokens: np.ndarray, scheme: int, q: int, salt: int, fine: int) -> np.ndarray:
+def _keys(tokens: np.ndarray, scheme: int, budget: int, salt: int, fine: int) -> np.ndarray:
+    """The keys of a set under a scheme: exact ones, and one-deletion keys of the fewest segments with which it reaches the budget."""
     where, value, begin = _split(tokens, scheme, salt, fine)
     place = np.uint64(scheme * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     if not segments(scheme):
@@ -115,12 +123,14 @@ def _keys(tokens: np.ndarray, scheme: int, q: int, salt: int, fine: int) -> np.n
     total = np.add.reduceat(value, begin)
     at = mix(where[begin].astype(np.uint64) + place)
     keys = mix(total + at)
-    if not q:
+    lack = budget - len(begin)
+    if lack <= 0:
         return keys
     size = np.diff(np.r_[begin, len(where)])
-    group = np.repeat(np.arange(len(begin)), size)
-    use = (where < q) & (size[group] >= 2)
-    return np.concatenate([keys, mix(total[group[use]] - value[use] + at[group[use]])])
+    group = np.flatnonzero(size >= 2)[:lack]
+    group = np.repeat(group, size[group])
+    use = np.flatnonzero(np.isin(where, where[begin[group]]))
+    return np.concatenate([keys, mix(total[group] - value[use] + at[group])])
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
@@ -130,6 +140,12 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _folded(sketch: bytes) -> bytes:
+    """A sketch with fewer places, the parity of counts in the joined places."""
+    bits = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(bits.reshape(min(1 << FOLDS, len(sketch) * 8 // SKETCH), -1), axis=0).tobytes()
+
+
 def _differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Of pairs of sketches the places in which they differ; the wider one is folded first. No pair of sets differs in less."""
     out = np.zeros(len(a), dtype=np.int64)
@@ -151,11 +167,11 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
 
 
 def describe(documents: DataFrame, salt: int = 0, fine: int = 0) -> DataFrame:
-    """Of each document its size, the fingerprint of its set, per role the scheme, B, exact allocation and needed q, and its sketch."""
+    """Of each document its size, the fingerprint of its set, per role the scheme, B, exact allocation and needed q, and its sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches):
-            rows: dict[str, list] = {"doc_id": ids.tolist(), "n_shingles": [], "print_a": [], "print_b": [], "roles": [], "sketch": []}
+            rows: dict[str, list] = {"doc_id": ids.tolist(), "n_shingles": [], "print_a": [], "print_b": [], "roles": [], "sketch": [], "narrow": []}
             for tokens in sets:
                 rows["n_shingles"].append(len(tokens))
                 value = mix(tokens)
@@ -167,24 +183,37 @@ def describe(documents: DataFrame, salt: int = 0, fine: int = 0) -> DataFrame:
                     own.append({"scheme": scheme, "budget": budget, "exact": exact, "q": q})
                 rows["roles"].append(own)
                 rows["sketch"].append(_sketch(tokens) if len(tokens) else b"")
+                rows["narrow"].append(_folded(rows["sketch"][-1]) if len(tokens) else b"")
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     part = pa.struct([("scheme", pa.int32()), ("budget", pa.int64()), ("exact", pa.int64()), ("q", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("roles", pa.list_(part)), ("sketch", pa.binary())])
-    kind = "doc_id long, n_shingles long, print_a long, print_b long, roles array<struct<scheme:int,budget:long,exact:long,q:long>>, sketch binary"
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("roles", pa.list_(part)), ("sketch", pa.binary()), ("narrow", pa.binary())])
+    kind = "doc_id long, n_shingles long, print_a long, print_b long, roles array<struct<scheme:int,budget:long,exact:long,q:long>>, sketch binary, narrow binary"
     return documents.select("doc_id", "text").mapInArrow(run, kind)
 
 
-def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0, fine: int = 0) -> DataFrame:
+def _coded(values: np.ndarray) -> bytes:
+    """Sorted numbers of up to 40 bits by their differences, byte by byte of all, so that the rare high bytes shrink."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes(), 1)
+
+
+def _decoded(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(5, -1)
+    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    steps[:, :5] = planes.T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def shared_keys(documents: DataFrame, entries: int, salt: int = 0, fine: int = 0) -> DataFrame:
     """(gid, scheme, doc_id, n_keys): the sets of two documents or more that share a key, with the number of keys that exactly these share.
 
-    q has one entry a scheme, and there are as many schemes as powers of 16/9 up to the largest set.
+    entries: about as many keys as there are, of which the number of blocks follows.
     """
-    blocks = 4 * partitions(documents.sparkSession)
+    blocks = max(4 * partitions(documents.sparkSession), 1 + entries // MATCH_ENTRIES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, np.ndarray]] = []
-        seen: set[bytes] = set()
         entries = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -193,12 +222,14 @@ def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0, fine: in
             keys = np.concatenate([k for _, _, k in held])
             scheme = np.repeat(np.array([s for _, s, _ in held], dtype=np.uint8), size)
             owner = np.repeat(np.arange(len(held), dtype=np.uint16), size)
-            block = (keys >> np.uint64(40)) % np.uint64(blocks)
-            order = np.argsort(block.astype(np.uint32), kind="stable")
-            # the scheme takes the place of the lowest byte, so that groups of different schemes stay apart
-            raw = (keys & np.uint64(0xFFFFFFFF00) | scheme)[order].view(np.uint8).reshape(-1, 8)[:, :5]
-            owner = owner[order]
-            cut = np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
+            block = ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.uint32)
+            # the scheme comes first, so that groups of different schemes stay apart
+            low = keys & np.uint64(0xFFFFFFFF) | scheme.astype(np.uint64) << np.uint64(32)
+            del keys, scheme
+            order = np.lexsort((low, block))
+            low, owner = low[order], owner[order]
+            cut = np.searchsorted(block[order], np.arange(blocks + 1))
+            del block, order
             out: dict[str, list] = {"block": [], "ids": [], "owners": [], "keys": []}
             for b in np.flatnonzero(np.diff(cut)):
                 x, y = cut[b], cut[b + 1]
@@ -206,21 +237,16 @@ def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0, fine: in
                 out["block"].append(int(b))
                 out["ids"].append(ids[used].tobytes())
                 out["owners"].append(local.astype(np.uint16).tobytes())
-                out["keys"].append(np.ascontiguousarray(raw[x:y]).tobytes())
+                out["keys"].append(_coded(low[x:y]))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
             held.clear()
-            seen.clear()
 
         for ids, sets in _batches(batches):
             for doc, tokens in zip(ids.tolist(), sets):
                 if not len(tokens):
                     continue
-                same = tokens.tobytes() if len(tokens) < 4 else signed(np.array([mix(tokens).sum(), len(tokens)], dtype=np.uint64)).tobytes()
-                if same in seen:  # a copy in the same block; copies are told by their fingerprints
-                    continue
-                seen.add(same)
-                for scheme, _ in roles(len(tokens)):
-                    held.append((doc, scheme, _keys(tokens, scheme, q.get(scheme, 0), salt, fine)))
+                for scheme, budget in roles(len(tokens)):
+                    held.append((doc, scheme, _keys(tokens, scheme, budget, salt, fine)))
                     entries += len(held[-1][2])
                 if entries >= BLOCK_ENTRIES or len(held) >= BLOCK_DOCUMENTS:
                     yield from flush()
@@ -229,15 +255,14 @@ def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0, fine: in
             yield from flush()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts, known = None, [], set()
+        current, parts = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids = np.concatenate([p[0][p[1]] for p in parts])
-            raw = np.zeros((len(ids), 8), dtype=np.uint8)
-            raw[:, :5] = np.concatenate([p[2] for p in parts])
-            keys = raw.view(np.uint64).ravel()
+            keys = np.concatenate([p[2] for p in parts])
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
+            del order
             begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             size = np.diff(np.r_[begin, len(keys)])
             several = np.repeat(size >= 2, size)
@@ -247,15 +272,15 @@ def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0, fine: in
                 keys, ids = keys[fresh], ids[fresh]
                 begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 size = np.diff(np.r_[begin, len(keys)])
-                scheme = (keys[begin] & np.uint64(255)).astype(np.int32)
+                scheme = (keys[begin] >> np.uint64(32)).astype(np.int32)
                 total = np.add.reduceat(mix(ids.view(np.uint64)), begin)
                 gid = signed(mix(total + mix(scheme.astype(np.uint64) + np.uint64(7))))
                 keep = np.flatnonzero(size >= 2)
                 if len(keep):
                     groups, at, count = np.unique(gid[keep], return_index=True, return_counts=True)
                     at = keep[at]
-                    rows = np.concatenate([np.arange(begin[i], begin[i] + size[i]) for i in at])
                     each = size[at]
+                    rows = np.arange(each.sum()) + np.repeat(begin[at] - np.cumsum(each) + each, each)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups, each)), pa.array(np.repeat(scheme[at], each)), pa.array(ids[rows]), pa.array(np.repeat(count, each))], schema=found)
 
         for batch in batches:
@@ -264,7 +289,7 @@ def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0, fine: in
                     yield from flush()
                     parts = []
                 current = row["block"]
-                parts.append((np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owners"], np.uint16), np.frombuffer(row["keys"], np.uint8).reshape(-1, 5)))
+                parts.append((np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owners"], np.uint16), _decoded(row["keys"])))
         if parts:
             yield from flush()
 
@@ -275,15 +300,11 @@ def shared_keys(documents: DataFrame, q: dict[int, int], salt: int = 0, fine: in
     return groups.groupBy("gid", "scheme", "doc_id").agg(F.sum("n_keys").alias("n_keys"))
 
 
-def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the candidate pairs (a, b) those with Jaccard >= 3/4, first by sizes and sketches, then by their whole sets.
-
-    The sets travel once a pair, to the place of a; an a with many partners has a place for every PLACE of them.
-    """
-    small = described.select("doc_id", "n_shingles", "sketch")
-    a = small.toDF("a", "size_a", "sketch_a")
-    b = small.toDF("b", "size_b", "sketch_b")
-    near = pairs.join(a, "a").join(b, "b").filter("4 * size_a >= 3 * size_b and 4 * size_b >= 3 * size_a")
+def _pruned(described: DataFrame, pairs: DataFrame, sketch: str) -> DataFrame:
+    """The pairs (a, b), a saved table, that sizes and sketches let pass."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    facts = _among(described.select("doc_id", "n_shingles", sketch), saved(ids))
+    near = pairs.join(facts.toDF("a", "size_a", "sketch_a"), "a").join(facts.toDF("b", "size_b", "sketch_b"), "b").filter("4 * size_a >= 3 * size_b and 4 * size_b >= 3 * size_a")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,12 +314,21 @@ def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> Da
             size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(7 * differ <= size))
 
-    near = saved(near.mapInArrow(prune, "a long, b long"))
+    return near.mapInArrow(prune, "a long, b long")
+
+
+def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the candidate pairs (a, b), a saved table, those with Jaccard >= 3/4, first by sizes and sketches, then by their whole sets.
+
+    The sets travel once a pair, to the place of a; an a with many partners has a place for every PLACE of them.
+    """
+    near = saved(_pruned(described, pairs, "narrow"))
+    near = saved(_pruned(described, near, "sketch"))
     places = near.groupBy("a").agg(F.ceil(F.count("*") / PLACE).alias("places"))
     spread = near.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), "places").alias("place"))
     demand = spread.select(F.col("b").alias("doc_id"), "a", "place", F.lit(1).alias("side")).union(spread.select(F.col("a").alias("doc_id"), "a", "place", F.lit(0).alias("side")).distinct())
     demand = saved(demand.groupBy("doc_id").agg(F.collect_list(F.struct("a", "place", "side")).alias("to")))
-    texts = _texts(documents, demand.select("doc_id"))
+    texts = _among(documents, demand.select("doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,25 +362,27 @@ def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> Da
     return full.repartition(partitions(documents.sparkSession), "a", "place").sortWithinPartitions("a", "place", "side").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id is among ids, a saved table of distinct ones."""
-    if ids.count() <= BROADCAST_IDS:  # else the join shuffles all texts
+def _among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose doc_id is among ids (left_anti: isn't), a saved table of distinct ones."""
+    if ids.count() <= BROADCAST_IDS:  # else the join shuffles all rows
         ids = F.broadcast(ids)
-    return documents.join(ids, "doc_id", "left_semi")
+    return rows.join(ids, "doc_id", how)
+
 
+def _described(documents: DataFrame, fine: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """What describe() says, its roles as rows, about as many keys as they have, and the salt that it was said with.
 
-def _placed(documents: DataFrame, fine: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """What describe() says, its roles as rows, and what shared_keys() finds under the cheapest q."""
+    That a set of thirty shingles falls into so few segments that it can't reach its B has a chance below 1e-12, and less for
+    a larger one; should there be one, all get another salt.
+    """
     salt = 0
     while True:
         described = saved(describe(documents, salt, fine))
         role = described.select("doc_id", F.explode("roles").alias("r")).select("doc_id", "r.*")
-        need = {r["scheme"]: r for r in role.groupBy("scheme").agg(F.max("q").alias("q"), F.max("budget").alias("b")).collect()}
-        if all(r["q"] <= segments(s, fine) for s, r in need.items()):
-            break
-        salt += 1  # some set falls into so few segments that it can't reach its B
-    q = {s: min(segments(s, fine), r["q"] + 1 + r["b"] // 16) for s, r in need.items() if segments(s)}
-    return described, role, shared_keys(documents, q, salt, fine)
+        need = role.groupBy("scheme").agg(F.max("q").alias("q"), F.sum("exact").alias("exact"), F.sum(F.greatest(F.lit(0), F.col("budget") - F.col("exact"))).alias("lack")).collect()
+        if all(r["q"] <= segments(r["scheme"], fine) for r in need):
+            return described, role, sum(r["exact"] + 3 * r["lack"] for r in need), salt
+        salt += 1
 
 
 def _across(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -377,7 +409,8 @@ def _near_in_blocks(left: DataFrame, right: DataFrame, described: DataFrame) ->
     left = saved(_alike(left, groups))
     right = saved(_alike(right, groups).join(left.select("gid", "doc_id", F.lit(True).alias("asks")), ["gid", "doc_id"], "left"))
     blocks = right.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    facts = described.select("doc_id", "n_shingles", "sketch")
+    ids = saved(left.select("doc_id").union(right.select("doc_id")).distinct())
+    facts = _among(described.select("doc_id", "n_shingles", "sketch"), ids)
 
     def side(rows: DataFrame, number: int) -> DataFrame:
         own, other = ("x", "y") if number == 0 else ("y", "x")
@@ -425,38 +458,38 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     doc_id each is returned. Extra columns are ignored. An empty table gives an empty result.
     """
     documents = documents.select("doc_id", "text").filter("doc_id is not null")
-    described, role, groups = _placed(documents, 0)
+    described, role, entries, salt = _described(documents, 0)
 
     full = described.filter("n_shingles > 0").dropDuplicates(["doc_id", "print_a", "print_b"])
     first = full.groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     copies = saved(full.select("doc_id", "n_shingles", "print_a", "print_b").join(first, ["n_shingles", "print_a", "print_b"]).select("doc_id", "rep").filter("doc_id <> rep"))
 
-    def of_copies(found: DataFrame) -> DataFrame:
-        found = found.join(copies, "doc_id", "left").select("gid", "scheme", F.coalesce("rep", "doc_id").alias("doc_id"), "n_keys")
-        return saved(found.groupBy("gid", "scheme", "doc_id").agg(F.max("n_keys").alias("n_keys")))
-
-    groups = of_copies(groups)
+    documents = _among(documents, copies.select("doc_id"), "left_anti")
+    groups = saved(shared_keys(documents, entries, salt))
     # the hub of a gid is its most central document, the one that shares most keys with most others
     size = groups.groupBy("gid").agg(F.count("*").alias("size")).filter("size > 1")
     centre = groups.join(size, "gid").groupBy("doc_id").agg(F.sum(F.col("n_keys") * F.col("size")).alias("centre"))
     hub = groups.join(centre, "doc_id").groupBy("gid").agg(F.max_by("doc_id", F.struct("centre", F.negative("doc_id"))).alias("a"))
     star = groups.join(hub, "gid").filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.sum("n_keys").alias("n"))
     star = star.groupBy("b").agg(F.max_by("a", F.struct("n", F.negative("a"))).alias("a")).select("a", "b")
-    links = saved(verified(documents, described, star))
+    links = saved(verified(documents, described, saved(star)))
 
     label = components(links).withColumnRenamed("node", "doc_id")
     short = None
     for fine in ROUNDS:
         if fine:
-            _, role, groups = _placed(_texts(documents, again), fine)
-            groups = of_copies(groups)
+            some = _among(documents, again)
+            _, role, entries, salt = _described(some, fine)
+            groups = saved(shared_keys(some, entries, salt, fine))
         placed = groups.join(label, "doc_id", "left").select("gid", "scheme", "doc_id", "n_keys", F.coalesce("component", "doc_id").alias("component"))
-        spread = placed.groupBy("gid", "component").agg(F.count("*").alias("members")).groupBy("gid").agg(F.count("*").alias("n"), F.sum("members").alias("members")).filter("n > 1")
-        placed = saved(placed.join(spread, "gid"))
-        few = placed.filter(F.col("n") <= COMMON).select("gid", "doc_id", "component")
+        spread = placed.groupBy("gid", "component").agg(F.count("*").alias("m")).groupBy("gid")
+        spread = spread.agg(F.count("*").alias("n"), F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("within")).filter("n > 1")
+        crowd = (F.col("n") > COMMON) | (F.col("members") * F.col("members") - F.col("within") > 2 * CROSS * F.col("members"))
+        placed = saved(placed.join(spread.select("gid", "members", crowd.alias("crowd")), "gid"))
+        few = placed.filter("not crowd").select("gid", "doc_id", "component")
         wanting = few if short is None else few.join(short, "doc_id", "left_semi")
         pairs = _across(wanting, few)
-        common = placed.filter(F.col("n") > COMMON)
+        common = placed.filter("crowd")
         mine = common if short is None else common.join(short, "doc_id", "left_semi")
         # of its common keys a document needs as many as it lacks, the rarest first
         spent = mine.groupBy("doc_id", "scheme").agg(F.sum("n_keys").alias("spent"))
@@ -471,7 +504,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         if fine == ROUNDS[-1]:
             asked = common.join(left.select("gid").distinct(), "gid", "left_semi")
             pairs = pairs.union(_near_in_blocks(left, asked, described)).distinct()
-        links = links.union(saved(verified(documents, described, pairs)))
+        links = links.union(saved(verified(documents, described, saved(pairs))))
         if last:
             break
     label = components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
