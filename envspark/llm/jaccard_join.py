@@ -30,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import chunks, mix, partitions, saved, shingle_sets, signed, utf8
+from envspark.llm.common import chunks, coded, decoded, mix, partitions, saved, shingle_sets, signed, utf8
 from envspark.llm.components import components
 
 TOKENS = 24
@@ -192,19 +191,6 @@ def describe(documents: DataFrame, salt: int = 0, fine: int = 0) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, kind)
 
 
-def _coded(values: np.ndarray) -> bytes:
-    """Sorted numbers of up to 40 bits by their differences, byte by byte of all, so that the rare high bytes shrink."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes(), 1)
-
-
-def _decoded(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(5, -1)
-    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    steps[:, :5] = planes.T
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def shared_keys(documents: DataFrame, entries: int, salt: int = 0, fine: int = 0) -> DataFrame:
     """(gid, scheme, doc_id, n_keys): the sets of two documents or more that share a key, with the number of keys that exactly these share.
 
@@ -237,7 +223,7 @@ def shared_keys(documents: DataFrame, entries: int, salt: int = 0, fine: int = 0
                 out["block"].append(int(b))
                 out["ids"].append(ids[used].tobytes())
                 out["owners"].append(local.astype(np.uint16).tobytes())
-                out["keys"].append(_coded(low[x:y]))
+                out["keys"].append(coded(low[x:y], 5))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
             held.clear()
 
@@ -289,7 +275,7 @@ def shared_keys(documents: DataFrame, entries: int, salt: int = 0, fine: int = 0
                     yield from flush()
                     parts = []
                 current = row["block"]
-                parts.append((np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owners"], np.uint16), _decoded(row["keys"])))
+                parts.append((np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owners"], np.uint16), decoded(row["keys"], 5)))
         if parts:
             yield from flush()
 

@@ -9,7 +9,9 @@ select (the gate), starts each document from weights learned on all tuning rows
 refines them on the document itself, stretch by stretch, each from what came before only. An adaptive map from the mixed to the observed probability comes last. The score
 is the sum of log10 probabilities of all decisions, hence a distribution over texts.
 
-Beside it runs the unigram base of words with add-one smoothing, whose counts are joined to the documents exactly.
+Beside it runs the unigram base of words with add-one smoothing. Its words go the way of the contexts: a group of documents
+asks the block of each of its distinct words for the word's count, so that a frequent word is one entry a group. Words are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import END, LOWER, chunks, mix, partitions, saved, span_hashes, utf8, word_spans, word_stream
+from envspark.llm.common import END, chunks, coded, decoded, mix, partitions, saved, span_hashes, utf8, word_stream
 
 #: Symbols of the tree (the last is an escape to a plain byte), and rows of a dense table that log10_probability() is given.
 SYMBOLS, CONTEXTS = 64, 1 << 18
 PREDICTORS = 3
+#: Stands for the words among the predictors.
+WORDS = PREDICTORS
 #: Bytes of text of the documents that ask for rows together, of those worked on at once, and of those a block of contexts.
 GROUP, PART, BLOCK = 1 << 24, 1 << 20, 1 << 25
 #: Decisions between two refinements of a document's weights and map: the least, and the most (a quarter of those before, between).
-STRETCH, LONGEST = 128, 1024
-#: Step widths of a document's weights and of its map a decision; more than 64 decisions of a cell in a stretch count as 64.
+STRETCH, LONGEST = 128, 4096
+#: Step widths of a document's weights and of its map a decision.
 RATE, MAP_RATE = 0.002, 0.02
 
 
@@ -108,18 +112,18 @@ def _contexts(stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
 # ---------------------------------------------------------------- learning
 
 
-def _histogram(texts: DataFrame) -> np.ndarray:
+def _histogram(groups: DataFrame) -> np.ndarray:
+    """How often each byte is in the streams of learned rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, dtype=np.int64)
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in chunks(offsets):
-                stream, _ = word_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                total += np.bincount(stream, minlength=256)
+            for raw in batch.column("bytes").to_pylist():
+                total += np.frombuffer(raw, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
     out = np.zeros(256, dtype=np.int64)
-    for r in texts.select("text").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in groups.select("bytes").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         out[r["byte"]] = r["n"]
     return out
 
@@ -130,26 +134,32 @@ def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
 
 
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+_PACKED = "ids binary, folds binary, offsets binary, text binary"
+#: Added to the fold of a row without a doc_id.
+NO_ID = 4
+
 
+def _pack(ids: np.ndarray, folds: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
+    return [ids.tobytes(), folds.tobytes(), offsets.astype(np.int64).tobytes(), zstandard.compress(data.tobytes(), 6)]
 
-def _eight(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of four bytes, byte by byte of all, so that the rare high bytes shrink."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
-_PACKED = "ids binary, folds binary, offsets binary, text binary"
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _pack(ids: np.ndarray, folds: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
-    row = [ids.tobytes(), folds.tobytes(), offsets.astype(np.int64).tobytes(), zstandard.compress(data.tobytes(), 1)]
-    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["ids", "folds", "offsets", "text"])
+def _row(names: str, values: list) -> pa.RecordBatch:
+    """One row of binary columns and numbers."""
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else None) for v in values], names=names.split())
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """(grp, ids, folds, offsets, text): documents of about GROUP bytes packed in a row; fold 0 is held out, 1 learned, 2 tuning."""
+    """(grp, ids, folds, offsets, text, bytes): streams of documents of about GROUP bytes packed in a row; fold 0 is held out, 1
+    learned, 2 tuning; bytes is the histogram of learned streams."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -157,20 +167,23 @@ def _groups(rows: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             ids, folds, sizes, data = (np.concatenate([h[i] for h in held]) for i in range(4))
             held.clear()
-            return _pack(ids, folds, np.r_[0, np.cumsum(sizes)], data)
+            learned = np.bincount(data[np.repeat(folds & 3 > 0, sizes)], minlength=256).astype(np.int64)
+            return _row("ids folds offsets text bytes", [*_pack(ids, folds, np.r_[0, np.cumsum(sizes)], data), learned.tobytes()])
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            folds = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids = batch.column("doc_id")
+            folds = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.uint8) + NO_ID * ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in chunks(offsets, PART):
-                held.append((ids[a:b], folds[a:b], np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]].copy()))
+                stream, begin = word_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                held.append((ids[a:b], folds[a:b], np.diff(begin), stream))
                 if sum(len(h[3]) for h in held) >= GROUP:
                     yield done()
         if held:
             yield done()
 
-    packed = rows.mapInArrow(pack, _PACKED)
+    packed = rows.mapInArrow(pack, f"{_PACKED}, bytes binary")
     return saved(packed.select(F.monotonically_increasing_id().alias("grp"), "*"))
 
 
@@ -178,6 +191,26 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["folds"], np.uint8), np.frombuffer(row["offsets"], np.int64), np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
 
 
+def _streams(offsets: np.ndarray, data: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of rows of about limit bytes with their streams and where each begins (one more at the end)."""
+    for a, b in chunks(offsets, limit):
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def _picked(offsets: np.ndarray, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The streams of some rows, and where each begins (one more at the end)."""
+    return np.concatenate([data[offsets[r] : offsets[r + 1]] for r in rows]), np.r_[0, np.cumsum(np.diff(offsets)[rows])]
+
+
+def _words(stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the streams, and of each stream its number of words."""
+    ends = np.flatnonzero((stream == 32) | (stream == END))
+    starts = np.r_[0, ends[:-1] + 1]
+    whole = ends > starts  # an empty text is an end mark alone
+    starts, ends = starts[whole], ends[whole]
+    return span_hashes(stream, starts, ends), np.diff(np.searchsorted(starts, begin))
+
+
 def _packed(n: np.ndarray, tree: Tree) -> np.ndarray:
     """Of counts over symbols, for each inner node one byte: a stretched probability in 5 bits and a confidence in 3."""
     n0, n1 = (n.astype(np.float32) @ tree.leaves[:, side].T for side in (0, 1))
@@ -197,43 +230,67 @@ def _kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
-    """(grp, predictor, tuning, keys, kind, rows): the rows of all contexts of a group, from the counts of all learned rows; for the
-    contexts of its tuning rows also those from the counts of the other learned rows."""
+    """(grp, block, tuning, kind, rows, words, tokens): the rows of all contexts of a group, from the counts of all learned rows; for
+    the contexts of its tuning rows also those from the counts of the other learned rows. They are in the order of contexts, which
+    do not travel back. Blocks from WORDS * blocks on have the counts of words in kind; a block's answers add up to its distinct
+    learned words and their tokens."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 _, folds, offsets, data = _unpack(row)
+                folds = folds & 3
                 found: list[list] = [[] for _ in range(PREDICTORS)]
-                for a, b in chunks(offsets, PART):
-                    stream, begin = word_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    code = tree.symbol[stream].astype(np.int64) << 2 | np.repeat(folds[a:b], np.diff(begin))
+                words = []
+                for a, b, stream, begin in _streams(offsets, data, PART):
+                    hashes, n = _words(stream, begin)
+                    words.append((hashes, np.repeat(folds[a:b] > 0, n)))
+                    code = tree.symbol[stream].astype(np.uint64) << np.uint64(2) | np.repeat(folds[a:b], np.diff(begin))
                     for k, context in enumerate(_contexts(stream, begin)):
-                        keys, index = _numbered(context)
-                        cells, index = _numbered(index.astype(np.int64) << 8 | code)
-                        found[k].append((keys[cells >> 8], cells & 255, np.bincount(index)))
+                        cells, index = _numbered(context << np.uint64(8) | code)
+                        found[k].append((cells, np.bincount(index)))
                 for k, parts in enumerate(found):
-                    keys, codes, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-                    keys, index = np.unique(keys, return_inverse=True)
-                    cells, index = np.unique(index << 8 | codes, return_inverse=True)
+                    cells, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+                    cells, index = np.unique(cells, return_inverse=True)
                     n = np.bincount(index, n).astype(np.uint32)
-                    at, fold = cells >> 8, cells & 3
+                    keys = cells >> np.uint64(8)
+                    new = np.r_[True, keys[1:] != keys[:-1]]
+                    keys, at, code = keys[new], np.cumsum(new) - 1, cells.astype(np.uint8)
+                    fold = code & 3
                     tuned = np.zeros(len(keys), dtype=np.uint8)
                     tuned[at[fold == 2]] = 1
                     learned = fold > 0
-                    at, code, n = at[learned], (cells & 255).astype(np.uint8)[learned], n[learned]
+                    at, code, n = at[learned], code[learned], n[learned]
                     block = (keys >> np.uint64(16)) * np.uint64(blocks) >> np.uint64(32)
                     cut = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
                     held = np.searchsorted(at, cut)
                     for x in np.flatnonzero(np.diff(cut)):
                         own, e = slice(cut[x], cut[x + 1]), slice(held[x], held[x + 1])
-                        values = [_six(keys[own]), tuned[own].tobytes(), *(zstandard.compress(v.tobytes(), 1) for v in ((at[e] - cut[x]).astype(np.uint32), code[e], n[e]))]
-                        yield pa.RecordBatch.from_arrays([pa.array([k * blocks + int(x)], pa.int32()), pa.array([row["grp"]], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names=["block", "grp", "keys", "tuned", "at", "code", "n"])
+                        values = [coded(keys[own], 6), tuned[own].tobytes(), coded((at[e] - cut[x]).astype(np.uint64), 4), zstandard.compress(code[e].tobytes(), 1), _planes(n[e])]
+                        yield _row("block grp keys tuned at code n", [k * blocks + int(x), row["grp"], *values])
+                keys, index = np.unique(np.concatenate([w[0] for w in words]), return_inverse=True)
+                n = np.bincount(index, np.concatenate([w[1] for w in words]), minlength=len(keys)).astype(np.uint32)
+                cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32), np.arange(blocks + 1, dtype=np.uint64))
+                for x in np.flatnonzero(np.diff(cut)):
+                    own = slice(cut[x], cut[x + 1])
+                    yield _row("block grp keys tuned at code n", [WORDS * blocks + int(x), row["grp"], keys[own].tobytes(), b"", b"", b"", _planes(n[own])])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
 
+        def counted() -> Iterator[pa.RecordBatch]:
+            sizes = np.cumsum([0] + [len(p[1]) for p in parts])
+            keys, index = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+            count = np.bincount(index, np.concatenate([p[3] for p in parts]), minlength=len(keys)).astype(np.int64)
+            facts = [int((count > 0).sum()), int(count.sum())]
+            for i, (grp, own, *_) in enumerate(parts):
+                mine = count[index[sizes[i] : sizes[i + 1]]]
+                yield _row(names, [grp, current, False, zstandard.compress(mine.tobytes(), 1), b"", *(facts if i == 0 else (0, 0))])
+
         def done() -> Iterator[pa.RecordBatch]:
+            if current // blocks == WORDS:
+                yield from counted()
+                return
             sizes = np.cumsum([0] + [len(p[1]) for p in parts])
             keys, index = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
             at = np.concatenate([index[sizes[i] + p[3]] for i, p in enumerate(parts)])
@@ -253,8 +310,7 @@ def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
                 mine = index[sizes[i] : sizes[i + 1]]
                 for tuning in (False, True) if tuned.any() else (False,):
                     used, row = _numbered(kind_less[mine[tuned]] if tuning else kind[mine])
-                    values = [_six(own[tuned] if tuning else own), *(zstandard.compress(x.tobytes(), 3) for x in (row.astype(np.uint32), (less if tuning else whole)[used]))]
-                    yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([current // blocks], pa.int32()), pa.array([tuning]), *(pa.array([v], pa.binary()) for v in values)], names=["grp", "predictor", "tuning", "keys", "kind", "rows"])
+                    yield _row(names, [grp, current, tuning, _planes(row.astype(np.uint32)), zstandard.compress((less if tuning else whole)[used].tobytes(), 3), 0, 0])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -262,40 +318,56 @@ def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
                     yield from done()
                     parts = []
                 current = row["block"]
-                entries = [np.frombuffer(zstandard.decompress(row[c]), t) for c, t in (("at", np.uint32), ("code", np.uint8), ("n", np.uint32))]
-                parts.append((row["grp"], _eight(row["keys"]), np.frombuffer(row["tuned"], bool), *entries))
+                if current // blocks == WORDS:
+                    parts.append((row["grp"], np.frombuffer(row["keys"], np.uint64), None, _numbers(row["n"])))
+                    continue
+                entries = [decoded(row["at"], 4).astype(np.int64), np.frombuffer(zstandard.decompress(row["code"]), np.uint8), _numbers(row["n"])]
+                parts.append((row["grp"], decoded(row["keys"], 6), np.frombuffer(row["tuned"], bool), *entries))
         if parts:
             yield from done()
 
-    asked = groups.mapInArrow(ask, "block int, grp long, keys binary, tuned binary, at binary, code binary, n binary")
+    names = "grp block tuning kind rows words tokens"
+    asked = groups.select("grp", "ids", "folds", "offsets", "text").mapInArrow(ask, "block long, grp long, keys binary, tuned binary, at binary, code binary, n binary")
     asked = asked.repartition(partitions(groups.sparkSession), "block").sortWithinPartitions("block")
-    return asked.mapInArrow(count, "grp long, predictor int, tuning boolean, keys binary, kind binary, rows binary")
+    return asked.mapInArrow(count, "grp long, block long, tuning boolean, kind binary, rows binary, words long, tokens long")
 
 
 def _rows_of(answer: dict) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of an answer, and which of them each of its keys has."""
-    return np.frombuffer(zstandard.decompress(answer["rows"]), np.uint8).reshape(-1, SYMBOLS), np.frombuffer(zstandard.decompress(answer["kind"]), np.uint32)
+    return np.frombuffer(zstandard.decompress(answer["rows"]), np.uint8).reshape(-1, SYMBOLS), _numbers(answer["kind"])
 
 
 class Rows:
-    """The rows that a group was given."""
-
-    def __init__(self, answers: list[dict]):
-        self.keys, self.kind, self.table = [], [], []
+    """The rows that a group, or its tuning rows, were given, by the contexts of their streams."""
+
+    def __init__(self, answers: list[dict], blocks: int, offsets: np.ndarray, data: np.ndarray):
+        answers = sorted(answers, key=lambda r: r["block"])
+        seen: list[list] = [[] for _ in range(PREDICTORS + 1)]
+        for _, _, stream, begin in _streams(offsets, data, PART):
+            for k, x in enumerate([*_contexts(stream, begin), _words(stream, begin)[0]]):
+                seen[k].append(pa.array(x).unique().to_numpy(zero_copy_only=False))
+        self.keys = [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in seen]
+        self.words = self.keys.pop()
+        self.kind, self.table = [], []
         for k in range(PREDICTORS):
-            keys, kinds, tables, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros((0, SYMBOLS), np.uint8)], 0
+            kinds, tables, n = [np.zeros(0, np.uint32)], [np.zeros((0, SYMBOLS), np.uint8)], 0
             for r in answers:
-                if r["predictor"] == k:
+                if r["block"] // blocks == k:
                     table, kind = _rows_of(r)
-                    keys.append(_eight(r["keys"]))
                     kinds.append(kind + np.uint32(n))
                     tables.append(table)
                     n += len(table)
-            keys = np.concatenate(keys)
-            order = np.argsort(keys)
-            self.keys.append(keys[order])
-            self.kind.append(np.concatenate(kinds)[order])
+            self.kind.append(np.concatenate(kinds))
             self.table.append(np.concatenate(tables).ravel())
+        counts = [np.frombuffer(zstandard.decompress(r["kind"]), np.int64) for r in answers if r["block"] // blocks == WORDS]
+        self.counts = np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def base(self, stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stream its number of words, of known ones, and the sum of log10(count + 1) over its words."""
+        hashes, n = _words(stream, begin)
+        count = self.counts[np.searchsorted(self.words, hashes)]
+        owner = np.repeat(np.arange(len(n)), n)
+        return n, np.bincount(owner, count > 0, minlength=len(n)).astype(np.int64), np.bincount(owner, np.log10(count + 1), minlength=len(n))
 
     def slots(self, stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -307,10 +379,14 @@ class Rows:
 
 # ---------------------------------------------------------------- mixing
 
-_STRETCH = ((np.arange(256) & 31) - 15).astype(np.float32) / 2
 GATES = 64
 
 
+def _stretched(cells: np.ndarray) -> np.ndarray:
+    """The stretched probabilities that are packed in bytes."""
+    return (cells & 31).astype(np.float32) * np.float32(0.5) - np.float32(7.5)
+
+
 def start_weights() -> dict[str, np.ndarray]:
     return {"w": np.full((GATES, PREDICTORS), 0.4, dtype=np.float32), "map": np.zeros((GATES, 24), dtype=np.float32)}
 
@@ -322,7 +398,7 @@ def _dense(stream: np.ndarray, begin: np.ndarray, table: np.ndarray) -> list[np.
 
 
 def _decisions(stream: np.ndarray, begin: np.ndarray, slots: list[np.ndarray], tree: Tree, table) -> tuple:
-    """Of each decision: stretched predictions, gate and bit; of each row its first decision (one more at the end)."""
+    """Of each decision: the predictors' bytes, gate and bit; of each row its first decision (one more at the end)."""
     symbol = tree.symbol[stream]
     n = tree.length[symbol]
     last = np.cumsum(n)
@@ -330,7 +406,7 @@ def _decisions(stream: np.ndarray, begin: np.ndarray, slots: list[np.ndarray], t
     node, bit = tree.node[code], tree.bit[code]
     cells = [table[k].take(np.repeat(slot.astype(np.int64) << 6, n) | node) for k, slot in enumerate(slots)]
     gate = (cells[2] >> 5) << 3 | cells[1] >> 5
-    return [_STRETCH.take(c, mode="clip") for c in cells], gate, bit, np.r_[0, last][begin]
+    return cells, gate, bit, np.r_[0, last][begin]
 
 
 def _refine(w: np.ndarray, st: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, rate: float) -> None:
@@ -343,13 +419,13 @@ def _refine(w: np.ndarray, st: list[np.ndarray], gate: np.ndarray, bit: np.ndarr
 
 
 def _tuned(data: np.ndarray, offsets: np.ndarray, tree: Tree, rows: Rows) -> dict[str, np.ndarray]:
-    """Of a group's tuning rows: weights of the mixer and decisions a gate; ones and all decisions a cell of the map."""
+    """Of a group's tuning rows: weights of the mixer times decisions, by gate; ones and all decisions a cell of the map."""
     parts = []
-    for a, b in chunks(offsets, PART):
-        stream, begin = word_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        parts.append(_decisions(stream, begin, rows.slots(stream, begin), tree, rows.table)[:3])
+    for _, _, stream, begin in _streams(offsets, data, PART):
+        cells, gate, bit, _ = _decisions(stream, begin, rows.slots(stream, begin), tree, rows.table)
+        parts.append(([_stretched(c) for c in cells], gate, bit))
     w = start_weights()["w"]
-    for _ in range(4):
+    for _ in range(2):
         for st, gate, bit in parts:
             for a in range(0, len(bit), 1 << 15):
                 part = slice(a, a + (1 << 15))
@@ -360,7 +436,8 @@ def _tuned(data: np.ndarray, offsets: np.ndarray, tree: Tree, rows: Rows) -> dic
         cell = gate.astype(np.int64) * 24 + np.clip(np.rint(dot * 1.5), -12, 11).astype(np.int64) + 12
         ones += np.bincount(cell, bit, minlength=GATES * 24)
         all_ += np.bincount(cell, minlength=GATES * 24)
-    return {"w": w.astype(float), "ones": ones.reshape(GATES, 24), "all": all_.reshape(GATES, 24)}
+    all_ = all_.reshape(GATES, 24)
+    return {"w": w * all_.sum(axis=1, keepdims=True), "ones": ones.reshape(GATES, 24), "all": all_}
 
 
 def _combined(tuned: Iterator[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -369,8 +446,7 @@ def _combined(tuned: Iterator[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     total, n = p["w"] * 1.0, np.ones((GATES, 1))
     ones, all_ = np.zeros((GATES, 24)), np.zeros((GATES, 24))
     for t in tuned:
-        mine = t["all"].sum(axis=1, keepdims=True)
-        total, n = total + t["w"] * mine, n + mine
+        total, n = total + t["w"], n + t["all"].sum(axis=1, keepdims=True)
         ones, all_ = ones + t["ones"], all_ + t["all"]
     centre = (np.arange(24) - 12) / 1.5
     prior = 1 / (1 + np.exp(-centre))
@@ -381,151 +457,84 @@ def _combined(tuned: Iterator[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 def log10_probability(data: np.ndarray, offsets: np.ndarray, tree: Tree, table: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the log10 probability of its stream and the stream's bytes; the table is dense or Rows."""
-    stream, begin = word_stream(data, offsets)
+    return _model(*word_stream(data, offsets), tree, table, p)
+
+
+def _model(stream: np.ndarray, begin: np.ndarray, tree: Tree, table, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     slots, table = (table.slots(stream, begin), table.table) if isinstance(table, Rows) else (_dense(stream, begin, table), table)
-    st, gate, bit, first = _decisions(stream, begin, slots, tree, table)
+    cells, gate, bit, first = _decisions(stream, begin, slots, tree, table)
     out = np.add.reduceat(tree.escape[stream], begin[:-1])
-    return out - _cost(st, gate, bit, first, p) / np.log(10), np.diff(begin)
+    return out - _cost(cells, gate, bit, first, p) / np.log(10), np.diff(begin)
 
 
-def _cost(st: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, first: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+def _cost(cells: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, first: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
     """Of each row the cost of its decisions in nats; all rows take their n-th stretch together, the longest rows first.
 
-    Weights and map of a row are its own: a stretch is coded with what the row's earlier stretches made of them.
+    Weights and map of a row are its own: a stretch is coded with what the row's earlier stretches made of them. Both follow the
+    miss of the final probability; where a gate has more than 64 decisions in a stretch they weigh as much as 64.
     """
     n = np.diff(first)
     rows, most = len(n), int(n.max())
     edges = [0]
     while edges[-1] < most:
         edges.append(edges[-1] + min(max(STRETCH, edges[-1] // 4), LONGEST))
-    rank = np.empty(rows, dtype=np.int32)
-    rank[np.argsort(-n, kind="stable")] = np.arange(rows, dtype=np.int32)
-    within = np.arange(first[-1]) - np.repeat(first[:-1], n)
-    turn = np.repeat(np.arange(len(edges) - 1, dtype=np.uint16 if len(edges) < 65536 else np.uint32), np.diff(edges))[within]
-    order = np.argsort(turn, kind="stable")
-    cut = np.r_[0, np.cumsum(np.bincount(turn, minlength=len(edges) - 1))]
-    cell = (np.repeat(rank * np.int32(GATES), n) + gate)[order]
-    st, bit = [x[order] for x in st], bit[order]
-    w = [np.tile(p["w"][:, k], rows) for k in range(PREDICTORS)]
+    longest = np.argsort(-n, kind="stable")
+    size, start = n[longest], first[:-1][longest]
+    met = [int(np.searchsorted(-size, -e, side="left")) for e in edges[:-1]]  # rows that reach a stretch
+    parts = [np.minimum(size[:m], b) - a for m, a, b in zip(met, edges[:-1], edges[1:])]
+    cut = np.r_[0, np.cumsum([int(x.sum()) for x in parts])]
+    each = np.concatenate(parts)
+    order = np.repeat(np.concatenate([start[:m] + a for m, a in zip(met, edges)]) - np.cumsum(each) + each, each) + np.arange(cut[-1])
+    cell = np.repeat(np.concatenate([np.arange(m, dtype=np.int32) for m in met]) * np.int32(GATES), each) + gate.take(order)
+    cells, side = [x.take(order) for x in cells], bit.astype(np.int8).take(order)
+    del order
+    w = np.tile(p["w"], (rows, 1))
     final = np.tile(p["map"].ravel(), rows)
     cost = np.zeros(rows)
-    for t in range(len(edges) - 1):
+    for t, active in enumerate(met):
         part = slice(cut[t], cut[t + 1])
-        c, b, own = cell[part], bit[part], [x[part] for x in st]
-        active = int(c.max()) // GATES + 1
-        dot = sum(x.take(c) * y for x, y in zip(w, own))
-        place = c * np.int32(24) + (np.clip(np.rint(dot * np.float32(1.5)), -12, 11).astype(np.int32) + np.int32(12))
-        mapped = dot + final.take(place)
-        cost[:active] += np.bincount(c // GATES, np.log1p(np.exp(mapped * (1 - 2 * b))), minlength=active)
-        if t + 2 < len(edges):
-            miss = b - 1 / (1 + np.exp(-dot))
-            rate = RATE / np.maximum(np.bincount(c, minlength=active * GATES) / 64, 1)
-            for x, y in zip(w, own):
-                x[: active * GATES] += (rate * np.bincount(c, miss * y, minlength=active * GATES)).astype(np.float32)
-            found, hits = (np.bincount(place, v, minlength=active * GATES * 24) for v in (b - 1 / (1 + np.exp(-mapped)), None))
-            final[: len(found)] += (MAP_RATE * found / np.maximum(hits / 64, 1)).astype(np.float32)
-    return cost[rank]
-
-
-# ---------------------------------------------------------------- base counts
-
-
-def _base(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, log_sum, n_known) parts of each document's words, and (n_words) parts of the number of learned words.
+        c, up, st = cell[part], side[part] * np.float32(2) - np.float32(1), [_stretched(x[part]) for x in cells]
+        used = w.take(c, axis=0)
+        dot = used[:, 0] * st[0]
+        for k in range(1, PREDICTORS):
+            dot += used[:, k] * st[k]
+        place = (dot * np.float32(1.5)).clip(-12, 11)
+        place = np.rint(place, out=place).astype(np.int32)
+        place += c * np.int32(24) + np.int32(12)
+        dot += final.take(place)
+        dot *= up
+        odds = np.exp(-np.maximum(dot, -60, out=dot))  # against the bit
+        cost[:active] += np.bincount(c // GATES, np.log(odds + 1), minlength=active)
+        if t + 1 < len(met):
+            rate = (1 / np.maximum(np.bincount(c, minlength=active * GATES) / 64, 1)).astype(np.float32)
+            miss = up * odds / (odds + 1) * rate.take(c)
+            for k, y in enumerate(st):
+                w[: active * GATES, k] += RATE * np.bincount(c, miss * y, minlength=active * GATES)
+            miss *= np.float32(MAP_RATE)
+            np.add.at(final, place, miss)
+    out = np.empty(rows)
+    out[longest] = cost
+    return out
 
-    Words travel as packed blocks of hashes; a block has all occurrences of its words, so its counts are whole.
-    """
-    blocks = 2 * partitions(documents.sparkSession)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            data = LOWER[data]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(np.uint8)
-            for a, b in chunks(offsets, 1 << 24):
-                keys, owners, times = [], [], []
-                for x, y in chunks(offsets[a : b + 1] - offsets[a]):
-                    part = offsets[a + x : a + y + 1] - offsets[a + x]
-                    starts, ends, first = word_spans(data[offsets[a + x] : offsets[a + y]], part)
-                    hashes = span_hashes(data[offsets[a + x] : offsets[a + y]], starts, ends)
-                    row = np.repeat(np.arange(y - x, dtype=np.uint64), np.diff(first))
-                    order = np.lexsort((hashes, row))
-                    hashes, row = hashes[order], row[order]
-                    new = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])]) if len(hashes) else np.zeros(0, np.int64)
-                    n = np.diff(np.r_[new, len(hashes)])
-                    keys.append(hashes[new])
-                    owners.append((row[new] + np.uint64(x)).astype(np.uint32))
-                    times.append(n.astype(np.uint32))
-                key, owner, n = (np.concatenate(v) for v in (keys, owners, times))
-                while (n > 255).any():  # a count has one byte; the rest is another entry
-                    big = n > 255
-                    key, owner, n = np.r_[key, key[big]], np.r_[owner, owner[big]], np.r_[np.where(big, 255, n), n[big] - 255]
-                block = (key >> np.uint64(48)) % np.uint64(blocks)
-                order = np.argsort(block.astype(np.uint32), kind="stable")
-                key, owner, n = key[order], owner[order], n[order].astype(np.uint8)
-                cut = np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
-                out: dict[str, list] = {"block": [], "ids": [], "learned": [], "owners": [], "keys": [], "times": []}
-                for k in np.flatnonzero(np.diff(cut)):
-                    part = slice(cut[k], cut[k + 1])
-                    used, local = np.unique(owner[part], return_inverse=True)
-                    out["block"].append(int(k))
-                    out["ids"].append(ids[a + used].tobytes())
-                    out["learned"].append(learned[a + used].tobytes())
-                    out["owners"].append(local.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes())
-                    out["keys"].append(np.ascontiguousarray(key[part].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-                    out["times"].append(n[part].tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts = None, []
-
-        def done() -> pa.RecordBatch:
-            ids, learned, keys, times = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            raw = np.zeros((len(keys), 8), dtype=np.uint8)
-            raw[:, :6] = keys
-            _, word = np.unique(raw.view(np.uint64).ravel(), return_inverse=True)
-            count = np.bincount(word, times * learned)
-            owners, owner = np.unique(ids, return_inverse=True)
-            log_sum = np.bincount(owner, times * np.log10(count + 1)[word])
-            known = np.bincount(owner, times * (count > 0)[word])
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[owners, -1]), pa.array(np.r_[log_sum, 0.0]), pa.array(np.r_[known, float((count > 0).sum())].astype(np.int64)), pa.array(np.r_[np.zeros(len(owners), bool), True])], names=["doc_id", "log_sum", "n_known", "words"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != current and parts:
-                    yield done()
-                    parts = []
-                current = row["block"]
-                ids = np.frombuffer(row["ids"], np.int64)
-                owner = np.frombuffer(row["owners"], np.uint32 if len(ids) > 65535 else np.uint16)
-                parts.append((ids[owner], np.frombuffer(row["learned"], np.uint8)[owner].astype(float), np.frombuffer(row["keys"], np.uint8).reshape(-1, 6), np.frombuffer(row["times"], np.uint8).astype(float)))
-        if parts:
-            yield done()
-
-    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("learned", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary()), ("times", pa.binary())])
-    packed = documents.select("doc_id", "text", "learned").mapInArrow(pack, "block int, ids binary, learned binary, owners binary, keys binary, times binary")
-    return packed.repartition(partitions(documents.sparkSession), "block").sortWithinPartitions("block").mapInArrow(join, "doc_id long, log_sum double, n_known long, words boolean")
+# ---------------------------------------------------------------- the whole
 
 
 def score(documents: DataFrame, learned, tuning) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability), bits_per_byte.
 
     learned and tuning are boolean columns over doc_id: the rows to learn from, and those of them that tune the mixer before
-    their counts join the others'. Null texts are empty: one end token. doc_id must be unique and not null. Extra columns are ignored. An
-    empty table gives an empty result; where nothing is learned, base and model are uniform.
+    their counts join the others'. Null texts are empty: one end token. Every row has a result of its own, also rows with one
+    doc_id or none (which is not learned). Extra columns are ignored. An empty table gives an empty result; where nothing is
+    learned, base and model are uniform.
     """
     spark = documents.sparkSession
-    rows = documents.select("doc_id", "text", learned.alias("learned")).filter("doc_id is not null")
-    parts = saved(_base(rows).groupBy("words", "doc_id").agg(F.sum("log_sum").alias("log_sum"), F.sum("n_known").alias("n_known")))
-    vocabulary = parts.filter("words").agg(F.coalesce(F.sum("n_known"), F.lit(0)).alias("v"))
-    parts = parts.filter("not words").drop("words")
-
-    tree = Tree(_histogram(rows.filter("learned")))
     fold = F.when(learned & tuning, 2).when(learned, 1).otherwise(0).alias("fold")
-    groups = _groups(documents.filter("doc_id is not null").select("doc_id", "text", fold))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    answers = saved(_answers(groups, tree, 1 + int(size) // BLOCK))
+    facts = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.count(F.when(learned, 1)).alias("ends")).first()
+    groups = _groups(documents.select("doc_id", "text", fold))
+    tree = Tree(_histogram(groups))
+    blocks = 1 + int(facts["size"]) // BLOCK
+    answers = saved(_answers(groups, tree, blocks))
     spark._jvm.System.gc()  # the plan before is let go only now
     shared = spark.sparkContext.broadcast(tree)
 
@@ -533,53 +542,60 @@ def score(documents: DataFrame, learned, tuning) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, folds, offsets, data = _unpack(row)
-                mine = np.flatnonzero(folds == 2)
+                mine = np.flatnonzero(folds & 3 == 2)
                 if len(mine):
-                    own = _pack(ids[mine], folds[mine], np.r_[0, np.cumsum(np.diff(offsets)[mine])], np.concatenate([data[offsets[r] : offsets[r + 1]] for r in mine]))
-                    yield pa.RecordBatch.from_arrays([pa.array([row["grp"]], pa.int64()), *own.columns], names=["grp", *own.schema.names])
+                    stream, begin = _picked(offsets, data, mine)
+                    own = _pack(ids[mine], folds[mine], begin, stream)
+                    yield _row("grp ids folds offsets text", [row["grp"], *own])
 
     def tune(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in ("w", "ones", "all")}
         for row in left.to_pylist():
             _, _, offsets, data = _unpack(row)
-            for k, v in _tuned(data, offsets, shared.value, Rows(right.to_pylist())).items():
+            for k, v in _tuned(data, offsets, shared.value, Rows(right.to_pylist(), blocks, offsets, data)).items():
                 out[k].append(v.tobytes())
         return pa.table({k: pa.array(v, pa.binary()) for k, v in out.items()})
 
-    tuned = groups.mapInArrow(tuning_only, f"grp long, {_PACKED}").groupBy("grp").cogroup(answers.filter("tuning").groupBy("grp"))
-    tuned = tuned.applyInArrow(tune, "w binary, ones binary, all binary")
-    start = spark.sparkContext.broadcast(_combined({k: np.frombuffer(r[k]).reshape(GATES, -1) for k in ("w", "ones", "all")} for r in tuned.toLocalIterator()))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray | float] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                total = {k: total.get(k, 0.0) + np.frombuffer(v) for k, v in row.items()}
+        if total:
+            yield _row(" ".join(total), [v.tobytes() for v in total.values()])
+
+    packed = groups.select("grp", "ids", "folds", "offsets", "text")
+    tuned = packed.mapInArrow(tuning_only, f"grp long, {_PACKED}").groupBy("grp").cogroup(answers.filter("tuning").groupBy("grp"))
+    tuned = tuned.applyInArrow(tune, "w binary, ones binary, all binary").mapInArrow(add, "w binary, ones binary, all binary")
+    found = tuned.collect()  # one row a partition
+    del tuned
+    spark._jvm.System.gc()
+    start = spark.sparkContext.broadcast(_combined({k: np.frombuffer(r[k]).reshape(GATES, -1) for k in ("w", "ones", "all")} for r in found))
+
+    ends = facts["ends"]
+    facts = answers.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
+    tokens, end = facts["n"] + ends, float(np.log10(ends + 1))
+    unit = float(np.log10(tokens + facts["v"] + (ends > 0) + 1))
+    kinds = {"doc_id": np.int64, "n_tokens": np.int64, "n_known": np.int64, "base_score": float, "score": float, "bits_per_byte": float}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"doc_id": [], "learned": [], "n_tokens": [], "score": [], "size": []}
-        table = Rows(right.to_pylist())
+        out: dict[str, list] = {k: [] for k in kinds}
+        missing = []
         for row in left.to_pylist():
             ids, folds, offsets, data = _unpack(row)
-            out["doc_id"].append(ids)
-            out["learned"].append(folds > 0)
-            for a, b in chunks(offsets, 1 << 18):
-                part = offsets[a : b + 1] - offsets[a]
-                own = data[offsets[a] : offsets[b]]
-                x, n = log10_probability(own, part, shared.value, table, start.value)
-                out["score"].append(x)
-                out["size"].append(n)
-                out["n_tokens"].append(np.diff(word_spans(own, part)[2]) + 1)
-        kinds = {"doc_id": np.int64, "learned": bool, "n_tokens": np.int64, "score": float, "size": np.int64}
-        return pa.table({k: pa.array(np.concatenate(v).astype(kinds[k]) if v else np.zeros(0, kinds[k])) for k, v in out.items()})
-
-    scored = groups.groupBy("grp").cogroup(answers.filter("not tuning").groupBy("grp"))
-    scored = saved(scored.applyInArrow(run, "doc_id long, learned boolean, n_tokens long, score double, size long"))
-    facts = scored.agg(F.coalesce(F.sum(F.when(F.col("learned"), F.col("n_tokens"))), F.lit(0)).alias("n"), F.count(F.when(F.col("learned"), 1)).alias("ends"))
-    facts = facts.crossJoin(vocabulary).first()  # one row each
-    n, ends, v = facts["n"], facts["ends"], facts["v"] + (facts["ends"] > 0)
-    end = float(np.log10(ends + 1))
-    unit = float(np.log10(n + v + 1))
-    return scored.join(parts, "doc_id", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.coalesce("n_known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce("log_sum", F.lit(0.0)) + end - F.col("n_tokens") * unit).alias("base_score"),
-        "score",
-        (-F.col("score") / np.log10(2) / F.col("size")).alias("bits_per_byte"),
-    )
+            table = Rows(right.to_pylist(), blocks, offsets, data)
+            by_size = np.argsort(-np.diff(offsets), kind="stable")  # rows of much the same length take their stretches together
+            for a, b in chunks(np.r_[0, np.cumsum(np.diff(offsets)[by_size])], PART):
+                stream, begin = _picked(offsets, data, by_size[a:b])
+                out["doc_id"].append(ids[by_size[a:b]])
+                missing.append(folds[by_size[a:b]] & NO_ID > 0)
+                x, size = _model(stream, begin, shared.value, table, start.value)
+                n, known, logs = table.base(stream, begin)
+                for k, v in (("n_tokens", n + 1), ("n_known", known + (ends > 0)), ("base_score", logs + end - (n + 1) * unit), ("score", x), ("bits_per_byte", -x / np.log10(2) / size)):
+                    out[k].append(v)
+        columns = {k: np.concatenate(v).astype(kinds[k]) if v else np.zeros(0, kinds[k]) for k, v in out.items()}
+        return pa.table({k: pa.array(v, mask=np.concatenate(missing) if k == "doc_id" and missing else None) for k, v in columns.items()})
+
+    scored = packed.groupBy("grp").cogroup(answers.filter("not tuning").groupBy("grp"))
+    scored = scored.applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

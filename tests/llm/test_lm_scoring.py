@@ -41,14 +41,16 @@ def test_every_context_has_its_row_of_counts(spark, monkeypatch):
     text = {i: re.sub(r"\s+", " ", t) + "\n" for i, t in rows}
     documents = _documents(spark, rows).select("doc_id", "text", F.when(_fold() == 2, 0).when(_fold() == 3, 2).otherwise(1).alias("fold"))
     tree = lm_scoring.Tree(np.bincount(np.frombuffer("".join(text.values()).encode(), np.uint8), minlength=256))
-    asked = lm_scoring._answers(lm_scoring._groups(documents), tree, 5).filter("not tuning").collect()
+    groups = lm_scoring._groups(documents)
+    asked = lm_scoring._answers(groups, tree, 5).filter("not tuning").collect()
     first = [{(t[k - 1] if k else "\n", t[k - 2] if k > 1 else "\n") for t in text.values() for k in range(len(t))}]
     first.append({tuple(t[k - j] if k >= j else "\n" for j in (1, 2, 3, 4)) for t in text.values() for k in range(len(t))})
     tables = [{}, {}]
-    for r in asked:
-        if r["predictor"] < 2:
-            table, kind = lm_scoring._rows_of(r)
-            tables[r["predictor"]].update(zip(lm_scoring._eight(r["keys"]), table[kind]))
+    for g in groups.collect():
+        _, _, offsets, data = lm_scoring._unpack(g.asDict())
+        rows_ = lm_scoring.Rows([r.asDict() for r in asked if r["grp"] == g["grp"]], 5, offsets, data)
+        for k in (0, 1):
+            tables[k].update(zip(rows_.keys[k], rows_.table[k].reshape(-1, lm_scoring.SYMBOLS)[rows_.kind[k]]))
     assert [len(t) for t in tables] == [len(x) for x in first]
     # the rows of two-byte contexts, from counts over the learned texts
     counts = {}
