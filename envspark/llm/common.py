@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+#: So many 8-byte ids are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
+
+def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose doc_id is among ids (left_anti: isn't), a saved table of distinct ones."""
+    if ids.count() <= BROADCAST_IDS:  # else the join shuffles all rows
+        ids = F.broadcast(ids)
+    return rows.join(ids, "doc_id", how)
+
+
+def trim() -> None:
+    """Gives memory that Python workers have freed back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

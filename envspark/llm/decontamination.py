@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import chunks, mix, utf8, word_stream
+from envspark.llm.common import among, chunks, mix, saved, utf8, word_stream
 
 RATE = 0.05
 #: Shortest piece; an item too short for its budget has fewer edits.
-PIECE = 16
+PIECE = 8
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
 
@@ -177,5 +177,5 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found. Rows with a null doc_id stay."""
-    dirty = matches(documents, benchmark).select("doc_id").distinct()
-    return documents.join(dirty, "doc_id", "left_anti").select(documents.columns)
+    dirty = saved(matches(documents, benchmark).select("doc_id").distinct())
+    return among(documents, dirty, "left_anti").select(documents.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import chunks, coded, decoded, mix, partitions, saved, shingle_sets, signed, utf8
+from envspark.llm.common import among, chunks, coded, decoded, mix, partitions, saved, shingle_sets, signed, trim, utf8
 from envspark.llm.components import components
 
 TOKENS = 24
@@ -54,8 +54,6 @@ MATCH_ENTRIES = 4_000_000
 PLACE = 256
 #: Documents of a common key that are compared at once.
 BLOCK = 512
-#: So many 8-byte ids are broadcast at most.
-BROADCAST_IDS = 1_000_000
 
 _starts = [1]
 while _starts[-1] < 1 << 40:
@@ -184,6 +182,7 @@ def describe(documents: DataFrame, salt: int = 0, fine: int = 0) -> DataFrame:
                 rows["sketch"].append(_sketch(tokens) if len(tokens) else b"")
                 rows["narrow"].append(_folded(rows["sketch"][-1]) if len(tokens) else b"")
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
+        trim()
 
     part = pa.struct([("scheme", pa.int32()), ("budget", pa.int64()), ("exact", pa.int64()), ("q", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("roles", pa.list_(part)), ("sketch", pa.binary()), ("narrow", pa.binary())])
@@ -239,6 +238,7 @@ def shared_keys(documents: DataFrame, entries: int, salt: int = 0, fine: int = 0
                     entries = 0
         if held:
             yield from flush()
+        trim()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
@@ -289,7 +289,7 @@ def shared_keys(documents: DataFrame, entries: int, salt: int = 0, fine: int = 0
 def _pruned(described: DataFrame, pairs: DataFrame, sketch: str) -> DataFrame:
     """The pairs (a, b), a saved table, that sizes and sketches let pass."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    facts = _among(described.select("doc_id", "n_shingles", sketch), saved(ids))
+    facts = among(described.select("doc_id", "n_shingles", sketch), saved(ids))
     near = pairs.join(facts.toDF("a", "size_a", "sketch_a"), "a").join(facts.toDF("b", "size_b", "sketch_b"), "b").filter("4 * size_a >= 3 * size_b and 4 * size_b >= 3 * size_a")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +314,7 @@ def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> Da
     spread = near.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), "places").alias("place"))
     demand = spread.select(F.col("b").alias("doc_id"), "a", "place", F.lit(1).alias("side")).union(spread.select(F.col("a").alias("doc_id"), "a", "place", F.lit(0).alias("side")).distinct())
     demand = saved(demand.groupBy("doc_id").agg(F.collect_list(F.struct("a", "place", "side")).alias("to")))
-    texts = _among(documents, demand.select("doc_id"))
+    texts = among(documents, demand.select("doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,13 +348,6 @@ def verified(documents: DataFrame, described: DataFrame, pairs: DataFrame) -> Da
     return full.repartition(partitions(documents.sparkSession), "a", "place").sortWithinPartitions("a", "place", "side").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows whose doc_id is among ids (left_anti: isn't), a saved table of distinct ones."""
-    if ids.count() <= BROADCAST_IDS:  # else the join shuffles all rows
-        ids = F.broadcast(ids)
-    return rows.join(ids, "doc_id", how)
-
-
 def _described(documents: DataFrame, fine: int) -> tuple[DataFrame, DataFrame, int, int]:
     """What describe() says, its roles as rows, about as many keys as they have, and the salt that it was said with.
 
@@ -396,7 +389,7 @@ def _near_in_blocks(left: DataFrame, right: DataFrame, described: DataFrame) ->
     right = saved(_alike(right, groups).join(left.select("gid", "doc_id", F.lit(True).alias("asks")), ["gid", "doc_id"], "left"))
     blocks = right.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     ids = saved(left.select("doc_id").union(right.select("doc_id")).distinct())
-    facts = _among(described.select("doc_id", "n_shingles", "sketch"), ids)
+    facts = among(described.select("doc_id", "n_shingles", "sketch"), ids)
 
     def side(rows: DataFrame, number: int) -> DataFrame:
         own, other = ("x", "y") if number == 0 else ("y", "x")
@@ -450,7 +443,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     first = full.groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     copies = saved(full.select("doc_id", "n_shingles", "print_a", "print_b").join(first, ["n_shingles", "print_a", "print_b"]).select("doc_id", "rep").filter("doc_id <> rep"))
 
-    documents = _among(documents, copies.select("doc_id"), "left_anti")
+    documents = among(documents, copies.select("doc_id"), "left_anti")
     groups = saved(shared_keys(documents, entries, salt))
     # the hub of a gid is its most central document, the one that shares most keys with most others
     size = groups.groupBy("gid").agg(F.count("*").alias("size")).filter("size > 1")
@@ -464,7 +457,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     short = None
     for fine in ROUNDS:
         if fine:
-            some = _among(documents, again)
+            some = among(documents, again)
             _, role, entries, salt = _described(some, fine)
             groups = saved(shared_keys(some, entries, salt, fine))
         placed = groups.join(label, "doc_id", "left").select("gid", "scheme", "doc_id", "n_keys", F.coalesce("component", "doc_id").alias("component"))

@@ -13,19 +13,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import prefix_sums, run_hashes, span_hashes
+from envspark.llm.common import chunks, prefix_sums, run_hashes, span_hashes, trim, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest piece that is used, in characters.
 LONGEST = 16
-#: Words whose scores a worker keeps.
-KEPT_WORDS = 600_000
+#: Words whose scores a worker keeps, and their characters.
+KEPT_WORDS, KEPT_CHARACTERS = 150_000, 3_000_000
 #: Words that are scored at once, and the length up to which that is done side by side.
-SIDE_BY_SIDE, SIDE_LENGTH = 20_000, 40
+SIDE_BY_SIDE, SIDE_LENGTH = 4_000, 40
+#: Bytes of text whose words are counted at once; a longer text is taken alone.
+TEXT_BYTES = 1 << 19
 
 
 #: Each character's probability is scaled by this, against underflow in words of up to SIDE_LENGTH characters.
@@ -37,6 +39,13 @@ def _words(text: str) -> Counter:
     return Counter(text.lower().split())
 
 
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column, nulls as empty, some at once with the number of the first."""
+    _, offsets = utf8(column)
+    for a, b in chunks(offsets, TEXT_BYTES):
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words, each after a word mark, and where each word begins (one more at the end)."""
     text = "".join("\u2581" + w for w in words)
@@ -61,9 +70,9 @@ class Pieces:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-            elif not (model.is_unknown(i) or model.is_control(i)) and len(piece) <= LONGEST:
-                ids[piece] = i
-                self.prior[i] = 1.0 / (i + 10)
+            elif not (model.is_unknown(i) or model.is_control(i)) and len(piece.lower()) <= LONGEST:
+                own = ids.setdefault(piece.lower(), i)  # texts are lower-cased, so cased forms share the first one's place
+                self.prior[own] = (self.prior[own] if own != i else 0.0) + 1.0 / (i + 10)
         self.prior /= self.prior.sum()
         known = {piece[:k]: -1 for piece in ids for k in range(1, len(piece) + 1)} | ids
         runs = list(known)
@@ -222,33 +231,41 @@ def expected_pieces(pieces: Pieces, counts: Counter, weight: np.ndarray) -> np.n
 
 
 def learn(rows: DataFrame, vocabulary: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (pieces x languages, then a row of log priors) from rows (text, lang)."""
+    """Languages and log-probabilities (pieces x languages, then a row of log priors) from rows (text, lang).
+
+    Rows without text or lang teach nothing; an empty table gives no language. Repeated rows count each, and the order of rows
+    changes nothing. Extra columns are ignored.
+    """
 
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(vocabulary)
         prior = np.log(pieces.prior)
         counts: dict[str, Counter] = {}
         texts: Counter = Counter()
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             for lang, words in counts.items():
                 sums = expected_pieces(pieces, words, prior)
                 at = np.flatnonzero(sums)
-                yield pd.DataFrame({"lang": lang, "piece": np.r_[at, -1], "expected": np.r_[sums[at], float(texts[lang])]})
+                names = pa.array([lang] * (len(at) + 1), pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[sums[at], float(texts[lang])])], names=["lang", "piece", "expected"])
             counts.clear()
             texts.clear()
 
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                counts.setdefault(lang, Counter()).update(text.lower().split())
-                texts[lang] += 1
-            if sum(map(len, counts.values())) > KEPT_WORDS:
-                yield from flush()
+            langs = batch.column("lang").to_pylist()
+            for first, some in _texts(batch.column("text")):
+                for lang, text in zip(langs[first:], some):
+                    counts.setdefault(lang, Counter()).update(text.lower().split())
+                    texts[lang] += 1
+                if sum(map(len, counts.values())) > KEPT_WORDS or sum(len(w) for c in counts.values() for w in c) > KEPT_CHARACTERS:
+                    yield from flush()
         yield from flush()
+        trim()
 
     found = (
         rows.select("text", "lang").filter("text is not null and lang is not null")
-        .mapInPandas(expect, "lang string, piece int, expected double")
+        .mapInArrow(expect, "lang string, piece int, expected double")
         .groupBy("lang", "piece").agg(F.sum("expected").alias("expected")).toPandas()
     )
     languages = sorted(found["lang"].unique())
@@ -267,8 +284,8 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY) -> tuple[list[str], np.
     return languages, np.vstack([weight, np.log(share / share.sum())]) if languages else np.zeros((size + 1, 0))
 
 
-def predict(documents: DataFrame, languages: list[str], model: np.ndarray, vocabulary: str = VOCABULARY, keep: list[str] = ()) -> DataFrame:
-    """doc_id, lang_pred and score of every row, after the columns named in keep.
+def predict(documents: DataFrame, languages: list[str], model: np.ndarray, vocabulary: str = VOCABULARY, keep: list[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Predicted language and score of every row, under names, after the columns named in keep (other columns than names).
 
     score is the posterior of lang_pred. A text that is null or has no letter is `und` with score 0, and so is every text if
     nothing was learned. Whole texts are scored, in time that grows with their length. Repeated rows are scored each; equal
@@ -276,28 +293,25 @@ def predict(documents: DataFrame, languages: list[str], model: np.ndarray, vocab
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = [*keep, "doc_id", "lang_pred", "score"]
-    kinds = dict(documents.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep if c != "doc_id"), f"doc_id {kinds['doc_id']}", "lang_pred string", "score double"])
-    names = list(dict.fromkeys([c for c in keep if c != "doc_id"] + ["doc_id", "lang_pred", "score"]))
+    schema = documents.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(vocabulary)
         weight, prior = shared.value[:-1], shared.value[-1]
         known: dict[str, int] = {}
-        table = np.zeros((0, len(languages)))
+        table, characters = np.zeros((0, len(languages))), 0
         for batch in batches:
-            texts = batch["text"].tolist()
-            best, sure = ["und"] * len(texts), [0.0] * len(texts)
-            for first in range(0, len(texts), 1024):
-                counts = [_words(t) if isinstance(t, str) and languages else Counter() for t in texts[first : first + 1024]]
+            best, sure = ["und"] * batch.num_rows, [0.0] * batch.num_rows
+            for first, some in _texts(batch.column("text")) if languages else ():
+                counts = [_words(t) for t in some]
                 fresh = list(set().union(*counts).difference(known))
                 if fresh:
-                    if len(known) + len(fresh) > KEPT_WORDS:
+                    if len(known) + len(fresh) > KEPT_WORDS or characters > KEPT_CHARACTERS:
                         known.clear()
-                        table = np.zeros((0, len(languages)))
+                        table, characters = np.zeros((0, len(languages))), 0
                         fresh = list(set().union(*counts))
                     known.update(zip(fresh, range(len(table), len(table) + len(fresh))))
+                    characters += sum(map(len, fresh))
                     table = np.concatenate([table, word_scores(pieces, fresh, weight)])
                 for k, words in enumerate(counts):
                     if not words or not any(c.isalpha() for w in words for c in w):
@@ -308,7 +322,7 @@ def predict(documents: DataFrame, languages: list[str], model: np.ndarray, vocab
                     top = int(np.argmax(total))
                     best[first + k] = languages[top]
                     sure[first + k] = float(1.0 / np.exp(total - total[top]).sum())
-            out = {c: batch[c] for c in names if c in batch}
-            yield pd.DataFrame({**out, "lang_pred": best, "score": sure})[names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(sure, pa.float64())], names=[*keep, *names])
+        trim()
 
-    return documents.select(*dict.fromkeys([*keep, "doc_id", "text"])).mapInPandas(score, schema)
+    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(score, schema)

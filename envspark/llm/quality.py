@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import chunks, mix, span_hashes, utf8, word_spans
+from envspark.llm.common import chunks, mix, span_hashes, trim, utf8, word_spans
 
 PASSAGE = 64
 #: Documents in the learning sample at most, and passages of a document in it.
@@ -142,23 +142,25 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, seed: int = 7) -> dict[
 def learn(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """The model, from the SAMPLE labelled rows (doc_id, quality) with the smallest hashes of doc_id.
 
-    Documents of more than SAMPLE_PASSAGES passages are left out of the sample (not of the scoring). Without a label every score
+    Of a longer document the sample has SAMPLE_PASSAGES passages at even distances (scoring takes all). Without a label every score
     is 0.5; if one doc_id has several labels, the largest counts.
     """
     chosen = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
+    schema = pa.schema([("quality", pa.int32()), ("bag", pa.binary()), ("doc_id", pa.int64())])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            label = batch.column("quality").to_pylist()
+            label, ids = batch.column("quality").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in chunks(offsets):
                 x, begin = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                kept = [i for i in range(b - a) if begin[i + 1] - begin[i] <= SAMPLE_PASSAGES]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(label[a + i]) for i in kept], pa.int32()), pa.array([x[begin[i] : begin[i + 1]].astype(np.float32).tobytes() for i in kept], pa.binary()), pa.array([ids[a + i] for i in kept], pa.int64())] if (ids := batch.column("doc_id").to_pylist()) else [pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.int64())],
-                    names=["quality", "bag", "doc_id"],
-                )
+                n = np.diff(begin)
+                kept = [begin[i] + (np.arange(min(n[i], SAMPLE_PASSAGES)) * n[i] // min(n[i], SAMPLE_PASSAGES)) for i in range(b - a)]
+                values = {"quality": [int(v) for v in label[a:b]], "bag": [x[rows].astype(np.float32).tobytes() for rows in kept], "doc_id": ids[a:b]}
+                yield pa.RecordBatch.from_pydict(values, schema=schema)
+        trim()
 
     bags = sorted((r["doc_id"], r["bag"], r["quality"]) for r in rows.mapInArrow(encode, "quality int, bag binary, doc_id long").collect())
     if not bags:
@@ -167,8 +169,8 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     return fit(np.concatenate(x), np.r_[0, np.cumsum([len(one) for one in x])], np.array([float(q > 0) for _, _, q in bags]))
 
 
-def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """documents with a column score (0 to 1), for every row and over its whole text; null and empty texts are one empty passage."""
+def score(documents: DataFrame, model: dict[str, np.ndarray], name: str = "score") -> DataFrame:
+    """documents with a column of that name (0 to 1; documents have no such column), for every row and over its whole text; null and empty texts are one empty passage."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,7 @@ def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             for a, b in chunks(offsets) if shared.value else ():
                 x, begin = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 out[a:b] = _scores(x, begin, shared.value)[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
+        trim()
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in documents.dtypes)
-    return documents.mapInArrow(run, f"{kinds}, score double")
+    return documents.mapInArrow(run, documents.select("*").schema.add(name, "double"))
