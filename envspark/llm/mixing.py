@@ -2,8 +2,8 @@
 
 A source's weight is its share of tokens to the power of an exponent, normalised. The exponent is bisected until the weights
 have a target entropy, or until no source is repeated more than a limit allows. Weights become documents by block
-permutations: a source's documents are dealt to blocks by a hash, blocks and documents have a fixed random order, and a
-source's budget of tokens takes whole passes over that order and then a last, partial one.
+permutations: a source's documents are dealt to blocks by a hash, the source's blocks are permuted by another, documents within
+a block by the first, and a source's budget of tokens takes whole passes over that order and then a last, partial one.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def weights(sources: DataFrame, entropy_share: float, repeat_limit: float, budge
     return powered.crossJoin(F.broadcast(z)).select("source", "tokens", F.coalesce("share", F.lit(0.0)).alias("share"), F.lit(exponent).alias("exponent"), F.coalesce(F.col("p") / F.col("z"), F.lit(0.0)).alias("weight"))
 
 
-def mix(documents: DataFrame, entropy_share: float = 0.98, repeat_limit: float = 4.0, budget_share: float = 0.5, seed: int = 17) -> DataFrame:
+def mix(documents: DataFrame, entropy_share: float = 0.98, repeat_limit: float = 4.0, budget_share: float = 1.0, seed: int = 17) -> DataFrame:
     """(doc_id, source, n_tokens, weight, copies, position) of the documents that are drawn at least once.
 
     budget_share is the token budget as a share of all tokens. A source gets budget * weight tokens: copies is how often a
@@ -87,8 +87,8 @@ def mix(documents: DataFrame, entropy_share: float = 0.98, repeat_limit: float =
     rows = rows.withColumn("block", F.col("key") % BLOCKS)
     per = saved(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")))
     weight = weights(per.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy_share, repeat_limit, budget_share)
-    # the order of a source's blocks is by number: a block's documents are random already
-    running = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("turn", F.md5(F.concat_ws(":", F.lit(seed), F.col("block"), F.col("source"))))
+    running = W.partitionBy("source").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1)
     begins = per.select("source", "block", F.coalesce(F.sum("tokens").over(running), F.lit(0)).alias("begin"))
     within = W.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))

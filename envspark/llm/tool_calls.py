@@ -22,6 +22,13 @@ def quoted(text: Column) -> Column:
     return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
+def canonical(value: Column) -> Column:
+    """A variant as JSON, whole numbers without fraction or exponent however they were written."""
+    number = F.when(F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double"))
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.cast("long").cast("string")).otherwise(F.coalesce(F.to_json(value), F.lit("null")))
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls (conv_id, call_id, after_id); level is null for calls on or behind a cycle.
 
@@ -53,7 +60,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     calls = calls.filter("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("name", "arguments", "after_id")).alias("c")).select("conv_id", "call_id", "c.*")
     results = results.filter("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
     fields = schemas.groupBy("name").agg(F.map_from_entries(F.collect_set(F.struct("field", "kind"))).alias("kinds"), F.collect_set(F.when(F.col("required"), F.col("field"))).alias("needed"))
-    given = F.from_json("arguments", "map<string,variant>")
+    # in brackets, as the parser passes over text behind a value; null for repeated keys
+    given = F.try_parse_json(F.concat(F.lit("["), "arguments", F.lit("]"))).cast("array<variant>")
+    given = F.when((F.size(given) == 1) & F.schema_of_variant(given[0]).startswith("OBJECT"), given[0].cast("map<string,variant>"))
     rows = calls.join(results, ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"]).join(fields, "name", "left").withColumn("given", given)
 
     def fits(key: Column, value: Column) -> Column:
@@ -65,7 +74,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         & F.forall("needed", lambda f: F.coalesce(F.array_contains(F.map_keys("given"), f) & (F.schema_of_variant(F.element_at("given", f)) != "VOID"), F.lit(False)))
         & F.forall(F.map_entries("given"), lambda e: fits(e["key"], e["value"]))
     )
-    pairs = F.transform(F.array_sort(F.map_keys("given")), lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.to_json(F.element_at("given", k)), F.lit("null"))))
+    pairs = F.transform(F.array_sort(F.map_keys("given")), lambda k: F.concat(quoted(k), F.lit(":"), canonical(F.element_at("given", k))))
     body = F.when(F.col("given").isNull(), F.lit("null")).otherwise(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
     message = F.concat(
         F.lit('{"arguments":'), body, F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), F.coalesce(quoted(F.col("name")), F.lit("null")),

@@ -76,6 +76,23 @@ def test_language_id(spark):
     assert all(got[i]["lang_pred"] == ("de" if i % 2 else "en") for i in range(40))
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (100, 101, 102))
     assert 0 < got[103]["score"] <= 1
+    brute = language_id.Pieces.load(language_id.VOCABULARY)
+    chance = np.exp(model[:-1])
+    word = "\u2581schön"
+    ids = {}
+    for i in range(len(word)):
+        for n in range(1, len(word) - i + 1):
+            piece = brute.find(language_id.span_hashes(np.frombuffer(word.encode("utf-32-le"), np.uint32), np.array([i]), np.array([i + n])))[0]
+            if piece >= 0:
+                ids[i, n] = chance[piece]
+    assert all((i, 1) in ids for i in range(len(word)))
+
+    def ways(i):  # all segmentations, one by one
+        return 1.0 if i == len(word) else sum(ids[i, n] * ways(i + n) for n in range(1, len(word) - i + 1) if (i, n) in ids)
+
+    assert np.allclose(np.exp(language_id.word_scores(brute, ["schön"], model[:-1])[0]), ways(0))
+    clash = df.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(1))
+    assert set(language_id.predict(clash, languages, model, keep=clash.columns, names=("a", "b")).columns) == {*clash.columns, "a", "b"}
     languages, model = language_id.learn(df.filter("false"))
     assert {r["lang_pred"] for r in language_id.predict(df, languages, model).collect()} == {"und"}
 
@@ -118,6 +135,11 @@ def test_tool_calls(spark):
     schemas = spark.createDataFrame([("f", "x", "STRING", True), ("f", "y", "DOUBLE", False)], "name string, field string, kind string, required boolean")
     got = {r["call_id"]: r for r in tool_calls.link(calls, results, schemas).collect()}
     assert {k: (r["level"], r["linked"], r["valid"]) for k, r in got.items()} == {"a": (0, True, True), "b": (1, False, False), "d": (2, False, False), "e": (None, False, False), "h": (None, False, False)}
+    odd = {"p": '{"x":"1","x":"2"}', "q": '{"x":"ok"} junk', "r": '{"x":"ok"},{}', "s": '{"x":"ok","y":1e2}', "t": '{"x":"ok","y":100.0}'}
+    odd = spark.createDataFrame([("c", k, None, "f", v) for k, v in odd.items()], calls.schema)
+    odd = {r["call_id"]: r for r in tool_calls.link(odd, results, schemas).collect()}
+    assert {k: r["valid"] for k, r in odd.items()} == {"p": False, "q": False, "r": False, "s": True, "t": True}
+    assert odd["s"]["message"].replace('"s"', '"t"') == odd["t"]["message"] and '"y":100}' in odd["s"]["message"]
     assert got["a"]["message"] == '{"arguments":{"x":"q\\"é","y":1},"id":"a","name":"f","result":"ok"}'
 
 
@@ -154,6 +176,13 @@ def test_decontamination(spark):
     assert decontamination.clean(df, bench.filter("false")).count() == 7
 
 
+def test_short_items_keep_their_whole_budget(spark):
+    item = "abcdefgh ijklmnop qrstuv"
+    bench = spark.createDataFrame([(1, item), (2, "two words")], "item_id long, text string")
+    df = spark.createDataFrame([(0, "x " + item.replace("m", "z") + " y"), (1, "here two words are"), (2, "here two wards are"), (3, item.replace("m", "z").replace("c", "z"))], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.matches(df, bench).collect()} == {(0, 1, 1), (1, 2, 0)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 100
     rows = [(1, "http://a/", big), (2, "http://b/", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u\r\nX: y", "")]
