@@ -54,9 +54,9 @@ def calibrate(raw: Column, scale: float, offset: float, nodata: float) -> Column
 
 
 def cell_severity(dbz: Column, area_km2: Column) -> Column:
-    """0 to 4: a step for each of 45, 50 and 55 dBZ and one for 50 km2."""
+    """0 to 3: a step for each of 45, 50 and 55 dBZ and one for 50 km2; three steps and more are one class."""
     step = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-    return step(dbz >= 45) + step(dbz >= 50) + step(dbz >= 55) + step(area_km2 >= 50)
+    return F.least(F.lit(3), step(dbz >= 45) + step(dbz >= 50) + step(dbz >= 55) + step(area_km2 >= 50))
 
 
 def stretch(v: Column, low: float, high: float, gamma: float = 1.0) -> Column:

@@ -17,7 +17,8 @@ def position(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     corner = lambda n, dr, dc, w: F.struct(F.lit(n).alias("corner"), (y0 + dr).cast("int").alias("row_idx"), (x0 + dc).cast("int").alias("col_idx"), w.alias("w"))
     asked = points.select("id", F.explode(F.array(corner(0, 0, 0, (1 - fx) * (1 - fy)), corner(1, 0, 1, fx * (1 - fy)), corner(2, 1, 0, (1 - fx) * fy), corner(3, 1, 1, fx * fy))).alias("c")).select("id", "c.*")
     met = asked.join(cells.filter("value is not null"), ["row_idx", "col_idx"]).groupBy("id", *keys)
-    return met.agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).otherwise(F.max_by("value", F.struct("w", F.negative("corner")))).alias("value"))
+    share = [F.max(F.when(F.col("corner") == k, F.col("w") * F.col("value"))) for k in range(4)]  # added in a fixed order
+    return met.agg(F.coalesce(share[0] + share[1] + share[2] + share[3], F.max_by("value", F.struct("w", F.negative("corner")))).alias("value"))
 
 
 def smooth(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,8 +116,12 @@ def points_in_areas(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> D
 
 
 def anti_withdrawn(alerts: DataFrame) -> DataFrame:
-    """Alerts that no Update or Cancel names by (sender, identifier, sent); a message never withdraws itself."""
-    named = alerts.filter("ref_sender is not null and msg_type in ('Update', 'Cancel')").filter(
+    """Alerts that no Update or Cancel names by (sender, identifier, sent); a message never withdraws itself.
+
+    Only the newest message of a sender and identifier withdraws: what it replaces has no say any more.
+    """
+    newest = alerts.groupBy("sender", "identifier").agg(F.max("sent").alias("sent"))
+    named = alerts.join(newest, ["sender", "identifier", "sent"], "left_semi").filter("ref_sender is not null and lower(trim(msg_type)) in ('update', 'cancel')").filter(
         "not (ref_sender = sender and ref_identifier = identifier and ref_sent = sent)"
     ).select(F.col("ref_sender").alias("sender"), F.col("ref_identifier").alias("identifier"), F.col("ref_sent").alias("sent"))
     return alerts.join(named.distinct(), ["sender", "identifier", "sent"], "left_anti")

@@ -33,6 +33,11 @@ def rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def half_up(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    """Rounded by the same operations as the SQL, so that values on a border between two results fall alike."""
+    return df.withColumns({c: F.floor(F.col(c) * 10.0**digits + 0.5) / 10.0**digits for c in columns})
+
+
 _HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, power(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * power(sin(radians({b}.lon - {a}.lon) / 2), 2)))))"
 
 # ---------------------------------------------------------------- selections
@@ -53,9 +58,9 @@ def flt_time(obs):
     return filters.time(obs, "2024-01-05", "2024-01-12").select("seq", "station_id", "time", "parameter", "value")
 
 
-@query("obs", "SELECT seq, time FROM obs WHERE time IN (SELECT time FROM obs WHERE seq % 50 = 0)")
+@query("obs", "SELECT seq, time FROM obs WHERE time IN (SELECT time FROM obs WHERE parameter = 'error')")
 def flt_time_list(obs):
-    return filters.time_list(obs, obs.filter("seq % 50 = 0").select("time")).select("seq", "time")
+    return filters.time_list(obs, obs.filter("parameter = 'error'").select("time")).select("seq", "time")
 
 
 @query("obs")
@@ -142,7 +147,7 @@ def join_point_in_area(strikes, areas):
     return joins.points_in_areas(strikes, shapes)
 
 
-@query("alerts", "SELECT sender, identifier, sent, msg_type FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM alerts r WHERE r.ref_sender = a.sender AND r.ref_identifier = a.identifier AND r.ref_sent = a.sent AND NOT (r.sender = a.sender AND r.identifier = a.identifier AND r.sent = a.sent))")
+@query("alerts", ", newest AS (SELECT sender, identifier, max(sent) AS sent FROM alerts GROUP BY 1, 2), named AS (SELECT DISTINCT r.ref_sender, r.ref_identifier, r.ref_sent FROM alerts r JOIN newest n ON r.sender = n.sender AND r.identifier = n.identifier AND r.sent = n.sent WHERE lower(trim(r.msg_type)) IN ('update', 'cancel') AND NOT (r.ref_sender = r.sender AND r.ref_identifier = r.identifier AND r.ref_sent = r.sent))\n SELECT sender, identifier, sent, msg_type FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM named r WHERE r.ref_sender = a.sender AND r.ref_identifier = a.identifier AND r.ref_sent = a.sent)")
 def join_anti_withdrawn(alerts):
     return joins.anti_withdrawn(alerts).select("sender", "identifier", "sent", "msg_type")
 
@@ -316,16 +321,16 @@ def set_common_times(obs):
     return sorts.common_times(obs.select(F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time"), "parameter"), ["click", "view"])
 
 
-@query("frames", """, o AS (SELECT frame, count(*) AS stamp FROM frames WHERE row_idx < 10 GROUP BY 1), n AS (SELECT frame + 1 AS frame, count(*) AS stamp FROM frames WHERE row_idx < 10 GROUP BY 1)
+@query("frames", """, o AS (SELECT frame, count(*) AS stamp FROM frames GROUP BY 1), n AS (SELECT frame + 1 AS frame, count(*) AS stamp FROM frames GROUP BY 1)
  SELECT coalesce(o.frame, n.frame) AS frame, CASE WHEN o.stamp IS NULL THEN 'add' WHEN n.stamp IS NULL THEN 'remove' ELSE 'retime' END AS change FROM o FULL JOIN n ON o.frame = n.frame WHERE o.stamp IS NULL OR n.stamp IS NULL OR o.stamp <> n.stamp""")
 def set_diff_ledger(frames):
-    old = frames.filter("row_idx < 10").groupBy("frame").agg(F.count("*").alias("stamp"))
+    old = frames.groupBy("frame").agg(F.count("*").alias("stamp"))
     return sorts.ledger_diff(old, old.select((F.col("frame") + 1).alias("frame"), "stamp"))
 
 
 @query("frames")
 def set_diff_ledger_all(frames):
-    """Over the whole grid; set_diff_ledger and its SQL see the rows below 10 only."""
+    """As set_diff_ledger, without SQL."""
     old = frames.groupBy("frame").agg(F.count("*").alias("stamp"))
     return sorts.ledger_diff(old, old.select((F.col("frame") + 1).alias("frame"), "stamp"))
 
@@ -380,30 +385,32 @@ def fn_quantize_time(obs):
 # ---------------------------------------------------------------- grids
 
 
-@query("frames strikes", """, p AS (SELECT id, (lon - 19) * 1.4 AS x, (lat - 59) * 1.5 AS y FROM strikes WHERE id % 10 = 0), c AS (SELECT id, x - floor(x) AS fx, y - floor(y) AS fy, CAST(floor(x) AS INT) AS x0, CAST(floor(y) AS INT) AS y0 FROM p),
+@query("frames strikes", """, p AS (SELECT id, (lon - 19) * 1.4 AS x, (lat - 59) * 1.5 AS y FROM strikes), c AS (SELECT id, x - floor(x) AS fx, y - floor(y) AS fy, CAST(floor(x) AS INT) AS x0, CAST(floor(y) AS INT) AS y0 FROM p),
  q AS (SELECT id, 0 AS k, y0 AS r, x0 AS c, (1 - fx) * (1 - fy) AS w FROM c UNION ALL SELECT id, 1, y0, x0 + 1, fx * (1 - fy) FROM c UNION ALL SELECT id, 2, y0 + 1, x0, (1 - fx) * fy FROM c UNION ALL SELECT id, 3, y0 + 1, x0 + 1, fx * fy FROM c)
- SELECT q.id, f.frame, round(CASE WHEN count(*) = 4 THEN sum(w * value) ELSE max_by(value, (w, -k)) END, 4) AS value FROM q JOIN frames f ON f.row_idx = q.r AND f.col_idx = q.c WHERE f.frame % 12 = 0 GROUP BY 1, 2""")
+ SELECT q.id, f.frame, floor(coalesce(max(w * value) FILTER (k = 0) + max(w * value) FILTER (k = 1) + max(w * value) FILTER (k = 2) + max(w * value) FILTER (k = 3), max_by(value, (w, -k))) * 1e4 + 0.5) / 1e4 AS value FROM q JOIN frames f ON f.row_idx = q.r AND f.col_idx = q.c GROUP BY 1, 2""")
 def grid_position(frames, strikes):
-    points = strikes.filter("id % 10 = 0").select("id", ((F.col("lon") - 19) * 1.4).alias("x"), ((F.col("lat") - 59) * 1.5).alias("y"))
-    return rounded(grids.position(points, frames.filter("frame % 12 = 0"), ["frame"]), "value", digits=4)
+    points = strikes.select("id", ((F.col("lon") - 19) * 1.4).alias("x"), ((F.col("lat") - 59) * 1.5).alias("y"))
+    return half_up(grids.position(points, frames, ["frame"]), "value")
 
 
 @query("frames strikes")
 def grid_position_all(frames, strikes):
-    """Every strike at every frame; grid_position and its SQL keep one point in ten and one frame in twelve."""
+    """As grid_position, without SQL."""
     points = strikes.select("id", ((F.col("lon") - 19) * 1.4).alias("x"), ((F.col("lat") - 59) * 1.5).alias("y"))
     return rounded(grids.position(points, frames, ["frame"]), "value", digits=4)
 
 
-@query("frames", """, a AS (SELECT f.frame, f.row_idx, f.col_idx, sum(n.value * CASE WHEN n.col_idx = f.col_idx THEN 2 ELSE 1 END) / sum(CASE WHEN n.col_idx = f.col_idx THEN 2 ELSE 1 END) AS value FROM frames f JOIN frames n ON n.frame = f.frame AND n.row_idx = f.row_idx AND abs(n.col_idx - f.col_idx) <= 1 GROUP BY 1, 2, 3)
- SELECT f.frame, f.row_idx, f.col_idx, round(sum(n.value * CASE WHEN n.row_idx = f.row_idx THEN 2 ELSE 1 END) / sum(CASE WHEN n.row_idx = f.row_idx THEN 2 ELSE 1 END), 4) AS value FROM a f JOIN a n ON n.frame = f.frame AND n.col_idx = f.col_idx AND abs(n.row_idx - f.row_idx) <= 1 GROUP BY 1, 2, 3""")
+@query("frames", """, s AS (SELECT frame, row_idx, col_idx, round(value * 1e6) * 12 AS value FROM frames), a AS (SELECT f.frame, f.row_idx, f.col_idx, sum(n.value * CASE WHEN n.col_idx = f.col_idx THEN 2 ELSE 1 END) / sum(CASE WHEN n.col_idx = f.col_idx THEN 2 ELSE 1 END) AS value FROM s f JOIN s n ON n.frame = f.frame AND n.row_idx = f.row_idx AND abs(n.col_idx - f.col_idx) <= 1 GROUP BY 1, 2, 3)
+ SELECT f.frame, f.row_idx, f.col_idx, floor(sum(n.value * CASE WHEN n.row_idx = f.row_idx THEN 2 ELSE 1 END) / sum(CASE WHEN n.row_idx = f.row_idx THEN 2 ELSE 1 END) / 12e6 * 1e4 + 0.5) / 1e4 AS value FROM a f JOIN a n ON n.frame = f.frame AND n.col_idx = f.col_idx AND abs(n.row_idx - f.row_idx) <= 1 GROUP BY 1, 2, 3""")
 def grid_smooth(frames):
-    return rounded(grids.smooth(frames, ["frame"]), "value", digits=4)
+    whole = frames.withColumn("value", F.round(F.col("value") * 1e6) * 12)  # sums are exact in any order
+    return half_up(grids.smooth(whole, ["frame"]).withColumn("value", F.col("value") / 12e6), "value")
 
 
-@query("frames", "SELECT frame, CAST(z AS INT) AS z, CAST(row_idx // CAST(power(2, z) AS INT) AS INT) AS tile_row, CAST(col_idx // CAST(power(2, z) AS INT) AS INT) AS tile_col, count(value) AS n, round(avg(value), 4) AS mean, max(value) AS most FROM frames, (SELECT range AS z FROM range(4)) GROUP BY 1, 2, 3, 4")
+@query("frames", "SELECT frame, CAST(z AS INT) AS z, CAST(row_idx // CAST(power(2, z) AS INT) AS INT) AS tile_row, CAST(col_idx // CAST(power(2, z) AS INT) AS INT) AS tile_col, count(value) AS n, floor(sum(round(value * 1e6)) / count(value) / 1e6 * 1e4 + 0.5) / 1e4 AS mean, max(value) AS most FROM frames, (SELECT range AS z FROM range(4)) GROUP BY 1, 2, 3, 4")
 def grid_tiles(frames):
-    return rounded(grids.tiles(frames, ["frame"], 4), "mean", digits=4)
+    whole = grids.tiles(frames.withColumn("value", F.round(F.col("value") * 1e6)), ["frame"], 4)  # sums are exact in any order
+    return half_up(whole.withColumns({"mean": F.col("mean") / 1e6, "most": F.col("most") / 1e6}), "mean")
 
 
 @query("strikes", "SELECT CAST(floor(lat / 0.25) AS INT) AS row_idx, CAST(floor(lon / 0.25) AS INT) AS col_idx, round(min(age), 5) AS age_min FROM (SELECT *, (epoch_us(TIMESTAMP '2024-01-20') // 1000000 - epoch_us(time) // 1000000) / 60.0 AS age FROM strikes) WHERE age >= 0 AND age < 1440 GROUP BY 1, 2")
