@@ -20,7 +20,8 @@ PARTS, CENTRES = 16, 16
 PARALLEL = 4.0
 #: Vectors in the learning sample, in a block of the scan, and queries that meet a block together.
 SAMPLE, BLOCK, QUERIES = 20_000, 16_384, 8_192
-REFINED = 400
+#: Rows of a block that are scored exactly a query: recall at 20 on a full block of Gaussian vectors of 64 dimensions is 0.98 (0.83 with 400).
+REFINED = 1_600
 
 
 def _encode(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -85,18 +86,24 @@ def search(embeddings: DataFrame, is_query, k: int = 20, sample: int = SAMPLE) -
     """(query_id, rank, vec_id, score): of each query row the k other rows with the largest inner products, ties to smaller vec_id.
 
     embeddings has vec_id and embedding; is_query is a boolean column. Vectors that are null, zero, or have null or non-finite
-    components take no part, nor do those of another dimension than most (ties: the smaller). A row with a null vec_id takes no part. An empty table gives an
-    empty result.
+    components take no part, nor does a row with a null vec_id. Vectors of several dimensions are searched each among those of its
+    own, one search a dimension. An empty table gives an empty result; repeated rows are candidates each. Extra columns are ignored.
     """
     spark = embeddings.sparkSession
     v = F.col("embedding").cast("array<double>")
     fine = F.coalesce(F.forall(v, lambda e: e.isNotNull() & (F.abs(e) < float("inf")) & ~F.isnan(e)) & F.exists(v, lambda e: e != 0), F.lit(False))
     rows = embeddings.filter(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"), is_query.alias("is_query"))
-    common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = common["d"]
-    rows = rows.filter(F.size("vector") == dim)
+    dims = [r["d"] for r in rows.groupBy(F.size("vector").alias("d")).agg(F.count_if("is_query").alias("q")).filter("q > 0").orderBy("d").collect()]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for place, dim in enumerate(dims):
+        found = _among_equals(rows.filter(F.size("vector") == dim), dim, k, sample)
+        out = out.union(found) if place else found
+    return out
+
+
+def _among_equals(rows: DataFrame, dim: int, k: int, sample: int) -> DataFrame:
+    """search() over rows (vec_id, vector, is_query) of one dimension."""
+    spark = rows.sparkSession
     counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
     wide = -(-dim // PARTS) * PARTS

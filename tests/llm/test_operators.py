@@ -147,10 +147,11 @@ def test_inner_product(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(800, 20)).astype(np.float32)
     x[5:40] = x[4]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (920, [0.0] * 20), (940, [float("nan")] + [1.0] * 19), (960, [1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (920, [0.0] * 20), (940, [float("nan")] + [1.0] * 19), (960, [1.0]), (961, [2.0])]
     got = {}
     for r in inner_product.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert got.pop(960) == [(1, 961, 2.0)]  # among the vectors of its own dimension
     assert set(got) == set(range(0, 800, 20))
     hit, y = 0, x.astype(float)
     for q, rows_ in got.items():
