@@ -20,7 +20,7 @@ def within(points: DataFrame, stations: DataFrame, metres: float, max_lat: float
     """Pairs of points (id, lon, lat) and stations (station_id, lon, lat) within metres, with column distance.
 
     Both sides are cut into cells as wide as the radius at max_lat; stations are replicated to the nine cells around theirs, across the
-    antimeridian too, so the join is on the cell. Rows beyond max_lat are not joined.
+    antimeridian too, so the join is on the cell. Where a point or a station lies beyond max_lat the cells are whole bands of latitude.
     """
     size = metres / _METRES_PER_DEGREE / math.cos(math.radians(max_lat))
     wide = max(1, math.floor(360.0 / size))
@@ -30,8 +30,16 @@ def within(points: DataFrame, stations: DataFrame, metres: float, max_lat: float
         near = near.withColumn(axis, F.explode(F.array(*[F.col(axis) + d for d in (-1, 0, 1)])))
     near = near.withColumn("cell_x", F.pmod("cell_x", F.lit(wide))).distinct()
     mine = _cells(points.filter(F.abs("lat") <= max_lat), size, "lon", "lat").withColumn("cell_x", F.pmod("cell_x", F.lit(wide)))
-    pairs = mine.join(near, ["cell_x", "cell_y"]).withColumn("distance", haversine(F.col("lon"), F.col("lat"), F.col("station_lon"), F.col("station_lat")))
-    return pairs.filter(F.col("distance") <= metres).drop("cell_x", "cell_y")
+    mine = mine.join(near, ["cell_x", "cell_y"])
+
+    def band(df: DataFrame, lon: str, lat: str) -> DataFrame:
+        return _cells(df.filter(F.abs(lat) > max_lat - size), size, lon, lat).drop("cell_x")
+
+    caps = band(stations.select("station_id", F.col("lon").alias("station_lon"), F.col("lat").alias("station_lat")), "station_lon", "station_lat")
+    caps = caps.withColumn("cell_y", F.explode(F.array(*[F.col("cell_y") + d for d in (-1, 0, 1)])))
+    polar = band(points, "lon", "lat").join(caps, "cell_y").filter((F.abs("lat") > max_lat) | (F.abs("station_lat") > max_lat))
+    pairs = mine.drop("cell_x").unionByName(polar).withColumn("distance", haversine(F.col("lon"), F.col("lat"), F.col("station_lon"), F.col("station_lat")))
+    return pairs.filter(F.col("distance") <= metres).drop("cell_y")
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, metres: float) -> DataFrame:
