@@ -100,3 +100,16 @@ def alert_times(alerts: DataFrame, now: Column, limit: int = 256) -> DataFrame:
     t = alerts.select(F.explode(F.array("start", "end")).alias("time")).filter("time is not null").distinct()
     gap = F.abs(F.unix_seconds(F.col("time").cast("timestamp")) - F.unix_seconds(now.cast("timestamp")))
     return t.withColumn("gap_s", gap).filter(F.col("gap_s") <= 7 * 86400).orderBy("gap_s", "time").limit(limit)
+
+
+def severity_cells(areas: DataFrame, west: float, south: float, step: float) -> DataFrame:
+    """Highest severity of each grid cell whose centre lies in an area (box west, south, east, north; severity), edges included.
+
+    Areas of one box are merged first, so that the cells of a box are made once however many alerts it has.
+    """
+    boxes = areas.groupBy("west", "south", "east", "north").agg(F.max("severity").alias("severity"))
+    first = lambda low, start: F.ceil((F.col(low) - start) / step - 0.5)
+    last = lambda high, start: F.floor((F.col(high) - start) / step - 0.5)
+    span = lambda low, high, start: F.when(first(low, start) <= last(high, start), F.sequence(first(low, start), last(high, start)))
+    cells = boxes.withColumn("row_idx", F.explode(span("south", "north", south))).withColumn("col_idx", F.explode(span("west", "east", west)))
+    return cells.groupBy("row_idx", "col_idx").agg(F.max("severity").alias("severity"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,3 +25,12 @@ def staleness(reports: DataFrame, keys: list[str], now: Column, expected_minutes
     """Minutes since the newest row of each key, and whether that is more than twice the expected interval."""
     age = (F.unix_micros(now) - F.unix_micros(F.max("time").cast("timestamp"))) / 60_000_000
     return reports.groupBy(keys).agg(age.alias("age_min")).withColumn("stale", F.col("age_min") > 2 * expected_minutes)
+
+
+def only_news(notifications: DataFrame, receipt: str) -> DataFrame:
+    """The first message of each id, and of those only what is newer than all that came before of its data_id (in order of receipt, id)."""
+    first = W.partitionBy("id").orderBy(receipt, "pubtime")
+    before = W.partitionBy("data_id").orderBy(receipt, "id").rowsBetween(W.unboundedPreceding, -1)
+    once = notifications.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    seen = once.withColumn("_newest", F.max("pubtime").over(before))
+    return seen.filter(F.col("_newest").isNull() | (F.col("pubtime") > F.col("_newest"))).drop("_newest")

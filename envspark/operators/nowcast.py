@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -97,3 +98,28 @@ def skill(forecast: DataFrame, observed: DataFrame, thresholds: list[float]) ->
     said, seen = F.col("said") >= F.col("threshold"), F.col("seen") >= F.col("threshold")
     out = both.groupBy("threshold").agg(F.count_if(said & seen).alias("hits"), F.count_if(~said & seen).alias("misses"), F.count_if(said & ~seen).alias("false_alarms"))
     return out.withColumn("csi", F.try_divide(F.col("hits"), F.col("hits") + F.col("misses") + F.col("false_alarms")))
+
+
+def common_skill(forecasts: dict[str, DataFrame], observed: DataFrame, thresholds: list[float]) -> DataFrame:
+    """skill of each forecast by name, over the cells that the analysis and all forecasts have, so that all are scored on one sample."""
+    cell = ["frame", "row_idx", "col_idx"]
+    both = observed.select(*cell, F.col("value").alias("_seen"))
+    for name, said in forecasts.items():
+        both = both.join(said.select(*cell, F.col("value").alias(f"_{name}")), cell)
+    methods = F.array(*[F.struct(F.lit(n).alias("method"), F.col(f"_{n}").alias("said")) for n in forecasts])
+    long = both.select("_seen", F.explode(methods).alias("m")).select("_seen", "m.*").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    said, seen = F.col("said") >= F.col("threshold"), F.col("_seen") >= F.col("threshold")
+    counts = [F.count_if(said & seen).alias("hits"), F.count_if(~said & seen).alias("misses"), F.count_if(said & ~seen).alias("false_alarms")]
+    out = long.groupBy("method", "threshold").agg(*counts)
+    return out.withColumn("csi", F.try_divide(F.col("hits"), F.col("hits") + F.col("misses") + F.col("false_alarms")))
+
+
+def motion_vectors(vectors: DataFrame, block: int, west: float, north: float, d_lon: float, d_lat: float, width: int, height: int, seconds: float) -> DataFrame:
+    """Block motions in pixels a frame as metres a second to the east and north, at block centres; quality 1 if measured, else 0."""
+    centre = lambda at, size: F.greatest(F.lit(0.0), F.least((F.col(at) + 0.5) * block, F.lit(size - 0.5)))
+    lat, degree = north - centre("block_row", height) * d_lat, 6_371_000.0 * math.pi / 180
+    return vectors.select(
+        "frame", (west + centre("block_col", width) * d_lon).alias("lon"), lat.alias("lat"),
+        (F.col("d_col") * d_lon * degree * F.cos(F.radians(lat)) / seconds).alias("u"), (-F.col("d_row") * d_lat * degree / seconds).alias("v"),
+        F.when(F.col("measured"), 1.0).otherwise(0.0).alias("quality"),
+    )

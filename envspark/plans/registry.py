@@ -234,10 +234,15 @@ def agg_obs_fingerprint(obs):
     return rounded(aggregates.obs_fingerprint(obs), "total", digits=2)
 
 
-@query("strikes alerts", "SELECT CAST(floor(s.lat) AS BIGINT) AS row_idx, CAST(floor(s.lon) AS BIGINT) AS col_idx, max(a.severity) AS severity FROM strikes s JOIN alerts a ON a.sent = s.time GROUP BY 1, 2")
-def agg_max_severity(strikes, alerts):
-    met = strikes.join(alerts, strikes["time"] == alerts["sent"])
-    return met.groupBy(F.floor("lat").alias("row_idx"), F.floor("lon").alias("col_idx")).agg(F.max("severity").alias("severity"))
+@query("areas alerts", """, a AS (SELECT west - 0.7 AS west, south - 0.7 AS south, east + 0.7 AS east, north + 0.7 AS north, severity
+  FROM areas JOIN alerts ON area_id = CAST(substr(identifier, 2) AS INT) % 25),
+ b AS (SELECT west, south, east, north, max(severity) AS severity FROM a GROUP BY ALL),
+ r AS (SELECT range AS row_idx, 58 + (range + 0.5) * 0.25 AS lat FROM range(80)), c AS (SELECT range AS col_idx, 18 + (range + 0.5) * 0.25 AS lon FROM range(80))
+ SELECT row_idx, col_idx, max(severity) AS severity FROM b JOIN r ON lat BETWEEN south AND north JOIN c ON lon BETWEEN west AND east GROUP BY 1, 2""")
+def agg_max_severity(areas, alerts):
+    met = alerts.join(areas, F.col("area_id") == F.substring("identifier", 2, 9).cast("int") % 25)
+    wide = [(F.col(c) + d).alias(c) for c, d in (("west", -0.7), ("south", -0.7), ("east", 0.7), ("north", 0.7))]
+    return aggregates.severity_cells(met.select(*wide, "severity"), 18.0, 58.0, 0.25)
 
 
 @query("alerts", """SELECT time, gap_s FROM (SELECT time, abs(epoch_us(time) // 1000000 - epoch_us(TIMESTAMP '2024-01-15') // 1000000) AS gap_s FROM (SELECT sent AS time FROM alerts UNION SELECT sent + INTERVAL 6 HOUR FROM alerts)) WHERE gap_s <= 604800 ORDER BY gap_s, time LIMIT 256""")
@@ -487,14 +492,15 @@ def nc_advect(frames):
     return nowcast.advect(frames, _vectors(frames), 5)
 
 
-@query("frames", f""",{_ADVECT}, said AS (SELECT 'advected' AS method, frame, row_idx, col_idx, value FROM moved UNION ALL SELECT 'persistence', frame + 1, row_idx, col_idx, value FROM frames),
- j AS (SELECT method, t AS threshold, m.value >= t AS said, o.value >= t AS seen FROM said m JOIN frames o USING (frame, row_idx, col_idx), (SELECT unnest([20e0, 35e0]) AS t))
+@query("frames", f""",{_ADVECT}, said AS (SELECT frame, row_idx, col_idx, m.value AS advected, p.value AS persistence, o.value AS seen
+  FROM moved m JOIN (SELECT frame + 1 AS frame, row_idx, col_idx, value FROM frames) p USING (frame, row_idx, col_idx) JOIN frames o USING (frame, row_idx, col_idx)),
+ j AS (SELECT method, t AS threshold, CASE method WHEN 'advected' THEN advected ELSE persistence END >= t AS said, seen >= t AS seen
+  FROM said, (SELECT unnest(['advected', 'persistence']) AS method), (SELECT unnest([20e0, 35e0]) AS t))
  SELECT method, threshold, count(*) FILTER (said AND seen) AS hits, count(*) FILTER (NOT said AND seen) AS misses, count(*) FILTER (said AND NOT seen) AS false_alarms,
  round(count(*) FILTER (said AND seen) / nullif(count(*) FILTER (said OR seen), 0), 5) AS csi FROM j GROUP BY 1, 2""")
 def nc_skill(frames):
     said = {"advected": nowcast.advect(frames, _vectors(frames), 5), "persistence": frames.withColumn("frame", F.col("frame") + 1)}
-    scores = [nowcast.skill(f, frames, [20, 35]).withColumn("method", F.lit(m)) for m, f in said.items()]
-    return rounded(scores[0].unionByName(scores[1]), "csi")
+    return rounded(nowcast.common_skill(said, frames, [20, 35]), "csi")
 
 
 @query("frames", "SELECT frame, r AS row_idx, c AS col_idx, value FROM frames JOIN (SELECT range AS r FROM range(30)) ON row_idx = (2 * r + 1) * 20 // 60 JOIN (SELECT range AS c FROM range(12)) ON col_idx = (2 * c + 1) * 20 // 24")

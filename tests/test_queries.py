@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from envspark.plans import derived, registry  # noqa: F401  (derived registers its queries)
+from envspark.plans import derived, documents, registry  # noqa: F401  (the first two register their queries)
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

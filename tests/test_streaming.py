@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from envspark.operators import ingest
 from envspark.sources.adapters import view
 from envspark.streaming import streams
 
@@ -19,9 +20,18 @@ def _rows(spark, stream, folder, name, mode):
 
 
 def test_dedup(spark, tmp_path):
-    table = view(spark, DATA, "notifications").withColumn("pubtime", F.col("pubtime").cast("timestamp"))
-    got = _rows(spark, streams.dedup(_stream(spark, table, tmp_path), "90 days").select("data_id", "pubtime"), tmp_path, "dedup", "append")
-    assert got == sorted(map(tuple, table.select("data_id", "pubtime").distinct().collect()), key=str)
+    table = view(spark, DATA, "notifications").withColumns({"pubtime": F.col("pubtime").cast("timestamp"), "received": F.col("id") * 7919 % 10007})
+    table = table.withColumn("id", F.col("id").cast("string")).coalesce(1)
+    got = _rows(spark, streams.dedup(_stream(spark, table, tmp_path)).select("id", "data_id"), tmp_path, "dedup", "append")
+    assert got == sorted(map(tuple, ingest.only_news(table, "received").select("id", "data_id").collect()), key=str)
+    assert len(got) < table.count()
+
+
+def test_only_news(spark):
+    """A copy, an older message and a seen id are dropped; a newer message passes."""
+    rows = [("1", "a", 5, 1), ("2", "a", 5, 2), ("3", "a", 4, 3), ("1", "a", 9, 4), ("4", "a", 6, 5), ("5", "b", 1, 6)]
+    table = spark.createDataFrame(rows, "id string, data_id string, pubtime long, received long")
+    assert sorted(r.id for r in ingest.only_news(table, "received").collect()) == ["1", "4", "5"]
 
 
 def test_station_latest(spark, tmp_path):
