@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm import decontamination, inner_product, language_id, license_scan, lm_scoring, mixing, quality, tool_calls, warc
+from envspark.llm import decontamination, inner_product, language_id, license_scan, lm_scoring, mixing, packing, quality, tool_calls, warc
 from envspark.llm.common import remainder, scratch
 from envspark.llm.jaccard_join import jaccard_components
 
@@ -64,6 +64,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -75,5 +79,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op12_packing": op12_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
