@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm import decontamination, inner_product, language_id, license_scan, lm_scoring, mixing, packing, quality, tool_calls, warc
+from envspark.llm import decontamination, inner_product, language_id, license_scan, lm_scoring, mixing, packing, quality, spelling, tool_calls, warc
 from envspark.llm.common import remainder, scratch
 from envspark.llm.jaccard_join import jaccard_components
 
@@ -68,6 +68,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -80,5 +84,40 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
     "op12_packing": op12_packing,
+    "op13_spelling": op13_spelling,
 }
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: CRC-32 byte by byte over a table of 256; near words by what is left of them without one letter.
+OP13_SQL = f"""
+WITH RECURSIVE table_of AS (
+ SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)) x),
+found AS (
+ SELECT doc_id, translate(r, '{_UPPER}', '{_LOWER}') AS r, count(*) AS k
+ FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents) x GROUP BY 1, 2),
+hashed AS (
+ SELECT r, k, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END))),
+  lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) AS h
+ FROM found, table_of),
+words AS (
+ SELECT word, CAST(sum(k) AS BIGINT) AS n
+ FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, k FROM hashed) x
+ WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+less AS (SELECT word, n, place, substr(word, 1, place - 1) || substr(word, place + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words) x),
+near AS (
+ SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+ UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+ UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, n, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k FROM near),
+formed AS (
+ SELECT w.word, w.n, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+ FROM words w LEFT JOIN best b ON w.word = b.word AND b.k = 1),
+chain AS (
+ SELECT word, word AS root, form AS next FROM formed
+ UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON f.word = c.word AND c.next IS NULL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_spelling": OP13_SQL}
