@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm import decontamination, inner_product, language_id, license_scan, lm_scoring, mixing, packing, quality, spelling, tool_calls, warc
+from envspark.llm import decontamination, inner_product, language_id, lexical_search, license_scan, lm_scoring, mixing, packing, quality, spelling, tool_calls, warc
 from envspark.llm.common import remainder, scratch
 from envspark.llm.jaccard_join import jaccard_components
 
@@ -64,6 +64,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -83,11 +87,30 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op11_lexical_search": op11_lexical_search,
     "op12_packing": op12_packing,
     "op13_spelling": op13_spelling,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Postings of the items' terms, joined term by term.
+OP11_SQL = f"""
+WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY 1),
+whole AS (SELECT count(*) AS all_n, CAST(sum(n) AS BIGINT) AS all_l FROM lengths),
+posts AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2),
+wanted AS (
+ SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark) x GROUP BY 1, 2),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0e0 * all_n + 2) / (2.0e0 * count(*) + 1))) AS BIGINT) AS w FROM posts, whole WHERE term IN (SELECT term FROM wanted) GROUP BY term, all_n),
+scored AS (
+ SELECT item_id, p.doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * all_n) // all_l))))) AS BIGINT) AS score
+ FROM wanted JOIN posts p USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), whole GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) x WHERE rank <= 20
+"""
+
 #: CRC-32 byte by byte over a table of 256; near words by what is left of them without one letter.
 OP13_SQL = f"""
 WITH RECURSIVE table_of AS (
@@ -120,4 +143,4 @@ chain AS (
 SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON f.word = c.word AND c.next IS NULL
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_spelling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_lexical_search": OP11_SQL, "op13_spelling": OP13_SQL}
