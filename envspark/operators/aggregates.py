@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,11 +96,54 @@ def obs_fingerprint(obs: DataFrame) -> DataFrame:
     return obs.groupBy("parameter").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
 
 
+def _cover(tiers: list[tuple[list[tuple[int, int]], bool]], now: int, room: int) -> list[int]:
+    """Of each tier's (onset, earliest end), latest onset first, the onsets that put an instant into every window, while there is room."""
+    kept: list[int] = []
+    for windows, all_fit in tiers:
+        chosen: list[int] = []
+        for onset, end in windows:
+            if not (chosen and chosen[-1] <= end) and not any(onset <= t <= end for t in kept):
+                chosen.append(onset)
+        if all_fit and len(chosen) > room:
+            continue
+        kept += sorted(chosen, key=lambda t: (abs(t - now), t))[: room - len(kept)]
+        if all_fit:
+            break
+    return kept
+
+
 def alert_times(alerts: DataFrame, now: Column, limit: int = 256) -> DataFrame:
-    """Instants worth drawing: window ends within seven days of now, the nearest first."""
-    t = alerts.select(F.explode(F.array("start", "end")).alias("time")).filter("time is not null").distinct()
-    gap = F.abs(F.unix_seconds(F.col("time").cast("timestamp")) - F.unix_seconds(now.cast("timestamp")))
-    return t.withColumn("gap_s", gap).filter(F.col("gap_s") <= 7 * 86400).orderBy("gap_s", "time").limit(limit)
+    """(time): the instants to offer of alerts (start, end, severity; open ends are null): now, and every boundary up to seven days ahead.
+
+    Over limit, now stays, then every window gets an instant: its onset (an open start's end), the latest first, unless a later one
+    lies in it. Where even these are too many, windows still to come go before those that ended, the severer first, the onsets
+    nearest to now first. Boundaries nearest to now (ties: the earlier) fill the rest. The windows are reduced to one row an onset second
+    and severity, and these meet in one task; no more are there than seconds that the alerts span.
+    """
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    at, horizon = seconds(now), seconds(now) + 7 * 86400
+    edges = alerts.select(F.explode(F.array("start", "end")).alias("time")).filter("time is not null").select(seconds(F.col("time")).alias("t"))
+    bounds = edges.filter(F.col("t") <= horizon).union(alerts.sparkSession.range(1).select(at)).distinct()
+    onset, end = seconds(F.coalesce("start", "end")), F.coalesce(seconds(F.col("end")), F.lit(1 << 62))
+    w = alerts.filter("coalesce(start, end) is not null and coalesce(start <= end, true)").select(onset.alias("onset"), seconds(F.col("start")).alias("s"), end.alias("e"), F.coalesce("severity", F.lit(0)).alias("severity"))
+    w = w.filter((F.col("onset") <= horizon) & ~(F.coalesce(F.col("s") <= at, F.lit(True)) & (at <= F.col("e"))))
+    w = w.groupBy((F.col("e") < at).alias("ended"), "severity", "onset").agg(F.min("e").alias("e")).crossJoin(F.broadcast(alerts.sparkSession.range(1).select(at.alias("now"))))
+
+    def run(mine: pa.Table) -> pa.Table:
+        rows = mine.to_pylist()
+        now_s = rows[0]["now"] if rows else 0
+        ends: dict[int, int] = {}
+        tiers: dict[tuple, list[tuple[int, int]]] = {}
+        for r in rows:
+            ends[r["onset"]] = min(ends.get(r["onset"], r["e"]), r["e"])
+            tiers.setdefault((r["ended"], -r["severity"]), []).append((r["onset"], r["e"]))
+        ordered = [(sorted(ends.items(), reverse=True), True)] + [(sorted(tiers[k], reverse=True), False) for k in sorted(tiers)]
+        return pa.table({"t": pa.array(_cover(ordered, now_s, limit - 1), pa.int64())})
+
+    cover = w.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "t long")
+    first = F.when(F.col("t") == at, 0).when(F.col("c").isNotNull(), 1).otherwise(2)
+    ranked = bounds.join(F.broadcast(cover.select("t", F.lit(1).alias("c"))), "t", "left").select("t", first.alias("k"), F.abs(F.col("t") - at).alias("gap"))
+    return ranked.orderBy("k", "gap", "t").limit(limit).select(F.timestamp_seconds("t").cast("timestamp_ntz").alias("time"))
 
 
 def severity_cells(areas: DataFrame, west: float, south: float, step: float) -> DataFrame:

@@ -17,12 +17,13 @@ SEVERITY = {"extreme": 4, "severe": 3, "moderate": 2, "minor": 1}
 def select_parameters(available: DataFrame, requested: DataFrame) -> DataFrame:
     """(position, parameter) of requested names (position, name): the exact name, else the first one (by place) that is equal but for case.
 
-    available: place, parameter. A repeat collapses to its first position; a name that isn't available has a null parameter.
+    available: place, parameter. A repeat collapses to its first position. A name that isn't available fails the query when it runs.
     """
     names = available.select("place", "parameter", F.lower("parameter").alias("key"))
     met = requested.withColumn("key", F.lower("name")).join(names, "key", "left")
     best = met.groupBy("position", "name").agg(F.min_by("parameter", F.struct((F.col("parameter") != F.col("name")).cast("int"), "place")).alias("parameter"))
-    return best.groupBy(F.coalesce("parameter", "name").alias("_name"), "parameter").agg(F.min("position").alias("position")).select("position", "parameter")
+    known = F.coalesce("parameter", F.raise_error(F.concat(F.lit("no such parameter: "), "name")).cast("string"))
+    return best.select("position", known.alias("parameter")).groupBy("parameter").agg(F.min("position").alias("position")).select("position", "parameter")
 
 
 def level_steps(low: float, step: float, n: int) -> Column:
@@ -53,7 +54,7 @@ def masked_cells(cells: DataFrame, inside: Column) -> DataFrame:
 
 def one_language(infos: DataFrame, language: str) -> DataFrame:
     """Of each alert's infos (alert, ordinal, lang) those whose primary subtag is the language's; without one, the first."""
-    primary = lambda c: F.lower(F.substring_index(F.trim(c), "-", 1))
+    primary = lambda c: F.lower(F.regexp_extract(F.trim(c), "^[^-_]*", 0))
     match = F.coalesce(primary(F.col("lang")) == primary(F.lit(language)), F.lit(False))
     alert = W.partitionBy("alert")
     marked = infos.withColumn("_match", match).withColumn("_any", F.max("_match").over(alert)).withColumn("_first", F.min("ordinal").over(alert))
@@ -117,12 +118,15 @@ def top_reasons(terms: DataFrame, k: int = 3) -> DataFrame:
     return terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "rank", "name", "value")
 
 
-def growth_class(cells: DataFrame, gate: float) -> DataFrame:
-    """(track, frame, growth) from volumes: growing or decaying by more than gate against the frame before, else steady; null: new."""
-    order = W.partitionBy("track").orderBy("frame")
-    was = F.when(F.col("frame") - F.lag("frame").over(order) == 1, F.lag("volume").over(order))
-    change = F.col("volume") - was
-    return cells.select("track", "frame", F.when(F.abs(change) <= gate * was, "steady").when(change > 0, "growing").when(change < 0, "decaying").alias("growth"))
+def growth_class(cells: DataFrame, matches: DataFrame) -> DataFrame:
+    """(frame, label, growth) of cells (frame, label, volume): growing from the volume of the cell they are matched to on, else decaying; unknown without a match.
+
+    matches has frame (the later one), label and was, the matched cell of the frame before.
+    """
+    before = cells.select((F.col("frame") + 1).alias("frame"), F.col("label").alias("was"), F.col("volume").alias("before"))
+    met = cells.join(matches.select("frame", "label", "was").join(before, ["frame", "was"]), ["frame", "label"], "left")
+    growth = F.when(F.col("before").isNull(), "unknown").when(F.col("volume") >= F.col("before"), "growing").otherwise("decaying")
+    return met.select("frame", "label", growth.alias("growth"))
 
 
 def history(cells: DataFrame, frames: int) -> DataFrame:
@@ -166,15 +170,16 @@ def severity_code(text: Column) -> Column:
     return out
 
 
-def likely_clutter(speed_ms: Column, age: Column, net_km: Column, slow: float = 2.0, old: int = 6, near: float = 3.0) -> Column:
-    """Slow, old and not travelled; what isn't known is never clutter."""
-    return F.coalesce((speed_ms < slow) & (age >= old) & (net_km < near), F.lit(False))
+def likely_clutter(speed_ms: Column, age: Column, net_km: Column, slow: float = 3.0, old: int = 6, near: float = 3.0) -> Column:
+    """Slow and old. Known to have travelled over near, it is no clutter; an unknown displacement decides nothing, an unknown speed is no clutter."""
+    return F.when(net_km > near, F.lit(False)).otherwise(F.coalesce((speed_ms < slow) & (age >= old), F.lit(False)))
 
 
 def log_weight(raw: Column, low: float = 100.0, high: float = 700_000.0) -> Column:
-    """0 at low and below to 1 at high and above, even in the logarithm."""
-    share = (F.log10(F.greatest(raw, F.lit(low))) - F.log10(F.lit(low))) / (F.log10(F.lit(high)) - F.log10(F.lit(low)))
-    return F.least(F.lit(1.0), share)
+    """0 at low and below to 1 at high and above, even in the logarithm of one more; what isn't a positive number weighs nothing."""
+    share = (F.log10(raw + 1) - F.log10(F.lit(low + 1))) / (F.log10(F.lit(high + 1)) - F.log10(F.lit(low + 1)))
+    known = raw.isNotNull() & ~F.isnan(raw) & (raw > 0) & (raw < float("inf"))
+    return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).otherwise(0.0)
 
 
 def alert_window(onset: Column, effective: Column, sent: Column, expires: Column, ttl: str) -> tuple[Column, Column]:
@@ -184,8 +189,10 @@ def alert_window(onset: Column, effective: Column, sent: Column, expires: Column
 
 
 def feature_id(sender: Column, identifier: Column, info: Column, area: Column) -> Column:
-    """An id whose sender's length comes first, so that no two differ only by where the sender ends."""
-    return F.concat_ws(":", F.length(sender), sender, identifier, info, area)
+    """An id with the sender's length in bytes before it, so that no two differ only by where the sender ends; a null sender is empty."""
+    sender = F.coalesce(sender, F.lit(""))
+    head = F.concat(F.lit("cap:"), F.octet_length(sender).cast("string"), F.lit(":"), sender, identifier)
+    return F.concat(head, F.lit("."), info.cast("string"), F.lit("."), area.cast("string"))
 
 
 def pixel_of(lon: Column, lat: Column, west: float, north: float, dx: float, dy: float) -> tuple[Column, Column]:

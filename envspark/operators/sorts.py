@@ -42,9 +42,9 @@ def ledger_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("frame", change.alias("change")).filter("change is not null")
 
 
-def merge_instants(parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Coverages of several instants as one, each step once."""
+def merge_instants(parts: list[DataFrame]) -> DataFrame:
+    """Coverages of several instants as one. Rows that are equal in all columns are one; steps whose values differ all stay."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.dropDuplicates(keys)
+    return out.distinct()

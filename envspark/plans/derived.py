@@ -11,11 +11,11 @@ from envspark.plans.registry import query, rounded
 # ---------------------------------------------------------------- selections
 
 
-@query("obs", """, a AS (SELECT parameter, min(seq) AS place FROM obs GROUP BY 1), r AS (SELECT min(seq) AS position, upper(parameter) AS name FROM obs GROUP BY 2 UNION ALL SELECT 0, 'click' UNION ALL SELECT 1000000000, 'no such')
+@query("obs", """, a AS (SELECT parameter, min(seq) AS place FROM obs GROUP BY 1), r AS (SELECT min(seq) AS position, upper(parameter) AS name FROM obs GROUP BY 2 UNION ALL SELECT 0, 'click')
  SELECT min(r.position) AS position, a.parameter FROM r LEFT JOIN a ON lower(a.parameter) = lower(r.name) GROUP BY a.parameter""")
 def sel_parameters(obs):
     have = obs.groupBy("parameter").agg(F.min("seq").alias("place"))
-    fixed = obs.sparkSession.createDataFrame([(0, "click"), (1_000_000_000, "no such")], "position long, name string")
+    fixed = obs.sparkSession.createDataFrame([(0, "click")], "position long, name string")
     asked = have.select(F.col("place").alias("position"), F.upper("parameter").alias("name")).union(fixed)
     return features.select_parameters(have, asked)
 
@@ -41,10 +41,11 @@ def flt_cell_mask(frames):
     return features.masked_cells(frames, inside).select("frame", "row_idx", "col_idx", "value")
 
 
-@query("obs", """, i AS (SELECT station_id AS alert, seq AS ordinal, CASE parameter WHEN 'click' THEN 'fi-FI' WHEN 'view' THEN 'SV' ELSE 'en' END AS lang FROM obs)
- SELECT alert, ordinal, lang FROM (SELECT *, max(CASE WHEN lower(split_part(lang, '-', 1)) = 'fi' THEN 1 ELSE 0 END) OVER (PARTITION BY alert) AS has, min(ordinal) OVER (PARTITION BY alert) AS head FROM i) WHERE CASE WHEN has = 1 THEN lower(split_part(lang, '-', 1)) = 'fi' ELSE ordinal = head END""")
+@query("obs", """, i AS (SELECT station_id AS alert, seq AS ordinal, CASE parameter WHEN 'click' THEN CASE WHEN seq % 2 = 0 THEN 'fi-FI' ELSE ' FI_fi' END WHEN 'view' THEN 'SV' ELSE 'en' END AS lang FROM obs)
+ SELECT alert, ordinal, lang FROM (SELECT *, max(CASE WHEN fi THEN 1 ELSE 0 END) OVER (PARTITION BY alert) AS has, min(ordinal) OVER (PARTITION BY alert) AS head
+  FROM (SELECT *, lower(split_part(replace(trim(lang), '_', '-'), '-', 1)) = 'fi' AS fi FROM i)) WHERE CASE WHEN has = 1 THEN fi ELSE ordinal = head END""")
 def flt_alert_language(obs):
-    lang = F.when(F.col("parameter") == "click", "fi-FI").when(F.col("parameter") == "view", "SV").otherwise("en")
+    lang = F.when(F.col("parameter") == "click", F.when(F.col("seq") % 2 == 0, "fi-FI").otherwise(" FI_fi")).when(F.col("parameter") == "view", "SV").otherwise("en")
     return features.one_language(obs.select(F.col("station_id").alias("alert"), F.col("seq").alias("ordinal"), lang.alias("lang")), "fi")
 
 
@@ -171,9 +172,10 @@ def set_union_parameters(obs):
     return one("click").unionByName(one("view")).select("seq", "parameter", "value")
 
 
-@query("frames", "SELECT frame, row_idx, col_idx, value FROM frames WHERE frame < 30 OR frame >= 20")
+@query("frames", "SELECT frame, row_idx, col_idx, value FROM frames WHERE frame < 30 UNION SELECT frame, row_idx, col_idx, CASE WHEN frame < 25 AND row_idx < 5 THEN value + 1 ELSE value END FROM frames WHERE frame >= 20")
 def set_merge_instants(frames):
-    return sorts.merge_instants([frames.filter("frame < 30"), frames.filter("frame >= 20")], ["frame", "row_idx", "col_idx"])
+    revised = frames.filter("frame >= 20").withColumn("value", F.when((F.col("frame") < 25) & (F.col("row_idx") < 5), F.col("value") + 1).otherwise(F.col("value")))
+    return sorts.merge_instants([frames.filter("frame < 30"), revised])
 
 
 @query("notifications", "SELECT data_id, min(id) AS id, count(*) AS n FROM notifications GROUP BY 1")
@@ -255,14 +257,18 @@ def fn_severity_code(alerts):
     return alerts.groupBy(features.severity_code(text).alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("obs", "SELECT seq, coalesce(value < 50 AND seq % 12 >= 6 AND station_id % 7 < 3, false) AS clutter FROM obs")
+@query("obs", """, c AS (SELECT seq, value / 20 AS speed, seq % 12 AS age, CASE WHEN station_id % 7 < 6 THEN station_id % 7 END AS net FROM obs)
+ SELECT seq, CASE WHEN net > 3 OR speed IS NULL THEN false ELSE speed < 3 AND age >= 6 END AS clutter FROM c""")
 def fn_clutter(obs):
-    return obs.select("seq", features.likely_clutter(F.col("value"), F.col("seq") % 12, F.col("station_id") % 7, slow=50.0).alias("clutter"))
+    net = F.when(F.col("station_id") % 7 < 6, F.col("station_id") % 7)
+    return obs.select("seq", features.likely_clutter(F.col("value") / 20, F.col("seq") % 12, net).alias("clutter"))
 
 
-@query("obs", "SELECT seq, round(least(1.0, (log10(greatest(value * 1000, 100.0)) - 2) / (log10(700000.0) - 2)), 5) AS weight FROM obs")
+@query("obs", """, r AS (SELECT seq, CASE seq % 5 WHEN 0 THEN value - 50 WHEN 1 THEN value WHEN 2 THEN CAST('infinity' AS DOUBLE) WHEN 3 THEN value * 1000 ELSE value * 20000 END AS raw FROM obs)
+ SELECT seq, CASE WHEN raw > 0 AND raw < CAST('infinity' AS DOUBLE) THEN round(greatest(0, least(1, (log10(1 + raw) - log10(101)) / (log10(700001) - log10(101)))), 5) ELSE 0 END AS weight FROM r""")
 def fn_weight_log(obs):
-    return rounded(obs.select("seq", features.log_weight(F.col("value") * 1000).alias("weight")), "weight")
+    raw = F.when(F.col("seq") % 5 == 0, F.col("value") - 50).when(F.col("seq") % 5 == 1, F.col("value")).when(F.col("seq") % 5 == 2, float("inf")).when(F.col("seq") % 5 == 3, F.col("value") * 1000).otherwise(F.col("value") * 20000)
+    return rounded(obs.select("seq", features.log_weight(raw).alias("weight")), "weight")
 
 
 @query("obs", "SELECT seq, time AS start, CASE WHEN seq % 2 = 0 THEN time + INTERVAL 1 HOUR ELSE time + INTERVAL 6 HOUR END AS \"end\" FROM obs")
@@ -273,9 +279,9 @@ def fn_alert_window(obs):
     return obs.select("seq", start.alias("start"), end.alias("end"))
 
 
-@query("alerts", "SELECT DISTINCT length(sender) || ':' || sender || ':' || identifier || ':0:1' AS id FROM alerts")
+@query("alerts", "SELECT DISTINCT 'cap:' || strlen(sender) || ':' || sender || identifier || '.' || severity || '.1' AS id FROM alerts WHERE severity IS NOT NULL")
 def fn_ids(alerts):
-    return alerts.select(features.feature_id(F.col("sender"), F.col("identifier"), F.lit(0), F.lit(1)).alias("id")).distinct()
+    return alerts.filter("severity is not null").select(features.feature_id(F.col("sender"), F.col("identifier"), F.col("severity"), F.lit(1)).alias("id")).distinct()
 
 
 @query("strikes", "SELECT id, round(degrees(2 * atan(exp(ln(tan(pi() / 4 + radians(lat) / 2)))) - pi() / 2), 6) AS lat, round(degrees(asin(sin(radians(lat)) * cos(0.01) + cos(radians(lat)) * sin(0.01) * cos(radians(60)))), 6) AS reached FROM strikes")

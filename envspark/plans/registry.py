@@ -16,14 +16,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(views: str, sql: str | None = None):
-    """Registers a function of the named views under its own name; sql goes after their definitions."""
+def query(views: str, sql: str | None = None, recursive: bool = False):
+    """Registers a function of the named views under its own name; sql goes after their definitions, which recursive ones may follow."""
     names = views.split()
 
     def register(f: Callable[..., DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, n) for n in names])
         if sql:
-            ORACLE_SQL[f.__name__] = with_views(*names) + sql
+            ORACLE_SQL[f.__name__] = with_views(*names, recursive=recursive) + sql
         return f
 
     return register
@@ -245,9 +245,13 @@ def agg_max_severity(areas, alerts):
     return aggregates.severity_cells(met.select(*wide, "severity"), 18.0, 58.0, 0.25)
 
 
-@query("alerts", """SELECT time, gap_s FROM (SELECT time, abs(epoch_us(time) // 1000000 - epoch_us(TIMESTAMP '2024-01-15') // 1000000) AS gap_s FROM (SELECT sent AS time FROM alerts UNION SELECT sent + INTERVAL 6 HOUR FROM alerts)) WHERE gap_s <= 604800 ORDER BY gap_s, time LIMIT 256""")
+@query("alerts", """, w AS (SELECT date_trunc('second', sent) AS s, date_trunc('second', sent + INTERVAL 6 HOUR) AS e FROM alerts), n AS (SELECT TIMESTAMP '2024-01-15' AS now),
+ b AS (SELECT s AS t FROM w, n WHERE s <= now + INTERVAL 7 DAY UNION SELECT e FROM w, n WHERE e <= now + INTERVAL 7 DAY UNION SELECT now FROM n),
+ u AS (SELECT s, min(e) AS e FROM w, n WHERE s <= now + INTERVAL 7 DAY AND NOT now BETWEEN s AND e GROUP BY 1),
+ chain AS (SELECT max(s) AS p FROM u UNION ALL SELECT (SELECT max(s) FROM u WHERE e < chain.p) FROM chain WHERE p IS NOT NULL)
+ SELECT t AS time FROM (SELECT t, row_number() OVER (ORDER BY CASE WHEN t = now THEN 0 WHEN t IN (SELECT p FROM chain WHERE p IS NOT NULL) THEN 1 ELSE 2 END, abs(epoch(t) - epoch(now)), t) AS k FROM b, n) WHERE k <= 256""", recursive=True)
 def agg_alert_times(alerts):
-    df = alerts.select(F.col("sent").alias("start"), (F.col("sent") + F.expr("interval 6 hours")).alias("end"))
+    df = alerts.select(F.col("sent").alias("start"), (F.col("sent") + F.expr("interval 6 hours")).alias("end"), "severity")
     return aggregates.alert_times(df, F.lit("2024-01-15").cast("timestamp_ntz"))
 
 

@@ -48,6 +48,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
-def with_views(*names: str) -> str:
+def with_views(*names: str, recursive: bool = False) -> str:
     """The head of an oracle: WITH name AS (...), ..."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + "\n"
+    return "WITH RECURSIVE " * recursive + "WITH " * (not recursive) + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + "\n"
