@@ -133,12 +133,6 @@ def agg_top_reasons(obs):
     return features.top_reasons(terms)
 
 
-@query("frames", """, c AS (SELECT row_idx * 20 + col_idx AS track, frame, value AS volume FROM frames), l AS (SELECT *, lag(volume) OVER w AS was, frame - lag(frame) OVER w AS gap FROM c WINDOW w AS (PARTITION BY track ORDER BY frame))
- SELECT track, frame, CASE WHEN gap = 1 THEN CASE WHEN abs(volume - was) <= 0.1 * was THEN 'steady' WHEN volume > was THEN 'growing' ELSE 'decaying' END END AS growth FROM l""")
-def agg_growth_class(frames):
-    return features.growth_class(frames.select((F.col("row_idx") * 20 + F.col("col_idx")).alias("track"), "frame", F.col("value").alias("volume")), 0.1)
-
-
 @query("frames", "SELECT row_idx * 20 + col_idx AS track, frame, value, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY row_idx, col_idx ORDER BY frame DESC) AS n FROM frames) WHERE n <= 6")
 def win_cell_history(frames):
     return features.history(frames.select((F.col("row_idx") * 20 + F.col("col_idx")).alias("track"), "frame", "value"), 6)

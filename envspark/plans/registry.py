@@ -294,12 +294,6 @@ def win_rank(obs):
     return windows.rank_rounded(obs, "value", 1, "seq", ["parameter"]).select("seq", F.col("rank").cast("long").alias("rank"))
 
 
-@query("frames")
-def win_severity_hysteresis(frames):
-    cells = nowcast.cell_stats(nowcast.segment(frames, 30.0, 20), 30.0)  # of 1 km2 a pixel; a track is a label in frames running
-    return windows.severity_hysteresis(cells.select(F.col("label").alias("track"), "frame", "most", F.col("pixels").cast("double").alias("area_km2")))
-
-
 @query("strikes", """, p AS (SELECT id % 20 AS track, id AS frame, (lon - 19) * 50 AS x, (lat - 59) * 111.0 AS y FROM strikes), l AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS leg, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM p WINDOW w AS (PARTITION BY track ORDER BY frame))
  SELECT track, frame, round(sum(leg) OVER (PARTITION BY track ORDER BY frame), 4) AS path, round(sqrt(power(x - fx, 2) + power(y - fy, 2)), 4) AS net FROM l""")
 def win_track_kinematics(strikes):
@@ -452,16 +446,6 @@ def interp_loo(stations, obs):
 # ---------------------------------------------------------------- nowcast and volumes
 
 
-@query("frames")
-def nc_segment(frames):
-    return nowcast.segment(frames, 30.0, 20)
-
-
-@query("frames")
-def agg_cell_stats(frames):
-    return rounded(nowcast.cell_stats(nowcast.segment(frames, 30.0, 20), 30.0, 2), "volume", "centre_row", "centre_col")
-
-
 @query("gates", """SELECT site, azimuth, range_idx, elangle, round(sqrt(s * s + r * r + 2 * r * s * sin(radians(elangle))) - r, 2) AS height_m, max(dbz) AS dbz FROM (SELECT *, (range_idx + 1) * 1000.0 AS s, 6371000.0 * 4 / 3 AS r FROM gates) WHERE dbz >= 40 GROUP BY 1, 2, 3, 4, 5""")
 def vol_points(gates):
     height = geo.beam_height((F.col("range_idx") + 1) * 1000.0, F.col("elangle"))
