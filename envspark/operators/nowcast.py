@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _saved(df: DataFrame) -> DataFrame:
@@ -16,25 +20,93 @@ def _saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _union(pairs: Iterable[tuple]) -> dict:
+    """Each node of the pairs and the least node that it is connected to."""
+    up: dict = {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up.setdefault(a, a)
+        up.setdefault(b, b)
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in up}
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, group) of edges (a, b): the smallest node that a node is connected to.
+
+    Each task first shrinks its edges to stars around the least node it knows. Over the stars nodes take their neighbours' least
+    label, then that label's own, until nothing moves.
+    """
+    kind, arrow = edges.schema["a"].dataType.simpleString(), to_arrow_type(edges.schema["a"].dataType)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple] = []
+        for batch in itertools.chain(batches, [None]):
+            if own and (batch is None or len(own) > 500_000):
+                found = _union(own)
+                yield pa.RecordBatch.from_arrays([pa.array(x, arrow) for x in (list(found), list(found.values()))], names=["a", "b"])
+                own = []
+            if batch is not None:
+                own += zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+
+    stars = edges.select("a", "b").mapInArrow(shrink, f"a {kind}, b {kind}")
+    both = _saved(stars.union(stars.select("b", "a")).distinct())
+    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("group"))
+    while True:
+        label = _saved(label)
+        near = both.join(label.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
+        via = label.join(near, "node").select("node", F.col("group").alias("old"), F.least("group", "near").alias("via"))
+        after = _saved(via.join(label.select(F.col("node").alias("via"), F.col("group").alias("up")), "via").select("node", "old", F.least("via", "up").alias("group")))
+        label = after.select("node", "group")
+        if not after.filter("old <> group").limit(1).count():
+            return label
+
+
+#: Frames are cut into tiles of so many rows and columns.
+TILE = 256
+
+
 def segment(frames: DataFrame, threshold: float, width: int) -> DataFrame:
     """(frame, row_idx, col_idx, value, label): 8-connected cells of value >= threshold; label is the cell's smallest pixel number.
 
-    Labels spread over an edge table, and each round a pixel also takes its label's label, so a long cell needs few rounds.
+    Tiles are labelled each by itself; where cells touch over the edge of a tile, their labels are joined. Other columns are left out; a cell
+    of the grid must have one value.
     """
-    wet = _saved(frames.filter(F.col("value") >= threshold).withColumn("pixel", F.col("row_idx") * width + F.col("col_idx")))
-    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c])
-    next_ = wet.select("frame", "pixel", F.explode(steps).alias("d"), "row_idx", "col_idx").filter(f"col_idx + d.c between 0 and {width - 1} and row_idx + d.r >= 0")
-    next_ = next_.select("frame", "pixel", ((F.col("row_idx") + F.col("d.r")) * width + F.col("col_idx") + F.col("d.c")).alias("other"))
-    edges = _saved(next_.join(wet.select("frame", F.col("pixel").alias("other")), ["frame", "other"]))
-    label = wet.select("frame", "pixel", F.col("pixel").alias("label"))
-    while True:
-        near = edges.join(label.select("frame", F.col("pixel").alias("other"), F.col("label").alias("near")), ["frame", "other"]).groupBy("frame", "pixel").agg(F.min("near").alias("near"))
-        via = label.join(near, ["frame", "pixel"], "left").select("frame", "pixel", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("via"))
-        up = label.select("frame", F.col("pixel").alias("via"), F.col("label").alias("up"))
-        after = _saved(via.join(up, ["frame", "via"]).select("frame", "pixel", "old", F.least("via", "up").alias("label")))
-        label = after.drop("old")
-        if not after.filter("old <> label").limit(1).count():
-            return wet.join(label, ["frame", "pixel"]).select("frame", "row_idx", "col_idx", "value", "label")
+
+    def tile(mine: pa.Table) -> pa.Table:
+        pixels = mine.column("pixel").to_pylist()
+        own = set(pixels)
+        col = [(p, p % width) for p in pixels]
+        pairs = [(p, p) for p in pixels] + [(p, q) for p, c in col for q, d in ((p - 1, c - 1), (p - width - 1, c - 1), (p - width, c), (p - width + 1, c + 1)) if 0 <= d < width and q in own]
+        found = _union(pairs)
+        return mine.append_column("part", pa.array([found[p] for p in pixels], pa.int64()))
+
+    wet = frames.filter(F.col("value") >= threshold).select("frame", "row_idx", "col_idx", "value", (F.col("row_idx").cast("long") * width + F.col("col_idx")).alias("pixel"))
+    wet = wet.withColumns({"tile_r": F.floor(F.col("row_idx") / TILE), "tile_c": F.floor(F.col("col_idx") / TILE)})
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wet.schema) + ", part long"
+    parts = _saved(wet.groupBy("frame", "tile_r", "tile_c").applyInArrow(tile, schema))
+    at_edge = lambda c: F.pmod(F.col(c), F.lit(TILE)).isin(0, TILE - 1)
+    edge = parts.filter(at_edge("row_idx") | at_edge("col_idx")).select("frame", "row_idx", "col_idx", "tile_r", "tile_c", "part")
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    ahead = edge.withColumn("d", F.explode(steps)).select("frame", (F.col("row_idx") + F.col("d.r")).alias("row_idx"), (F.col("col_idx") + F.col("d.c")).alias("col_idx"), F.col("part").alias("other"), F.col("tile_r").alias("r"), F.col("tile_c").alias("c"))
+    touch = ahead.join(edge, ["frame", "row_idx", "col_idx"]).filter("r <> tile_r or c <> tile_c").select("frame", "other", "part").distinct()
+    label = F.col("part")
+    touch = _saved(touch)
+    if touch.limit(1).count():
+        node = lambda c: F.struct(F.col("frame"), F.col(c).alias("part"))
+        groups = connected(touch.select(F.to_json(node("other")).alias("a"), F.to_json(node("part")).alias("b")))
+        named = groups.select(F.from_json("node", touch.select(node("part").alias("n")).schema["n"].dataType.simpleString()).alias("n"), "group")
+        least = named.groupBy("group").agg(F.min("n.part").alias("least")).join(named, "group").select("n.frame", "n.part", "least")
+        parts, label = parts.join(least, ["frame", "part"], "left"), F.coalesce("least", "part")
+    return parts.select("frame", "row_idx", "col_idx", "value", label.alias("label"))
 
 
 def cell_stats(cells: DataFrame, threshold: float, least_pixels: int = 1) -> DataFrame:

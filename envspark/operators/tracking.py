@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from envspark.operators.nowcast import _saved
+from envspark.operators.nowcast import _saved, connected
 
 #: Gates (km, m/s) and the price of unlike cells (km an e-fold of area, km a dB of the maximum).
 BASE_GATE_KM, MAX_SPEED_MS, RESIDUAL_SPEED_MS = 3.0, 35.0, 10.0
@@ -32,20 +32,6 @@ SEVERITY_DBZ, SEVERITY_KM2, SLACK_DBZ, SLACK_AREA = (45.0, 50.0, 55.0), 50.0, 2.
 STRIKE_RADIUS_KM = 10.0
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, group) of edges (a, b): the smallest node that a node is connected to. Nodes take their neighbours' least label, then that label's own."""
-    both = _saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("group"))
-    while True:
-        label = _saved(label)
-        near = both.join(label.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
-        via = label.join(near, "node").select("node", F.col("group").alias("old"), F.least("group", "near").alias("via"))
-        after = _saved(via.join(label.select(F.col("node").alias("via"), F.col("group").alias("up")), "via").select("node", "old", F.least("via", "up").alias("group")))
-        label = after.select("node", "group")
-        if not after.filter("old <> group").limit(1).count():
-            return label
-
-
 def _near(a: DataFrame, b: DataFrame, keys: list[str], gate: float, columns: list[str]) -> DataFrame:
     """Rows of a and b with equal keys whose (x, y) lie within gate; b's columns get a trailing underscore."""
     bucket = lambda c, d: (F.floor(F.col(c) / gate) + d).cast("long")
