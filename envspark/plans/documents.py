@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from envspark.operators import ingest, significance
 from envspark.plans.registry import query, rounded
 from envspark.sources import documents
+from envspark.streaming import states
 
 
 def _text(time: str, offset: str = "Z"):
@@ -84,10 +85,46 @@ def src_cap(alerts):
     return out.select("sender", "identifier", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"), "msg_type", "severity", "area", "area_desc")
 
 
-@query("notifications", """SELECT id, data_id, pubtime, is_deletion FROM (SELECT *, max(pubtime) OVER (PARTITION BY data_id ORDER BY received, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
-  FROM (SELECT *, (id * 7919) % 10007 AS received FROM notifications)) WHERE newest IS NULL OR pubtime > newest""")
+_NEWS = """ n{k} AS (SELECT *, NOT taken AND coalesce(pubtime > max(CASE WHEN NOT taken THEN pubtime END) OVER (PARTITION BY data_id ORDER BY received, id, pubtime ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS passes
+  FROM (SELECT id, data_id, pubtime, is_deletion, received, {taken} AS taken FROM {of}))"""
+_TAKEN = "coalesce(bool_or(passes) OVER (PARTITION BY id ORDER BY received, id, pubtime, data_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)"
+
+
+#: Two messages of different data_ids have one id; who takes it is settled in as many rounds as the SQL has.
+@query("notifications", ", n AS (SELECT id // 2 AS id, data_id, pubtime, is_deletion, (id * 7919) % 10007 AS received FROM notifications)," + ",".join(
+    _NEWS.format(k=k, taken=_TAKEN if k else "false", of=f"n{k - 1}" if k else "n") for k in range(9)) + " SELECT id, data_id, pubtime, is_deletion FROM n8 WHERE passes")
 def st_dedup(notifications):
-    return ingest.only_news(notifications.withColumn("received", F.col("id") * 7919 % 10007), "received").drop("received")
+    rows = notifications.withColumns({"received": F.col("id") * 7919 % 10007, "id": F.floor(F.col("id") / 2)})
+    return ingest.only_news(rows, "received").drop("received")
+
+
+_ALERTS = """, m AS (SELECT *, sender || '/' || (CAST(substr(identifier, 2) AS INT) % 50) AS data_id, msg_type = 'Cancel' AND severity = 0 AS deletion FROM alerts),
+ win AS (SELECT DISTINCT sender, identifier, sent, data_id FROM (SELECT *, rank() OVER (PARTITION BY sender, identifier ORDER BY sent DESC, data_id DESC) AS k FROM m WHERE NOT deletion AND msg_type IN ('Alert', 'Update')) WHERE k = 1),
+ del AS (SELECT data_id, max(sent + INTERVAL 1 DAY) AS until FROM m WHERE deletion GROUP BY 1),
+ wd AS (SELECT ref_sender AS sender, ref_identifier AS identifier, ref_sent AS sent, sent AS until FROM m WHERE NOT deletion AND msg_type IN ('Update', 'Cancel') AND ref_sender IS NOT NULL
+  UNION ALL SELECT m.sender, m.identifier, m.sent, d.until FROM m JOIN del d ON d.data_id = m.data_id AND m.sent <= d.until WHERE NOT deletion)"""
+
+
+@query("alerts", f"{_ALERTS} SELECT sender, identifier, sent, data_id FROM win w WHERE NOT EXISTS (SELECT 1 FROM wd WHERE wd.sender = w.sender AND wd.identifier = w.identifier AND wd.sent = w.sent AND w.sent <= wd.until) AND NOT EXISTS (SELECT 1 FROM del WHERE del.data_id = w.data_id AND w.sent <= del.until)")
+def st_alert_accumulator(alerts):
+    return states.held_alerts(states.alert_fold(10**9)(None, _messages(alerts))).select("sender", "identifier", F.col("sent").cast("timestamp_ntz").alias("sent"), "data_id")
+
+
+def _messages(alerts):
+    sent = lambda c: F.col(c).cast("timestamp")
+    deletion = (F.col("msg_type") == "Cancel") & F.coalesce(F.col("severity") == 0, F.lit(False))
+    reference = F.struct(F.col("ref_sender").alias("sender"), F.col("ref_identifier").alias("identifier"), sent("ref_sent").alias("sent"))
+    return alerts.select(
+        F.concat("sender", F.lit("/"), (F.substring("identifier", 2, 9).cast("int") % 50).cast("string")).alias("data_id"), F.when(deletion, sent("sent") + F.expr("interval 1 day")).otherwise(sent("sent")).alias("pubtime"), deletion.alias("deletion"),
+        "sender", "identifier", sent("sent").alias("sent"), "msg_type", (sent("sent") + F.expr("interval 6 hours")).alias("expires"), "severity",
+        F.when(F.col("ref_sender").isNotNull(), F.array(reference)).otherwise(F.array().cast("array<struct<sender:string,identifier:string,sent:timestamp>>")).alias("references"))
+
+
+@query("obs", """, v AS (SELECT station_id AS cell, time, max(value) AS value FROM obs WHERE value IS NOT NULL GROUP BY 1, 2), e AS (SELECT max(time) AS last FROM v)
+ SELECT cell, round(sum(value), 5) AS value, count(*) AS n FROM v, e WHERE time > last - INTERVAL 2 DAY GROUP BY 1""")
+def st_period_rolling(obs):
+    rows = obs.select(F.col("station_id").alias("cell"), "time", "value")
+    return rounded(states.rolling_fold(2 * 86400)(None, rows).filter("kind = 'sum'").select("cell", "value", "n"), "value")
 
 
 _CELLS = """, c AS (SELECT frame, row_idx, max(value) AS top, count(*) FILTER (value >= 25) AS n FROM frames GROUP BY 1, 2),

@@ -4,39 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-
-def dedup(notifications: DataFrame, receipt: str = "received", window_ms: int = 3_600_000) -> DataFrame:
-    """Messages (id, data_id, pubtime, receipt) that are news, continuously (append mode).
-
-    A message whose id was seen is dropped, and one whose data_id was seen unless its pubtime is newer. What is known of a data_id is
-    forgotten window_ms of processing time after its last accepted message.
-    """
-    names = notifications.columns
-
-    def news(key, batches, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.getCurrentProcessingTimeMs()
-        last, ids, times = state.get if state.exists else (None, [], [])
-        known = {i: at for i, at in zip(ids, times, strict=True) if at > now - window_ms}
-        rows = pd.concat(list(batches)).sort_values([receipt, "id"], kind="stable")
-        keep = []
-        for i, (message, pubtime) in enumerate(zip(rows["id"].astype(str), rows["pubtime"].astype("datetime64[us]").astype("int64"), strict=True)):
-            if message not in known and (last is None or pubtime > last):
-                keep.append(i)
-                known[message], last = now, int(pubtime)
-        state.update((last, list(known), list(known.values())))
-        state.setTimeoutDuration(max(1, max(known.values(), default=now) + window_ms - now))
-        yield rows.iloc[keep][names]
-
-    return notifications.groupBy("data_id").applyInPandasWithState(
-        news, notifications.schema, "newest long, ids array<string>, times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
 
 
 def station_latest(obs: DataFrame) -> DataFrame:

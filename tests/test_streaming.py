@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from envspark.operators import ingest
 from envspark.sources.adapters import view
-from envspark.streaming import streams
+from envspark.streaming import states, streams
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,7 +22,10 @@ def _rows(spark, stream, folder, name, mode):
 def test_dedup(spark, tmp_path):
     table = view(spark, DATA, "notifications").withColumns({"pubtime": F.col("pubtime").cast("timestamp"), "received": F.col("id") * 7919 % 10007})
     table = table.withColumn("id", F.col("id").cast("string")).coalesce(1)
-    got = _rows(spark, streams.dedup(_stream(spark, table, tmp_path)).select("id", "data_id"), tmp_path, "dedup", "append")
+    table = table.withColumn("received", F.timestamp_seconds("received"))
+    writer = states.folded(_stream(spark, table, tmp_path), str(tmp_path / "state"), states.dedup_fold(10**6))
+    writer.option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start().awaitTermination(120)
+    got = sorted(map(tuple, states.Versions(spark, str(tmp_path / "state")).latest().select("id", "data_id").collect()), key=str)
     assert got == sorted(map(tuple, ingest.only_news(table, "received").select("id", "data_id").collect()), key=str)
     assert len(got) < table.count()
 
