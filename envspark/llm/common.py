@@ -49,6 +49,13 @@ def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(ids, "doc_id", how)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores behind it if columns have it; Spark's names don't differ by case alone."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def trim() -> None:
     """Gives memory that Python workers have freed back to the system, as workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

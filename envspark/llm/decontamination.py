@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import among, chunks, mix, saved, utf8, word_stream
+from envspark.llm.common import END, among, chunks, mix, saved, utf8, word_stream
 
 RATE = 0.05
 #: Shortest piece; an item too short for its budget has fewer edits.
@@ -28,11 +28,17 @@ class Items:
     """A block of items and their pieces, ordered for lookup."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
+        self.short: dict[int, list[tuple[np.uint64, int]]] = {}
+        for k, (_, t) in enumerate(items):
+            if 0 < len(t) < PIECE:
+                self.short.setdefault(len(t), []).append((np.uint64(int.from_bytes(t, "little")), k))
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.budget = [max(0, min(int(len(t) * RATE), len(t) // PIECE - 1)) for t in self.texts]
         head, tail, size, item, at = [], [], [], [], []
         for k, t in enumerate(self.texts):
+            if len(t) < PIECE:
+                continue
             cuts = np.linspace(0, len(t), self.budget[k] + 2).astype(int)
             for a, b in zip(cuts[:-1], cuts[1:]):
                 piece = t[a:b]
@@ -67,6 +73,22 @@ class Items:
         good = words[end] == self.tail[row]
         return place[good], row[good]
 
+    def short_hits(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items under PIECE bytes and the places where whole words are equal to them; stream has 8 bytes more at its end."""
+        n = len(stream) - 8
+        words = np.ndarray((n,), dtype="<u8", buffer=stream, strides=(1,))
+        edge = np.isin(stream, (32, END))
+        begin = np.flatnonzero(np.r_[True, edge[: n - 1]] & ~edge[:n]) if n else np.zeros(0, np.int64)
+        places, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, own in self.short.items():
+            at = begin[edge[np.minimum(begin + size, len(stream) - 1)] & (begin + size < n)]
+            have = words[at] & np.uint64((1 << 8 * size) - 1)
+            for code, item in own:
+                hit = at[have == code]
+                places.append(hit)
+                items.append(np.full(len(hit), item))
+        return np.concatenate(places), np.concatenate(items)
+
     def distance(self, item: int, text: bytes) -> tuple[int, int]:
         """Least edit distance of the item to any part of the text, and where that part ends (Myers 1999)."""
         pattern = self.texts[item]
@@ -104,11 +126,12 @@ def item_bytes(texts: list[str | None]) -> list[bytes]:
     return [stream[a : b - 1].tobytes() for a, b in zip(begin[:-1], begin[1:])]
 
 
-def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     """(doc_id, item_id, distance, start, end): of each document and item the best occurrence within the item's budget.
 
-    start and end are byte places in the normalised text. Items that are null or shorter than PIECE bytes are not looked for;
-    null and empty texts match nothing. Repeated rows match each. Without items the result is empty.
+    start and end are byte places in the normalised text. Items shorter than PIECE bytes allow no edit and are found as whole words.
+    Null and empty items, and those under least bytes, are not looked for; null and empty texts match nothing. Repeated rows match
+    each. Without items the result is empty.
     """
     spark = documents.sparkSession
     out = None
@@ -148,6 +171,11 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                         done.setdefault((d, k), []).append(diagonal)
                         if cost <= budget and (cost, end) < found.get((d, k), (1 << 60, 0, 0))[:2]:
                             found[d, k] = (cost, end, max(int(begin[d]), end - len(text)))
+                    for p, k in zip(*(x.tolist() for x in items.short_hits(stream))):
+                        d = int(np.searchsorted(begin, p, side="right")) - 1
+                        cost, end = 0, p + len(items.texts[k])
+                        if (cost, end) < found.get((d, k), (1 << 60, 0, 0))[:2]:
+                            found[d, k] = (cost, end, p)
                     keys = sorted(found)
                     yield pa.RecordBatch.from_pydict(
                         {"doc_id": [ids[a + d] for d, _ in keys], "item_id": [items.ids[k] for _, k in keys], "distance": [found[x][0] for x in keys], "start": [found[x][2] - int(begin[x[0]]) for x in keys], "end": [found[x][1] - int(begin[x[0]]) for x in keys]},
@@ -164,7 +192,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = 0
     for r in rows.toLocalIterator():
         text = item_bytes([r["text"]])[0]
-        if len(text) < PIECE:
+        if len(text) < max(least, 1):
             continue
         block.append((r["item_id"], text))
         held += len(text)
@@ -176,6 +204,6 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item is found. Rows with a null doc_id stay."""
-    dirty = saved(matches(documents, benchmark).select("doc_id").distinct())
+    """The documents in which no item is found. Rows with a null doc_id stay. A word or two say nothing of where they are from: items under PIECE bytes remove nothing."""
+    dirty = saved(matches(documents, benchmark, PIECE).select("doc_id").distinct())
     return among(documents, dirty, "left_anti").select(documents.columns)

@@ -87,7 +87,8 @@ def search(embeddings: DataFrame, is_query, k: int = 20, sample: int = SAMPLE) -
 
     embeddings has vec_id and embedding; is_query is a boolean column. Vectors that are null, zero, or have null or non-finite
     components take no part, nor does a row with a null vec_id. Vectors of several dimensions are searched each among those of its
-    own, one search a dimension. An empty table gives an empty result; repeated rows are candidates each. Extra columns are ignored.
+    own, one search a dimension. An empty table gives an empty result; repeated rows are candidates each, but one query: of query rows with one
+    vec_id and dimension, the smallest vector asks. Extra columns are ignored.
     """
     spark = embeddings.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -104,7 +105,7 @@ def search(embeddings: DataFrame, is_query, k: int = 20, sample: int = SAMPLE) -
 def _among_equals(rows: DataFrame, dim: int, k: int, sample: int) -> DataFrame:
     """search() over rows (vec_id, vector, is_query) of one dimension."""
     spark = rows.sparkSession
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
+    counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()  # repeated queries only make a group smaller
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
     wide = -(-dim // PARTS) * PARTS
     x = np.zeros((taken.num_rows, wide))
@@ -112,7 +113,7 @@ def _among_equals(rows: DataFrame, dim: int, k: int, sample: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(learn(x))
     blocks, groups = -(-counts["n"] // BLOCK), max(1, -(-counts["q"] // QUERIES))
     left = rows.select("vec_id", "vector", (F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    right = rows.filter("is_query").select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("group"))
+    right = rows.filter("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("group"))
 
     def run(mine: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]

@@ -48,8 +48,6 @@ TEMPLATES = {
         "PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
 }
-#: Words that begin a search; every template has at least one that a text must keep to count.
-KEYS = "license licensed licence licenses mit apache gnu cc redistribute sublicense merchantability noninfringement permission warranty".split()
 COVERAGE = 0.75
 
 _ALNUM = np.zeros(256, dtype=bool)
@@ -61,6 +59,17 @@ def words(text: str) -> list[str]:
     return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
+def key_words(template: list[str], coverage: float) -> set[str]:
+    """The template's longest words, as many as make up more of it than a text that covers it may lack: such a text has one of them."""
+    count, keys, have = Counter(template), set(), 0
+    for w in sorted(count, key=lambda w: (-len(w), w)):
+        if have > (1 - coverage) * len(template):
+            break
+        keys.add(w)
+        have += count[w]
+    return keys
+
+
 def align(a: list, b: list) -> list[tuple[int, int]]:
     """Patience alignment: increasing pairs of places of equal words."""
     out: list[tuple[int, int]] = []
@@ -107,11 +116,16 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, coverage:
     nothing; repeated rows are scanned each; whole texts are read, and a text with many windows takes time in proportion.
     """
     known = {name: words(text) for name, text in templates.items()}
+    known = {name: w for name, w in known.items() if w}
+    keys_of = {name: key_words(w, coverage) for name, w in known.items()}
+    all_keys = sorted(set().union(*keys_of.values()))
+    at_of = {name: {k: [t for t, w in enumerate(template) if w == k] for k in keys_of[name]} for name, template in known.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = np.frombuffer("".join(KEYS).encode(), np.uint8)
-        end = np.cumsum([len(w) for w in KEYS])
-        keys = np.sort(span_hashes(raw, end - [len(w) for w in KEYS], end))
+        encoded = [w.encode() for w in all_keys]
+        raw = np.frombuffer(b"".join(encoded), np.uint8)
+        end = np.cumsum([len(w) for w in encoded])
+        keys = np.sort(span_hashes(raw, end - [len(w) for w in encoded], end))
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
@@ -137,7 +151,7 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, coverage:
                         size = len(template)
                         windows: list[list[int]] = []
                         for p in places - first[row]:
-                            if text[p] in own:
+                            if text[p] in keys_of[name]:
                                 x, y = max(0, int(p) - size - 4), min(len(text), int(p) + size + 4)
                                 if windows and x <= windows[-1][0] + size // 2:
                                     windows[-1][1] = y
@@ -146,10 +160,17 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, coverage:
                         for x, y in windows:
                             if sum(w in own for w in text[x:y]) < coverage * size:
                                 continue
-                            pairs = align(text[x:y], template)
-                            if len(pairs) >= coverage * size and pairs[-1][0] - pairs[0][0] < 2 * size:
-                                found = (len(pairs), -(x + pairs[0][0]), x + pairs[-1][0])
-                                best[row, name] = max(best.get((row, name), found), found)
+                            # where a key word stands more often than in the template, every copy is aligned by itself: no word of two copies is an anchor
+                            some = Counter(w for w in text[x:y] if w in keys_of[name])
+                            parts = {(x, y)}
+                            if any(n > len(at_of[name][w]) for w, n in some.items()):
+                                slack = size // 4 + 4
+                                parts |= {(max(x, p - t - slack), min(y, p - t + size + slack)) for p in range(x, y) if text[p] in keys_of[name] for t in at_of[name][text[p]]}
+                            for u, v in sorted(parts):
+                                pairs = align(text[u:v], template)
+                                if len(pairs) >= coverage * size and pairs[-1][0] - pairs[0][0] < 2 * size:
+                                    found = (len(pairs), -(u + pairs[0][0]), u + pairs[-1][0])
+                                    best[row, name] = max(best.get((row, name), found), found)
                 rows = sorted(best.items())
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": [ids[a + r] for (r, _), _ in rows], "license": [n for (_, n), _ in rows], "coverage": [v[0] / len(known[n]) for (_, n), v in rows], "matched_words": [v[0] for _, v in rows], "first_word": [-v[1] for _, v in rows], "last_word": [v[2] for _, v in rows]},

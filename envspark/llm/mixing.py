@@ -21,7 +21,7 @@ BLOCKS = 4096
 
 
 def order_key(name: str, seed: int):
-    """60 hash bits of an id as a number, the same in any engine that has MD5."""
+    """60 hash bits of an id as a number, the same in any engine that has MD5; of a null id null."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string"))), 1, 15), 16, 10).cast("long")
 
 
@@ -81,9 +81,9 @@ def mix(documents: DataFrame, entropy_share: float = 0.98, repeat_limit: float =
     budget_share is the token budget as a share of all tokens. A source gets budget * weight tokens: copies is how often a
     document is drawn, whole passes and one more where it begins before the rest of the budget ends; position is its first token's place in
     the source's order. A null source is a source of its own, '' in the result. Texts without tokens are drawn by whole passes
-    only. Repeated rows are documents each. An empty table gives an empty result.
+    only. Repeated rows are documents each; rows without doc_id are ordered by a hash of their text. An empty table gives an empty result.
     """
-    rows = saved(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(documents).alias("n_tokens"), order_key("doc_id", seed).alias("key")))
+    rows = saved(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(documents).alias("n_tokens"), F.coalesce(order_key("doc_id", seed), order_key("text", seed), F.lit(0)).alias("key")))
     rows = rows.withColumn("block", F.col("key") % BLOCKS)
     per = saved(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")))
     weight = weights(per.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy_share, repeat_limit, budget_share)

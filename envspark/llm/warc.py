@@ -20,25 +20,26 @@ _DATE = "2024-01-01T00:00:00Z"
 
 
 def _record_id(column: str):
-    return F.concat(F.lit("<urn:page:"), F.col(column).cast("string"), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(">"))
 
 
 def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, payload_digest, payload_bytes, refers_to): refers_to is null for responses.
+    """page_id, url, html of every row with payload_digest, payload_bytes and refers_to, which is null for responses.
 
     Of pages with equal payloads of at least least bytes the largest page_id is the response; smaller payloads are all responses.
-    Null html is an empty payload.
+    Null html is an empty payload. Of rows with one page_id and payload either all are responses or none. A null page_id is smaller than
+    any; pages of one payload without any page_id are all responses. Only digests that several rows have are joined back.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    heads = pages.select("page_id", F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    original = heads.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"))
-    joined = heads.join(original, ["payload_digest", "payload_bytes"], "left")
-    return joined.select("page_id", "payload_digest", "payload_bytes", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"))
+    heads = pages.select("page_id", "url", "html", F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
+    same = heads.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    joined = heads.join(same.filter("n > 1").drop("n"), ["payload_digest", "payload_bytes"], "left")
+    return joined.withColumn("refers_to", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))).drop("original")
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    """Writes one record a page. page_id must be unique and not null; null urls are empty."""
-    rows = pages.select("page_id", "url", "html").join(resolve(pages, least), "page_id")
+    """Writes one record a row; null urls are empty. Rows with one page_id, or none, are records each, under one record id."""
+    rows = resolve(pages, least)
     line = "\r\n"
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.coalesce("html", F.lit("")))
@@ -90,8 +91,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def summary(records: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), a revisit's payload being that of the record it refers to."""
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), a revisit's payload being that of the response with its digest that it refers to."""
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     rows = records.select(number("record_id").alias("page_id"), "record_type", "digest", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"), F.octet_length("payload").cast("long").alias("own"), F.sha1("payload").alias("own_digest"))
-    originals = rows.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own").alias("other"), F.col("own_digest").alias("other_digest"))
-    return rows.join(originals, "refers_to", "left").select("page_id", F.coalesce("own", "other").alias("payload_bytes"), F.coalesce("own_digest", "other_digest").alias("payload_digest"), "record_type", "refers_to")
+    originals = rows.filter("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), "digest", F.col("own").alias("other"), F.col("own_digest").alias("other_digest")).dropDuplicates(["refers_to", "digest"])
+    return rows.join(originals, ["refers_to", "digest"], "left").select("page_id", F.coalesce("own", "other").alias("payload_bytes"), F.coalesce("own_digest", "other_digest").alias("payload_digest"), "record_type", "refers_to")

@@ -221,3 +221,63 @@ def test_quality(spark):
     assert all((got[i] > 0.5) == bool(i % 2) for i in range(80, 120))
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == 122
     assert {r["score"] for r in quality.score(docs, quality.learn(docs, labels.filter("false"))).collect()} == {0.5}
+
+
+def test_short_items_are_whole_words(spark):
+    documents = spark.createDataFrame([(1, "A cat  sat, there"), (2, "the cat sat"), (3, "cat satin"), (4, "short42 and short42"), (5, None), (6, "cat\nsat")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "cat sat"), (2, "short42"), (3, "a"), (4, ""), (5, None), (6, "the cat sat on the mat")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in decontamination.matches(documents, items).collect()}
+    assert got == {(2, 1): (0, 4, 11), (6, 1): (0, 0, 7), (4, 2): (0, 0, 7), (1, 3): (0, 0, 1)}
+    assert sorted(r["doc_id"] for r in decontamination.clean(documents, items).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_license_keys_and_copies(spark):
+    notice = "This program is under the MIT notice. "
+    for name, text in license_scan.TEMPLATES.items():
+        template = license_scan.words(text)
+        keys = license_scan.key_words(template, license_scan.COVERAGE)
+        assert sum(w in keys for w in template) > 0.25 * len(template)
+        rows = [(0, f"foo {text} {text} bar"), (1, f"{text}\n{text}\n{text}"), (2, f"x y {text} z"), (3, notice)]
+        kept = [w for w in template]
+        for w in sorted(keys, key=len)[1:]:  # all key words but one are lost, as long as three quarters of the words are left
+            if len(kept) - 1 >= 0.75 * len(template) and kept.count(w) == 1:
+                kept.remove(w)
+        rows.append((4, " ".join(kept)))
+        got = {(r["doc_id"], r["license"]): r["coverage"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[0, name] == got[1, name] == got[2, name] == 1.0
+        assert got[4, name] >= 0.75
+
+
+def test_repeated_queries_ask_once(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    rows += [rows[0], rows[20], (7, rows[7][1])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, rank string, score int")
+    got = {}
+    for r in inner_product.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, found in got.items():
+        want = sorted(((-float(np.dot(v, rows[q][1])), i) for i, v in rows if i != q))[:20]
+        assert [(k + 1, i) for k, (_, i) in enumerate(want)] == [x[:2] for x in sorted(found)]
+    assert sorted(got) == [0, 20, 40]
+
+
+def test_warc_repeated_and_missing_ids(spark, tmp_path):
+    long = "x" * 1200
+    rows = [(1, "u", long), (1, "u", long), (2, "u", long), (2, "u", long), (None, "u", long), (3, None, None), (None, "u", "y" * 1500), (4, "a\r\nb", "short"), (5, "u", "z" * 1000), (5, "u", "w" * 1000)]
+    pages = spark.createDataFrame([(i, u, h, "x", 3) for i, u, h in rows], "page_id long, url string, html string, record_type string, payload_bytes long")
+    warc.write(pages, str(tmp_path / "w"))
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.summary(warc.read(spark, str(tmp_path / "w"))).collect() if r["page_id"] is not None), key=lambda r: (r[0], r[1]))
+    assert got == sorted([(1, "revisit", 2, 1200)] * 2 + [(2, "response", None, 1200)] * 2 + [(3, "response", None, 0), (4, "response", None, 5)] + [(5, "response", None, 1000)] * 2, key=lambda r: (r[0], r[1]))
+    none = sorted((r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in warc.summary(warc.read(spark, str(tmp_path / "w"))).collect() if r["page_id"] is None)
+    assert none == [("response", 0, 1500), ("revisit", 2, 1200)] and len(got) == 8
+    assert warc.summary(warc.read(spark, str(tmp_path / "w"))).count() == len(rows)
+
+
+def test_mixing_keeps_documents_without_ids(spark):
+    rows = [(i, f"a b c {i}", "s") for i in range(20)] + [(None, f"d e {i}", "s") for i in range(20)] + [(None, None, "t"), (3, "a b c 3", "s")]
+    df = spark.createDataFrame([(i, t, s, 1, 2) for i, t, s in rows], "doc_id long, text string, source string, key int, weight int")
+    got = mixing.mix(df, budget_share=3.0).collect()
+    assert len([r for r in got if r["doc_id"] is None and r["source"] == "s"]) == 20
+    own = sorted((r["position"], r["n_tokens"]) for r in got if r["source"] == "s")
+    assert [p for p, _ in own] == np.r_[0, np.cumsum([n for _, n in own])][:-1].tolist()  # one order without gaps
