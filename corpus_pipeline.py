@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.llm import decontamination, language_id, mixing, quality
-from envspark.llm.common import among, saved, scratch
+from envspark.llm.common import among, saved, scratch, unused
 from envspark.llm.jaccard_join import jaccard_components
 
 #: Least score of the quality classifier, and least posterior of the predicted language.
@@ -19,15 +19,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores QUALITY or more; it learns from the labels of documents that it gets."""
-    scored = quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")), "quality_score")
-    return scored.filter(F.col("quality_score") >= QUALITY).select(docs.columns)
+    name = unused(docs.columns, "quality_score")
+    scored = quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")), name)
+    return scored.filter(F.col(name) >= QUALITY).select(docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned, with a posterior of POSTERIOR or more; texts without letters go."""
     languages, model = language_id.learn(docs)
-    found = language_id.predict(docs, languages, model, keep=docs.columns, names=("language_found", "language_score"))
-    return found.filter((F.col("language_found") != "und") & (F.col("language_score") >= POSTERIOR)).select(docs.columns)
+    language, score = unused(docs.columns, "language_found"), unused(docs.columns, "language_score")
+    found = language_id.predict(docs, languages, model, keep=docs.columns, names=(language, score))
+    return found.filter((F.col(language) != "und") & (F.col(score) >= POSTERIOR)).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
