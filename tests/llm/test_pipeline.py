@@ -18,7 +18,7 @@ def test_run(spark, tmp_path):
     rows += [(100 + i, rows[i][1], rows[i][2], "a") for i in (0, 1, 2)]  # copies
     rows += [(200, rows[10][1] + " " + item, "en", "a"), (300, "?? 11 !!", None, "a"), (301, None, None, None), (302, "", "en", "b")]
     rows += [(400 + i, " !!! ".join(["BUY NOW 99"] * (40 + i)), "en", "b") for i in range(40)]
-    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(*r, len(r[1] or ""), 0.0, "x", 0.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, quality_score double, LANGUAGE_FOUND string, language_score double").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(400 + i, 0, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas().set_index("doc_id")
