@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from envspark.functions.geo import haversine
@@ -12,34 +13,37 @@ from envspark.functions.geo import haversine
 _METRES_PER_DEGREE = 111_194.9
 
 
-def _cells(df: DataFrame, size: float, lon: str, lat: str) -> DataFrame:
-    return df.withColumn("cell_y", F.floor(F.col(lat) / size)).withColumn("cell_x", F.floor((F.col(lon) + 180.0) / size))
+def _row(lat: Column, height: float) -> Column:
+    return F.floor((lat + 90.0) / height).cast("int")
 
 
-def within(points: DataFrame, stations: DataFrame, metres: float, max_lat: float = 75.0) -> DataFrame:
+def _wide(row: Column, height: float) -> Column:
+    """How many cells a row of latitude has: each as wide as the radius at most is there; one around the poles."""
+    most = F.least(F.lit(90.0), F.greatest(F.abs(row * height - 90.0), F.abs((row + 1) * height - 90.0)))
+    share = F.lit(math.sin(math.radians(min(height, 90.0)))) / F.cos(F.radians(most))
+    return F.when(share >= 1, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 / (F.degrees(F.asin(share)) * (1 + 1e-9))))).cast("int")
+
+
+def _column(lon: Column, wide: Column) -> Column:
+    return F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * wide / 360.0).cast("int")
+
+
+def within(points: DataFrame, stations: DataFrame, metres: float) -> DataFrame:
     """Pairs of points (id, lon, lat) and stations (station_id, lon, lat) within metres, with column distance.
 
-    Both sides are cut into cells as wide as the radius at max_lat; stations are replicated to the nine cells around theirs, across the
-    antimeridian too, so the join is on the cell. Where a point or a station lies beyond max_lat the cells are whole bands of latitude.
+    Rows of cells are as high as the radius, and a row's cells as wide as it is there. A point lies in one cell; a station is listed
+    in its own, the next ones and those of the rows beside it, across the antimeridian and the poles too, each once. So the join is on
+    the cell, and a pair comes once.
     """
-    size = metres / _METRES_PER_DEGREE / math.cos(math.radians(max_lat))
-    wide = max(1, math.floor(360.0 / size))
-    size = 360.0 / wide
-    near = _cells(stations.filter(F.abs("lat") <= max_lat), size, "lon", "lat").select("station_id", F.col("lon").alias("station_lon"), F.col("lat").alias("station_lat"), "cell_x", "cell_y")
-    for axis in ("cell_x", "cell_y"):
-        near = near.withColumn(axis, F.explode(F.array(*[F.col(axis) + d for d in (-1, 0, 1)])))
-    near = near.withColumn("cell_x", F.pmod("cell_x", F.lit(wide))).distinct()
-    mine = _cells(points.filter(F.abs("lat") <= max_lat), size, "lon", "lat").withColumn("cell_x", F.pmod("cell_x", F.lit(wide)))
-    mine = mine.join(near, ["cell_x", "cell_y"])
-
-    def band(df: DataFrame, lon: str, lat: str) -> DataFrame:
-        return _cells(df.filter(F.abs(lat) > max_lat - size), size, lon, lat).drop("cell_x")
-
-    caps = band(stations.select("station_id", F.col("lon").alias("station_lon"), F.col("lat").alias("station_lat")), "station_lon", "station_lat")
-    caps = caps.withColumn("cell_y", F.explode(F.array(*[F.col("cell_y") + d for d in (-1, 0, 1)])))
-    polar = band(points, "lon", "lat").join(caps, "cell_y").filter((F.abs("lat") > max_lat) | (F.abs("station_lat") > max_lat))
-    pairs = mine.drop("cell_x").unionByName(polar).withColumn("distance", haversine(F.col("lon"), F.col("lat"), F.col("station_lon"), F.col("station_lat")))
-    return pairs.filter(F.col("distance") <= metres).drop("cell_y")
+    height = metres / _METRES_PER_DEGREE * (1 + 1e-6)
+    lat, lon = F.col("lat"), F.col("lon")
+    mine = points.withColumn("cell_y", _row(lat, height)).withColumn("cell_x", _column(lon, _wide(F.col("cell_y"), height)))
+    listed = stations.select("station_id", lon.alias("station_lon"), lat.alias("station_lat"))
+    listed = listed.withColumn("cell_y", F.explode(F.array(*[_row(F.col("station_lat"), height) + d for d in (-1, 0, 1)]))).withColumn("_wide", _wide(F.col("cell_y"), height))
+    own = _column(F.col("station_lon"), F.col("_wide"))
+    listed = listed.withColumn("cell_x", F.explode(F.array_distinct(F.array(*[F.pmod(own + d, F.col("_wide")) for d in (-1, 0, 1)])))).drop("_wide")
+    pairs = mine.join(listed, ["cell_x", "cell_y"]).withColumn("distance", haversine(lon, lat, F.col("station_lon"), F.col("station_lat")))
+    return pairs.filter(F.col("distance") <= metres).drop("cell_x", "cell_y")
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, metres: float) -> DataFrame:
@@ -52,15 +56,18 @@ def nearest_station(points: DataFrame, stations: DataFrame, metres: float) -> Da
 def asof_latest(obs: DataFrame, at: DataFrame, max_age_s: int) -> DataFrame:
     """(at, station_id, parameter, value, time): latest value with at - max_age <= time <= at; ties to the later row.
 
-    at: one column of instants. Times are dealt to buckets as long as max_age; an instant looks into its own and the one before.
+    at: one column of instants. A value counts from its time until the next one of its series or max_age later. It is listed in the
+    buckets of time that it counts in, and meets the instants of these: each instant and series once.
     """
     epoch = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    length = max_age_s * 1_000_000
-    rows = obs.filter("value is not null").withColumn("us", epoch("time")).withColumn("bucket", F.floor(F.col("us") / length))
-    asked = at.select("at").distinct().withColumn("at_us", epoch("at")).withColumn("bucket", F.explode(F.array(F.floor(F.col("at_us") / length), F.floor(F.col("at_us") / length) - 1)))
-    hit = rows.join(asked, "bucket").filter("us <= at_us and us >= at_us - " + str(length))
-    last = hit.groupBy("at", "station_id", "parameter").agg(F.max(F.struct("time", "seq", "value")).alias("m"))
-    return last.select("at", "station_id", "parameter", "m.value", "m.time")
+    age = max_age_s * 1_000_000
+    length = max(1, age // 24)
+    rows = obs.filter("value is not null").select("station_id", "parameter", "value", "time", "seq", epoch("time").alias("us"))
+    after = F.lead("us").over(W.partitionBy("station_id", "parameter").orderBy("us", "seq"))
+    rows = rows.withColumn("until", F.least(F.coalesce(after - 1, F.lit(1 << 62)), F.col("us") + age)).filter("until >= us")
+    rows = rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("us") / length), F.floor(F.col("until") / length))))
+    asked = at.select("at").distinct().withColumn("at_us", epoch("at")).withColumn("bucket", F.floor(F.col("at_us") / length))
+    return rows.join(asked, "bucket").filter("at_us between us and until").select("at", "station_id", "parameter", "value", "time")
 
 
 def nearest_level(asked: DataFrame, levels: DataFrame) -> DataFrame:
@@ -82,8 +89,6 @@ def nearest_time(asked: DataFrame, steps: DataFrame) -> DataFrame:
 
     A union of both sides is ordered by time; a request sees the last step before and the first one after it.
     """
-    from pyspark.sql import Window as W
-
     both = asked.select("key", F.col("want").alias("t"), F.lit(1).alias("is_want")).unionByName(steps.select("key", F.col("time").alias("t"), F.lit(0).alias("is_want")))
     step = F.when(F.col("is_want") == 0, F.col("t"))
     order = W.partitionBy("key").orderBy("t", "is_want")
