@@ -1,10 +1,10 @@
-"""Registered queries over contours, paths and the motion field, with the SQL that they must agree with."""
+"""Registered queries over contours, paths, polygons and the motion field, with the SQL that they must agree with."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from envspark.operators import nowcast, paths
+from envspark.operators import features, impact, joins, nowcast, paths
 from envspark.plans.registry import query, rounded
 
 _SQUARES = """, q AS (SELECT a.frame, a.row_idx, a.col_idx, a.value AS tl, b.value AS tr, c.value AS bl, d.value AS br FROM frames a
@@ -66,3 +66,34 @@ def grid_trajectory(strikes, frames):
 def nc_motion_filter(frames):
     vectors = rounded(nowcast.motion(frames, 5, 2, 20.0), "d_row", "d_col", digits=4)
     return rounded(nowcast.filter_motion(vectors, 4, 4), "d_row", "d_col")
+
+
+@query("strikes areas", """, a AS (SELECT *, west + (east - west) * 0.25e0 AS hw, west + (east - west) * 0.75e0 AS he, south + (north - south) * 0.25e0 AS hs, south + (north - south) * 0.75e0 AS hn, west + (east - west) * 0.5e0 AS mx, south + (north - south) * 0.5e0 AS my FROM areas)
+ SELECT id, area_id FROM strikes JOIN a ON lon BETWEEN west AND east AND lat BETWEEN south AND north AND CASE area_id % 3
+  WHEN 0 THEN NOT (lon BETWEEN hw AND he AND lat BETWEEN hs AND hn) WHEN 1 THEN NOT (lon > mx AND lat > my) ELSE (lon - west) / (east - west) + (lat - south) / (north - south) <= 1 END""")
+def flt_polygon(strikes, areas):
+    """Strikes in squares with a square hole, in squares without their north-eastern quarter, and in triangles."""
+    part = lambda a, b, f: F.col(a) + (F.col(b) - F.col(a)) * f
+    x = {"w": F.col("west"), "e": F.col("east"), "l": part("west", "east", 0.25), "m": part("west", "east", 0.5), "r": part("west", "east", 0.75)}
+    y = {"s": F.col("south"), "n": F.col("north"), "l": part("south", "north", 0.25), "m": part("south", "north", 0.5), "r": part("south", "north", 0.75)}
+    ring = lambda text: F.array(*[F.struct(x[a].alias("x"), y[b].alias("y")) for a, b in text.split()])
+    holed = F.array(ring("ws es en wn ws"), ring("ll rl rr lr ll"))
+    shapes = F.when(F.col("area_id") % 3 == 0, holed).when(F.col("area_id") % 3 == 1, F.array(ring("ws es em mm mn wn ws"))).otherwise(F.array(ring("ws es wn ws")))
+    return joins.points_in_areas(strikes, areas.select("area_id", shapes.alias("rings")))
+
+
+@query("strikes areas", """, c AS (SELECT id, lon, lat, CASE WHEN id % 7 > 0 THEN (id % 40) * 1.0e0 END AS speed, (id * 37 % 360) * 1.0e0 AS bearing FROM strikes),
+ a AS (SELECT *, greatest(0, least(1, (log10(1 + (area_id + 1) * 5000) - log10(101)) / (log10(700001) - log10(101)))) AS weight FROM areas WHERE area_id % 2 = 0),
+ s AS (SELECT *, unnest(CASE WHEN speed > 0 THEN range(0, 31) ELSE [0] END) AS k FROM c), d AS (SELECT *, coalesce(speed, 0) * k * 120 / 6371000.0 AS d FROM s),
+ q AS (SELECT *, asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(radians(bearing))) AS phi FROM d),
+ at AS (SELECT id, k, CASE WHEN k = 0 THEN lon ELSE degrees(radians(lon) + atan2(sin(radians(bearing)) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(phi))) END AS lon, CASE WHEN k = 0 THEN lat ELSE degrees(phi) END AS lat FROM q),
+ met AS (SELECT id, k, min(area_id) AS area_id FROM "at" JOIN a ON lon BETWEEN west AND east AND lat BETWEEN south AND north GROUP BY 1, 2),
+ o AS (SELECT id, area_id AS over FROM met WHERE k = 0), f AS (SELECT m.id, arg_min(area_id, k) AS approaching, min(k) * 2.0e0 AS eta_minutes FROM met m LEFT JOIN o USING (id) WHERE k > 0 AND (over IS NULL OR over <> area_id) GROUP BY 1)
+ SELECT c.id, coalesce(over, -1) AS over, coalesce(approaching, -1) AS approaching, eta_minutes, round(CASE WHEN over IS NOT NULL THEN x.weight WHEN approaching IS NOT NULL THEN y.weight * (1 - eta_minutes / 60) * 0.7 ELSE 0 END, 5) AS exposure
+ FROM c LEFT JOIN o USING (id) LEFT JOIN f USING (id) LEFT JOIN a x ON x.area_id = o.over LEFT JOIN a y ON y.area_id = f.approaching""".replace(" at AS (", ' "at" AS ('))
+def join_impact_eta(strikes, areas):
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"), corner("west", "south"))
+    shapes = areas.filter("area_id % 2 = 0").select("area_id", features.log_weight((F.col("area_id") + 1) * 5000.0).alias("weight"), F.array(ring).alias("rings"))
+    cells = strikes.select("id", "lon", "lat", F.when(F.col("id") % 7 > 0, (F.col("id") % 40).cast("double")).alias("speed_ms"), (F.col("id") * 37 % 360).cast("double").alias("bearing_deg"))
+    return rounded(impact.impact(cells, shapes).fillna(-1, ["over", "approaching"]), "exposure")
