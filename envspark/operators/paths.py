@@ -43,8 +43,8 @@ def contours(cells: DataFrame, keys: list[str], base: float, interval: float) ->
 
 
 def wrapped(lon: Column) -> Column:
-    """A longitude in (-180, 180]."""
-    return F.lit(180.0) - F.pmod(F.lit(180.0) - lon, F.lit(360.0))
+    """A longitude in (-180, 180]; one that is there stays as it is, to the last bit."""
+    return F.when((lon > -180) & (lon <= 180), lon).otherwise(F.lit(180.0) - F.pmod(F.lit(180.0) - lon, F.lit(360.0)))
 
 
 def densify(vertices: DataFrame, dx: float, dy: float) -> DataFrame:
