@@ -35,3 +35,29 @@ def leave_one_out(stations: DataFrame, values: DataFrame, metres: float, k: int
 
 def rmse(residuals: DataFrame) -> DataFrame:
     return residuals.agg(F.count("residual").alias("n"), F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"))
+
+
+#: Fixed value: change of air temperature with height where none is given, in kelvins a kilometre.
+LAPSE_K_PER_KM = -6.5
+
+
+def with_lapse(targets: DataFrame, stations: DataFrame, values: DataFrame, metres: float, k_per_km: float = LAPSE_K_PER_KM, k: int = 8, power: float = 2.0) -> DataFrame:
+    """(id, estimate, neighbours) at targets (id, lon, lat, height) from stations (station_id, lon, lat, elevation) and values (station_id, value).
+
+    Values are reduced to sea level by the lapse rate, weighted there, and raised to the target's height. Stations without a height take
+    no part; a target without one has a null estimate.
+    """
+    rate = k_per_km / 1000.0
+    high = stations.filter(F.col("elevation").isNotNull() & ~F.isnan("elevation"))
+    low = values.join(high.select("station_id", "elevation"), "station_id").select("station_id", (F.col("value") - rate * F.col("elevation")).alias("value"))
+    est = idw(targets, high, low, metres, k, power).join(targets.select("id", "height"), "id")
+    return est.select("id", F.when(~F.isnan("height"), F.col("estimate") + rate * F.col("height")).alias("estimate"), "neighbours")
+
+
+def masked(cells: DataFrame, mask: DataFrame, unit: str, column: str = "estimate") -> DataFrame:
+    """cells (id, column) with column null where the mask (id, land) has less than half a cell of land, or nothing; unit is '1' or '%'."""
+    least = {"1": 0.5, "%": 50.0}.get(unit)
+    if least is None:
+        raise ValueError(f"a land mask is a fraction (1) or per cent (%), not {unit!r}")
+    land = cells.join(mask.select("id", (F.col("land") >= least).alias("_land")), "id", "left")
+    return land.withColumn(column, F.when(F.col("_land"), F.col(column))).drop("_land")

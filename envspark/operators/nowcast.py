@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -15,9 +16,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    """df checkpointed in the folder that the cluster names in spark.checkpoint.dir; a folder of this machine's own only if all runs on it."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

@@ -61,6 +61,21 @@ def src_index_wgrib2(run_acc):
     return found.drop("reference", "parameter").withColumn("record", F.col("record").cast("long")).fillna(-1, ["length", "window_start"])
 
 
+@query("run_acc", """, m AS (SELECT strftime(run_time, '%Y%m%d') AS file, run_time, cell, step, row_number() OVER (PARTITION BY run_time ORDER BY cell, step) AS k FROM run_acc WHERE cell % 7 <> 6)
+ SELECT file, CAST(epoch(run_time) AS BIGINT) AS reference_s, CAST(first_value(step) OVER (PARTITION BY file ORDER BY k) AS INTEGER) AS step, 'p' || (cell % 5) AS parameter, CASE WHEN cell % 2 = 0 THEN 'pl' ELSE 'sfc' END AS levtype,
+ CAST(CASE WHEN cell % 2 = 0 THEN cell * 10 ELSE -1 END AS INTEGER) AS level, CAST(step * 1000 + cell AS BIGINT) AS "offset", CAST(cell + 1 AS BIGINT) AS length FROM m""")
+def src_index_json(run_acc):
+    """Index lines, some of them cut off and some without a level."""
+    text = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    line = F.concat(
+        F.lit('{"domain": "g", "date": "'), F.date_format("run_time", "yyyyMMdd"), F.lit('", "time": "'), F.date_format("run_time", "HHmm"), F.lit('", "step": '), text("step"),
+        F.when(F.col("cell") % 2 == 0, F.concat(F.lit(', "levelist": "'), (F.col("cell") * 10).cast("string"), F.lit('", "levtype": "pl"'))).otherwise(F.lit(', "levtype": "sfc"')),
+        F.lit(', "param": "p'), (F.col("cell") % 5).cast("string"), F.lit('", "_offset": '), (F.col("step") * 1000 + F.col("cell")).cast("string"), F.lit(', "_length": '), (F.col("cell") + 1).cast("string"), F.lit("}"))
+    cut = F.when(F.col("cell") % 7 == 6, F.substring(line, 1, 40)).otherwise(line)
+    found = documents.json_index(run_acc.select(F.date_format("run_time", "yyyyMMdd").alias("file"), F.struct("cell", "step").alias("place"), cut.alias("value")))
+    return found.withColumn("reference_s", F.unix_seconds("reference")).drop("reference").fillna(-1, "level")
+
+
 @query("areas", "SELECT CAST(area_id AS VARCHAR) AS id, name, 'Polygon' AS geometry_type, west, north FROM areas")
 def src_features_geojson(areas):
     ring = F.array(*[F.array(x, y) for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south"))])

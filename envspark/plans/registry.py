@@ -436,6 +436,31 @@ def interp_idw(stations, obs):
     return rounded(gridding.idw(cells, stations, values, 120_000), "estimate", "nearest", digits=4)
 
 
+_GRID = "g AS (SELECT x * 100 + y AS id, 19 + x * 0.65 AS lon, 59 + y * 0.6 AS lat, CASE WHEN (x * 100 + y) % 11 > 0 THEN ((x * 100 + y) * 7 % 300) * 1.0e0 END AS height, ((x * 100 + y) % 10) / 10.0e0 AS land FROM (SELECT range AS x FROM range(20)), (SELECT range AS y FROM range(20)))"
+_LAPSE = f""", {_VALUES}, {_GRID}, t AS (SELECT id, lon, lat FROM g), high AS (SELECT * FROM stations WHERE station_id % 4 > 0),
+ near AS (SELECT t.id, s.station_id, v.value + 0.0065 * s.elevation AS value, {_HAVERSINE.format(a='t', b='s')} AS d FROM t JOIN high s ON abs(s.lat - t.lat) < 4 JOIN v ON v.station_id = s.station_id), {_IDW.format(extra='', metres=120000)},
+ raised AS (SELECT w.id, sum(w * value) / sum(w) - 0.0065 * any_value(height) AS estimate, count(*) AS neighbours, any_value(land) AS land FROM w JOIN g ON g.id = w.id GROUP BY 1)"""
+
+
+def _lapse(stations, obs):
+    n = F.floor(F.col("id") / 20) * 100 + F.col("id") % 20
+    cells = obs.sparkSession.range(400).select(n.alias("id"), (19 + F.floor(F.col("id") / 20) * 0.65).alias("lon"), (59 + F.col("id") % 20 * 0.6).alias("lat"), F.when(n % 11 > 0, (n * 7 % 300).cast("double")).alias("height"), ((n % 10) / 10.0).alias("land"))
+    values = obs.filter("value is not null").groupBy("station_id").agg(F.avg("value").alias("value"))
+    known = stations.withColumn("elevation", F.when(F.col("station_id") % 4 > 0, F.col("elevation")))
+    return cells, gridding.with_lapse(cells, known, values, 120_000)
+
+
+@query("stations obs", f"{_LAPSE} SELECT id, round(estimate, 4) AS estimate, neighbours FROM raised")
+def interp_lapse(stations, obs):
+    return rounded(_lapse(stations, obs)[1], "estimate", digits=4)
+
+
+@query("stations obs", f"{_LAPSE} SELECT id, CASE WHEN land >= 0.5 THEN round(estimate, 4) END AS estimate, neighbours FROM raised")
+def interp_mask(stations, obs):
+    cells, raised = _lapse(stations, obs)
+    return rounded(gridding.masked(raised, cells, "1"), "estimate", digits=4)
+
+
 @query("stations obs", f""", {_VALUES}, t AS (SELECT s.station_id AS id, lon, lat FROM stations s JOIN v ON v.station_id = s.station_id), near AS ({_NEAR}), {_IDW.format(extra=' AND id <> station_id', metres=400000)}
  SELECT w.id AS station_id, round(any_value(v.value), 4) AS value, round(sum(w.w * w.value) / sum(w.w), 4) AS estimate, count(*) AS neighbours FROM w JOIN v ON v.station_id = w.id GROUP BY 1""")
 def interp_loo(stations, obs):

@@ -126,6 +126,26 @@ def message_index(lines: DataFrame) -> DataFrame:
     return rows.select("file", "record", "offset", (F.col("next") - F.col("offset")).alias("length"), "reference", "parameter", "level", "step", "kind", "window_start")
 
 
+#: The names of an index line.
+INDEX_LINE = "date string, time string, step string, levelist string, levtype string, param string, _offset long, _length long"
+
+
+def json_index(lines: DataFrame) -> DataFrame:
+    """(file, reference, step, parameter, levtype, level, offset, length) of the messages of JSON index lines (file, place, value).
+
+    A file's first readable line gives its reference time and step (0 if it isn't a number); place orders its lines. Lines that aren't
+    JSON or lack param, levtype, _offset or _length are left out, and so is a file whose reference time can't be read. A level that is no
+    whole number is null.
+    """
+    rows = lines.filter(F.length(F.trim("value")) > 0).select("file", "place", F.from_json(F.trim("value"), INDEX_LINE).alias("m"))
+    rows = rows.filter("m.date is not null and m.time is not null and m.param is not null and m.levtype is not null and m._offset is not null and m._length is not null and m.step is not null")
+    head = rows.groupBy("file").agg(F.min_by(F.struct("m.date", "m.time", "m.step"), "place").alias("h"))
+    valid = F.col("h.date").rlike(r"^\d{8}$") & F.col("h.time").rlike(r"^\d{4}$")
+    reference = F.when(valid, F.try_to_timestamp(F.concat("h.date", "h.time", F.lit(" +0000")), F.lit("yyyyMMddHHmm Z")))
+    head = head.select("file", reference.alias("reference"), F.coalesce(F.col("h.step").try_cast("int"), F.lit(0)).alias("step")).filter("reference is not null")
+    return rows.join(head, "file").select("file", "reference", "step", F.col("m.param").alias("parameter"), "m.levtype", F.when(F.col("m.levelist").rlike(r"^\d+$"), F.col("m.levelist").try_cast("int")).alias("level"), F.col("m._offset").alias("offset"), F.col("m._length").alias("length"))
+
+
 def features(collections: DataFrame) -> DataFrame:
     """(ordinal, id, geometry_type, coordinates as JSON text, properties) of each feature of feature collections (value)."""
     parsed = collections.select(F.from_json("value", COLLECTION).alias("c")).filter("c.type = 'FeatureCollection'")
