@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,14 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine's own only if all runs on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written to the cluster's shared checkpoint folder and read back, so that lost executors cost no recomputation.
 
@@ -26,7 +35,7 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint()
     spark._jvm.System.gc()
     return out
@@ -34,8 +43,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: So many 8-byte ids are broadcast at most.
