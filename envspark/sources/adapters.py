@@ -32,6 +32,8 @@ SQL = {
  CAST(floor(e.value) % 5 AS INT) AS severity
  FROM events e LEFT JOIN events r ON r.event_id = e.event_id - 7 AND e.event_type IN ('purchase', 'error')""",
     "gates": """SELECT DISTINCT CAST(l_orderkey % 3 AS INT) AS site, 0.5e0 + (l_linenumber - 1) * 1.5e0 AS elangle,
+ CAST(l_partkey % 360 AS INT) AS azimuth, CAST(l_suppkey % 100 AS INT) AS range_idx, CAST(l_quantity AS DOUBLE) AS dbz FROM lineitem""",
+    "scans": """SELECT DISTINCT CAST(l_orderkey % 3 AS INT) AS site, CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS INT) AS scan, 0.5e0 + (l_linenumber - 1) * 1.5e0 AS elangle,
  CAST(l_partkey % 360 AS INT) AS azimuth, CAST(l_suppkey % 100 AS INT) AS range_idx, CAST(l_quantity AS DOUBLE) AS dbz FROM lineitem""",
     "bands": """SELECT CAST(l_orderkey % 50 AS INT) AS pixel, CAST(7 + l_linenumber AS INT) AS band,
  round(200 + 2 * avg(l_quantity), 6) AS bt_k FROM lineitem GROUP BY 1, 2""",
