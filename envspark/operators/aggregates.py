@@ -88,8 +88,9 @@ def lightning(strikes: DataFrame, minutes: int = 60) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Order-independent content hash of each slice."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*values)).alias("fingerprint"))
+    """Rows and content hash of each slice, whatever the order of its rows; repeated rows and the places of nulls count."""
+    row = F.xxhash64(*values, *[F.col(v).isNull() for v in values])
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("fingerprint"))
 
 
 def obs_fingerprint(obs: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-
-from envspark.operators import curvilinear
-from envspark.plans.registry import query, rounded
+from envspark.operators import curvilinear, revision, tiles
+from envspark.plans.registry import _HAVERSINE, _IDW, query, rounded
 
 #: The frames' rows and columns as nodes of a bent grid over the box of the stations.
 _NODE = "20 + 0.45e0 * col_idx + 0.12e0 * row_idx + 0.006e0 * row_idx * col_idx AS lon, 60.5e0 + 0.4e0 * row_idx - 0.07e0 * col_idx AS lat"
@@ -32,3 +32,43 @@ _LOCATE = f""", raw AS (SELECT DISTINCT col_idx AS col, row_idx AS row, {_NODE}
 def grid_curvilinear_locate(strikes, frames):
     grid = frames.select("col_idx", "row_idx").distinct().selectExpr("col_idx AS col", "row_idx AS row", *[c.strip() for c in _NODE.split(",")])
     return rounded(curvilinear.locate(strikes.select("id", "lon", "lat"), grid, 20, 20), "col", "row")
+
+
+#: Squares around strikes with a hole of half their width, on the tiles of zoom 8.
+_UNROLLED = "({lon} / 360 + 0.5) * 256 AS {x}, (0.5 - ln(tan(pi() / 4 + radians({lat}) / 2)) / (2 * pi())) * 256 AS {y}"
+_SQUARES = f""", sq AS (SELECT id, lon, lat, 0.05e0 + (id % 50) / 40e0 AS w FROM strikes),
+ b AS (SELECT id, {_UNROLLED.format(lon='(lon - w)', lat='(lat + w / 2)', x='x0', y='y0')}, {_UNROLLED.format(lon='(lon + w)', lat='(lat - w / 2)', x='x1', y='y1')}, {_UNROLLED.format(lon='(lon - w / 2)', lat='(lat + w / 4)', x='hx0', y='hy0')}, {_UNROLLED.format(lon='(lon + w / 2)', lat='(lat - w / 4)', x='hx1', y='hy1')} FROM sq),
+ tx AS (SELECT *, unnest(range(CAST(ceil(x0 - 1.0625) AS INT), CAST(floor(x1 + 0.0625) AS INT) + 1)) AS tile_x FROM b), txy AS (SELECT *, unnest(range(CAST(ceil(y0 - 1.0625) AS INT), CAST(floor(y1 + 0.0625) AS INT) + 1)) AS tile_y FROM tx)"""
+_SHARED = "greatest(0, least({p}x1, tile_x + 1.0625e0) - greatest({p}x0, tile_x - 0.0625e0)) * greatest(0, least({p}y1, tile_y + 1.0625e0) - greatest({p}y0, tile_y - 0.0625e0)) * 4096 * 4096"
+
+
+@query("strikes", f"{_SQUARES} SELECT id, CAST(tile_x AS INTEGER) AS tile_x, CAST(tile_y AS INTEGER) AS tile_y, round({_SHARED.format(p='')}, 1) AS outer_area, round({_SHARED.format(p='h')}, 1) AS hole_area FROM txy")
+def tile_features(strikes):
+    w = 0.05 + (F.col("id") % 50) / 40.0
+    corner = lambda x, y, share: F.struct((F.col("lon") + share * x * w).alias("x"), (F.col("lat") + share * y * w / 2).alias("y"))
+    ring = lambda share: F.array(*[corner(x, y, share) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    cut = tiles.tile_polygons(strikes.select("id", F.array(ring(1.0), ring(0.5)).alias("rings")), ["id"], 8)
+    holes = F.aggregate(F.slice("rings", 2, F.size("rings")), F.lit(0.0), lambda s, r: s - tiles.ring_area(r))
+    return rounded(cut.select("id", "tile_x", "tile_y", tiles.ring_area(F.col("rings")[0]).alias("outer_area"), holes.alias("hole_area")), "outer_area", "hole_area", digits=1)
+
+
+@query("strikes", f""", u AS (SELECT id, {_UNROLLED.format(lon='lon', lat='lat', x='u', y='v')} FROM strikes), n AS (SELECT unnest(range(256)) AS t)
+ SELECT id, CAST(a.t AS INTEGER) AS tile_x, CAST(b.t AS INTEGER) AS tile_y, round((u - a.t) * 4096, 4) AS x, round((v - b.t) * 4096, 4) AS y FROM u JOIN n a ON u BETWEEN a.t - 0.0625 AND a.t + 1.0625 JOIN n b ON v BETWEEN b.t - 0.0625 AND b.t + 1.0625""")
+def tile_feature_points(strikes):
+    return rounded(tiles.tile_points(strikes, ["id"], 8), "x", "y", digits=4)
+
+
+_HOURLY = "SELECT date_trunc('hour', time) AS time, station_id, avg(value) AS value FROM obs WHERE value IS NOT NULL{late} GROUP BY 1, 2"
+
+
+@query("stations obs", f""", t AS (SELECT x * 20 + y AS id, 19.3 + x * 0.65 AS lon, 59.3 + y * 0.6 AS lat FROM (SELECT range AS x FROM range(20)), (SELECT range AS y FROM range(20))), v AS ({_HOURLY.format(late='')}),
+ late AS (SELECT DISTINCT date_trunc('hour', time) AS time FROM obs WHERE seq % 400 = 0 AND value IS NOT NULL), near AS (SELECT struct_pack(t := v.time, i := t.id) AS id, s.station_id, v.value, {_HAVERSINE.format(a='t', b='s')} AS d FROM t JOIN stations s ON abs(s.lat - t.lat) < 2 JOIN v ON v.station_id = s.station_id JOIN late ON late.time = v.time), {_IDW.format(extra='', metres=120000)}
+ SELECT id.t AS time, id.i AS id, round(sum(w * value) / sum(w), 4) AS estimate, count(*) AS neighbours FROM w GROUP BY 1, 2""")
+def interp_revision(stations, obs):
+    """Fields of the hours whose reports aren't those of a run before the late ones (every 400th) came."""
+    cells = obs.sparkSession.range(400).select("id", (19.3 + F.floor(F.col("id") / 20) * 0.65).alias("lon"), (59.3 + F.col("id") % 20 * 0.6).alias("lat"))
+    hour = F.date_trunc("hour", "time").cast("timestamp_ntz")
+    hourly = lambda rows: rows.filter("value is not null").groupBy(hour.alias("time"), "station_id").agg(F.avg("value").alias("value"))
+    values = hourly(obs)
+    times = revision.changed_times(revision.inputs(stations, values), revision.inputs(stations, hourly(obs.filter("seq % 400 <> 0"))))
+    return rounded(revision.at_times(cells, stations, values.join(times, "time", "left_semi"), 120_000).select("time", "id", "estimate", "neighbours"), "estimate", digits=4)
