@@ -123,7 +123,7 @@ def storm_cells(voxels: DataFrame, keys: list[str], grid: Grid, sites: DataFrame
         F.min(wet(F.least(*corners(F.sin)))).alias("west"), F.max(wet(F.greatest(*corners(F.sin)))).alias("east"), F.min(wet(F.least(*corners(F.cos)))).alias("south"), F.max(wet(F.greatest(*corners(F.cos)))).alias("north"))
     size = lambda count, twice: grid.dr * grid.da * (grid.r0 * F.col(count) + grid.dr / 2 * F.col(twice))
     cells = cells.withColumn("volume_km3", size("n", "n_r") * grid.dh / 1e9).filter(F.col("volume_km3") >= least_km3)
-    cells = cells.withColumn("label", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("volume_km3"), "part"))).filter(F.col("label") <= most)
+    cells = cells.withColumn("label", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("volume_km3"), "part"))).filter(F.col("label") <= most).withColumn("label", F.col("label").cast("long"))
     placed = cells.join(sites.select(*on, F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), F.col("height").alias("up0")), on)
     e, n = F.col("we") / F.col("w"), F.col("wn") / F.col("w")
     lon, lat = geo.destination(F.col("lon0"), F.col("lat0"), F.degrees(F.atan2(e, n)), F.hypot(e, n))

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from envspark.plans import derived, documents, lines, places, registry, scans, storms  # noqa: F401  (all but registry register their queries)
+from envspark.plans import derived, documents, lines, listings, places, registry, scans, storms  # noqa: F401  (all but registry register their queries)
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
