@@ -119,11 +119,15 @@ def points_in_areas(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> D
     at = lambda c: F.floor(F.col(c) / cell)
     listed = box.withColumn("cell_x", F.explode(F.sequence(at("w"), at("e")))).withColumn("cell_y", F.explode(F.sequence(at("s"), at("n"))))
     near = points.withColumn("cell_x", at("lon")).withColumn("cell_y", at("lat")).join(listed, ["cell_x", "cell_y"])
-    near = near.filter("lon between w and e and lat between s and n").select("id", "lon", "lat", "area_id")
+    return held(near.filter("lon between w and e and lat between s and n").select("id", "lon", "lat", "area_id"), edge)
+
+
+def held(pairs: DataFrame, edge: DataFrame) -> DataFrame:
+    """(id, area_id) of pairs (id, lon, lat, area_id) whose point lies in the area of edges(), by the rule of points_in_areas."""
     x, y = F.col("lon"), F.col("lat")
     cross = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     on = ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) == (F.col("y2") - F.col("y1")) * (x - F.col("x1"))) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    rings = near.join(edge, "area_id").groupBy("id", "area_id", "ring").agg(((F.count_if(cross) % 2 == 1) | F.bool_or(on)).alias("inside"))
+    rings = pairs.join(edge, "area_id").groupBy("id", "area_id", "ring").agg(((F.count_if(cross) % 2 == 1) | F.bool_or(on)).alias("inside"))
     kept = rings.groupBy("id", "area_id").agg(F.bool_or((F.col("ring") == 0) & F.col("inside")).alias("outer"), F.bool_or((F.col("ring") > 0) & F.col("inside")).alias("hole"))
     return kept.filter("outer and not hole").select("id", "area_id")
 

@@ -73,7 +73,7 @@ def tile_polygons(features: DataFrame, keys: list[str], zoom: int) -> DataFrame:
 
     place = lambda p: F.struct(*[v.alias(c) for c, v in zip("xy", _unrolled(p.x.cast("double"), p.y.cast("double"), zoom))])
     sound = F.forall("rings", lambda r: r.isNotNull() & F.forall(r, lambda p: p.x.isNotNull() & p.y.isNotNull() & ~F.isnan(p.x.cast("double")) & ~F.isnan(p.y.cast("double")))) & (F.size("rings") > 0)
-    at = features.filter(sound).filter(F.size(F.col("rings")[0]) > 0).select(*keys, F.filter("rings", lambda r: F.size(r) > 0).alias("rings"))
+    at = features.filter(sound).filter(F.size(F.get("rings", F.lit(0))) > 0).select(*keys, F.filter("rings", lambda r: F.size(r) > 0).alias("rings"))
     at = at.withColumn("rings", F.transform("rings", lambda r: F.transform(_once(r, opened), place)))
     ends = lambda axis: (F.array_min(F.transform(F.col("rings")[0], lambda p: p[axis])), F.array_max(F.transform(F.col("rings")[0], lambda p: p[axis])))
     columns = at.withColumn("tile_x", F.explode(_reached(*ends("x"), zoom)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from envspark.operators import areas as regions
 from envspark.operators import features, impact, joins, nowcast, paths
 from envspark.plans.registry import query, rounded
 
@@ -68,18 +69,23 @@ def nc_motion_filter(frames):
     return rounded(nowcast.filter_motion(vectors, 4, 4), "d_row", "d_col")
 
 
-@query("strikes areas", """, a AS (SELECT *, west + (east - west) * 0.25e0 AS hw, west + (east - west) * 0.75e0 AS he, south + (north - south) * 0.25e0 AS hs, south + (north - south) * 0.75e0 AS hn, west + (east - west) * 0.5e0 AS mx, south + (north - south) * 0.5e0 AS my FROM areas)
- SELECT id, area_id FROM strikes JOIN a ON lon BETWEEN west AND east AND lat BETWEEN south AND north AND CASE area_id % 3
-  WHEN 0 THEN NOT (lon BETWEEN hw AND he AND lat BETWEEN hs AND hn) WHEN 1 THEN NOT (lon > mx AND lat > my) ELSE (lon - west) / (east - west) + (lat - south) / (north - south) <= 1 END""")
-def flt_polygon(strikes, areas):
-    """Strikes in squares with a square hole, in squares without their north-eastern quarter, and in triangles."""
+def _shapes(areas):
+    """Squares with a square hole, squares without their north-eastern quarter, and triangles."""
     part = lambda a, b, f: F.col(a) + (F.col(b) - F.col(a)) * f
     x = {"w": F.col("west"), "e": F.col("east"), "l": part("west", "east", 0.25), "m": part("west", "east", 0.5), "r": part("west", "east", 0.75)}
     y = {"s": F.col("south"), "n": F.col("north"), "l": part("south", "north", 0.25), "m": part("south", "north", 0.5), "r": part("south", "north", 0.75)}
     ring = lambda text: F.array(*[F.struct(x[a].alias("x"), y[b].alias("y")) for a, b in text.split()])
     holed = F.array(ring("ws es en wn ws"), ring("ll rl rr lr ll"))
     shapes = F.when(F.col("area_id") % 3 == 0, holed).when(F.col("area_id") % 3 == 1, F.array(ring("ws es em mm mn wn ws"))).otherwise(F.array(ring("ws es wn ws")))
-    return joins.points_in_areas(strikes, areas.select("area_id", shapes.alias("rings")))
+    return areas.select("area_id", shapes.alias("rings"))
+
+
+@query("strikes areas", """, a AS (SELECT *, west + (east - west) * 0.25e0 AS hw, west + (east - west) * 0.75e0 AS he, south + (north - south) * 0.25e0 AS hs, south + (north - south) * 0.75e0 AS hn, west + (east - west) * 0.5e0 AS mx, south + (north - south) * 0.5e0 AS my FROM areas)
+ SELECT id, area_id FROM strikes JOIN a ON lon BETWEEN west AND east AND lat BETWEEN south AND north AND CASE area_id % 3
+  WHEN 0 THEN NOT (lon BETWEEN hw AND he AND lat BETWEEN hs AND hn) WHEN 1 THEN NOT (lon > mx AND lat > my) ELSE (lon - west) / (east - west) + (lat - south) / (north - south) <= 1 END""")
+def flt_polygon(strikes, areas):
+    """Strikes in squares with a square hole, in squares without their north-eastern quarter, and in triangles."""
+    return joins.points_in_areas(strikes, _shapes(areas))
 
 
 @query("strikes areas", """, c AS (SELECT id, lon, lat, CASE WHEN id % 7 > 0 THEN (id % 40) * 1.0e0 END AS speed, (id * 37 % 360) * 1.0e0 AS bearing FROM strikes),
@@ -97,3 +103,20 @@ def join_impact_eta(strikes, areas):
     shapes = areas.filter("area_id % 2 = 0").select("area_id", features.log_weight((F.col("area_id") + 1) * 5000.0).alias("weight"), F.array(ring).alias("rings"))
     cells = strikes.select("id", "lon", "lat", F.when(F.col("id") % 7 > 0, (F.col("id") % 40).cast("double")).alias("speed_ms"), (F.col("id") * 37 % 360).cast("double").alias("bearing_deg"))
     return rounded(impact.impact(cells, shapes).fillna(-1, ["over", "approaching"]), "exposure")
+
+
+#: Areas on a grid of 0.4 degrees, of 30 cells at most: five by six of the seven by six that they would have.
+_AREA = """, a AS (SELECT *, west + (east - west) * 0.25e0 AS hw, west + (east - west) * 0.75e0 AS he, south + (north - south) * 0.25e0 AS hs, south + (north - south) * 0.75e0 AS hn, west + (east - west) * 0.5e0 AS mx, south + (north - south) * 0.5e0 AS my FROM areas),
+ g AS (SELECT area_id, ix, iy, west + (ix + 0.5e0) * ((east - west) / 5) AS lon, north - (iy + 0.5e0) * ((north - south) / 6) AS lat FROM a, (SELECT range AS ix FROM range(5)), (SELECT range AS iy FROM range(6))),
+ h AS (SELECT g.*, round(lon, 9) AS rx, round(lat, 9) AS ry, CASE area_id % 3 WHEN 0 THEN NOT (lon BETWEEN hw AND he AND lat BETWEEN hs AND hn) WHEN 1 THEN NOT (lon > mx AND lat > my) ELSE (lon - west) / (east - west) + (lat - south) / (north - south) <= 1 END AS inside FROM g JOIN a USING (area_id)),
+ p AS (SELECT *, (rx - 19) / 0.65 - 0.5 AS gx, (71 - ry) / 0.6 - 0.5 AS gy FROM h WHERE inside),
+ c AS (SELECT area_id, ix, iy, w.frame, o.k, w.value, (CASE WHEN o.dc = 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END) * (CASE WHEN o.dr = 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END) AS share
+  FROM p, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)) AS o(k, dr, dc) JOIN frames w ON w.row_idx = floor(gy) + o.dr AND w.col_idx = floor(gx) + o.dc),
+ v AS (SELECT area_id, ix, iy, frame, CASE WHEN count(*) = 4 THEN sum(value * share) ELSE arg_max(value, (share, -k)) END AS value FROM c GROUP BY 1, 2, 3, 4)"""
+
+
+@query("frames areas", f"{_AREA} SELECT area_id, frame, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, round(lon, 5) AS lon, round(lat, 5) AS lat, inside, true AS coarsened, round(value, 4) AS value FROM h CROSS JOIN (SELECT DISTINCT frame FROM frames) LEFT JOIN v USING (area_id, ix, iy, frame)")
+def grid_area(frames, areas):
+    cells = rounded(regions.area_cells(_shapes(areas), 0.4, 0.4, 30), "lon", "lat", digits=9)
+    found = regions.area_values(cells, frames, ["frame"], WEST, NORTH, D_LON, D_LAT)
+    return rounded(rounded(found.select("area_id", "frame", "ix", "iy", "lon", "lat", "inside", "coarsened", "value"), "lon", "lat"), "value", digits=4)
