@@ -23,6 +23,23 @@ def at_times(targets: DataFrame, stations: DataFrame, values: DataFrame, metres:
     return found.select("id.time", "id.id", "estimate", "neighbours", "nearest")
 
 
+#: Fixed value: how many analysis times are kept, the latest ones.
+TIMES = 10_000
+
+
+def analysis_times(values: DataFrame, cadence_s: int | None = None, most: int = TIMES) -> DataFrame:
+    """(time) to compute fields for: every whole cadence (seconds since 1970) from the first to the last of values' times (timestamps), or the times themselves; the latest most of them.
+
+    Without a time, or without a whole cadence between the first and the last, there is no row.
+    """
+    if cadence_s is None:
+        return values.select("time").filter("time is not null").distinct().orderBy(F.desc("time")).limit(most)
+    second = F.col("time").cast("timestamp")
+    span = values.agg(F.ceil(F.min(F.floor(second.cast("double"))) / cadence_s).alias("first"), F.floor(F.max(F.floor(second.cast("double"))) / cadence_s).alias("last"))
+    steps = span.filter("first <= last").select(F.explode(F.sequence(F.greatest(F.col("first"), F.col("last") - (most - 1)), F.col("last"))).alias("n"))
+    return steps.select(F.timestamp_seconds(F.col("n") * cadence_s).cast(values.schema["time"].dataType).alias("time"))
+
+
 def inputs(stations: DataFrame, values: DataFrame) -> DataFrame:
     """(time, n, fingerprint) of what each time's field is computed from: places and values, in whatever order they come."""
     there = values.filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("time").isNotNull())

@@ -72,3 +72,10 @@ def interp_revision(stations, obs):
     values = hourly(obs)
     times = revision.changed_times(revision.inputs(stations, values), revision.inputs(stations, hourly(obs.filter("seq % 400 <> 0"))))
     return rounded(revision.at_times(cells, stations, values.join(times, "time", "left_semi"), 120_000).select("time", "id", "estimate", "neighbours"), "estimate", digits=4)
+
+
+@query("obs", """, s AS (SELECT floor(epoch_ms(min(time)) / 1000.0) AS a, floor(epoch_ms(max(time)) / 1000.0) AS b FROM obs)
+ SELECT make_timestamp(n * 600 * 1000000) AS time FROM (SELECT unnest(range(CAST(greatest(ceil(a / 600), floor(b / 600) - 3999) AS BIGINT), CAST(floor(b / 600) AS BIGINT) + 1)) AS n FROM s)""")
+def interp_times(obs):
+    """The latest 4,000 whole ten minutes of the reports."""
+    return revision.analysis_times(obs, 600, 4000)

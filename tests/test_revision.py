@@ -1,5 +1,6 @@
 """Fields are computed again for changed times only."""
 
+import datetime
 import os
 
 import pytest
@@ -56,3 +57,12 @@ def test_a_run_that_broke_off_is_made_good(spark, tmp_path, monkeypatch):
             revision.revise(spark, path, targets, stations, values(2.0), 50_000)
     assert revision.revise(spark, path, targets, stations, values(2.0), 50_000).count() == 1
     assert revision.current(spark, path).first()["estimate"] == 2.0
+
+
+def test_analysis_times(spark):
+    at = lambda *texts: spark.createDataFrame([(datetime.datetime.fromisoformat(t) if t else None,) for t in texts], "time timestamp_ntz")
+    take = lambda *a: sorted(r["time"].strftime("%H:%M:%S") for r in revision.analysis_times(*a).collect())
+    seen = at("2024-01-01 00:10:00", None, "2024-01-01 00:35:30", "2024-01-01 00:10:00")
+    assert take(seen, 600) == ["00:10:00", "00:20:00", "00:30:00"] and take(seen, 600, 2) == ["00:20:00", "00:30:00"]
+    assert take(seen) == ["00:10:00", "00:35:30"] and take(seen, None, 1) == ["00:35:30"]
+    assert take(at("2024-01-01 00:11:00", "2024-01-01 00:19:00"), 600) == [] and take(at(None), 600) == [] and take(at(None)) == []
