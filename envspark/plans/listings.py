@@ -40,5 +40,5 @@ _FILES = f"CAST(station_id AS VARCHAR(20)) || '/' || CASE WHEN seq % 17 = 0 THEN
  r AS (SELECT key, bytes, CAST(g.lead AS INT) AS lead, try_strptime(g.stamp, '%Y%m%dT%H') AS time FROM n WHERE g.stamp <> '' AND bytes <= 950), d AS (SELECT time, lead, max(key) AS key, arg_max(bytes, key) AS bytes FROM r WHERE time BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28' GROUP BY 1, 2)
  SELECT * FROM d WHERE time IN (SELECT DISTINCT time FROM d ORDER BY time DESC LIMIT 400)""")
 def src_file_catalog(obs):
-    files = obs.selectExpr(f"{_FILES} AS key", "seq % 1000 AS bytes")
-    return catalog.catalog(files, "run_{lead}_%Y%m%dT{run}Z.nc", ["*.part", ".*"], "2024-01-03 00:00:00", "2024-01-28 00:00:00", 400, 950).select("time", "lead", "key", "bytes")
+    files = obs.selectExpr(f"{_FILES} AS key", "seq % 1000 AS bytes", "seq")
+    return catalog.catalog(files, "run_{lead}_%Y%m%dT{run}Z.nc", ["*.part", ".*"], "2024-01-03 00:00:00", "2024-01-28 00:00:00", 400, 950, "seq").select("time", "lead", "key", "bytes")

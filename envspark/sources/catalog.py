@@ -38,8 +38,9 @@ def excluded(name: Column, patterns: list[str]) -> Column:
     return out
 
 
-def catalog(files: DataFrame, template: str, exclude: list[str] = (), start=None, end=None, newest: int | None = None, most_bytes: int | None = None) -> DataFrame:
-    """files (key, bytes, ...) with time and lead from their names (what follows the last /), one a time and lead: the greatest key.
+def catalog(files: DataFrame, template: str, exclude: list[str] = (), start=None, end=None, newest: int | None = None, most_bytes: int | None = None, place: str | None = None) -> DataFrame:
+    """files (key, bytes, ...) with time and lead from their names (what follows the last /), one a time and lead: the greatest key; of rows with that key the one
+    with the least place (a column of whole numbers, the order of the listing), which is open without place.
 
     Names of another form, with a time that doesn't exist, excluded ones and files of more than most_bytes are left out; start and end are times
     (timestamp without zone), both included. newest keeps the latest so many times with all their leads, counted after repeated ones went.
@@ -65,7 +66,7 @@ def catalog(files: DataFrame, template: str, exclude: list[str] = (), start=None
         if bound is not None:
             read = read.filter(on(F.lit(bound).cast("timestamp_ntz")))
     rest = [c for c in read.columns if c not in ("time", "lead")]
-    one = read.groupBy("time", "lead").agg(F.max_by(F.struct(*rest), "key").alias("f")).select("time", "lead", "f.*")
+    one = read.groupBy("time", "lead").agg(F.max_by(F.struct(*rest), F.struct("key", F.negative(place)) if place else F.col("key")).alias("f")).select("time", "lead", "f.*")
     if newest is None:
         return one
     latest = one.select("time").distinct().orderBy(F.desc("time")).limit(newest)
