@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from envspark.operators import curvilinear, revision, tiles
-from envspark.plans.registry import _HAVERSINE, _IDW, query, rounded
+from envspark.plans.registry import _HAVERSINE, _IDW, grid_places, query, rounded
 
 #: The frames' rows and columns as nodes of a bent grid over the box of the stations.
 _NODE = "20 + 0.45e0 * col_idx + 0.12e0 * row_idx + 0.006e0 * row_idx * col_idx AS lon, 60.5e0 + 0.4e0 * row_idx - 0.07e0 * col_idx AS lat"
@@ -66,11 +66,13 @@ _HOURLY = "SELECT date_trunc('hour', time) AS time, station_id, avg(value) AS va
  SELECT id.t AS time, id.i AS id, round(sum(w * value) / sum(w), 4) AS estimate, count(*) AS neighbours FROM w GROUP BY 1, 2""")
 def interp_revision(stations, obs):
     """Fields of the hours whose reports aren't those of a run before the late ones (every 400th) came."""
-    cells = obs.sparkSession.range(400).select("id", (19.3 + F.floor(F.col("id") / 20) * 0.65).alias("lon"), (59.3 + F.col("id") % 20 * 0.6).alias("lat"))
+    cells = obs.sparkSession.range(400).select("id", *grid_places(F.floor(F.col("id") / 20), F.col("id") % 20, 1930, 5930))
     hour = F.date_trunc("hour", "time").cast("timestamp_ntz")
     hourly = lambda rows: rows.filter("value is not null").groupBy(hour.alias("time"), "station_id").agg(F.avg("value").alias("value"))
     values = hourly(obs)
-    times = revision.changed_times(revision.inputs(stations, values), revision.inputs(stations, hourly(obs.filter("seq % 400 <> 0"))))
+    # the reports, not their means, which a late one may leave as they were
+    reports = lambda rows: revision.inputs(stations, rows.select(hour.alias("time"), "station_id", "value"))
+    times = revision.changed_times(reports(obs), reports(obs.filter("seq % 400 <> 0")))
     return rounded(revision.at_times(cells, stations, values.join(times, "time", "left_semi"), 120_000).select("time", "id", "estimate", "neighbours"), "estimate", digits=4)
 
 
