@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.operators.joins import within
+from envspark.operators.joins import nearest
 
 COINCIDENT_M = 1e-3
 
@@ -21,14 +21,15 @@ def _weighted(near: DataFrame, k: int, power: float) -> DataFrame:
 
 def idw(targets: DataFrame, stations: DataFrame, values: DataFrame, metres: float, k: int = 8, power: float = 2.0) -> DataFrame:
     """(id, estimate, neighbours, nearest) at targets (id, lon, lat) from values (station_id, value)."""
-    near = within(targets, stations.join(values.select("station_id"), "station_id", "left_semi"), metres).join(values, "station_id")
-    return _weighted(near, k, power)
+    near = nearest(targets, stations.join(values.select("station_id"), "station_id", "left_semi"), metres, k)
+    return _weighted(targets.select("id", "lon", "lat").join(near, ["lon", "lat"]).drop("lon", "lat").join(values, "station_id"), k, power)
 
 
 def leave_one_out(stations: DataFrame, values: DataFrame, metres: float, k: int = 8, power: float = 2.0) -> DataFrame:
     """(station_id, value, estimate, residual, neighbours) with each station estimated from the others."""
-    targets = stations.join(values.select("station_id"), "station_id", "left_semi").select(F.col("station_id").alias("id"), "lon", "lat")
-    near = within(targets, stations, metres).filter("id <> station_id").join(values, "station_id")
+    known = stations.join(values.select("station_id"), "station_id", "left_semi")
+    targets = known.select(F.col("station_id").alias("id"), "lon", "lat")
+    near = targets.join(nearest(known, known, metres, k + 1), ["lon", "lat"]).drop("lon", "lat").filter("id <> station_id").join(values, "station_id")
     est = _weighted(near, k, power)
     return est.join(values.withColumnRenamed("station_id", "id"), "id").select(F.col("id").alias("station_id"), "value", "estimate", (F.col("estimate") - F.col("value")).alias("residual"), "neighbours")
 
