@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))  # rows and columns past the first
+
+
+def squares(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row_idx, col_idx, v0, v1, v2, v3): values of the corners of each square of cells, by its first corner's numbers; a missing corner is null."""
+    corner = F.explode(F.array(*[F.struct(F.lit(k).alias("corner"), (F.col("row_idx") - dr).cast("int").alias("row_idx"), (F.col("col_idx") - dc).cast("int").alias("col_idx")) for k, (dr, dc) in enumerate(_CORNERS)]))
+    each = cells.filter("value is not null").select(*keys, "value", corner.alias("c")).select(*keys, "value", "c.*")
+    return each.groupBy(*keys, "row_idx", "col_idx").agg(*[F.max(F.when(F.col("corner") == k, F.col("value"))).alias(f"v{k}") for k in range(4)])
+
+
+def weights(x: Column, y: Column) -> list[Column]:
+    """w0 to w3: what the corners of the square around x, y (in cell units) weigh there."""
+    fx, fy = x - F.floor(x), y - F.floor(y)
+    return [w.alias(f"w{k}") for k, w in enumerate(((1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy))]
+
+
+def in_square() -> Column:
+    """The value by the columns of squares() and weights(): with all four corners weighted, else that of the heaviest corner present, in corner order on ties."""
+    v, w = [F.col(f"v{k}") for k in range(4)], [F.col(f"w{k}") for k in range(4)]
+    most = F.greatest(*[F.when(v[k].isNotNull(), w[k]) for k in range(4)])
+    heaviest = F.coalesce(*[F.when(w[k] == most, v[k]) for k in range(4)])
+    return F.coalesce(w[0] * v[0] + w[1] * v[1] + w[2] * v[2] + w[3] * v[3], heaviest)  # added in a fixed order
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt over the session's shuffle partitions: few rows that become many in a join need more tasks than their files give."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def position(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Bilinear values at points (id, x, y in cell units) for every key of the cells.
+    """Bilinear values at points (id, x, y in cell units) for every key of the cells, by the rule of in_square.
 
-    A point asks its four corners by an equi-join. With all four the value is weighted; else it is that of the heaviest corner
-    present, in corner order on ties.
+    A point meets the squares of its cell, which hold their four corners, so that neither its corners nor its values are shuffled. ids are unique.
     """
-    x0, y0 = F.floor("x"), F.floor("y")
-    fx, fy = F.col("x") - x0, F.col("y") - y0
-    corner = lambda n, dr, dc, w: F.struct(F.lit(n).alias("corner"), (y0 + dr).cast("int").alias("row_idx"), (x0 + dc).cast("int").alias("col_idx"), w.alias("w"))
-    asked = points.select("id", F.explode(F.array(corner(0, 0, 0, (1 - fx) * (1 - fy)), corner(1, 0, 1, fx * (1 - fy)), corner(2, 1, 0, (1 - fx) * fy), corner(3, 1, 1, fx * fy))).alias("c")).select("id", "c.*")
-    met = asked.join(cells.filter("value is not null"), ["row_idx", "col_idx"]).groupBy("id", *keys)
-    share = [F.max(F.when(F.col("corner") == k, F.col("w") * F.col("value"))) for k in range(4)]  # added in a fixed order
-    return met.agg(F.coalesce(share[0] + share[1] + share[2] + share[3], F.max_by("value", F.struct("w", F.negative("corner")))).alias("value"))
+    at = dealt(points.select("id", F.floor("y").cast("int").alias("row_idx"), F.floor("x").cast("int").alias("col_idx"), *weights(F.col("x"), F.col("y"))))
+    return at.join(squares(cells, keys), ["row_idx", "col_idx"]).select("id", *keys, in_square().alias("value"))
 
 
 def smooth(cells: DataFrame, keys: list[str]) -> DataFrame:
