@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from envspark.operators import grids
+
 #: Fixed value: levels drawn in one cell at most, the lowest first.
 LEVELS_PER_CELL = 4
 
@@ -87,6 +89,18 @@ def _nearest(axis: list, value: Column, literal, key) -> Column:
     return F.array_min(entries)["x"]
 
 
+def _nearest_time(times: list[str], t: Column, stamp) -> Column:
+    """The nearest of ascending times, the earlier on a tie, by halving."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    if len(times) == 1:
+        return stamp(times[0])
+    sums = F.array(*[us(stamp(a)) + us(stamp(b)) for a, b in zip(times, times[1:])])  # twice the middles
+    n, twice = len(times) - 1, 2 * us(t)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    past = F.aggregate(steps, F.lit(0), lambda i, step: F.when((i + step <= n) & (F.get(sums, i + step - 1) < twice), i + step).otherwise(i))
+    return F.get(F.array(*map(stamp, times)), past)
+
+
 def nodes(samples: DataFrame, times: list[str], levels: list[float], per_time: bool, per_level: bool) -> DataFrame:
     """(path, n, lon, lat, z, t, time, level) of samples on a collection's axes of times (ascending) and levels.
 
@@ -99,7 +113,7 @@ def nodes(samples: DataFrame, times: list[str], levels: list[float], per_time: b
     fail = lambda what, kind: F.raise_error(F.concat(F.lit(f"{what} outside of the axis on path "), F.col("path").cast("string"))).cast(kind)
     if per_time:
         t = F.col("t").cast("timestamp_ntz")
-        time = F.when((t >= stamp(times[0])) & (t <= stamp(times[-1])), _nearest(times, t, stamp, lambda c: F.unix_micros(c.cast("timestamp")))).otherwise(fail("time", "timestamp_ntz"))
+        time = F.when((t >= stamp(times[0])) & (t <= stamp(times[-1])), _nearest_time(times, t, stamp)).otherwise(fail("time", "timestamp_ntz"))
     else:
         time = F.explode(F.array(*map(stamp, times)))
     out = samples.withColumn("time", time)
@@ -112,17 +126,13 @@ def nodes(samples: DataFrame, times: list[str], levels: list[float], per_time: b
 
 
 def sampled(points: DataFrame, cells: DataFrame, keys: list[str], west: float, north: float, dx: float, dy: float) -> DataFrame:
-    """points with value: bilinear between cell centres of the cells with equal keys, each distinct place and key once.
+    """points with value: bilinear between cell centres of the cells with equal keys.
 
-    As in grids.position, a place without all four corners takes the heaviest one present, and a place without any a null. A grid
-    begins at its north-western corner; columns of points but lon, lat and keys pass.
+    By the rule of grids.in_square; a place without any corner has a null. A grid begins at its north-western corner; columns of points but lon,
+    lat and keys pass.
     """
     x, y = (F.col("lon") - west) / dx - 0.5, (north - F.col("lat")) / dy - 0.5
-    own = points.select(*keys, "lon", "lat").distinct().withColumns({"x": x, "y": y})
-    fx, fy = F.col("x") - F.floor("x"), F.col("y") - F.floor("y")
-    corner = lambda n, dr, dc, w: F.struct(F.lit(n).alias("corner"), (F.floor("y") + dr).cast("int").alias("row_idx"), (F.floor("x") + dc).cast("int").alias("col_idx"), w.alias("w"))
-    asked = own.withColumn("c", F.explode(F.array(corner(0, 0, 0, (1 - fx) * (1 - fy)), corner(1, 0, 1, fx * (1 - fy)), corner(2, 1, 0, (1 - fx) * fy), corner(3, 1, 1, fx * fy)))).select(*keys, "lon", "lat", "c.*")
-    met = asked.join(cells.filter("value is not null").select(*keys, "row_idx", "col_idx", "value"), [*keys, "row_idx", "col_idx"]).groupBy(*keys, "lon", "lat")
-    share = [F.max(F.when(F.col("corner") == k, F.col("w") * F.col("value"))) for k in range(4)]
-    values = met.agg(F.coalesce(share[0] + share[1] + share[2] + share[3], F.max_by("value", F.struct("w", F.negative("corner")))).alias("value"))
-    return points.join(values, [*keys, "lon", "lat"], "left")
+    at = points.select("*", F.floor(y).cast("int").alias("_row"), F.floor(x).cast("int").alias("_col"), *grids.weights(x, y))
+    squares = grids.squares(cells.select(*keys, "row_idx", "col_idx", "value"), keys).withColumnsRenamed({"row_idx": "_row", "col_idx": "_col"})
+    found = at.join(squares, [*keys, "_row", "_col"], "left").withColumn("value", grids.in_square())
+    return found.select(*keys, *[c for c in points.columns if c not in keys], "value")
