@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from envspark.operators.grids import dealt
+
 NOTIFICATION = """type string, id string, conformsTo array<string>, version string, properties map<string, string>,
  links array<struct<rel string, href string>>"""
 COLLECTION = "type string, features array<struct<id string, geometry struct<type string, coordinates string>, properties map<string, string>>>"
@@ -158,7 +160,8 @@ def alerts(documents: DataFrame) -> DataFrame:
 
     The window begins at onset, else at effective, else at sent. Documents without an identifier, sender or valid sent time are left out.
     """
-    a = documents.select(F.from_xml("value", ALERT).alias("a")).select("a.*").withColumn("sent", moment(F.col("sent")))
+    # texts are dealt over all tasks; the generator keeps filters on the parts from reading a text again for each
+    a = dealt(documents.select("value")).select(F.explode(F.array(F.from_xml("value", ALERT))).alias("a")).select("a.*").withColumn("sent", moment(F.col("sent")))
     a = a.filter(F.col("identifier").isNotNull() & F.col("sender").isNotNull() & F.col("sent").isNotNull())
     i = a.select("sender", "identifier", "sent", "status", "msgType", "references", F.posexplode("info").alias("info", "i"))
     out = i.select("*", F.posexplode("i.area").alias("area", "r"))
