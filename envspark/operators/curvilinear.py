@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from envspark.operators.grids import dealt
+
 #: How far off its nearest node a point may lie (in that node's spacing), how many nodes past the outer ones a place may lie,
 #: how far out of a cell a point still counts as in it, and the least cosine between a point and a corner.
 REACH, MARGIN, IN_CELL, LEAST_COSINE = 3.0, 2.0, 1e-9, 0.5
@@ -105,9 +107,9 @@ def locate(points: DataFrame, grid: DataFrame, n_col: int, n_row: int) -> DataFr
     bulge = 0.75 * wide * wide + 1e-9  # a cell bends out of the box of its corners by less than a quarter of its squared diagonal
     ok = ~F.isnan("lon") & ~F.isnan("lat") & (F.abs("lon") < float("inf")) & (F.abs("lat") <= 90)
     p = _unit(F.col("lon"), F.col("lat"))
-    at = points.filter(ok).select("id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    at = dealt(points.filter(ok)).select("id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
     at = at.withColumns({b: F.floor(v / size) for b, v in zip(("bx", "by", "bz"), p)})
-    near = at.join(_listed(cells, [a - bulge for a in low], [b + bulge for b in high], size), ["bx", "by", "bz"]).withColumn("in", _placed(F.col("lon"), F.col("lat")))
+    near = at.join(_listed(cells, [a - bulge for a in low], [b + bulge for b in high], size), ["bx", "by", "bz"]).withColumn("in", F.explode(F.array(_placed(F.col("lon"), F.col("lat")))))  # a generator, so that no filter works it out again
     held = near.filter(F.col("in.off") <= 0.5 + IN_CELL).groupBy("id").agg(F.min(F.struct("row", "col", F.col("in.s").alias("s"), F.col("in.t").alias("t"))).alias("c"))
     inside = held.select("id", (F.col("c.col") + F.col("c.s")).alias("col"), (F.col("c.row") + F.col("c.t")).alias("row"))
 
@@ -124,7 +126,7 @@ def locate(points: DataFrame, grid: DataFrame, n_col: int, n_row: int) -> DataFr
     nearest = rest.join(around_edge, ["bx", "by", "bz"]).withColumn("d", apart(mine, p))
     nearest = nearest.groupBy("id", "lon", "lat").agg(F.min(F.struct("d", "row", "col", "reach")).alias("n")).filter("n.d <= n.reach")
     beside = nearest.select("id", "lon", "lat", F.explode(F.array(*[F.struct((F.col("n.col") - i).alias("col"), (F.col("n.row") - j).alias("row")) for i, j in _CORNERS])).alias("c")).select("id", "lon", "lat", "c.*")
-    tried = beside.join(cells, ["col", "row"]).withColumn("in", _placed(F.col("lon"), F.col("lat")))
+    tried = beside.join(cells, ["col", "row"]).withColumn("in", F.explode(F.array(_placed(F.col("lon"), F.col("lat")))))  # a generator, so that no filter works it out again
 
     def may(axis: str, share: str, n: int) -> Column:
         over = F.col(f"in.{share}")
