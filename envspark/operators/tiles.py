@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envspark.functions import geo
+from envspark.operators.grids import dealt
 
 #: Units across a tile, and how far past its border geometry reaches, as a share of the tile.
 EXTENT, BUFFER = 4096, 1 / 16
@@ -64,7 +65,7 @@ def tile_polygons(features: DataFrame, keys: list[str], zoom: int) -> DataFrame:
     Points are in units of the tile, y down; rings are closed, the outer one (the first) clockwise to the eye, holes the other way. A tile that
     the outer ring doesn't reach has no row, nor has a polygon without an outer ring or with a null or NaN in it; holes of fewer than three
     points go. Parts of a feature are rows told apart by a key. A polygon is cut into strips before strips are cut into tiles, so that none
-    is copied whole to every tile.
+    is copied whole to every tile. Strips come out of generators, so that a filter on one doesn't cut it again.
     """
 
     def opened(ring: Column) -> Column:
@@ -73,13 +74,13 @@ def tile_polygons(features: DataFrame, keys: list[str], zoom: int) -> DataFrame:
 
     place = lambda p: F.struct(*[v.alias(c) for c, v in zip("xy", _unrolled(p.x.cast("double"), p.y.cast("double"), zoom))])
     sound = F.forall("rings", lambda r: r.isNotNull() & F.forall(r, lambda p: p.x.isNotNull() & p.y.isNotNull() & ~F.isnan(p.x.cast("double")) & ~F.isnan(p.y.cast("double")))) & (F.size("rings") > 0)
-    at = features.filter(sound).filter(F.size(F.get("rings", F.lit(0))) > 0).select(*keys, F.filter("rings", lambda r: F.size(r) > 0).alias("rings"))
+    at = dealt(features).filter(sound).filter(F.size(F.get("rings", F.lit(0))) > 0).select(*keys, F.filter("rings", lambda r: F.size(r) > 0).alias("rings"))
     at = at.withColumn("rings", F.transform("rings", lambda r: F.transform(_once(r, opened), place)))
     ends = lambda axis: (F.array_min(F.transform(F.col("rings")[0], lambda p: p[axis])), F.array_max(F.transform(F.col("rings")[0], lambda p: p[axis])))
     columns = at.withColumn("tile_x", F.explode(_reached(*ends("x"), zoom)))
-    columns = columns.withColumn("rings", _strip(F.col("rings"), "x", F.col("tile_x").cast("double"))).filter(F.size(F.col("rings")[0]) > 0)
+    columns = columns.withColumn("rings", F.explode(F.array(_strip(F.col("rings"), "x", F.col("tile_x").cast("double"))))).filter(F.size(F.col("rings")[0]) > 0)
     tiles = columns.withColumn("tile_y", F.explode(_reached(*ends("y"), zoom)))
-    tiles = tiles.withColumn("rings", _strip(F.col("rings"), "y", F.col("tile_y").cast("double"))).filter(F.size(F.col("rings")[0]) >= 3)
+    tiles = tiles.withColumn("rings", F.explode(F.array(_strip(F.col("rings"), "y", F.col("tile_y").cast("double"))))).filter(F.size(F.col("rings")[0]) >= 3)
 
     def finished(ring: Column, number: Column) -> Column:
         local = F.transform(ring, lambda p: F.struct(((p.x - F.col("tile_x")) * EXTENT).alias("x"), ((p.y - F.col("tile_y")) * EXTENT).alias("y")))
