@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -97,7 +100,7 @@ def obs_fingerprint(obs: DataFrame) -> DataFrame:
     return obs.groupBy("parameter").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
 
 
-def _cover(tiers: list[tuple[list[tuple[int, int]], bool]], now: int, room: int) -> list[int]:
+def _cover(tiers: list[tuple[Iterable[tuple[int, int]], bool]], now: int, room: int) -> list[int]:
     """Of each tier's (onset, earliest end), latest onset first, the onsets that put an instant into every window, while there is room."""
     kept: list[int] = []
     for windows, all_fit in tiers:
@@ -113,6 +116,22 @@ def _cover(tiers: list[tuple[list[tuple[int, int]], bool]], now: int, room: int)
     return kept
 
 
+def _instants(mine: pa.Table, now: int, room: int) -> list[int]:
+    """The onsets that _cover keeps of windows (ended, severity, onset, e), of which there may be millions: only columns of numbers are held."""
+    ended, severity, onset, end = (mine.column(c).to_numpy() for c in ("ended", "severity", "onset", "e"))
+
+    def latest_first(of: np.ndarray) -> Iterator[tuple[int, int]]:
+        rows = of[np.lexsort((end[of], -onset[of]))]
+        rows = rows[np.concatenate([[True], onset[rows][1:] != onset[rows][:-1]])] if len(rows) else rows  # an onset's earliest end
+        for i in range(0, len(rows), 65536):
+            part = rows[i : i + 65536]
+            yield from zip(onset[part].tolist(), end[part].tolist())
+
+    tiers = sorted((e, -s) for e in (False, True) for s in np.unique(severity[ended == e]).tolist())
+    ordered = [(latest_first(np.arange(len(onset))), True)] + [(latest_first(np.flatnonzero((ended == e) & (severity == -s))), False) for e, s in tiers]
+    return _cover(ordered, now, room)
+
+
 def alert_times(alerts: DataFrame, now: Column, limit: int = 256) -> DataFrame:
     """(time): the instants to offer of alerts (start, end, severity; open ends are null): now, and every boundary up to seven days ahead.
 
@@ -128,19 +147,12 @@ def alert_times(alerts: DataFrame, now: Column, limit: int = 256) -> DataFrame:
     onset, end = seconds(F.coalesce("start", "end")), F.coalesce(seconds(F.col("end")), F.lit(1 << 62))
     w = alerts.filter("coalesce(start, end) is not null and coalesce(start <= end, true)").select(onset.alias("onset"), seconds(F.col("start")).alias("s"), end.alias("e"), F.coalesce("severity", F.lit(0)).alias("severity"))
     w = w.filter((F.col("onset") <= horizon) & ~(F.coalesce(F.col("s") <= at, F.lit(True)) & (at <= F.col("e"))))
-    w = w.groupBy((F.col("e") < at).alias("ended"), "severity", "onset").agg(F.min("e").alias("e")).crossJoin(F.broadcast(alerts.sparkSession.range(1).select(at.alias("now"))))
+    w = w.groupBy((F.col("e") < at).alias("ended"), "severity", "onset").agg(F.min("e").alias("e"))
 
     def run(mine: pa.Table) -> pa.Table:
-        rows = mine.to_pylist()
-        now_s = rows[0]["now"] if rows else 0
-        ends: dict[int, int] = {}
-        tiers: dict[tuple, list[tuple[int, int]]] = {}
-        for r in rows:
-            ends[r["onset"]] = min(ends.get(r["onset"], r["e"]), r["e"])
-            tiers.setdefault((r["ended"], -r["severity"]), []).append((r["onset"], r["e"]))
-        ordered = [(sorted(ends.items(), reverse=True), True)] + [(sorted(tiers[k], reverse=True), False) for k in sorted(tiers)]
-        return pa.table({"t": pa.array(_cover(ordered, now_s, limit - 1), pa.int64())})
+        return pa.table({"t": pa.array(_instants(mine, now_s, limit - 1), pa.int64())})
 
+    now_s = alerts.sparkSession.range(1).select(at).first()[0]
     cover = w.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "t long")
     first = F.when(F.col("t") == at, 0).when(F.col("c").isNotNull(), 1).otherwise(2)
     ranked = bounds.join(F.broadcast(cover.select("t", F.lit(1).alias("c"))), "t", "left").select("t", first.alias("k"), F.abs(F.col("t") - at).alias("gap"))
