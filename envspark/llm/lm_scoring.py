@@ -25,15 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import END, chunks, coded, decoded, mix, partitions, saved, span_hashes, utf8, word_stream
+from envspark.llm.common import END, chunks, coded, decoded, mix, partitions, prefix_sums, run_hashes, saved, trim, utf8, word_stream
 
 #: Symbols of the tree (the last is an escape to a plain byte), and rows of a dense table that log10_probability() is given.
 SYMBOLS, CONTEXTS = 64, 1 << 18
 PREDICTORS = 3
 #: Stands for the words among the predictors.
 WORDS = PREDICTORS
-#: Bytes of text of the documents that ask for rows together, of those worked on at once, and of those a block of contexts.
-GROUP, PART, BLOCK = 1 << 24, 1 << 20, 1 << 25
+#: Bytes of text of the documents that ask for rows together, of those worked on at once, of those scored at once, and of those a
+#: block of contexts.
+GROUP, PART, SIDE_BY_SIDE, BLOCK = 1 << 24, 1 << 20, 1 << 19, 1 << 25
 #: Decisions between two refinements of a document's weights and map: the least, and the most (a quarter of those before, between).
 STRETCH, LONGEST = 128, 4096
 #: Step widths of a document's weights and of its map a decision.
@@ -80,33 +81,50 @@ class Tree:
         under(n - 1, [])
         self.length = np.array([len(c) for c in codes])
         self.start = np.r_[0, np.cumsum(self.length)]
-        self.node = np.array([x for c in codes for x, _ in c], dtype=np.uint32)
-        self.bit = np.array([y for c in codes for _, y in c], dtype=np.float32)
+        self.node = np.array([x for c in codes for x, _ in c], dtype=np.int64)
+        self.bit = np.array([y for c in codes for _, y in c], dtype=np.int8)
         self.length = self.length.astype(np.int64)
 
 
-def _contexts(stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-    """The 48-bit context of each predictor at each byte; contexts begin anew in each document."""
-    n = len(stream)
-    prev = np.zeros((5, n), dtype=np.uint32)
-    for k in range(1, 5):
-        prev[k, k:] = stream[:-k]
-        for j in range(k):
-            at = begin[:-1] + j
-            prev[k, at[at < begin[1:]]] = END
-    space = np.flatnonzero((stream == 32) | (stream == END))
-    starts = np.r_[0, space[:-1] + 1]
-    ends = space + 1
-    # hash of the word so far: prefix sums of a polynomial, from the word's start
+def _hashed(raw: np.ndarray) -> np.ndarray:
+    """48 bits of a product; numbers of up to 32 bits stay different."""
+    raw = raw.astype(np.uint64)
+    return (raw ^ raw >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+
+
+def _last_four(stream: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The four bytes before each byte, the last one lowest; end marks before a document's first byte."""
+    before = np.r_[np.full(4, END, np.uint8), stream]
+    out = np.ndarray(len(stream), ">u4", before, strides=(1,)).astype(np.uint32)
+    for j in range(4):
+        at = begin[:-1] + j
+        at = at[at < begin[1:]]
+        own = (1 << 8 * j) - 1
+        out[at] = out[at] & np.uint32(own) | np.uint32(END * 0x01010101 & ~own)
+    return out
+
+
+def _spans(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word with the space or end mark behind it."""
+    ends = np.flatnonzero((stream == 32) | (stream == END)) + 1
+    return np.r_[0, ends[:-1]], ends
+
+
+def _so_far(stream: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 48-bit context of the word so far at each byte of spans that follow each other."""
+    # prefix sums of a polynomial, from the word's start
     powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(255, np.uint64(0x9E3779B97F4A7C15), dtype=np.uint64)])
+    n = len(stream)
     offset = np.arange(n) - np.repeat(starts, ends - starts)
     part = (stream.astype(np.uint64) + np.uint64(1)) * powers[offset & 255]
     total = np.r_[np.uint64(0), np.cumsum(part, dtype=np.uint64)]
-    word = total[:n] - np.repeat(total[starts], ends - starts)
-    o2 = prev[1] | prev[2] << 8
-    o4 = o2 | prev[3] << 16 | prev[4] << 24
-    out = [o2.astype(np.uint64), o4.astype(np.uint64), word + np.minimum(offset, 255).astype(np.uint64)]
-    return [mix(c + np.uint64(k << 60)) >> np.uint64(16) for k, c in enumerate(out)]
+    return mix(total[:n] - np.repeat(total[starts], ends - starts) + np.minimum(offset, 255).astype(np.uint64)) >> np.uint64(16)
+
+
+def _contexts(stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """The 48-bit context of each predictor at each byte; contexts begin anew in each document."""
+    four = _last_four(stream, begin)
+    return [_hashed(four & np.uint32(0xFFFF)), _hashed(four), _so_far(stream, *_spans(stream))]
 
 
 # ---------------------------------------------------------------- learning
@@ -182,6 +200,7 @@ def _groups(rows: DataFrame) -> DataFrame:
                     yield done()
         if held:
             yield done()
+        trim()
 
     packed = rows.mapInArrow(pack, f"{_PACKED}, bytes binary")
     return saved(packed.select(F.monotonically_increasing_id().alias("grp"), "*"))
@@ -202,13 +221,71 @@ def _picked(offsets: np.ndarray, data: np.ndarray, rows: np.ndarray) -> tuple[np
     return np.concatenate([data[offsets[r] : offsets[r + 1]] for r in rows]), np.r_[0, np.cumsum(np.diff(offsets)[rows])]
 
 
-def _words(stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of the streams, and of each stream its number of words."""
-    ends = np.flatnonzero((stream == 32) | (stream == END))
-    starts = np.r_[0, ends[:-1] + 1]
-    whole = ends > starts  # an empty text is an end mark alone
-    starts, ends = starts[whole], ends[whole]
-    return span_hashes(stream, starts, ends), np.diff(np.searchsorted(starts, begin))
+def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after the other, and where each begins (one more at the end)."""
+    n = ends - starts
+    begin = np.r_[0, np.cumsum(n)]
+    return data[np.repeat(starts - begin[:-1], n) + np.arange(begin[-1])], begin
+
+
+class Units:
+    """Distinct words with the mark behind them: all that the word so far and the base need of a text, each once.
+
+    Words are told apart by 64-bit hashes; spans has the number of each span's unit, in order.
+    """
+
+    def __init__(self, stream: np.ndarray, begin: np.ndarray):
+        starts, ends = _spans(stream)
+        self.a_row = np.diff(np.searchsorted(ends, begin, side="right"))
+        self.length = ends - starts
+        total = prefix_sums(stream)
+        self.hash, self.spans = _numbered(run_hashes(total, starts, ends))
+        first = np.empty(len(self.hash), dtype=np.int64)
+        first[self.spans] = np.arange(len(starts))
+        self.starts, self.ends = starts[first], ends[first]
+        self.word = np.where(self.ends - self.starts > 1, run_hashes(total, self.starts, self.ends - 1), np.uint64(0))  # 0: an end mark alone
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of (hashes, words, text, sizes) of units: those of the distinct units in order of their hashes, and of each one given its number."""
+    hashes, words, text, sizes = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    hashes, kept, number = _distinct(hashes, 64)
+    ends = np.cumsum(sizes)
+    text, begin = _gathered(text, (ends - sizes)[kept], ends[kept])
+    return hashes, words[kept], text, begin, number
+
+
+def _distinct(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of width bits in order, a place of each, and of each element its number among them.
+
+    Sorting is some times faster than argsort(): leading bits are sorted with their places behind them.
+    """
+    bits = len(x).bit_length()
+    cut = np.uint64(max(width + bits - 64, 0))
+    order = (np.sort((x >> cut) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    y = x[order]
+    if (y[1:] < y[:-1]).any():  # the bits cut off count
+        order = np.argsort(x)
+        y = x[order]
+    new = np.r_[True, y[1:] != y[:-1]][: len(y)]
+    number = np.empty(len(y), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return y[new], order[new], number
+
+
+def _summed(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells, of up to 56 bits, in order, and the sum of the numbers of each."""
+    if not len(cells):
+        return cells, n
+    n = n.astype(np.int64)
+    low = n & 255
+    both = np.sort(cells << np.uint64(8) | low.astype(np.uint64))  # small numbers are sorted behind their cells
+    sorted_ = both >> np.uint64(8)
+    new = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    sums = np.add.reduceat((both & np.uint64(255)).astype(np.int64), new)
+    large = np.flatnonzero(n > 255)
+    np.add.at(sums, np.searchsorted(sorted_[new], cells[large]), n[large] - low[large])
+    return sorted_[new], sums
 
 
 def _packed(n: np.ndarray, tree: Tree) -> np.ndarray:
@@ -223,10 +300,29 @@ def _packed(n: np.ndarray, tree: Tree) -> np.ndarray:
     return out
 
 
-def _kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and of each row its number among them."""
+def _rows_from(at: np.ndarray, symbol: np.ndarray, n: np.ndarray, keys: int, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct packed rows of keys, and of each key its number among them. Counts come in order of at, their key, and symbol.
+
+    Most keys share their counts with others, so that counts are told apart by 64-bit hashes and only different ones are packed.
+    """
+    if len(at):  # counts of one key and symbol may be several
+        new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (symbol[1:] != symbol[:-1])])
+        at, symbol, n = at[new], symbol[new], np.add.reduceat(n, new)
+    total = np.r_[np.uint64(0), np.cumsum(mix(mix(symbol.astype(np.uint64) + np.uint64(1)) + n.astype(np.uint64)), dtype=np.uint64)]
+    edge = np.searchsorted(at, np.arange(keys + 1))
+    same, kind = _numbered(total[edge[1:]] - total[edge[:-1]])
+    first = np.empty(len(same), dtype=np.int64)
+    first[kind] = np.arange(keys)
+    rows = np.empty((len(same), SYMBOLS), dtype=np.uint8)
+    for x in range(0, len(same), 1 << 15):
+        own = first[x : x + (1 << 15)]
+        size = edge[own + 1] - edge[own]
+        entry = np.repeat(edge[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(np.arange(len(own)) * SYMBOLS, size) + symbol[entry]
+        rows[x : x + len(own)] = _packed(np.bincount(cell, n[entry], minlength=len(own) * SYMBOLS).reshape(-1, SYMBOLS), tree)
     coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SYMBOLS), len(rows), [None, pa.py_buffer(rows)]).dictionary_encode()
-    return np.frombuffer(coded.dictionary.buffers()[1], np.uint8)[: len(coded.dictionary) * SYMBOLS].reshape(-1, SYMBOLS), coded.indices.to_numpy()
+    rows = np.frombuffer(coded.dictionary.buffers()[1], np.uint8)[: len(coded.dictionary) * SYMBOLS].reshape(-1, SYMBOLS)
+    return rows, coded.indices.to_numpy(zero_copy_only=False)[kind]
 
 
 def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
@@ -240,19 +336,34 @@ def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
             for row in batch.to_pylist():
                 _, folds, offsets, data = _unpack(row)
                 folds = folds & 3
-                found: list[list] = [[] for _ in range(PREDICTORS)]
-                words = []
+                four, units, counts = [], [], []
                 for a, b, stream, begin in _streams(offsets, data, PART):
-                    hashes, n = _words(stream, begin)
-                    words.append((hashes, np.repeat(folds[a:b] > 0, n)))
+                    u = Units(stream, begin)
+                    counts.append(np.bincount(u.spans * 4 + np.repeat(folds[a:b], u.a_row), minlength=4 * len(u.hash)).reshape(-1, 4))
+                    text, _ = _gathered(stream, u.starts, u.ends)
+                    units.append((u.hash, u.word, text, u.ends - u.starts))
                     code = tree.symbol[stream].astype(np.uint64) << np.uint64(2) | np.repeat(folds[a:b], np.diff(begin))
-                    for k, context in enumerate(_contexts(stream, begin)):
-                        cells, index = _numbered(context << np.uint64(8) | code)
-                        found[k].append((cells, np.bincount(index)))
-                for k, parts in enumerate(found):
-                    cells, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
-                    cells, index = np.unique(cells, return_inverse=True)
-                    n = np.bincount(index, n).astype(np.uint32)
+                    cells, index = _numbered(_last_four(stream, begin).astype(np.uint64) << np.uint64(8) | code)
+                    four.append((cells, np.bincount(index)))
+                cells, n = _summed(*(np.concatenate([p[i] for p in four]) for i in range(2)))
+                raw, code = cells >> np.uint64(8), cells & np.uint64(255)
+                found = [_summed(_hashed(x) << np.uint64(8) | code, n) for x in (raw & np.uint64(0xFFFF), raw)]
+                _, words, text, first, number = _merged(units)
+                owned = np.concatenate(counts)
+                count = np.stack([np.bincount(number, owned[:, f], minlength=len(words)) for f in range(3)], axis=1).astype(np.int64)
+                del four, units, counts, owned, number, cells, raw, code, n
+                parts = []
+                for a, b in chunks(first, PART):
+                    own, begin = text[first[a] : first[b]], first[a : b + 1] - first[a]
+                    code = _so_far(own, begin[:-1], begin[1:]) << np.uint64(8) | tree.symbol[own].astype(np.uint64) << np.uint64(2)
+                    for f in range(3):
+                        n = np.repeat(count[a:b, f], np.diff(begin))
+                        held = np.flatnonzero(n)
+                        parts.append(_summed(code[held] | np.uint64(f), n[held]))
+                found.append(_summed(*(np.concatenate([p[i] for p in parts]) for i in range(2))))
+                del parts
+                for k, (cells, n) in enumerate(found):
+                    n = n.astype(np.uint32)
                     keys = cells >> np.uint64(8)
                     new = np.r_[True, keys[1:] != keys[:-1]]
                     keys, at, code = keys[new], np.cumsum(new) - 1, cells.astype(np.uint8)
@@ -268,19 +379,22 @@ def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
                         own, e = slice(cut[x], cut[x + 1]), slice(held[x], held[x + 1])
                         values = [coded(keys[own], 6), tuned[own].tobytes(), coded((at[e] - cut[x]).astype(np.uint64), 4), zstandard.compress(code[e].tobytes(), 1), _planes(n[e])]
                         yield _row("block grp keys tuned at code n", [k * blocks + int(x), row["grp"], *values])
-                keys, index = np.unique(np.concatenate([w[0] for w in words]), return_inverse=True)
-                n = np.bincount(index, np.concatenate([w[1] for w in words]), minlength=len(keys)).astype(np.uint32)
+                keys, _, number = _distinct(words, 64)
+                n = np.bincount(number, count[:, 1:].sum(axis=1))
+                keys, n = keys[keys > 0], n[keys > 0].astype(np.uint32)
                 cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32), np.arange(blocks + 1, dtype=np.uint64))
                 for x in np.flatnonzero(np.diff(cut)):
-                    own = slice(cut[x], cut[x + 1])
-                    yield _row("block grp keys tuned at code n", [WORDS * blocks + int(x), row["grp"], keys[own].tobytes(), b"", b"", b"", _planes(n[own])])
+                    own = slice(int(cut[x]), int(cut[x + 1]))
+                    yield _row("block grp keys tuned at code n", [WORDS * blocks + int(x), row["grp"], coded(keys[own], 8), b"", b"", b"", _planes(n[own])])
+
+        trim()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
 
         def counted() -> Iterator[pa.RecordBatch]:
             sizes = np.cumsum([0] + [len(p[1]) for p in parts])
-            keys, index = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+            keys, _, index = _distinct(np.concatenate([p[1] for p in parts]), 64)
             count = np.bincount(index, np.concatenate([p[3] for p in parts]), minlength=len(keys)).astype(np.int64)
             facts = [int((count > 0).sum()), int(count.sum())]
             for i, (grp, own, *_) in enumerate(parts):
@@ -292,20 +406,17 @@ def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
                 yield from counted()
                 return
             sizes = np.cumsum([0] + [len(p[1]) for p in parts])
-            keys, index = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+            keys, _, index = _distinct(np.concatenate([p[1] for p in parts]), 48)
             at = np.concatenate([index[sizes[i] + p[3]] for i, p in enumerate(parts)])
             code, n = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
-            order = np.argsort(at, kind="stable")
-            at, code, n = at[order], code[order].astype(np.int64), n[order]
-            whole, less = (np.empty((len(keys), SYMBOLS), dtype=np.uint8) for _ in range(2))
-            for x in range(0, len(keys), 1 << 15):
-                y = min(x + (1 << 15), len(keys))
-                own = slice(*np.searchsorted(at, [x, y]))
-                cell = (at[own] - x) * SYMBOLS + (code[own] >> 2)
-                main = np.bincount(cell, n[own] * (code[own] & 3 == 1), minlength=(y - x) * SYMBOLS).reshape(-1, SYMBOLS)
-                less[x:y] = _packed(main, tree)
-                whole[x:y] = _packed(np.bincount(cell, n[own], minlength=(y - x) * SYMBOLS).reshape(-1, SYMBOLS), tree)
-            (whole, kind), (less, kind_less) = _kinds(whole), _kinds(less)
+            at, n = _summed(at.astype(np.uint64) << np.uint64(8) | code, n.astype(np.int64))
+            at, code = (at >> np.uint64(8)).astype(np.int64), (at & np.uint64(255)).astype(np.int64)
+            mark = np.zeros(len(keys), dtype=bool)  # asked by tuning rows
+            for i, p in enumerate(parts):
+                mark[index[sizes[i] : sizes[i + 1]][p[2]]] = True
+            whole, kind = _rows_from(at, code >> 2, n, len(keys), tree)
+            main = (code & 3 == 1) & mark[at]
+            less, kind_less = _rows_from(at[main], code[main] >> 2, n[main], len(keys), tree)
             for i, (grp, own, tuned, *_) in enumerate(parts):
                 mine = index[sizes[i] : sizes[i + 1]]
                 for tuning in (False, True) if tuned.any() else (False,):
@@ -319,12 +430,14 @@ def _answers(groups: DataFrame, tree: Tree, blocks: int) -> DataFrame:
                     parts = []
                 current = row["block"]
                 if current // blocks == WORDS:
-                    parts.append((row["grp"], np.frombuffer(row["keys"], np.uint64), None, _numbers(row["n"])))
+                    parts.append((row["grp"], decoded(row["keys"], 8), None, _numbers(row["n"])))
                     continue
                 entries = [decoded(row["at"], 4).astype(np.int64), np.frombuffer(zstandard.decompress(row["code"]), np.uint8), _numbers(row["n"])]
                 parts.append((row["grp"], decoded(row["keys"], 6), np.frombuffer(row["tuned"], bool), *entries))
         if parts:
             yield from done()
+        parts.clear()
+        trim()
 
     names = "grp block tuning kind rows words tokens"
     asked = groups.select("grp", "ids", "folds", "offsets", "text").mapInArrow(ask, "block long, grp long, keys binary, tuned binary, at binary, code binary, n binary")
@@ -342,12 +455,20 @@ class Rows:
 
     def __init__(self, answers: list[dict], blocks: int, offsets: np.ndarray, data: np.ndarray):
         answers = sorted(answers, key=lambda r: r["block"])
-        seen: list[list] = [[] for _ in range(PREDICTORS + 1)]
+        four, units = [np.zeros(0, np.uint32)], []
         for _, _, stream, begin in _streams(offsets, data, PART):
-            for k, x in enumerate([*_contexts(stream, begin), _words(stream, begin)[0]]):
-                seen[k].append(pa.array(x).unique().to_numpy(zero_copy_only=False))
-        self.keys = [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in seen]
-        self.words = self.keys.pop()
+            four.append(pa.array(_last_four(stream, begin)).unique().to_numpy(zero_copy_only=False))
+            u = Units(stream, begin)
+            units.append((u.hash, u.word, _gathered(stream, u.starts, u.ends)[0], u.ends - u.starts))
+        self.four = np.unique(np.concatenate(four))
+        two = np.unique(self.four & np.uint32(0xFFFF))
+        keys = [_hashed(two), _hashed(self.four)]
+        order = [np.argsort(k) for k in keys]
+        none = np.zeros(0, np.uint64)
+        self.units, words, text, self.first, _ = _merged(units) if units else (none, none, np.zeros(0, np.uint8), np.zeros(1, np.int64), None)
+        so_far = [_so_far(text[self.first[a] : self.first[b]], self.first[a:b] - self.first[a], self.first[a + 1 : b + 1] - self.first[a]) for a, b in chunks(self.first, PART)]
+        so_far, _, inverse = _distinct(np.concatenate([none, *so_far]), 48)
+        self.keys = [*(k[o] for k, o in zip(keys, order)), so_far]
         self.kind, self.table = [], []
         for k in range(PREDICTORS):
             kinds, tables, n = [np.zeros(0, np.uint32)], [np.zeros((0, SYMBOLS), np.uint8)], 0
@@ -360,21 +481,36 @@ class Rows:
             self.kind.append(np.concatenate(kinds))
             self.table.append(np.concatenate(tables).ravel())
         counts = [np.frombuffer(zstandard.decompress(r["kind"]), np.int64) for r in answers if r["block"] // blocks == WORDS]
-        self.counts = np.concatenate([np.zeros(0, np.int64), *counts])
-
-    def base(self, stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.counts = np.zeros(len(words), np.int64)  # of each unit's word; tuning rows have none
+        if counts:
+            self.counts[words > 0] = np.concatenate(counts)[np.searchsorted(np.unique(words[words > 0]), words[words > 0])]
+        self.empty = words == 0
+        # slots of contexts as they are, before hashing; those of all bytes of all units
+        self.slot_two, self.slot_four = np.zeros(1 << 16, np.uint32), np.empty(len(self.four), np.uint32)
+        self.slot_two[two[order[0]]] = self.kind[0]
+        self.slot_four[order[1]] = self.kind[1]
+        self.slot_word = self.kind[2][inverse]
+
+    def read(self, stream: np.ndarray, begin: np.ndarray) -> tuple[Units, np.ndarray]:
+        """The units of streams, and the number of each among those of all."""
+        units = Units(stream, begin)
+        return units, np.searchsorted(self.units, units.hash)
+
+    def base(self, units: Units, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each stream its number of words, of known ones, and the sum of log10(count + 1) over its words."""
-        hashes, n = _words(stream, begin)
-        count = self.counts[np.searchsorted(self.words, hashes)]
-        owner = np.repeat(np.arange(len(n)), n)
-        return n, np.bincount(owner, count > 0, minlength=len(n)).astype(np.int64), np.bincount(owner, np.log10(count + 1), minlength=len(n))
+        count, word = self.counts[number], ~self.empty[number]
+        owner = np.repeat(np.arange(len(units.a_row)), units.a_row)
+        sums = (np.bincount(owner, x[units.spans], minlength=len(units.a_row)) for x in (word, count > 0, np.log10(count + 1)))
+        n, known, logs = sums
+        return n.astype(np.int64), known.astype(np.int64), logs
 
-    def slots(self, stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for k, context in enumerate(_contexts(stream, begin)):
-            keys, index = _numbered(context)
-            out.append(self.kind[k][np.searchsorted(self.keys[k], keys)][index])
-        return out
+    def slots(self, stream: np.ndarray, begin: np.ndarray, units: Units, number: np.ndarray) -> list[np.ndarray]:
+        four, index = _numbered(_last_four(stream, begin))
+        at = np.searchsorted(self.four, four)
+        # a span's bytes have the slots of its unit's bytes
+        ends = np.cumsum(units.length)
+        place = np.repeat(self.first[number][units.spans] - ends + units.length, units.length) + np.arange(len(stream))
+        return [self.slot_two[four & np.uint32(0xFFFF)][index], self.slot_four[at][index], self.slot_word[place]]
 
 
 # ---------------------------------------------------------------- mixing
@@ -387,6 +523,12 @@ def _stretched(cells: np.ndarray) -> np.ndarray:
     return (cells & 31).astype(np.float32) * np.float32(0.5) - np.float32(7.5)
 
 
+#: Cost in nats and chance of a miss at stretched probabilities of -60 to 60 for the bit, in steps of 1/256.
+STEPS = 256
+_AT = np.arange(-60 * STEPS, 60 * STEPS + 1) / STEPS
+COST, MISS = np.logaddexp(0, -_AT), (1 / (1 + np.exp(_AT))).astype(np.float32)
+
+
 def start_weights() -> dict[str, np.ndarray]:
     return {"w": np.full((GATES, PREDICTORS), 0.4, dtype=np.float32), "map": np.zeros((GATES, 24), dtype=np.float32)}
 
@@ -398,15 +540,24 @@ def _dense(stream: np.ndarray, begin: np.ndarray, table: np.ndarray) -> list[np.
 
 
 def _decisions(stream: np.ndarray, begin: np.ndarray, slots: list[np.ndarray], tree: Tree, table) -> tuple:
-    """Of each decision: the predictors' bytes, gate and bit; of each row its first decision (one more at the end)."""
+    """Of each decision: the predictors' bytes and its bit; of each row its first decision (one more at the end)."""
     symbol = tree.symbol[stream]
     n = tree.length[symbol]
     last = np.cumsum(n)
-    code = np.arange(last[-1], dtype=np.int32) + np.repeat((tree.start[symbol] - last + n).astype(np.int32), n)
-    node, bit = tree.node[code], tree.bit[code]
-    cells = [table[k].take(np.repeat(slot.astype(np.int64) << 6, n) | node) for k, slot in enumerate(slots)]
-    gate = (cells[2] >> 5) << 3 | cells[1] >> 5
-    return cells, gate, bit, np.r_[0, last][begin]
+    owner = np.repeat(np.arange(len(n)), n)  # the byte of each decision
+    code = (tree.start[symbol] - last + n).take(owner)
+    code += np.arange(last[-1])
+    node, bit = tree.node.take(code), tree.bit.take(code)
+    cells = []
+    for k, slot in enumerate(slots):
+        place = (slot.astype(np.int64) << 6).take(owner)
+        place |= node
+        cells.append(table[k].take(place))
+    return cells, bit, np.r_[0, last][begin]
+
+
+def _gate(cells: list[np.ndarray]) -> np.ndarray:
+    return (cells[2] >> 5) << 3 | cells[1] >> 5
 
 
 def _refine(w: np.ndarray, st: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, rate: float) -> None:
@@ -422,21 +573,19 @@ def _tuned(data: np.ndarray, offsets: np.ndarray, tree: Tree, rows: Rows) -> dic
     """Of a group's tuning rows: weights of the mixer times decisions, by gate; ones and all decisions a cell of the map."""
     parts = []
     for _, _, stream, begin in _streams(offsets, data, PART):
-        cells, gate, bit, _ = _decisions(stream, begin, rows.slots(stream, begin), tree, rows.table)
-        parts.append(([_stretched(c) for c in cells], gate, bit))
+        cells, bit, _ = _decisions(stream, begin, rows.slots(stream, begin, *rows.read(stream, begin)), tree, rows.table)
+        parts += [([c[a : a + (1 << 15)] for c in cells], bit[a : a + (1 << 15)]) for a in range(0, len(bit), 1 << 15)]
     w = start_weights()["w"]
     for _ in range(2):
-        for st, gate, bit in parts:
-            for a in range(0, len(bit), 1 << 15):
-                part = slice(a, a + (1 << 15))
-                _refine(w, [s[part] for s in st], gate[part], bit[part], 0.3)
-    ones, all_ = np.zeros(GATES * 24), np.zeros(GATES * 24)
-    for st, gate, bit in parts:
-        dot = sum(np.ascontiguousarray(w[:, k]).take(gate) * s for k, s in enumerate(st))
-        cell = gate.astype(np.int64) * 24 + np.clip(np.rint(dot * 1.5), -12, 11).astype(np.int64) + 12
-        ones += np.bincount(cell, bit, minlength=GATES * 24)
-        all_ += np.bincount(cell, minlength=GATES * 24)
-    all_ = all_.reshape(GATES, 24)
+        for cells, bit in parts:
+            _refine(w, [_stretched(c) for c in cells], _gate(cells).astype(np.int64), bit, 0.3)
+    both = np.zeros(GATES * 48, dtype=np.int64)
+    for cells, bit in parts:
+        gate = _gate(cells).astype(np.int64)
+        dot = sum(np.ascontiguousarray(w[:, k]).take(gate) * _stretched(c) for k, c in enumerate(cells))
+        cell = gate * 24 + np.rint((dot * np.float32(1.5)).clip(-12, 11)).astype(np.int64) + 12
+        both += np.bincount(cell * 2 + bit, minlength=len(both))
+    ones, all_ = both[1::2].astype(float), both.reshape(GATES, 24, 2).sum(axis=2).astype(float)
     return {"w": w * all_.sum(axis=1, keepdims=True), "ones": ones.reshape(GATES, 24), "all": all_}
 
 
@@ -457,17 +606,18 @@ def _combined(tuned: Iterator[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 def log10_probability(data: np.ndarray, offsets: np.ndarray, tree: Tree, table: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the log10 probability of its stream and the stream's bytes; the table is dense or Rows."""
-    return _model(*word_stream(data, offsets), tree, table, p)
+    stream, begin = word_stream(data, offsets)
+    slots, table = (table.slots(stream, begin, *table.read(stream, begin)), table.table) if isinstance(table, Rows) else (_dense(stream, begin, table), table)
+    return _model(stream, begin, slots, tree, table, p)
 
 
-def _model(stream: np.ndarray, begin: np.ndarray, tree: Tree, table, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    slots, table = (table.slots(stream, begin), table.table) if isinstance(table, Rows) else (_dense(stream, begin, table), table)
-    cells, gate, bit, first = _decisions(stream, begin, slots, tree, table)
+def _model(stream: np.ndarray, begin: np.ndarray, slots: list[np.ndarray], tree: Tree, table, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    cells, bit, first = _decisions(stream, begin, slots, tree, table)
     out = np.add.reduceat(tree.escape[stream], begin[:-1])
-    return out - _cost(cells, gate, bit, first, p) / np.log(10), np.diff(begin)
+    return out - _cost(cells, bit, first, p) / np.log(10), np.diff(begin)
 
 
-def _cost(cells: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, first: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+def _cost(cells: list[np.ndarray], bit: np.ndarray, first: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
     """Of each row the cost of its decisions in nats; all rows take their n-th stretch together, the longest rows first.
 
     Weights and map of a row are its own: a stretch is coded with what the row's earlier stretches made of them. Both follow the
@@ -484,32 +634,43 @@ def _cost(cells: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, first: np.
     parts = [np.minimum(size[:m], b) - a for m, a, b in zip(met, edges[:-1], edges[1:])]
     cut = np.r_[0, np.cumsum([int(x.sum()) for x in parts])]
     each = np.concatenate(parts)
-    order = np.repeat(np.concatenate([start[:m] + a for m, a in zip(met, edges)]) - np.cumsum(each) + each, each) + np.arange(cut[-1])
-    cell = np.repeat(np.concatenate([np.arange(m, dtype=np.int32) for m in met]) * np.int32(GATES), each) + gate.take(order)
-    cells, side = [x.take(order) for x in cells], bit.astype(np.int8).take(order)
+    order = np.repeat(np.concatenate([start[:m] + a for m, a in zip(met, edges)]) - np.cumsum(each) + each, each)
+    order += np.arange(cut[-1])
+    cells, side = [x.take(order) for x in cells], bit.take(order)
     del order
-    w = np.tile(p["w"], (rows, 1))
+    w = [np.repeat(p["w"][None, :, k], rows, axis=0).ravel() for k in range(PREDICTORS)]
     final = np.tile(p["map"].ravel(), rows)
     cost = np.zeros(rows)
     for t, active in enumerate(met):
         part = slice(cut[t], cut[t + 1])
-        c, up, st = cell[part], side[part] * np.float32(2) - np.float32(1), [_stretched(x[part]) for x in cells]
-        used = w.take(c, axis=0)
-        dot = used[:, 0] * st[0]
+        own = [x[part] for x in cells]
+        c = np.repeat(np.arange(0, active * GATES, GATES), parts[t])
+        c += _gate(own)
+        up, st = side[part] * np.float32(2) - np.float32(1), [_stretched(x) for x in own]
+        dot = w[0].take(c)
+        dot *= st[0]
         for k in range(1, PREDICTORS):
-            dot += used[:, k] * st[k]
-        place = (dot * np.float32(1.5)).clip(-12, 11)
-        place = np.rint(place, out=place).astype(np.int32)
-        place += c * np.int32(24) + np.int32(12)
+            used = w[k].take(c)
+            used *= st[k]
+            dot += used
+        place = dot * np.float32(1.5)
+        np.rint(place.clip(-12, 11, out=place), out=place)
+        place = place.astype(np.int64)
+        place += c * 24 + 12
         dot += final.take(place)
-        dot *= up
-        odds = np.exp(-np.maximum(dot, -60, out=dot))  # against the bit
-        cost[:active] += np.bincount(c // GATES, np.log(odds + 1), minlength=active)
+        dot *= up * np.float32(STEPS)
+        dot.clip(-60 * STEPS, 60 * STEPS, out=dot)
+        level = np.rint(dot, out=dot).astype(np.int64)
+        level += 60 * STEPS
+        cost[:active] += np.add.reduceat(COST.take(level), np.cumsum(parts[t]) - parts[t])
         if t + 1 < len(met):
             rate = (1 / np.maximum(np.bincount(c, minlength=active * GATES) / 64, 1)).astype(np.float32)
-            miss = up * odds / (odds + 1) * rate.take(c)
+            miss = MISS.take(level)
+            miss *= up
+            miss *= rate.take(c)
             for k, y in enumerate(st):
-                w[: active * GATES, k] += RATE * np.bincount(c, miss * y, minlength=active * GATES)
+                y *= miss
+                w[k][: active * GATES] += RATE * np.bincount(c, y, minlength=active * GATES)
             miss *= np.float32(MAP_RATE)
             np.add.at(final, place, miss)
     out = np.empty(rows)
@@ -554,6 +715,7 @@ def score(documents: DataFrame, learned, tuning) -> DataFrame:
             _, _, offsets, data = _unpack(row)
             for k, v in _tuned(data, offsets, shared.value, Rows(right.to_pylist(), blocks, offsets, data)).items():
                 out[k].append(v.tobytes())
+        trim()
         return pa.table({k: pa.array(v, pa.binary()) for k, v in out.items()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -585,14 +747,16 @@ def score(documents: DataFrame, learned, tuning) -> DataFrame:
             ids, folds, offsets, data = _unpack(row)
             table = Rows(right.to_pylist(), blocks, offsets, data)
             by_size = np.argsort(-np.diff(offsets), kind="stable")  # rows of much the same length take their stretches together
-            for a, b in chunks(np.r_[0, np.cumsum(np.diff(offsets)[by_size])], PART):
+            for a, b in chunks(np.r_[0, np.cumsum(np.diff(offsets)[by_size])], SIDE_BY_SIDE):
                 stream, begin = _picked(offsets, data, by_size[a:b])
                 out["doc_id"].append(ids[by_size[a:b]])
                 missing.append(folds[by_size[a:b]] & NO_ID > 0)
-                x, size = _model(stream, begin, shared.value, table, start.value)
-                n, known, logs = table.base(stream, begin)
+                read = table.read(stream, begin)
+                x, size = _model(stream, begin, table.slots(stream, begin, *read), shared.value, table.table, start.value)
+                n, known, logs = table.base(*read)
                 for k, v in (("n_tokens", n + 1), ("n_known", known + (ends > 0)), ("base_score", logs + end - (n + 1) * unit), ("score", x), ("bits_per_byte", -x / np.log10(2) / size)):
                     out[k].append(v)
+        trim()
         columns = {k: np.concatenate(v).astype(kinds[k]) if v else np.zeros(0, kinds[k]) for k, v in out.items()}
         return pa.table({k: pa.array(v, mask=np.concatenate(missing) if k == "doc_id" and missing else None) for k, v in columns.items()})
 
